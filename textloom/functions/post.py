@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,14 +29,38 @@ def cut_at_eos(ids, eos: int = EOS_ID) -> Column:
     return F.when(p == 0, a).otherwise(F.slice(a, F.lit(1), (p - 1).cast("int")))
 
 
-def decode(ids, vocab_array: Column, eos: int = EOS_ID) -> Column:
-    """Cut at EOS, drop special ids, look each id up in a dense vocabulary array, join by space.
+def decode(ids, vocab: list, eos: int = EOS_ID, spark=None) -> Column:
+    """Cut at EOS, drop special ids, look each id up in the vocabulary, join by space.
 
-    ``vocab_array`` is a bounded ``ARRAY<STRING>`` indexed by id (see
-    ``HashVocab.dense_array`` / ``TableVocab.dense_array``).
+    ``vocab`` is a bounded list indexed by id (``HashVocab.lookup_list`` /
+    ``TableVocab.lookup_list``); it is shipped once per executor as a broadcast
+    variable and applied to Arrow batches with NumPy indexing.
     """
-    kept = F.filter(cut_at_eos(ids, eos), lambda i: i >= F.lit(FIRST_WORD_ID))
-    return F.array_join(F.transform(kept, lambda i: F.get(vocab_array, i)), " ")
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import SparkSession
+
+    sess = spark or SparkSession.getActiveSession()
+    table = np.array(["" if v is None else v for v in vocab], dtype=object)
+    bc = sess.sparkContext.broadcast(table)
+
+    @F.pandas_udf("string")
+    def _decode(s: pd.Series) -> pd.Series:
+        v = bc.value
+        out = []
+        for a in s:
+            if a is None:
+                out.append(None)
+                continue
+            a = np.asarray(a, dtype=np.int64)
+            stop = np.flatnonzero(a == eos)
+            if len(stop):
+                a = a[: stop[0]]
+            a = a[(a >= FIRST_WORD_ID) & (a < len(v))]
+            out.append(" ".join(v[a]))
+        return pd.Series(out)
+
+    return _decode(_c(ids))
 
 
 def decode_float(text, default: float = -1.0) -> Column:

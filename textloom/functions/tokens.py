@@ -16,10 +16,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.hof import let
+
 # ---- fixed values: reserved ids ----
 PAD_ID = 0
 EOS_ID = 1
@@ -56,12 +59,15 @@ def word_offsets(text) -> Column:
         F.transform(chars, lambda ch, i: F.when(ch.isin(*SEPARATORS), i).otherwise(F.lit(-1))),
         lambda p: p >= 0,
     )
-    starts = F.concat(F.array(F.lit(0)), F.transform(seps, lambda p: p + 1))
-    ends = F.concat(seps, F.array(F.length(t)))
-    toks = F.transform(
-        pieces,
-        lambda w, i: F.struct(w.alias("tok"), F.get(starts, i).alias("start"), F.get(ends, i).alias("end")),
-    )
+    # seps is evaluated once; starts/ends are position-aligned with the pieces
+    toks = let(seps, lambda sp: F.transform(
+        F.arrays_zip(
+            pieces.alias("tok"),
+            F.concat(F.array(F.lit(0)), F.transform(sp, lambda p: p + 1)).alias("start"),
+            F.concat(sp, F.array(F.length(t))).alias("end"),
+        ),
+        lambda z: F.struct(z["tok"].alias("tok"), z["start"].alias("start"), z["end"].alias("end")),
+    ))
     return F.when(F.length(t) == 0, F.array().cast("array<struct<tok:string,start:int,end:int>>")) \
         .otherwise(F.filter(toks, lambda s: s.getField("tok") != F.lit("")))
 
@@ -95,21 +101,25 @@ class HashVocab:
         w = corpus.select(F.explode(words(F.col(text_col))).alias("tok")).distinct()
         return w.groupBy(self.word_id(F.col("tok")).alias("id")).agg(F.min("tok").alias("tok"))
 
-    def dense_array(self, corpus: DataFrame, text_col: str) -> Column:
-        """Scalar subquery: ``ARRAY<STRING>`` indexed by id (``NULL`` for unseen ids).
+    def lookup_list(self, corpus: DataFrame, text_col: str) -> list:
+        """Python list indexed by id (``None`` for unseen ids) for decoding.
 
-        Bounded by ``size + 3`` entries whatever the corpus size, so it is safe to
-        ship to every task; lookups are O(1) array indexing.
+        At most ``size + 3`` entries whatever the corpus size, so it is safe to
+        broadcast; building it is a distributed distinct + group-by.
         """
-        return dense_lookup_array(corpus.sparkSession, self.reverse_table(corpus, text_col), self.size + FIRST_WORD_ID)
+        return lookup_list(self.reverse_table(corpus, text_col), self.size + FIRST_WORD_ID)
+
 
+def lookup_list(table: DataFrame, n: int) -> list:
+    """``table(id, tok)`` with ids in ``[0, n)`` → list where element ``id`` is ``tok``.
 
-def dense_lookup_array(spark, table: DataFrame, n: int) -> Column:
-    """``table(id, tok)`` with ids in ``[0, n)`` → scalar array where element ``id`` is ``tok``."""
-    ids = spark.range(0, n).select(F.col("id").cast("int").alias("id"))
-    dense = ids.join(table.select(F.col("id").cast("int").alias("id"), "tok"), "id", "left")
-    arr = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "tok"))), lambda s: s.getField("tok")).alias("v"))
-    return arr.scalar()
+    ``table`` holds at most one row per id below ``n`` (the vocabulary size),
+    so collecting it is bounded by construction.
+    """
+    out: list = [None] * n
+    for r in table.where((F.col("id") >= 0) & (F.col("id") < n)).select("id", "tok").collect():
+        out[int(r["id"])] = r["tok"]
+    return out
 
 
 @dataclass(frozen=True)
@@ -137,8 +147,8 @@ class TableVocab:
             ).alias(out_col)
         )
 
-    def dense_array(self, vocab: DataFrame) -> Column:
-        return dense_lookup_array(vocab.sparkSession, vocab, self.size + FIRST_WORD_ID)
+    def lookup_list(self, vocab: DataFrame) -> list:
+        return lookup_list(vocab, self.size + FIRST_WORD_ID)
 
 
 class ArrowTokenizer:

@@ -8,10 +8,12 @@ one-row final step.  ``batched`` variants reproduce the per-batch meter.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.hof import let, let_many, shift_right
 from textloom.functions.text import SPACE_CLASS
 from textloom.operators.ranking import average_rank
 
@@ -180,9 +182,11 @@ def bleu_tokens(text) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    tk = _c(tokens)
-    return F.transform(F.sequence(F.lit(0), F.size(tk) - n),
-                       lambda i: F.array_join(F.slice(tk, i + 1, n), " ")) if n > 0 else tk
+    """All n-grams of a token array as space-joined strings (token array bound once)."""
+    if n <= 1:
+        return _c(tokens)
+    return let(_c(tokens), lambda tk: F.transform(F.sequence(F.lit(0), F.size(tk) - n),
+                                                  lambda i: F.array_join(F.slice(tk, i + 1, n), " ")))
 
 
 def _ngram_rows(df: DataFrame, toks_t: str, toks_p: str, orders: list[int]) -> DataFrame:
@@ -330,18 +334,21 @@ def token_tags_to_char_tags(pred, c2t, tag_list: list[str]) -> Column:
     """
     tags = F.array(*[F.lit(t) for t in tag_list])
     outside = F.lit(tag_list.index("O"))
-    pr, ct = _c(pred), _c(c2t)
 
-    def one(tok, i):
+    def one(z, pr):
+        tok, prev = z["tok"], z["prev"]
         p = F.get(pr, tok)
         name = F.get(tags, p)
-        first = (i == 0) | F.get(ct, i - 1).isNull() | (F.get(ct, i - 1) != tok)
+        first = prev.isNull() | (prev != tok)
         i_id = (F.array_position(tags, F.concat(F.lit("I"), F.substring(name, 2, 1000))) - 1).cast("int")
         return F.when(tok.isNull() | p.isNull() | name.isNull() | (name == "O"), outside) \
             .when(name.startswith("B") & ~first, i_id) \
             .otherwise(p)
 
-    return F.transform(ct, one)
+    # each char is paired with the previous char's token; the prediction array is bound once
+    return let_many({"pr": _c(pred), "ct": _c(c2t)}, lambda b: F.transform(
+        F.arrays_zip(b["ct"].alias("tok"), shift_right(b["ct"], F.lit(None).cast("int")).alias("prev")),
+        lambda z: one(z, b["pr"])))
 
 
 def char_entity_f1(df: DataFrame, char_tags: str, pred_char_tags: str, tag_list: list[str], id_col: str = "id",
@@ -378,10 +385,12 @@ def char_entity_f1(df: DataFrame, char_tags: str, pred_char_tags: str, tag_list:
 # ---------------------------------------------------------------- M14-M16
 
 def log_softmax_at(logits, label) -> Column:
-    a, y = _c(logits), _c(label)
-    m = F.array_max(a)
-    lse = m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
-    return F.get(a, y) - lse
+    def body(b):
+        a, m = b["a"], b["m"]
+        lse = m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+        return F.get(a, _c(label)) - lse
+
+    return let_many({"a": _c(logits), "m": F.array_max(_c(logits))}, body)
 
 
 def ce_loss(df: DataFrame, logits="logits", label="labels") -> DataFrame:

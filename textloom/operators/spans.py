@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.tokens import HashVocab, word_offsets
+from textloom.functions.hof import let, let_many, shift_left, shift_right
+from textloom.functions.tokens import HashVocab
 
 
 def _c(x) -> Column:
@@ -47,34 +48,26 @@ def char_tags_to_spans(chars, tags, compat: bool = False) -> Column:
     ``B`` opens a span (closing an open one), ``I`` extends it, anything else
     closes it; an ``I`` with no open span is ignored.  ``end`` is exclusive.
     ``compat=True`` drops a span still open at the end of the text, as the
-    reference does.
+    reference does.  Linear: the break positions are listed once and each
+    span ends at the next break.
     """
-    ch, tg = _c(chars), _c(tags)
-    n = F.size(tg)
-    breaks = F.filter(
-        F.transform(tg, lambda t, i: F.when(t.startswith("I"), F.lit(-1)).otherwise(i)),
-        lambda p: p >= 0,
-    )
-    raw = F.transform(
-        breaks,
-        lambda p, j: F.struct(
-            p.alias("begin"),
-            F.coalesce(F.get(breaks, j + 1), n).alias("end"),
-            F.get(tg, p).alias("tag"),
-        ),
-    )
-    opened = F.filter(raw, lambda s: s.getField("tag").startswith("B"))
-    if compat:
-        opened = F.filter(opened, lambda s: s.getField("end") < n)
-    return F.transform(
-        opened,
-        lambda s: F.struct(
-            F.array_join(F.slice(ch, s.getField("begin") + 1, s.getField("end") - s.getField("begin")), "").alias("form"),
-            s.getField("begin").alias("begin"),
-            s.getField("end").alias("end"),
-            F.substring_index(s.getField("tag"), "-", -1).alias("label"),
-        ),
-    )
+    def body(b):
+        ch, tg = b["ch"], b["tg"]
+        n = F.size(tg)
+        brk = F.filter(F.transform(tg, lambda t, i: F.struct(i.alias("p"), t.alias("tag"))),
+                       lambda s: ~s["tag"].startswith("I"))
+        nxt = shift_left(F.transform(brk, lambda s: s["p"]), n)
+        raw = F.filter(F.arrays_zip(brk.alias("b"), nxt.alias("e")), lambda z: z["b"]["tag"].startswith("B"))
+        if compat:
+            raw = F.filter(raw, lambda z: z["e"] < n)
+        return F.transform(raw, lambda z: F.struct(
+            F.array_join(F.slice(ch, z["b"]["p"] + 1, z["e"] - z["b"]["p"]), "").alias("form"),
+            z["b"]["p"].alias("begin"),
+            z["e"].alias("end"),
+            F.substring_index(z["b"]["tag"], "-", -1).alias("label"),
+        ))
+
+    return let_many({"ch": _c(chars), "tg": _c(tags)}, body)
 
 
 def char_example(df: DataFrame, chars: str = "tokens", tag_ids: str = "ner_tags",
@@ -95,43 +88,40 @@ def char_to_token(tokens, text_len) -> Column:
     """For every character position the index of the token holding it, or NULL.
 
     ``tokens``: ``ARRAY<STRUCT<start, end>>`` sorted and non-overlapping.
-    Built as one segment per token (nulls for the gap, then the index repeated),
-    so the cost is linear in the text length.
+    Built as one segment per token (nulls for the gap, then the index
+    repeated), each token paired with the previous token's end: linear.
     """
-    tk = _c(tokens)
     null_int = F.lit(None).cast("int")
-    segs = F.transform(
-        tk,
-        lambda t, i: F.concat(
-            F.array_repeat(null_int, F.greatest(
-                t.getField("start") - F.when(i == 0, F.lit(0)).otherwise(F.get(tk, i - 1).getField("end")), F.lit(0))),
-            F.array_repeat(i, t.getField("end") - t.getField("start")),
-        ),
-    )
-    body = F.flatten(segs)
-    tail = F.greatest(_c(text_len) - F.size(body), F.lit(0))
-    return F.concat(body, F.array_repeat(null_int, tail))
 
+    def body(tk):
+        prev_end = shift_right(F.transform(tk, lambda t: t["end"]), 0)
+        segs = F.transform(F.arrays_zip(tk.alias("t"), prev_end.alias("pe")), lambda z, i: F.concat(
+            F.array_repeat(null_int, F.greatest(z["t"]["start"] - z["pe"], F.lit(0))),
+            F.array_repeat(i, F.greatest(z["t"]["end"] - z["t"]["start"], F.lit(0)))))
+        body_ = F.flatten(segs)
+        return F.concat(F.slice(body_, 1, _c(text_len)),
+                        F.array_repeat(null_int, F.greatest(_c(text_len) - F.size(body_), F.lit(0))))
+
+    return let(_c(tokens), body)
 
-def _span_cover(spans, text_len) -> Column:
-    """Dense ``char -> span index`` array (NULL outside spans); spans sorted by begin."""
-    sp = _c(spans)
+
+def _span_cover(sp: Column, text_len) -> Column:
+    """Dense ``char -> span index`` array (NULL outside spans); ``sp`` sorted by begin and bound."""
     null_int = F.lit(None).cast("int")
+    prev_end = shift_right(F.transform(sp, lambda s: s["end"]), 0)
 
-    def seg(s, k):
-        prev_end = F.when(k == 0, F.lit(0)).otherwise(F.get(sp, k - 1).getField("end"))
-        begin = F.greatest(s.getField("begin"), prev_end)
-        gap = F.greatest(begin - prev_end, F.lit(0))
-        width = F.greatest(s.getField("end") - begin, F.lit(0))
-        return F.concat(F.array_repeat(null_int, gap), F.array_repeat(k, width))
+    def seg(z, k):
+        begin = F.greatest(z["s"]["begin"], z["pe"])
+        return F.concat(F.array_repeat(null_int, F.greatest(begin - z["pe"], F.lit(0))),
+                        F.array_repeat(k, F.greatest(z["s"]["end"] - begin, F.lit(0))))
 
-    body = F.flatten(F.transform(sp, seg))
+    body = F.flatten(F.transform(F.arrays_zip(sp.alias("s"), prev_end.alias("pe")), seg))
     return F.concat(F.slice(body, 1, _c(text_len)),
                     F.array_repeat(null_int, F.greatest(_c(text_len) - F.size(body), F.lit(0))))
 
 
 def _sorted_spans(spans) -> Column:
-    return F.array_sort(_c(spans), lambda a, b: (a.getField("begin") - b.getField("begin")).cast("int"))
+    return F.array_sort(_c(spans), lambda a, b: (a["begin"] - b["begin"]).cast("int"))
 
 
 def token_tags(tokens, spans, text_len, b_tag, i_tag, outside: Column) -> Column:
@@ -140,28 +130,27 @@ def token_tags(tokens, spans, text_len, b_tag, i_tag, outside: Column) -> Column
     ``spans``: ``ARRAY<STRUCT<begin, end, ...>>`` (end exclusive) already
     filtered to the spans that tag; ``b_tag(span)`` / ``i_tag(span)`` give the
     ids.  A token is tagged by the last span covering any of its characters;
-    it is ``B`` when it is that span's first token.
+    it is ``B`` when it is that span's first token.  Every derived array is
+    bound once (``let``), so the work is linear in text + tokens + spans.
     """
-    tk = _c(tokens)
-    sp = _sorted_spans(spans)
-    c2t = char_to_token(tk, text_len)
-    cover = _span_cover(sp, text_len)
-    first_tok = F.transform(
-        sp,
-        lambda s: F.get(F.filter(F.slice(c2t, s.getField("begin") + 1, F.greatest(s.getField("end") - s.getField("begin"), F.lit(0))),
-                                 lambda x: x.isNotNull()), 0),
-    )
-
-    def tag(t, i):
-        covered = F.filter(F.slice(cover, t.getField("start") + 1, t.getField("end") - t.getField("start")),
+    def with_sorted(b):
+        tk, sp = b["tk"], b["sp"]
+        return let_many({"c2t": char_to_token(tk, b["n"]), "cover": _span_cover(sp, b["n"])},
+                        lambda d: body(tk, sp, d["c2t"], d["cover"]))
+
+    def body(tk, sp, c2t, cover):
+        first_tok = F.transform(sp, lambda s: F.get(F.filter(
+            F.slice(c2t, s["begin"] + 1, F.greatest(s["end"] - s["begin"], F.lit(0))), lambda x: x.isNotNull()), 0))
+        return let(first_tok, lambda ft: F.transform(tk, lambda t, i: tag_of(t, i, sp, cover, ft)))
+
+    def tag_of(t, i, sp, cover, ft):
+        covered = F.filter(F.slice(cover, t["start"] + 1, F.greatest(t["end"] - t["start"], F.lit(0))),
                            lambda x: x.isNotNull())
         k = F.try_element_at(covered, F.lit(-1))
         s = F.get(sp, k)
-        return F.when(k.isNull(), outside) \
-            .when(F.get(first_tok, k) == i, b_tag(s)) \
-            .otherwise(i_tag(s))
+        return F.when(k.isNull(), outside).when(F.get(ft, k) == i, b_tag(s)).otherwise(i_tag(s))
 
-    return F.transform(tk, tag)
+    return let_many({"tk": _c(tokens), "sp": _sorted_spans(spans), "n": _c(text_len)}, with_sorted)
 
 
 def spans_to_token_tags(tokens, spans, text_len, tag_list: list[str]) -> Column:
@@ -190,13 +179,15 @@ def parallel_spans(ne, type_names: list[str]) -> Column:
 def spans_to_char_tags(spans, text_len, tag_list: list[str]) -> Column:
     """All ``O``, then ``B-x`` on a span's first char and ``I-x`` on the rest (tag ids)."""
     tags = _lit_array(tag_list)
-    sp = _sorted_spans(F.filter(_c(spans), lambda s: s.getField("label") != F.lit("O")))
-    cover = _span_cover(sp, text_len)
     outside = F.lit(tag_list.index("O"))
-    return F.transform(cover, lambda k, p: F.when(k.isNull(), outside).otherwise(
-        (F.array_position(tags, F.concat(
-            F.when(F.get(sp, k).getField("begin") == p, F.lit("B-")).otherwise(F.lit("I-")),
-            F.get(sp, k).getField("label"))) - 1).cast("int")))
+
+    def body(sp):
+        return F.transform(_span_cover(sp, text_len), lambda k, p: F.when(k.isNull(), outside).otherwise(
+            (F.array_position(tags, F.concat(
+                F.when(F.get(sp, k)["begin"] == p, F.lit("B-")).otherwise(F.lit("I-")),
+                F.get(sp, k)["label"])) - 1).cast("int")))
+
+    return let(_sorted_spans(F.filter(_c(spans), lambda s: s["label"] != F.lit("O"))), body)
 
 
 # ---------------------------------------------------------------- N8
@@ -316,15 +307,15 @@ def mark_mention(text: Column, target: Column, cands: Column, mark: str = "*", c
 
 def candidate_surfaces(tokens: Column, cands: Column, text_len: Column) -> Column:
     """N12 surface text: words of the tokens each candidate covers, joined by a space."""
-    c2t = char_to_token(tokens, text_len)
+    def body(b):
+        def surf(c):
+            toks = F.array_distinct(F.filter(F.slice(b["c2t"], c["begin"] + 1, F.greatest(c["end"] - c["begin"], F.lit(0))),
+                                             lambda x: x.isNotNull()))
+            return F.array_join(F.transform(toks, lambda i: F.get(b["tk"], i)["tok"]), " ")
 
-    def surf(c):
-        toks = F.array_distinct(F.filter(F.slice(c2t, c.getField("begin") + 1,
-                                                 F.greatest(c.getField("end") - c.getField("begin"), F.lit(0))),
-                                         lambda x: x.isNotNull()))
-        return F.array_join(F.transform(toks, lambda i: F.get(tokens, i).getField("tok")), " ")
+        return F.transform(cands, surf)
 
-    return F.transform(cands, surf)
+    return let_many({"tk": tokens, "c2t": char_to_token(tokens, text_len)}, body)
 
 
 def mention_augment(df: DataFrame, id_col: str, text_col: str, cr_col: str = "CR", tokenizer=None,

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.hof import let, shift_right
 from textloom.functions.tokens import HashVocab
 from textloom.labels import CHAR_NER_IOB2, CHAR_NER_TYPES
 from textloom.operators.ranking import group_index
@@ -28,7 +29,8 @@ def space_words(text) -> Column:
     spaces = F.filter(F.transform(F.split(t, "", -1), lambda ch, i: F.when(ch == " ", i).otherwise(F.lit(-1))),
                       lambda p: p >= 0)
     starts = F.concat(F.array(F.lit(0)), F.transform(spaces, lambda p: p + 1))
-    return F.transform(pieces, lambda w, i: F.struct(w.alias("w"), F.get(starts, i).alias("off")))
+    return F.transform(F.arrays_zip(pieces.alias("w"), starts.alias("off")),
+                       lambda z: F.struct(z["w"].alias("w"), z["off"].alias("off")))
 
 
 def cls(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,18 +109,19 @@ def chartags(spark: SparkSession, sf: str) -> DataFrame:
     c = read_table(spark, sf, "conversations")
     tags = F.array(*[F.lit(t) for t in CHAR_NER_IOB2])
 
-    def tag(ch, i, chars):
-        k = _char_class(ch)
-        prev = F.when(i == 0, F.lit("#")).otherwise(_char_class(F.get(chars, i - 1)))
+    def tag(z):
+        k, prev = z["k"], z["prev"]
         name = F.when(k == "O", F.lit("O")).otherwise(
             F.concat(F.when(prev != k, F.lit("B-")).otherwise(F.lit("I-")), k))
         return (F.array_position(tags, name) - 1).cast("int")
 
     chars = F.split("text", "", -1)
+    # class of each char aligned with the class of the previous char (no random access in lambdas)
+    classes = let(F.transform(chars, _char_class),
+                  lambda k: F.transform(F.arrays_zip(k.alias("k"), shift_right(k, "#").alias("prev")), tag))
     return c.select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
-        "conv_id", "turn", chars.alias("tokens")
-    ).withColumn("ner_tags", F.transform("tokens", lambda ch, i: tag(ch, i, F.col("tokens"))))
+        "conv_id", "turn", chars.alias("tokens"), classes.alias("ner_tags"))
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +144,7 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
             F.transform(sp, lambda s: s.getField("off").cast("int")).alias("begin"),
             F.transform(sp, lambda s: (s.getField("off") + F.length(s.getField("w"))).cast("int")).alias("end"),
             F.transform(sp, lambda s: (F.length(s.getField("w")) % 6).cast("int")).alias("label"),
-        ).alias("ne"))
+        ).alias("ne_par"))
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:

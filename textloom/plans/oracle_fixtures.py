@@ -103,7 +103,7 @@ SPANS = f"""(SELECT {CID} AS id, conv_id, turn, text,
            'end': (s.off + length(s.w))::INT, 'label': {sql_list(CHAR_NER_TYPES)}[length(s.w) % 6 + 1]}}) AS "NE",
        {{'begin': list_transform(list_filter(wo, lambda s: length(s.w) >= 6), lambda s: s.off::INT),
          'end': list_transform(list_filter(wo, lambda s: length(s.w) >= 6), lambda s: (s.off + length(s.w))::INT),
-         'label': list_transform(list_filter(wo, lambda s: length(s.w) >= 6), lambda s: (length(s.w) % 6)::INT)}} AS ne,
+         'label': list_transform(list_filter(wo, lambda s: length(s.w) >= 6), lambda s: (length(s.w) % 6)::INT)}} AS ne_par,
        wo
   FROM {with_space_words('conversations')})"""
 
