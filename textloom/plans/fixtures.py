@@ -175,7 +175,7 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 10).alias("logits"),
+    return e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 10).cast("array<double>").alias("logits"),
                     F.col("label").alias("labels"))
 
 

@@ -119,7 +119,7 @@ MENTIONS = f"""(SELECT {CID} AS id, conv_id, turn, text, {{'mention': list_trans
               HAVING count(*) BETWEEN 2 AND 5)
         GROUP BY conv_id, turn))"""
 
-LOGITS = "(SELECT vec_id AS id, embedding[1:10] AS logits, label AS labels FROM embeddings)"
+LOGITS = "(SELECT vec_id AS id, embedding[1:10]::DOUBLE[] AS logits, label AS labels FROM embeddings)"
 
 HISTORY = """(SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS step,
        round(avg(CASE WHEN value < 50 THEN 1.0 ELSE 0.0 END) * 100, 3) AS score, count(*)::BIGINT AS count
