@@ -72,7 +72,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     """events with a similarity-style ``labels`` struct."""
     e = read_table(spark, sf, "events")
     return e.select(
-        F.col("event_id").alias("id"), "value",
+        F.col("event_id").alias("id"), "value", "event_type", "props",
         F.struct(
             (F.round("value") / 10).alias("label"),
             (F.col("value") / 10).alias("real-label"),

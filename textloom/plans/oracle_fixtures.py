@@ -69,7 +69,7 @@ PAIRS = f"""(SELECT u.conv_id::VARCHAR || ':' || u.turn::VARCHAR AS id, u.conv_i
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
-SCORES = """(SELECT event_id AS id, value, round(value) / 10 AS label, value / 10 AS real_label,
+SCORES = """(SELECT event_id AS id, value, event_type, props, round(value) / 10 AS label, value / 10 AS real_label,
        (value >= 50)::INT AS binary_label FROM events)"""
 
 
