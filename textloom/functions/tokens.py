@@ -227,17 +227,37 @@ def tokenize_features(df: DataFrame, features: dict, copy_pretokenized: bool = T
     return df.withColumns(cols)
 
 
+def _pad_and_mask(n: int, pad: int, with_mask: bool):
+    def body(x):
+        parts = [trim_pad(x, n, pad).alias("v")]
+        if with_mask:
+            parts.append(attention_mask(x, n).alias("m"))
+        return F.struct(*parts)
+
+    return body
+
+
 def trim_pad_features(df: DataFrame, lengths: dict | None, pad_ids: dict | None = None,
                       with_mask: bool = True) -> DataFrame:
     """T6/T7/T8 over several columns; ``pad_ids`` gives a per-column pad id."""
     if not lengths:
         return df
-    cols = {}
+    fields = []
+    names = {}
     for k, n in lengths.items():
         if k not in df.columns:
             continue
         pad = (pad_ids or {}).get(k, PAD_ID)
-        cols[k] = trim_pad(F.col(k), n, pad)
+        # each source array is evaluated once for both the padded ids and the mask
+        fields.append(let(F.col(k), _pad_and_mask(n, pad, with_mask)).alias(f"_tp{len(fields)}"))
+        names[k] = f"_tp{len(fields) - 1}"
+    if not fields:
+        return df
+    # one-element explode: the padded structs become attributes (not re-inlined per field)
+    t = df.select("*", F.explode(F.array(F.struct(*fields))).alias("_tp"))
+    cols = {}
+    for k, f in names.items():
+        cols[k] = F.col(f"_tp.{f}.v")
         if with_mask:
-            cols[f"{k}_attention_mask"] = attention_mask(F.col(k), n)
-    return df.withColumns(cols)
+            cols[f"{k}_attention_mask"] = F.col(f"_tp.{f}.m")
+    return t.withColumns(cols).drop("_tp")

@@ -219,22 +219,25 @@ def doc_windows(df: DataFrame, id_col: str, text_col: str, tokenizer=None, span_
     """
     tok = tokenizer or HashVocab()
     step = min(span_length, doc_stride)
-    t = df.withColumn("_tk", tok.tokens(F.col(text_col)))
-    n = F.size("_tk")
-    k = F.when(n <= span_length, F.lit(0)).otherwise(F.ceil((n - span_length) / F.lit(step)).cast("int"))
-    t = t.where(n > 0).withColumn("_w", F.explode(F.sequence(F.lit(0), k)))
-    st = F.col("_w") * step
-    ln = F.least(F.lit(span_length), F.size("_tk") - st)
-    ch_st = F.get(F.col("_tk"), st).getField("start")
-    ch_ed = F.get(F.col("_tk"), st + ln - 1).getField("end")
+
+    def windows(tk):
+        # the document is tokenized once (bound to ``tk``); one struct per window
+        n = F.size(tk)
+        k = F.when(n <= span_length, F.lit(0)).otherwise(F.ceil((n - span_length) / F.lit(step)).cast("int"))
+        seq = F.when(n > 0, F.sequence(F.lit(0), k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(seq, lambda w: F.struct(
+            w.alias("w"),
+            F.get(tk, w * step)["start"].alias("s"),
+            F.get(tk, w * step + F.least(F.lit(span_length), n - w * step) - 1)["end"].alias("e")))
+
+    t = df.withColumn("_win", F.explode(let(tok.tokens(F.col(text_col)), windows)))
     out = t.withColumns({
-        "span_ch_start": ch_st,
-        "span_ch_end": ch_ed,
-    }).withColumns({
-        "id": F.concat_ws(":", F.col(id_col).cast("string"), F.col("_w").cast("string")),
-        text_col: F.substring(F.col(text_col), F.col("span_ch_start") + 1, F.col("span_ch_end") - F.col("span_ch_start")),
+        "span_ch_start": F.col("_win.s"),
+        "span_ch_end": F.col("_win.e"),
+        "id": F.concat_ws(":", F.col(id_col).cast("string"), F.col("_win.w").cast("string")),
+        text_col: F.substring(F.col(text_col), F.col("_win.s") + 1, F.col("_win.e") - F.col("_win.s")),
     })
-    return out.drop("_tk", "_w")
+    return out.drop("_win")
 
 
 # ---------------------------------------------------------------- N10-N13
@@ -344,14 +347,27 @@ def mention_augment(df: DataFrame, id_col: str, text_col: str, cr_col: str = "CR
     cands = F.filter(F.col("_ms"), lambda c, j: j != F.col("_mi")) if exclude_src_span else F.col("_ms")
     marked, moved = mark_mention(F.col(text_col), F.col("_target"), cands, compat=compat)
     t = t.withColumns({"_marked": marked, "_cands": moved})
-    t = t.withColumn("_tk", tok.tokens(F.col("_marked")))
+
+    def per_row(b):
+        # marked text and its tokens are computed once per output row
+        tk, mk, cd = b["tk"], b["mk"], b["cd"]
+        fields = [
+            F.transform(tk, lambda s: s["id"]).alias("ids"),
+            token_tags(tk, cd, F.length(mk), lambda s: F.lit(1), lambda s: F.lit(2), F.lit(0)).alias("tags"),
+        ]
+        if with_surfaces:
+            fields.append(candidate_surfaces(tk, _sorted_spans(cd), F.length(mk)).alias("surf"))
+        return F.struct(*fields)
+
+    # produced by a one-element explode so the struct is an attribute, not re-inlined per field
+    t = t.select("*", F.explode(F.array(let_many(
+        {"tk": tok.tokens(F.col("_marked")), "mk": F.col("_marked"), "cd": F.col("_cands")}, per_row))).alias("_r"))
     out = {
         "id": F.concat_ws(":", F.col(id_col).cast("string"), F.col("_chain").cast("string"), F.col("_mi").cast("string")),
         f"{text_col}_pretokenized": F.col("_marked"),
-        text_col: F.transform("_tk", lambda s: s.getField("id")),
-        "targets": token_tags(F.col("_tk"), F.col("_cands"), F.length("_marked"),
-                              lambda s: F.lit(1), lambda s: F.lit(2), F.lit(0)),
+        text_col: F.col("_r.ids"),
+        "targets": F.col("_r.tags"),
     }
     if with_surfaces:
-        out["label_txt"] = candidate_surfaces(F.col("_tk"), F.array_sort(F.col("_cands"), lambda a, b: (a.getField("begin") - b.getField("begin")).cast("int")), F.length("_marked"))
-    return t.withColumns(out).drop("_valid", "_chain", "_ms", "_mi", "_target", "_marked", "_cands", "_tk")
+        out["label_txt"] = F.col("_r.surf")
+    return t.withColumns(out).drop("_valid", "_chain", "_ms", "_mi", "_target", "_marked", "_cands", "_r")
