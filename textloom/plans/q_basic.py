@@ -333,12 +333,12 @@ _PREFIX = len("relation text: ")
 
 @query("relation_prompt_spans", f"""
 SELECT id, variant,
-  (subject_entity.start_idx + CASE WHEN subject_entity.start_idx < object_entity.start_idx THEN 0 ELSE 2 END + {_PREFIX})::INT AS s_start,
-  (subject_entity.end_idx + 2 + CASE WHEN subject_entity.start_idx < object_entity.start_idx THEN 0 ELSE 2 END + {_PREFIX})::INT AS s_end,
-  (object_entity.start_idx + CASE WHEN subject_entity.start_idx < object_entity.start_idx THEN 2 ELSE 0 END + {_PREFIX})::INT AS o_start,
-  (object_entity.end_idx + 2 + CASE WHEN subject_entity.start_idx < object_entity.start_idx THEN 2 ELSE 0 END + {_PREFIX})::INT AS o_end,
+  coalesce((subject_entity.start_idx + CASE WHEN object_entity.start_idx <= subject_entity.start_idx THEN 2 ELSE 0 END + {_PREFIX})::INT, -1) AS s_start,
+  coalesce((subject_entity.end_idx + 2 + CASE WHEN object_entity.start_idx <= subject_entity.start_idx THEN 2 ELSE 0 END + {_PREFIX})::INT, -1) AS s_end,
+  coalesce((object_entity.start_idx + CASE WHEN subject_entity.start_idx < object_entity.start_idx THEN 2 ELSE 0 END + {_PREFIX})::INT, -1) AS o_start,
+  coalesce((object_entity.end_idx + 2 + CASE WHEN subject_entity.start_idx < object_entity.start_idx THEN 2 ELSE 0 END + {_PREFIX})::INT, -1) AS o_end,
   substr('relation text: ' || {_marked_sql()},
-         subject_entity.start_idx + CASE WHEN subject_entity.start_idx < object_entity.start_idx THEN 0 ELSE 2 END + {_PREFIX} + 1,
+         subject_entity.start_idx + CASE WHEN object_entity.start_idx <= subject_entity.start_idx THEN 2 ELSE 0 END + {_PREFIX} + 1,
          length(subject_entity.word) + 2) AS s_text
 FROM {_ents_both_sql()}""")
 def relation_prompt_spans(spark, sf):
@@ -346,8 +346,8 @@ def relation_prompt_spans(spark, sf):
     s, o = X.shifted_entities("subject_entity", "object_entity", _PREFIX)
     p = X.relation_prompt("sentence", "subject_entity", "object_entity", benchmark="relation")
     return e.select("id", "variant", s.alias("s"), o.alias("o"), p.alias("p")).select(
-        "id", "variant", F.col("s.start_idx").alias("s_start"), F.col("s.end_idx").alias("s_end"),
-        F.col("o.start_idx").alias("o_start"), F.col("o.end_idx").alias("o_end"),
+        "id", "variant", *[F.coalesce(F.col(f"{e}.{f}"), F.lit(-1)).alias(n) for e, f, n in [
+            ("s", "start_idx", "s_start"), ("s", "end_idx", "s_end"), ("o", "start_idx", "o_start"), ("o", "end_idx", "o_end")]],
         F.substring("p", F.col("s.start_idx") + 1, F.length("s.word") + 2).alias("s_text"))
 
 

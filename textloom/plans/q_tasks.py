@@ -112,8 +112,8 @@ query("task_qa_gen_context_free", _task_sql(O.PAIRS, O.collapse("concat_ws(' ',
 def _rel_idx_sql() -> str:
     pre = len("relation text: ")
     first = "subject_entity.start_idx < object_entity.start_idx"
-    s_st = f"(subject_entity.start_idx + CASE WHEN {first} THEN 0 ELSE 2 END + {pre})"
-    s_en = f"(subject_entity.end_idx + 2 + CASE WHEN {first} THEN 0 ELSE 2 END + {pre})"
+    s_st = f"(subject_entity.start_idx + CASE WHEN object_entity.start_idx <= subject_entity.start_idx THEN 2 ELSE 0 END + {pre})"
+    s_en = f"(subject_entity.end_idx + 2 + CASE WHEN object_entity.start_idx <= subject_entity.start_idx THEN 2 ELSE 0 END + {pre})"
     o_st = f"(object_entity.start_idx + CASE WHEN {first} THEN 2 ELSE 0 END + {pre})"
     o_en = f"(object_entity.end_idx + 2 + CASE WHEN {first} THEN 2 ELSE 0 END + {pre})"
     src = f"(SELECT id, label, {_REL_PROMPT} AS p, {s_st} AS s_st, {s_en} AS s_en, {o_st} AS o_st, {o_en} AS o_en FROM {_ENTS} WHERE variant = 0)"
