@@ -152,18 +152,21 @@ def token_accuracy_ragged(df: DataFrame, target="labels", prediction="prediction
 def char_f1(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id") -> DataFrame:
     """M6: per-row multiset character-overlap F1 (0 when nothing in common), mean × 100.
 
-    Characters are exploded and counted per (row, char, side) — a shuffle on
-    (row, char), partial-aggregated — then overlap is summed per row.
+    Both sides' characters (plus one marker so rows without characters still
+    count) are exploded in one pass and counted per (row, char) — a shuffle
+    on (row, char) with map-side partial sums — then per row: overlap and
+    both lengths come out of the same aggregation, so no join is needed.
     """
-    base = df.select(_c(id_col).alias("_id"), _c(target).alias("_t"), _c(prediction).alias("_p"))
-    lens = base.select("_id", F.length("_t").alias("lt"), F.length("_p").alias("lp"))
-    t = base.select("_id", F.explode(F.split("_t", "", -1)).alias("ch"), F.lit(1).alias("a"), F.lit(0).alias("b")) \
-        .where(F.col("ch") != "")
-    p = base.select("_id", F.explode(F.split("_p", "", -1)).alias("ch"), F.lit(0).alias("a"), F.lit(1).alias("b")) \
-        .where(F.col("ch") != "")
-    per_char = t.unionByName(p).groupBy("_id", "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    same = per_char.groupBy("_id").agg(F.sum(F.least("a", "b")).alias("same"))
-    rows = lens.join(same, "_id", "left").fillna(0, ["same"])
+    def side(col, a, b):
+        return F.transform(F.split(_c(col), "", -1), lambda ch: F.struct(ch.alias("ch"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("ch"), F.lit(0).alias("a"), F.lit(0).alias("b")))
+    items = F.concat(side(target, 1, 0), side(prediction, 0, 1), marker)
+    e = df.select(_c(id_col).alias("_id"), F.explode(items).alias("x")) \
+        .select("_id", "x.ch", "x.a", "x.b").where(F.col("ch").isNull() | (F.col("ch") != ""))
+    per_char = e.groupBy("_id", "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = per_char.groupBy("_id").agg(F.sum(F.least("a", "b")).alias("same"), F.sum("a").alias("lt"),
+                                       F.sum("b").alias("lp"))
     prec = _ratio(F.col("same"), F.col("lp"))
     rec = _ratio(F.col("same"), F.col("lt"))
     f1 = F.when(F.col("same") == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
