@@ -55,10 +55,8 @@ def word_offsets(text) -> Column:
     t = _c(text)
     pieces = F.split(t, SEP_REGEX, -1)
     chars = F.split(t, "", -1)
-    seps = F.filter(
-        F.transform(chars, lambda ch, i: F.when(ch.isin(*SEPARATORS), i).otherwise(F.lit(-1))),
-        lambda p: p >= 0,
-    )
+    # separator positions: one lambda pass, NULLs dropped by the built-in array_compact
+    seps = F.array_compact(F.transform(chars, lambda ch, i: F.when(ch.isin(*SEPARATORS), i)))
     # seps is evaluated once; starts/ends are position-aligned with the pieces
     toks = let(seps, lambda sp: F.transform(
         F.arrays_zip(

@@ -139,14 +139,14 @@ def token_tags(tokens, spans, text_len, b_tag, i_tag, outside: Column) -> Column
                         lambda d: body(tk, sp, d["c2t"], d["cover"]))
 
     def body(tk, sp, c2t, cover):
-        first_tok = F.transform(sp, lambda s: F.get(F.filter(
-            F.slice(c2t, s["begin"] + 1, F.greatest(s["end"] - s["begin"], F.lit(0))), lambda x: x.isNotNull()), 0))
+        # first token of a span = smallest token index over its chars (array_min skips NULLs; no inner lambda)
+        first_tok = F.transform(sp, lambda s: F.array_min(
+            F.slice(c2t, s["begin"] + 1, F.greatest(s["end"] - s["begin"], F.lit(0)))))
         return let(first_tok, lambda ft: F.transform(tk, lambda t, i: tag_of(t, i, sp, cover, ft)))
 
     def tag_of(t, i, sp, cover, ft):
-        covered = F.filter(F.slice(cover, t["start"] + 1, F.greatest(t["end"] - t["start"], F.lit(0))),
-                           lambda x: x.isNotNull())
-        k = F.try_element_at(covered, F.lit(-1))
+        # spans are sorted by begin, so the last span touching the token is the largest index
+        k = F.array_max(F.slice(cover, t["start"] + 1, F.greatest(t["end"] - t["start"], F.lit(0))))
         s = F.get(sp, k)
         return F.when(k.isNull(), outside).when(F.get(ft, k) == i, b_tag(s)).otherwise(i_tag(s))
 
@@ -194,14 +194,17 @@ def spans_to_char_tags(spans, text_len, tag_list: list[str]) -> Column:
 
 def entity_token_bounds(tokens, text_len, entities: list[Column], end_inclusive: bool = True) -> Column:
     """``[[first, last], …]`` token index per entity; NULL pair when it has no token."""
-    c2t = char_to_token(tokens, text_len)
-    out = []
-    for e in entities:
-        start = e.getField("start_idx")
-        stop = e.getField("end_idx") + (1 if end_inclusive else 0)
-        toks = F.filter(F.slice(c2t, start + 1, F.greatest(stop - start, F.lit(0))), lambda x: x.isNotNull())
-        out.append(F.when(F.size(toks) > 0, F.array(F.array_min(toks), F.array_max(toks))))
-    return F.array(*out)
+    def body(c2t):
+        out = []
+        for e in entities:
+            start = e.getField("start_idx")
+            stop = e.getField("end_idx") + (1 if end_inclusive else 0)
+            seg = F.slice(c2t, start + 1, F.greatest(stop - start, F.lit(0)))
+            lo, hi = F.array_min(seg), F.array_max(seg)  # both skip NULLs; NULL when no token
+            out.append(F.when(lo.isNotNull(), F.array(lo, hi)))
+        return F.array(*out)
+
+    return let(char_to_token(tokens, text_len), body)
 
 
 # ---------------------------------------------------------------- N9
@@ -312,8 +315,8 @@ def candidate_surfaces(tokens: Column, cands: Column, text_len: Column) -> Colum
     """N12 surface text: words of the tokens each candidate covers, joined by a space."""
     def body(b):
         def surf(c):
-            toks = F.array_distinct(F.filter(F.slice(b["c2t"], c["begin"] + 1, F.greatest(c["end"] - c["begin"], F.lit(0))),
-                                             lambda x: x.isNotNull()))
+            toks = F.array_compact(F.array_distinct(
+                F.slice(b["c2t"], c["begin"] + 1, F.greatest(c["end"] - c["begin"], F.lit(0)))))
             return F.array_join(F.transform(toks, lambda i: F.get(b["tk"], i)["tok"]), " ")
 
         return F.transform(cands, surf)

@@ -26,8 +26,7 @@ def space_words(text) -> Column:
     """Words split on one space, with 0-based offsets: ``ARRAY<STRUCT<w, off>>`` (empty words kept)."""
     t = F.col(text) if isinstance(text, str) else text
     pieces = F.split(t, " ", -1)
-    spaces = F.filter(F.transform(F.split(t, "", -1), lambda ch, i: F.when(ch == " ", i).otherwise(F.lit(-1))),
-                      lambda p: p >= 0)
+    spaces = F.array_compact(F.transform(F.split(t, "", -1), lambda ch, i: F.when(ch == " ", i)))
     starts = F.concat(F.array(F.lit(0)), F.transform(spaces, lambda p: p + 1))
     return F.transform(F.arrays_zip(pieces.alias("w"), starts.alias("off")),
                        lambda z: F.struct(z["w"].alias("w"), z["off"].alias("off")))
