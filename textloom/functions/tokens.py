@@ -136,11 +136,14 @@ class TableVocab:
 
     def encode(self, df: DataFrame, key_cols: list[str], text_col: str, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
         """Explode words, broadcast-join the bounded vocabulary, regroup per row (unknown → UNK)."""
-        exploded = df.select(*key_cols, F.posexplode(words(F.col(text_col))).alias("pos", "tok"))
-        joined = exploded.join(F.broadcast(vocab.select("tok", "id")), "tok", "left")
+        # posexplode_outer keeps rows without words (they come back as an empty array)
+        exploded = df.select(*key_cols, F.posexplode_outer(words(F.col(text_col))).alias("pos", "tok"))
+        # the vocabulary has at most ``size`` rows: a bounded broadcast
+        joined = exploded.join(F.broadcast(vocab.select("tok", F.col("id").alias("_vid"))), "tok", "left")
         return joined.groupBy(*key_cols).agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))),
+                F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(
+                    "pos", F.coalesce("_vid", F.lit(UNK_ID)).alias("id"))))),
                 lambda s: s.getField("id"),
             ).alias(out_col)
         )

@@ -87,26 +87,35 @@ def matthews(df: DataFrame, target="labels", prediction="predictions") -> DataFr
 
 # ---------------------------------------------------------------- M7 M8
 
-def pearson(df: DataFrame, target="labels", prediction="predictions", name: str = "pearson_corrcoef") -> DataFrame:
-    """M7: 100 · Pearson r; NULL when a side is constant.  Uses Spark's co-moment aggregates
-    (numerically stable merge of partial states), not raw power sums."""
+def pearson(df: DataFrame, target="labels", prediction="predictions", name: str = "pearson_corrcoef",
+            group: list[str] = ()) -> DataFrame:
+    """M7: 100 · Pearson r (per ``group`` when given); NULL when a side is constant.
+
+    Uses Spark's co-moment aggregates (numerically stable merge of partial
+    states), not raw power sums.
+    """
     t, p = _c(target).cast("double"), _c(prediction).cast("double")
     den = F.stddev_pop(t) * F.stddev_pop(p)
     score = F.when(den > 0, F.covar_pop(t, p) / den) * 100
-    return _result(df, name, score, F.count(F.lit(1)))
+    if not group:
+        return _result(df, name, score, F.count(F.lit(1)))
+    return df.groupBy(*group).agg(score.alias("score"), F.count(F.lit(1)).cast("bigint").alias("count")) \
+        .select(*group, F.lit(name).alias("metric"), "score", "count")
 
 
-def spearman(df: DataFrame, target="labels", prediction="predictions", partitions: int | None = None) -> DataFrame:
-    """M8: 100 · Spearman ρ with average ranks for ties.
+def spearman(df: DataFrame, target="labels", prediction="predictions", partitions: int | None = None,
+             group: list[str] = ()) -> DataFrame:
+    """M8: 100 · Spearman rho with average ranks for ties (per ``group`` when given).
 
     Each side is ranked on its distinct values with a range-partitioned
-    running sum (``average_rank``), joined back on the value, then M7.
+    running sum (``average_rank``), joined back on (group, value), then M7.
     """
-    base = df.select(_c(target).cast("double").alias("_t"), _c(prediction).cast("double").alias("_p"))
-    rt = average_rank(base, "_t", "_rt", partitions).select("_t", "_rt")
-    rp = average_rank(base, "_p", "_rp", partitions).select("_p", "_rp")
-    ranked = base.join(rt, "_t").join(rp, "_p")
-    return pearson(ranked, "_rt", "_rp", name="spearman_corrcoef")
+    g = list(group)
+    base = df.select(*g, _c(target).cast("double").alias("_t"), _c(prediction).cast("double").alias("_p"))
+    rt = average_rank(base, "_t", "_rt", partitions, g).select(*g, "_t", "_rt")
+    rp = average_rank(base, "_p", "_rp", partitions, g).select(*g, "_p", "_rp")
+    ranked = base.join(rt, [*g, "_t"]).join(rp, [*g, "_p"])
+    return pearson(ranked, "_rt", "_rp", name="spearman_corrcoef", group=g)
 
 
 # ---------------------------------------------------------------- M9 M10

@@ -20,6 +20,7 @@ depend on shuffle arrival order).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,34 +70,45 @@ def group_index(df: DataFrame, group: list[str], order: list, idx_col: str = "id
         .drop("_pid", "_mid", "_local", "_off", "_first")
 
 
-def average_rank(df: DataFrame, value_col: str, rank_col: str = "rank", partitions: int | None = None) -> DataFrame:
-    """Distinct values of ``value_col`` with their average (tie-aware, 1-based) rank.
+def average_rank(df: DataFrame, value_col: str, rank_col: str = "rank", partitions: int | None = None,
+                 group: list[str] = ()) -> DataFrame:
+    """Distinct values of ``value_col`` (per ``group``) with their average (tie-aware, 1-based) rank.
 
-    rank(v) = rows_below(v) + (ties(v) + 1) / 2.  Works on the distinct-value
-    table (partial aggregation first, so a hot value costs one row), with a
-    weighted running sum per range partition.
+    rank(v) = rows_below(v) + (ties(v) + 1) / 2, counted inside the group.
+    Works on the distinct-value table (partial aggregation first, so a hot
+    value costs one row), range-partitioned on ``(group, value)`` with a
+    weighted running sum per partition and per-partition offsets per group,
+    so a group that holds most rows still spreads over many tasks.
     """
-    counts = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col(value_col).isNotNull())
+    g = list(group)
+    counts = df.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col(value_col).isNotNull())
     n = _parallelism(df, partitions)
-    ranged = counts.repartitionByRange(n, value_col).sortWithinPartitions(value_col) \
+    order = [*g, value_col]
+    ranged = counts.repartitionByRange(n, *order).sortWithinPartitions(*order) \
         .withColumn("_pid", F.spark_partition_id())
     schema = T.StructType(ranged.schema.fields + [T.StructField("_before", T.LongType())])
 
     def running(batches):
-        carry = 0
+        # rows arrive sorted by (group, value): the running count restarts when the group changes
+        prev, carry = None, 0
         for pdf in batches:
-            c = pdf["_cnt"].cumsum()
-            pdf["_before"] = (c - pdf["_cnt"] + carry).astype("int64")
-            if len(pdf):
-                carry += int(c.iloc[-1])
+            keys = list(zip(*[pdf[c] for c in g])) if g else [()] * len(pdf)
+            before = np.empty(len(pdf), dtype=np.int64)
+            for i, (k, c) in enumerate(zip(keys, pdf["_cnt"].to_numpy())):
+                if k != prev:
+                    prev, carry = k, 0
+                before[i] = carry
+                carry += int(c)
+            pdf["_before"] = before
             yield pdf
 
     local = ranged.mapInPandas(running, schema)
-    totals = local.groupBy("_pid").agg(F.sum("_cnt").alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = local.join(F.broadcast(offsets), "_pid")
+    totals = local.groupBy("_pid", *g).agg(F.sum("_cnt").alias("_n"))
+    w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *g, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # ungrouped: one row per partition, bounded, broadcast; grouped: the planner sizes the join
+    out = local.join(F.broadcast(offsets) if not g else offsets, ["_pid", *g])
     return out.select(
-        value_col, F.col("_cnt").alias("ties"),
+        *g, value_col, F.col("_cnt").alias("ties"),
         (F.col("_off") + F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(rank_col),
     )

@@ -345,8 +345,10 @@ def mention_augment(df: DataFrame, id_col: str, text_col: str, cr_col: str = "CR
                               m.getField("form").alias("form")), lambda x: _inside(x, lo, hi, compat)),
         lambda x: F.struct((x.getField("begin") - lo).alias("begin"), (x.getField("end") - lo).alias("end"),
                            x.getField("form").alias("form"))))
-    t = df.withColumn("_valid", valid).select("*", F.posexplode("_valid").alias("_chain", "_ms"))
-    t = t.select("*", F.posexplode("_ms").alias("_mi", "_target"))
+    # the chains payload is consumed here: fan out without copying it into every output row
+    keep = [c for c in df.columns if c != cr_col]
+    t = df.withColumn("_valid", valid).select(*keep, F.posexplode("_valid").alias("_chain", "_ms"))
+    t = t.select(*keep, "_chain", "_ms", F.posexplode("_ms").alias("_mi", "_target"))
     cands = F.filter(F.col("_ms"), lambda c, j: j != F.col("_mi")) if exclude_src_span else F.col("_ms")
     marked, moved = mark_mention(F.col(text_col), F.col("_target"), cands, compat=compat)
     t = t.withColumns({"_marked": marked, "_cands": moved})
@@ -373,4 +375,4 @@ def mention_augment(df: DataFrame, id_col: str, text_col: str, cr_col: str = "CR
     }
     if with_surfaces:
         out["label_txt"] = F.col("_r.surf")
-    return t.withColumns(out).drop("_valid", "_chain", "_ms", "_mi", "_target", "_marked", "_cands", "_r")
+    return t.withColumns(out).drop("_chain", "_ms", "_mi", "_target", "_marked", "_cands", "_r")

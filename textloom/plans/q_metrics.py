@@ -202,7 +202,46 @@ def spearman(spark, sf):
     return _r(M.spearman(li, "l_quantity", "l_extendedprice"))
 
 
-@query("pearson_scores", _metric_sql("pearson_corrcoef", "100 * corr(real_label, label)", "count(*)", O.SCORES))
+_LI_FLAG = "(SELECT l_returnflag, l_quantity::DOUBLE AS t, l_extendedprice::DOUBLE AS p FROM lineitem)"
+
+
+@query("pearson_by_flag", f"""
+SELECT l_returnflag, 'pearson_corrcoef' AS metric, round(100 * corr(t, p), 6) AS score, count(*)::BIGINT AS count
+FROM {_LI_FLAG} GROUP BY l_returnflag""")
+def pearson_by_flag(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    r = M.pearson(li, "l_quantity", "l_extendedprice", group=["l_returnflag"])
+    return r.select("l_returnflag", "metric", F.round("score", 6).alias("score"), "count")
+
+
+@query("spearman_by_flag", f"""
+SELECT l_returnflag, 'spearman_corrcoef' AS metric, round(100 * corr(rt, rp), 6) AS score, count(*)::BIGINT AS count
+FROM (SELECT l_returnflag,
+             rank() OVER (PARTITION BY l_returnflag ORDER BY t) + (count(*) OVER (PARTITION BY l_returnflag, t) - 1) / 2.0 AS rt,
+             rank() OVER (PARTITION BY l_returnflag ORDER BY p) + (count(*) OVER (PARTITION BY l_returnflag, p) - 1) / 2.0 AS rp
+      FROM {_LI_FLAG})
+GROUP BY l_returnflag""")
+def spearman_by_flag(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    r = M.spearman(li, "l_quantity", "l_extendedprice", group=["l_returnflag"])
+    return r.select("l_returnflag", "metric", F.round("score", 6).alias("score"), "count")
+
+
+@query("token_ce_loss", _metric_sql(
+    "ce_loss", "avg(ln(12 + exp(2.0)) - CASE WHEN y = p THEN 2.0 ELSE 0.0 END)", "count(*)",
+    f"(SELECT unnest(labels) AS y, unnest(predictions) AS p FROM {O.tagseq()})"))
+def token_ce_loss(spark, sf):
+    t = FX.tagseq(spark, sf)
+    # per-token logits: 2.0 on the predicted tag, 0 elsewhere (13 tags); mask = 1 on every word
+    t = t.withColumns({
+        "logits": F.transform("predictions", lambda p: F.transform(F.sequence(F.lit(0), F.lit(12)),
+                                                                   lambda k: F.when(k == p, 2.0).otherwise(0.0))),
+        "mask": F.transform("labels", lambda y: F.lit(1)),
+    })
+    return _r(M.token_ce_loss(t, "logits", "labels", "mask"))
+
+
+@query("pearson_scores",_metric_sql("pearson_corrcoef", "100 * corr(real_label, label)", "count(*)", O.SCORES))
 def pearson_scores(spark, sf):
     s = FX.scores(spark, sf).select(F.col("labels.real-label").alias("t"), F.col("labels.label").alias("p"))
     return _r(M.pearson(s, "t", "p"))

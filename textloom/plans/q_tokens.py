@@ -54,6 +54,48 @@ def vocab_topk(spark, sf):
     return K.TableVocab(1000).build(d, "text")
 
 
+@query("vocab_encode", f"""
+WITH v AS (SELECT tok, (row_number() OVER (ORDER BY count DESC, tok) + 2)::INT AS id FROM (
+             SELECT tok, count(*) AS count FROM (SELECT unnest({O.words('text')}) AS tok FROM documents) GROUP BY tok
+             ORDER BY count DESC, tok LIMIT 1000)),
+     w AS (SELECT {CID} AS id, s.pos, s.tok FROM (
+             SELECT conv_id, turn, unnest(list_transform({O.words('text')}, lambda x, i: {{'pos': i, 'tok': x}})) AS s
+             FROM conversations))
+SELECT w.id, string_agg(coalesce(v.id, 2)::VARCHAR, ' ' ORDER BY w.pos) AS ids, count(*)::INT AS n
+FROM w LEFT JOIN v ON w.tok = v.tok GROUP BY w.id""")
+def vocab_encode(spark, sf):
+    """T1 with a table vocabulary: top-1000 words of ``documents``, applied to ``conversations``."""
+    tv = K.TableVocab(1000)
+    vocab = tv.build(read_table(spark, sf, "documents"), "text")
+    c = read_table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    enc = tv.encode(c, ["id"], "text", vocab)
+    return enc.select("id", _txt("ids").alias("ids"), F.size("ids").alias("n"))
+
+
+def _whitespace_md5_tokenizer(text: str):
+    """A user tokenizer for the plug-in path: whitespace words with md5-prefix ids (same as HashVocab)."""
+    import hashlib
+    import re
+
+    out = []
+    for m in re.finditer(r"[^ \t\n\r]+", text):
+        h = int(hashlib.md5(m.group(0).encode("utf-8")).hexdigest()[:8], 16)
+        out.append((m.group(0), h % 32000 + 3, m.start(), m.end()))
+    return out
+
+
+@query("plugin_tokenizer", f"""
+SELECT id, array_to_string(list_transform(toks, lambda t: t.id), ' ') AS ids,
+       array_to_string(list_transform(toks, lambda t: t.start), ' ') AS starts
+FROM (SELECT {CID} AS id, * FROM {O.with_tokens('conversations')})""")
+def plugin_tokenizer(spark, sf):
+    c = read_table(spark, sf, "conversations")
+    tk = K.ArrowTokenizer(_whitespace_md5_tokenizer).tokens("text")
+    t = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), tk.alias("tk"))
+    return t.select("id", _txt(F.transform("tk", lambda s: s["id"])).alias("ids"),
+                    _txt(F.transform("tk", lambda s: s["start"])).alias("starts"))
+
+
 # ---------------------------------------------------------------- T2-T8
 
 _EOS = O.EOS_IDS
