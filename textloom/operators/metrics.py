@@ -61,27 +61,29 @@ def relation_f1(df: DataFrame, target="labels", prediction="predictions", negati
     return _result(df, "relation_micro_f1", score, F.sum((t != negative).cast("long")))
 
 
-def matthews(df: DataFrame, target="labels", prediction="predictions") -> DataFrame:
+def matthews(df: DataFrame, target="labels", prediction="predictions", group: list[str] = ()) -> DataFrame:
     """Multiclass Matthews correlation (not ×100); 0 when the denominator is 0.
 
-    One aggregation over the confusion counts (classes² rows at most).
+    Aggregations over the confusion counts only (classes² rows per group), so
+    the data is read once; ``group`` gives one score per group (e.g. per batch).
     """
-    conf = df.groupBy(_c(target).alias("t"), _c(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    tk = conf.groupBy(F.col("t").alias("k")).agg(F.sum("n").alias("tk"))
-    pk = conf.groupBy(F.col("p").alias("k")).agg(F.sum("n").alias("pk"))
-    marg = tk.join(pk, "k", "full").select(F.coalesce("tk", F.lit(0)).cast("double").alias("tk"),
-                                            F.coalesce("pk", F.lit(0)).cast("double").alias("pk"))
-    m = marg.agg(F.sum(F.col("tk") * F.col("pk")).alias("tp"), F.sum(F.col("tk") * F.col("tk")).alias("tt"),
-                 F.sum(F.col("pk") * F.col("pk")).alias("pp"))
-    d = conf.agg(F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).cast("double").alias("c"),
-                 F.sum("n").cast("double").alias("s"))
-    # both sides are one-row aggregates: stack them and fold into one row
-    j = d.unionByName(m, allowMissingColumns=True).agg(F.max("c").alias("c"), F.max("s").alias("s"), F.max("tp").alias("tp"), F.max("tt").alias("tt"),
-             F.max("pp").alias("pp"))
+    g = list(group)
+    conf = df.groupBy(*g, _c(target).alias("t"), _c(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    tk = conf.groupBy(*g, F.col("t").alias("k")).agg(F.sum("n").alias("tk"))
+    pk = conf.groupBy(*g, F.col("p").alias("k")).agg(F.sum("n").alias("pk"))
+    marg = tk.join(pk, [*g, "k"], "full").select(*g, F.coalesce("tk", F.lit(0)).cast("double").alias("tk"),
+                                                 F.coalesce("pk", F.lit(0)).cast("double").alias("pk"))
+    m = marg.groupBy(*g).agg(F.sum(F.col("tk") * F.col("pk")).alias("tp"), F.sum(F.col("tk") * F.col("tk")).alias("tt"),
+                             F.sum(F.col("pk") * F.col("pk")).alias("pp"))
+    d = conf.groupBy(*g).agg(F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).cast("double").alias("c"),
+                             F.sum("n").cast("double").alias("s"))
+    # both sides have one row per group: stack them and fold
+    j = d.unionByName(m, allowMissingColumns=True).groupBy(*g).agg(
+        *[F.max(c).alias(c) for c in ("c", "s", "tp", "tt", "pp")])
     num = F.col("c") * F.col("s") - F.col("tp")
     den = F.sqrt((F.col("s") * F.col("s") - F.col("pp")) * (F.col("s") * F.col("s") - F.col("tt")))
     score = F.when(den == 0, F.lit(0.0)).otherwise(_ratio(num, den))
-    return j.select(F.lit("matthews_corrcoef").alias("metric"), score.alias("score"),
+    return j.select(*g, F.lit("matthews_corrcoef").alias("metric"), score.alias("score"),
                     F.col("s").cast("bigint").alias("count"))
 
 

@@ -359,6 +359,25 @@ def meter_average(spark, sf):
     return _r(M.meter_average(per_batch))
 
 
+@query("meter_batched_mcc", f"""
+WITH i AS (SELECT labels AS t, pred AS p, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch FROM {_ARGMAX}),
+     conf AS (SELECT batch, t, p, count(*) AS n FROM i GROUP BY ALL),
+     tk AS (SELECT batch, t AS k, sum(n) AS tk FROM conf GROUP BY batch, t),
+     pk AS (SELECT batch, p AS k, sum(n) AS pk FROM conf GROUP BY batch, p),
+     m AS (SELECT batch, sum(coalesce(tk, 0) * coalesce(pk, 0))::DOUBLE AS tp, sum(coalesce(tk, 0) * coalesce(tk, 0))::DOUBLE AS tt,
+                  sum(coalesce(pk, 0) * coalesce(pk, 0))::DOUBLE AS pp FROM tk FULL JOIN pk USING (batch, k) GROUP BY batch),
+     d AS (SELECT batch, sum(CASE WHEN t = p THEN n ELSE 0 END)::DOUBLE AS c, sum(n)::DOUBLE AS s FROM conf GROUP BY batch),
+     b AS (SELECT CASE WHEN den = 0 THEN 0 ELSE (c * s - tp) / den END AS score, s AS count
+           FROM (SELECT *, sqrt((s * s - pp) * (s * s - tt)) AS den FROM d JOIN m USING (batch)))
+SELECT 'matthews_corrcoef' AS metric, round(sum(score * count) / sum(count), 6) AS score, sum(count)::BIGINT AS count FROM b""")
+def meter_batched_mcc(spark, sf):
+    """M17 with a non-decomposable metric: per-batch Matthews weighted by batch size, as the reference's meter."""
+    s = global_index(_scored(spark, sf).select("id", "labels", "pred"), ["id"], "idx")
+    s = s.withColumn("batch", F.floor(F.col("idx") / 32))
+    per_batch = M.matthews(s, "labels", "pred", group=["batch"])
+    return _r(M.meter_average(per_batch))
+
+
 # ---------------------------------------------------------------- M20 W1-W4
 
 def _hist(spark, sf):

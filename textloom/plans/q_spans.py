@@ -175,6 +175,18 @@ def doc_windows(spark, sf):
     return w.select("id", "span_ch_start", "span_ch_end", F.md5("text").alias("text_md5"))
 
 
+@query("fanout_split_sizes", f"""
+SELECT lang AS split, count(*)::BIGINT AS num_examples
+FROM {_windows_sql('documents', 'doc_id::VARCHAR', 'text', 448, 128)} GROUP BY lang""")
+def fanout_split_sizes(spark, sf):
+    """A4 after a fan-out: rows per split (``lang``) re-measured on the document windows."""
+    from textloom.session import read_table
+    from textloom.sources.reader import split_sizes
+
+    d = read_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("split"))
+    return split_sizes(N.doc_windows(d, "doc_id", "text"), "split")
+
+
 # ---------------------------------------------------------------- N10-N13
 
 _WL, _WS = 40, 16
