@@ -54,8 +54,9 @@ def char_tags_to_spans(chars, tags, compat: bool = False) -> Column:
     def body(b):
         ch, tg = b["ch"], b["tg"]
         n = F.size(tg)
-        brk = F.filter(F.transform(tg, lambda t, i: F.struct(i.alias("p"), t.alias("tag"))),
-                       lambda s: ~s["tag"].startswith("I"))
+        # one lambda pass over the chars; the built-in array_compact drops the non-breaks
+        brk = F.array_compact(F.transform(tg, lambda t, i: F.when(
+            ~t.startswith("I"), F.struct(i.alias("p"), t.alias("tag")))))
         nxt = shift_left(F.transform(brk, lambda s: s["p"]), n)
         raw = F.filter(F.arrays_zip(brk.alias("b"), nxt.alias("e")), lambda z: z["b"]["tag"].startswith("B"))
         if compat:

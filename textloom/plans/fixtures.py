@@ -106,13 +106,13 @@ def _char_class(ch: Column) -> Column:
 def chartags(spark: SparkSession, sf: str) -> DataFrame:
     """One character list per conversation turn with IOB2 ids (vowel → QT, comma/period → LC)."""
     c = read_table(spark, sf, "conversations")
-    tags = F.array(*[F.lit(t) for t in CHAR_NER_IOB2])
+    b_qt, b_lc, o = CHAR_NER_IOB2.index("B-QT"), CHAR_NER_IOB2.index("B-LC"), CHAR_NER_IOB2.index("O")
 
     def tag(z):
+        # B-x when the previous char has another class, else I-x (= B-x + 1 in the IOB2 list)
         k, prev = z["k"], z["prev"]
-        name = F.when(k == "O", F.lit("O")).otherwise(
-            F.concat(F.when(prev != k, F.lit("B-")).otherwise(F.lit("I-")), k))
-        return (F.array_position(tags, name) - 1).cast("int")
+        inside = F.when(prev == k, F.lit(1)).otherwise(F.lit(0))
+        return F.when(k == "QT", inside + b_qt).when(k == "LC", inside + b_lc).otherwise(F.lit(o)).cast("int")
 
     chars = F.split("text", "", -1)
     # class of each char aligned with the class of the previous char (no random access in lambdas)
