@@ -65,7 +65,8 @@ def concat_pool(parts: list[DataFrame], seq: str = "seq") -> DataFrame:
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per part: bounded, safe to window and broadcast
     offs = dims.select("_part", F.coalesce(F.sum(F.col("_w") + 1).over(w), F.lit(0)).alias("_off"))
-    return out.join(F.broadcast(offs), "_part").select(seq, (F.col("_d") + F.col("_off")).alias("dim"), "value")
+    return out.join(F.broadcast(offs), "_part").select(seq, (F.col("_d") + F.col("_off")).cast("int").alias("dim"),
+                                                       "value")
 
 
 def batch_score(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], inputs: str, out: str = "predictions",

@@ -209,7 +209,7 @@ def tagseq(spark: SparkSession, sf: str) -> DataFrame:
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """Per-day evaluation history from events: step = day index, score = % of values below 50."""
     e = read_table(spark, sf, "events")
-    step = F.datediff(F.to_date("ts"), F.lit(HISTORY_ORIGIN).cast("date"))
+    step = F.datediff(F.to_date("ts"), F.lit(HISTORY_ORIGIN).cast("date")).cast("bigint")
     return e.groupBy(step.alias("step")).agg(
         F.round(F.avg((F.col("value") < 50).cast("double")) * 100, 3).alias("score"),
         F.count(F.lit(1)).cast("bigint").alias("count"))
