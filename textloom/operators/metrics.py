@@ -204,17 +204,29 @@ def ngrams(tokens, n: int) -> Column:
 
 
 def _ngram_rows(df: DataFrame, toks_t: str, toks_p: str, orders: list[int]) -> DataFrame:
-    """(``_id``, n, gram, a=count in target, b=count in prediction) per distinct gram of each row."""
-    parts = []
-    for n in orders:
-        g = F.when(F.size(toks_t) >= n, ngrams(toks_t, n)).otherwise(F.array().cast("array<string>"))
-        h = F.when(F.size(toks_p) >= n, ngrams(toks_p, n)).otherwise(F.array().cast("array<string>"))
-        parts.append(df.select("_id", F.lit(n).alias("n"), F.explode(g).alias("gram"), F.lit(1).alias("a"), F.lit(0).alias("b")))
-        parts.append(df.select("_id", F.lit(n).alias("n"), F.explode(h).alias("gram"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    u = parts[0]
-    for x in parts[1:]:
-        u = u.unionByName(x)
-    return u.groupBy("_id", "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    """(``_id``, n, gram, a=count in target, b=count in prediction) per distinct gram of each row.
+
+    Every order and both sides go into one array per row, exploded once (one
+    scan of the input), plus one marker per order with a NULL gram so every
+    (row, order) group exists even without grams.  Counted per (row, n, gram)
+    with map-side partial sums.
+    """
+    def items(toks, n, a, b):
+        gr = F.when(F.size(toks) >= n, ngrams(toks, n)).otherwise(F.array().cast("array<string>"))
+        return F.transform(gr, lambda x: F.struct(F.lit(n).alias("n"), x.alias("gram"), F.lit(a).alias("a"),
+                                                  F.lit(b).alias("b")))
+
+    def body(bd):
+        parts = []
+        for n in orders:
+            parts += [items(bd["t"], n, 1, 0), items(bd["p"], n, 0, 1),
+                      F.array(F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("gram"),
+                                       F.lit(0).alias("a"), F.lit(0).alias("b")))]
+        return F.concat(*parts)
+
+    allg = let_many({"t": F.col(toks_t), "p": F.col(toks_p)}, body)
+    e = df.select("_id", F.explode(allg).alias("x")).select("_id", "x.n", "x.gram", "x.a", "x.b")
+    return e.groupBy("_id", "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def bleu(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", max_order: int = 4) -> DataFrame:
@@ -222,14 +234,19 @@ def bleu(df: DataFrame, target="labels", prediction="predictions", id_col: str =
     base = df.select(_c(id_col).alias("_id"), bleu_tokens(target).alias("_tt"), bleu_tokens(prediction).alias("_tp"))
     orders = list(range(1, max_order + 1))
     g = _ngram_rows(base, "_tt", "_tp", orders)
-    per_n = g.groupBy().pivot("n", orders).agg(F.sum(F.least("a", "b")).alias("c"), F.sum("b").alias("t"))
-    lens = base.agg(F.sum(F.size("_tt")).alias("ref_len"), F.sum(F.size("_tp")).alias("sys_len"),
-                    F.count(F.lit(1)).alias("rows"))
-    stats = lens.unionByName(per_n, allowMissingColumns=True)
-    aggs = [F.max(c).alias(c) for c in stats.columns]
-    s = stats.agg(*aggs)
-    cols = {c: F.coalesce(F.col(c), F.lit(0)).cast("double") for c in s.columns}
-    s = s.select(*[v.alias(k) for k, v in cols.items()])
+    # corpus lengths are the unigram totals and the row count is the number of order-1 markers,
+    # so one aggregation over the gram table gives every statistic (no second pass over the input)
+    aggs = []
+    for n in orders:
+        real = F.col("gram").isNotNull() & (F.col("n") == n)
+        aggs += [F.sum(F.when(real, F.least("a", "b")).otherwise(0)).alias(f"{n}_c"),
+                 F.sum(F.when(real, F.col("b")).otherwise(0)).alias(f"{n}_t")]
+    one = F.col("n") == 1
+    aggs += [F.sum(F.when(one, F.col("a")).otherwise(0)).alias("ref_len"),
+             F.sum(F.when(one, F.col("b")).otherwise(0)).alias("sys_len"),
+             F.sum(F.when(one & F.col("gram").isNull(), 1).otherwise(0)).alias("rows")]
+    s = g.agg(*aggs)
+    s = s.select(*[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in s.columns])
     # exponential smoothing: the k-th zero match count uses 1 / (2^k · total)
     log_sum = F.lit(0.0)
     zeros = F.lit(0)
@@ -260,9 +277,8 @@ def rouge_n(df: DataFrame, target="labels", prediction="predictions", id_col: st
     base = df.select(_c(id_col).alias("_id"), rouge_tokens(target, ascii_only).alias("_tt"),
                      rouge_tokens(prediction, ascii_only).alias("_tp"))
     g = _ngram_rows(base, "_tt", "_tp", list(orders))
-    ov = g.groupBy("_id", "n").agg(F.sum(F.least("a", "b")).alias("o"), F.sum("a").alias("rt"), F.sum("b").alias("rp"))
-    grid = base.select("_id", F.explode(F.array(*[F.lit(n) for n in orders])).alias("n"))
-    rows = grid.join(ov, ["_id", "n"], "left").fillna(0, ["o", "rt", "rp"])
+    # the per-order markers make every (row, n) group exist, so no grid join is needed
+    rows = g.groupBy("_id", "n").agg(F.sum(F.least("a", "b")).alias("o"), F.sum("a").alias("rt"), F.sum("b").alias("rp"))
     prec = _ratio(F.col("o"), F.col("rp"))
     rec = _ratio(F.col("o"), F.col("rt"))
     f = F.when(F.col("o") == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))

@@ -103,7 +103,8 @@ def average_rank(df: DataFrame, value_col: str, rank_col: str = "rank", partitio
             yield pdf
 
     local = ranged.mapInPandas(running, schema)
-    totals = local.groupBy("_pid", *g).agg(F.sum("_cnt").alias("_n"))
+    # totals come from the ranged table itself, so the Python step runs once
+    totals = ranged.groupBy("_pid", *g).agg(F.sum("_cnt").alias("_n"))
     w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *g, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     # ungrouped: one row per partition, bounded, broadcast; grouped: the planner sizes the join
