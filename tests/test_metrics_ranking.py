@@ -126,6 +126,18 @@ def test_losses(spark):
     assert _score(M.bce_loss(df, "logits", "t"))[0] == pytest.approx(bce)
 
 
+def test_fused_pools_equal_separate_pools(spark):
+    from textloom.operators import vectors as V
+
+    rows = [(s, p, [float(s + p), float(p * 2), 1.5], 1 if p % 4 != 3 else 0) for s in range(3) for p in range(6)]
+    v = spark.createDataFrame(rows, "seq int, pos int, vec array<double>, mask int")
+    sep = V.concat_pool([V.start_pool(v), V.span_pool(v, 1, 4), V.masked_pool(v)])
+    fused = V.fused_pools(v, span=(1, 4), at=0)
+    a = sorted((r["seq"], r["dim"], round(r["value"], 9)) for r in sep.collect())
+    b = sorted((r["seq"], r["dim"], round(r["value"], 9)) for r in fused.collect())
+    assert a == b and len(a) == 3 * 9
+
+
 def test_best_so_far(spark):
     h = spark.createDataFrame([("t", "m", 0, 1.0), ("t", "m", 1, 3.0), ("t", "m", 2, 3.0), ("t", "m", 3, 2.0)],
                               "task string, metric string, step int, score double")

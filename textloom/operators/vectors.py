@@ -69,6 +69,29 @@ def concat_pool(parts: list[DataFrame], seq: str = "seq") -> DataFrame:
                                                        "value")
 
 
+def fused_pools(df: DataFrame, span: tuple[int, int] = (1, 4), at: int = 0, seq: str = "seq", pos: str = "pos",
+                vec: str = "vec", mask: str = "mask") -> DataFrame:
+    """V5 over one pass: [vector at ``at``, mean over ``span`` (inclusive), masked √n pool] per sequence.
+
+    One explode and one aggregation with conditional sums per (sequence, dim),
+    instead of one pass per pooled part; output dims of part ``i`` are shifted
+    by ``i`` · dimension.
+    """
+    e = df.select(seq, pos, mask, F.size(vec).alias("_d"), F.posexplode(vec).alias("dim", "value"))
+    v = F.col("value").cast("double")
+    in_span = (F.col(pos) >= span[0]) & (F.col(pos) <= span[1])
+    m = F.col(mask).cast("double")
+    g = e.groupBy(seq, "dim").agg(
+        F.max("_d").alias("_d"),
+        F.max(F.when(F.col(pos) == at, v)).alias("p0"),
+        F.avg(F.when(in_span, v)).alias("p1"),
+        F.try_divide(F.sum(m * v), F.sqrt(F.sum(m))).alias("p2"))
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"p{i}").alias("v")) for i in range(3)])
+    out = g.select(seq, "dim", "_d", F.explode(parts).alias("x")).where(F.col("x.v").isNotNull())
+    return out.select(seq, (F.col("x.i") * F.col("_d") + F.col("dim")).cast("int").alias("dim"),
+                      F.col("x.v").alias("value"))
+
+
 def batch_score(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], inputs: str, out: str = "predictions",
                 out_type: T.DataType = T.ArrayType(T.DoubleType()), keep: list[str] | None = None) -> DataFrame:
     """V1: run a user model on Arrow batches (``mapInPandas``); ``fn`` maps a 2-D array to outputs.

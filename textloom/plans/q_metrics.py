@@ -460,8 +460,7 @@ def start_pool(spark, sf):
 SELECT seq, dim, value FROM ({_START}) UNION ALL SELECT seq, dim + 64, value FROM ({_SPAN})
 UNION ALL SELECT seq, dim + 128, value FROM ({_MASKED})"""))
 def concat_pool(spark, sf):
-    v = FX.vectors(spark, sf)
-    return _rv(V.concat_pool([V.start_pool(v), V.span_pool(v, 1, 4), V.masked_pool(v)]))
+    return _rv(V.fused_pools(FX.vectors(spark, sf), span=(1, 4), at=0))
 
 
 def _weights(dim: int = 64, out: int = 10) -> np.ndarray:
