@@ -25,6 +25,15 @@ def let_many(values: dict[str, Column], body: Callable[[Column], Column]) -> Col
     return let(F.struct(*[v.alias(k) for k, v in values.items()]), body)
 
 
+def bind_column(df, name: str, value: Column):
+    """Add ``name`` = ``value`` computed once per row, even when later steps read it several times.
+
+    A one-element ``explode`` makes the value a generator output (an
+    attribute), which Catalyst cannot inline back into each consumer.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def shift_right(a: Column, fill) -> Column:
     """``[fill, a0, a1, …, a(n-2)]`` aligned with ``a`` (previous element at each position)."""
     return F.concat(F.array(F.lit(fill) if not isinstance(fill, Column) else fill), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))

@@ -195,12 +195,12 @@ def bleu_tokens(text) -> Column:
     return F.filter(F.split(t, f"[{SPACE_CLASS}]+", -1), lambda w: w != F.lit(""))
 
 
-def ngrams(tokens, n: int) -> Column:
-    """All n-grams of a token array as space-joined strings (token array bound once)."""
+def ngrams(tokens, n: int, prefix: str = "") -> Column:
+    """All n-grams of a token array as space-joined strings, optionally prefixed (token array bound once)."""
     if n <= 1:
-        return _c(tokens)
-    return let(_c(tokens), lambda tk: F.transform(F.sequence(F.lit(0), F.size(tk) - n),
-                                                  lambda i: F.array_join(F.slice(tk, i + 1, n), " ")))
+        return F.transform(_c(tokens), lambda w: F.concat(F.lit(prefix), w)) if prefix else _c(tokens)
+    return let(_c(tokens), lambda tk: F.transform(F.sequence(F.lit(0), F.size(tk) - n), lambda i: F.concat(
+        F.lit(prefix), F.array_join(F.slice(tk, i + 1, n), " ")) if prefix else F.array_join(F.slice(tk, i + 1, n), " ")))
 
 
 def _ngram_rows(df: DataFrame, toks_t: str, toks_p: str, orders: list[int]) -> DataFrame:
@@ -211,21 +211,24 @@ def _ngram_rows(df: DataFrame, toks_t: str, toks_p: str, orders: list[int]) -> D
     (row, order) group exists even without grams.  Counted per (row, n, gram)
     with map-side partial sums.
     """
-    def items(toks, n, a, b):
-        gr = F.when(F.size(toks) >= n, ngrams(toks, n)).otherwise(F.array().cast("array<string>"))
-        return F.transform(gr, lambda x: F.struct(F.lit(n).alias("n"), x.alias("gram"), F.lit(a).alias("a"),
-                                                  F.lit(b).alias("b")))
+    # one small struct per (order, side) holding that side's gram array, plus an empty marker part
+    # per order; exploded twice (parts, then grams) with explode_outer so the marker yields a NULL gram
+    empty = F.array().cast("array<string>")
+
+    def part(n, a, b, grams):
+        return F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b"), grams.alias("g"))
 
     def body(bd):
         parts = []
         for n in orders:
-            parts += [items(bd["t"], n, 1, 0), items(bd["p"], n, 0, 1),
-                      F.array(F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("gram"),
-                                       F.lit(0).alias("a"), F.lit(0).alias("b")))]
-        return F.concat(*parts)
-
-    allg = let_many({"t": F.col(toks_t), "p": F.col(toks_p)}, body)
-    e = df.select("_id", F.explode(allg).alias("x")).select("_id", "x.n", "x.gram", "x.a", "x.b")
+            for toks, a, b in ((bd["t"], 1, 0), (bd["p"], 0, 1)):
+                parts.append(part(n, a, b, F.when(F.size(toks) >= n, ngrams(toks, n)).otherwise(empty)))
+            parts.append(part(n, 0, 0, empty))
+        return F.array(*parts)
+
+    allp = let_many({"t": F.col(toks_t), "p": F.col(toks_p)}, body)
+    e = df.select("_id", F.explode(allp).alias("x")) \
+        .select("_id", "x.n", "x.a", "x.b", F.explode_outer("x.g").alias("gram"))
     return e.groupBy("_id", "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.hof import let, let_many, shift_left, shift_right
+from textloom.functions.hof import bind_column, let, let_many, shift_left, shift_right
 from textloom.functions.tokens import HashVocab
 
 
@@ -276,10 +276,8 @@ def mention_tags(df: DataFrame, text_col: str, cr_col: str = "CR", tokenizer=Non
     ms = F.filter(flat_mentions(F.col(cr_col)), lambda m: _inside(m, lo, hi, compat))
     ms = F.transform(ms, lambda m: F.struct((m.getField("begin") - lo).alias("begin"), (m.getField("end") - lo).alias("end")))
     tokens = tok.tokens(F.col(text_col))
-    return df.withColumns({
-        f"{text_col}_pretokenized": F.col(text_col),
-        "_tk": tokens,
-    }).withColumns({
+    # tokens are read by two outputs: bind them once
+    return bind_column(df.withColumn(f"{text_col}_pretokenized", F.col(text_col)), "_tk", tokens).withColumns({
         text_col: F.transform("_tk", lambda s: s.getField("id")),
         out_col: token_tags(F.col("_tk"), ms, F.length(f"{text_col}_pretokenized"),
                             lambda s: F.lit(1), lambda s: F.lit(2), F.lit(0)),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions import tokens as K
+from textloom.functions.hof import bind_column
 from textloom.functions.post import argmax
 from textloom.labels import (ACCEPTABILITY_CLASSES, CHAR_NER_IOB2, NE_IOB2, NE_TYPES, NLI_CLASSES, RELATION_CLASSES,
                              TOPIC_CLASSES, UTTERANCE_CLASSES)
@@ -62,7 +63,7 @@ def relation_token_index(benchmark: str):
     def step(df: DataFrame) -> DataFrame:
         s, o = X.shifted_entities("subject_entity", "object_entity", prefix)
         d = df.withColumns({"inputs_pretokenized": X.relation_prompt("sentence", "subject_entity", "object_entity", benchmark)})
-        d = d.withColumns({"_tk": VOCAB.tokens("inputs_pretokenized"), "_s": s, "_o": o})
+        d = bind_column(d.withColumns({"_s": s, "_o": o}), "_tk", VOCAB.tokens("inputs_pretokenized"))
         d = d.withColumn("entity_token_idx", N.entity_token_bounds("_tk", F.length("inputs_pretokenized"),
                                                                    [F.col("_s"), F.col("_o")]))
         return d.withColumns({"inputs": K.ids_of("_tk"), "targets": F.col("label")}).drop("_tk", "_s", "_o")
@@ -114,7 +115,7 @@ def model_io(df: DataFrame) -> DataFrame:
 def char_ner(df: DataFrame) -> DataFrame:
     """N3 + N6: character example → word tokens with IOB2 ids."""
     d = N.char_example(df)
-    d = d.withColumn("_tk", VOCAB.tokens("text"))
+    d = bind_column(d, "_tk", VOCAB.tokens("text"))
     return d.withColumns({
         "inputs_pretokenized": F.col("text"),
         "inputs": K.ids_of("_tk"),
@@ -124,7 +125,7 @@ def char_ner(df: DataFrame) -> DataFrame:
 
 def word_ner(df: DataFrame) -> DataFrame:
     """Parallel span arrays with label ids → IOB2 ids per token."""
-    d = df.withColumn("_tk", VOCAB.tokens("text"))
+    d = bind_column(df, "_tk", VOCAB.tokens("text"))
     spans = N.parallel_spans("ne_par", NE_TYPES)
     return d.withColumns({
         "inputs_pretokenized": F.col("text"),
