@@ -104,6 +104,15 @@ def test_bleu_identical_and_rouge(spark):
     assert _score(M.rouge_lsum(df))[0] == pytest.approx(100.0)
 
 
+def test_bleu_multi_ref(spark):
+    one = spark.createDataFrame([("1", "the cat is on the mat", "the cat sat on the mat"),
+                                 ("2", "a b c d e", "a b c d f")], "id string, labels string, predictions string")
+    multi = one.withColumn("refs", F.array("labels"))
+    assert _score(M.bleu_multi_ref(multi, "refs", "predictions"))[0] == pytest.approx(_score(M.bleu(one))[0])
+    hit = one.withColumn("refs", F.array("labels", "predictions"))
+    assert _score(M.bleu_multi_ref(hit, "refs", "predictions"))[0] == pytest.approx(100.0)
+
+
 def test_rouge_lsum_hand_case(spark):
     # reference 2 sentences, prediction 1 sentence; union LCS hits = 3 of 4 reference tokens
     df = spark.createDataFrame([("a b\nc d", "a c d")], "labels string, predictions string")

@@ -249,6 +249,12 @@ def bleu(df: DataFrame, target="labels", prediction="predictions", id_col: str =
              F.sum(F.when(one, F.col("b")).otherwise(0)).alias("sys_len"),
              F.sum(F.when(one & F.col("gram").isNull(), 1).otherwise(0)).alias("rows")]
     s = g.agg(*aggs)
+    return _bleu_score(s, orders)
+
+
+def _bleu_score(s: DataFrame, orders: list[int]) -> DataFrame:
+    """Closed form over one row of corpus statistics ``{n}_c``, ``{n}_t``, ``ref_len``, ``sys_len``, ``rows``."""
+    max_order = len(orders)
     s = s.select(*[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in s.columns])
     # exponential smoothing: the k-th zero match count uses 1 / (2^k · total)
     log_sum = F.lit(0.0)
@@ -267,6 +273,51 @@ def bleu(df: DataFrame, target="labels", prediction="predictions", id_col: str =
     return s.select(F.lit("bleu").alias("metric"), score.alias("score"), F.col("rows").cast("bigint").alias("count"))
 
 
+def bleu_multi_ref(df: DataFrame, targets="labels", prediction="predictions", id_col: str = "id",
+                   max_order: int = 4) -> DataFrame:
+    """M3 with several references per row (``targets``: ``ARRAY<STRING>``), the corpus form.
+
+    A prediction gram is clipped by its largest count in any single reference;
+    the reference length of a row is the one closest to the prediction length
+    (the shorter on ties).  References are exploded with their index, counted
+    per (row, reference, n, gram), reduced by ``max`` per (row, n, gram) and
+    joined to the prediction counts on that key — all partial-aggregated
+    shuffles; no reference list is ever collected.
+    """
+    orders = list(range(1, max_order + 1))
+    base = df.select(_c(id_col).alias("_id"), F.transform(_c(targets), bleu_tokens).alias("_refs"),
+                     bleu_tokens(prediction).alias("_tp"))
+    empty = F.array().cast("array<string>")
+
+    def grams_of(toks, a, b):
+        return let(toks, lambda tk: F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b"),
+                                                         F.when(F.size(tk) >= n, ngrams(tk, n)).otherwise(empty).alias("g"))
+                                               for n in orders]))
+
+    refs = base.select("_id", F.posexplode("_refs").alias("_k", "_r")) \
+        .select("_id", "_k", F.explode(grams_of(F.col("_r"), 1, 0)).alias("x")) \
+        .select("_id", "_k", "x.n", F.explode("x.g").alias("gram")) \
+        .groupBy("_id", "_k", "n", "gram").agg(F.count(F.lit(1)).alias("a")) \
+        .groupBy("_id", "n", "gram").agg(F.max("a").alias("a"))
+    pred = base.select("_id", F.explode(grams_of(F.col("_tp"), 0, 1)).alias("x")) \
+        .select("_id", "x.n", F.explode("x.g").alias("gram")) \
+        .groupBy("_id", "n", "gram").agg(F.count(F.lit(1)).alias("b"))
+    g = pred.join(refs, ["_id", "n", "gram"], "left").fillna(0, ["a"])
+    aggs = []
+    for n in orders:
+        aggs += [F.sum(F.when(F.col("n") == n, F.least("a", "b")).otherwise(0)).alias(f"{n}_c"),
+                 F.sum(F.when(F.col("n") == n, F.col("b")).otherwise(0)).alias(f"{n}_t")]
+    counts = g.agg(*aggs)
+    sys_len = F.size("_tp")
+    closest = F.array_min(F.transform("_refs", lambda r: F.struct(F.abs(F.size(r) - sys_len).alias("d"),
+                                                                  F.size(r).alias("len"))))["len"]
+    lens = base.agg(F.sum(closest).alias("ref_len"), F.sum(sys_len).alias("sys_len"),
+                    F.count(F.lit(1)).alias("rows"))
+    # both sides are one-row aggregates: stack them and fold into one row
+    stats = counts.unionByName(lens, allowMissingColumns=True)
+    return _bleu_score(stats.agg(*[F.max(c).alias(c) for c in stats.columns]), orders)
+
+
 def rouge_tokens(text, ascii_only: bool = False) -> Column:
     """ROUGE tokenization: lowercase; Unicode letters/digits (``ascii_only`` keeps [a-z0-9] as rouge_score)."""
     t = F.lower(_c(text))

@@ -127,8 +127,24 @@ def _gram_rows(base: str, orders: str) -> str:
   GROUP BY ALL)"""
 
 
-def _bleu_sql() -> str:
-    base = f"(SELECT id, {_bleu_tok('target')} AS tt, {_bleu_tok('prediction')} AS tp FROM {O.PAIRS})"
+def _bleu_sql(multi: bool = False) -> str:
+    if multi:
+        base = (f"(SELECT id, [{_bleu_tok('target')}, {_bleu_tok('answer')}] AS refs, {_bleu_tok('prediction')} AS tp "
+                f"FROM {O.PAIRS})")
+        g = f"""(SELECT p.id, p.n, p.gram, coalesce(rm.a, 0) AS a, p.b FROM
+        (SELECT id, n, gram, count(*) AS b FROM (SELECT id, n, unnest({_grams('tp')}) AS gram FROM b, range(1, 5) r(n))
+         GROUP BY ALL) p
+        LEFT JOIN (SELECT id, n, gram, max(a) AS a FROM (
+                     SELECT id, k, n, gram, count(*) AS a FROM (
+                       SELECT id, k, n, unnest({_grams('rf')}) AS gram
+                       FROM (SELECT id, unnest(refs) AS rf, generate_subscripts(refs, 1) AS k FROM b), range(1, 5) r(n))
+                     GROUP BY ALL) GROUP BY id, n, gram) rm USING (id, n, gram))"""
+        lens = ("(SELECT sum(list_min(list_transform(refs, lambda r: {'d': abs(len(r) - len(tp)), 'len': len(r)})).len)::DOUBLE "
+                "AS ref_len, sum(len(tp))::DOUBLE AS sys_len, count(*) AS rows FROM b)")
+    else:
+        base = f"(SELECT id, {_bleu_tok('target')} AS tt, {_bleu_tok('prediction')} AS tp FROM {O.PAIRS})"
+        g = _gram_rows('b', '1, 5')
+        lens = "(SELECT sum(len(tt))::DOUBLE AS ref_len, sum(len(tp))::DOUBLE AS sys_len, count(*) AS rows FROM b)"
     cs = ", ".join(f"coalesce(max(CASE WHEN n = {k} THEN c END), 0)::DOUBLE AS c{k}, "
                    f"coalesce(max(CASE WHEN n = {k} THEN t END), 0)::DOUBLE AS t{k}" for k in range(1, 5))
     z = []
@@ -142,10 +158,10 @@ def _bleu_sql() -> str:
     empty = " OR ".join(f"t{k} = 0" for k in range(1, 5))
     return f"""
 WITH b AS {base},
-     g AS {_gram_rows('b', '1, 5')},
+     g AS {g},
      s AS (SELECT n, sum(least(a, b)) AS c, sum(b) AS t FROM g GROUP BY n),
      p AS (SELECT {cs} FROM s),
-     l AS (SELECT sum(len(tt))::DOUBLE AS ref_len, sum(len(tp))::DOUBLE AS sys_len, count(*) AS rows FROM b)
+     l AS {lens}
 SELECT 'bleu' AS metric,
        round(CASE WHEN {empty} THEN 0.0
                   ELSE (CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1 - ref_len / sys_len) ELSE 0.0 END)
@@ -159,6 +175,13 @@ def bleu(spark, sf):
     return _r(M.bleu(FX.pairs(spark, sf), "target", "prediction"))
 
 
+@query("bleu_multi_ref", _bleu_sql(multi=True))
+def bleu_multi_ref(spark, sf):
+    """M3 with two references per row: the user turn and the first word of the answer turn."""
+    p = FX.pairs(spark, sf).withColumn("refs", F.array("target", "answer"))
+    return _r(M.bleu_multi_ref(p, "refs", "prediction"))
+
+
 def _rouge_tok(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
