@@ -37,8 +37,10 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
                 remove_columns: Iterable[str] = (), batch_size: int | None = None) -> DataFrame:
     """``fn`` gets a pandas batch and may return any number of rows.
 
-    ``batch_size`` sets the Arrow batch size for this call; ``remove_columns``
-    are dropped before the batches are built (so they never cross into Python).
+    ``batch_size`` sets the Arrow batch size (a session setting read when the
+    job runs, so it also applies to later Arrow jobs of the session);
+    ``remove_columns`` are dropped before the batches are built (so they never
+    cross into Python).
     """
     src = df.drop(*remove_columns)
     spark = df.sparkSession
