@@ -1,0 +1,118 @@
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tests.llm.conftest import syllables
+from textloom.llm import secrets as S
+from textloom.llm.bpe import bpe
+from textloom.llm.fingerprint import codes, digest, fingerprint, fingerprints, likeness
+from textloom.llm.licenses import TEMPLATES, licence_paragraphs
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("leaf,piece", [(1 << 16, 1 << 20), (40, 150)])
+def test_bpe_equals_the_library(edge_docs, edge_rows, no_docs, leaf, piece):
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for r in edge_rows:
+        if leaf < 100 and len(r[1] or "") > 40000:
+            continue
+        e = lib.encode(r[1] or "", add_special_tokens=False)
+        want.append((r[0], len(e.ids), sha(" ".join(map(str, e.ids))), sha(lib.decode(e.ids, skip_special_tokens=False))))
+    docs = edge_docs if leaf > 100 else edge_docs.filter("text is null or length(text) <= 40000")
+    got = [tuple(r) for r in bpe(docs, leaf=leaf, piece=piece).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert bpe(no_docs).collect() == []
+
+
+def test_bpe_full_output(spark):
+    docs = spark.createDataFrame([(1, "Hello  world"), (2, "")], "doc_id long, text string")
+    out = {r.doc_id: r for r in bpe(docs, full=True).collect()}
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = lib.encode("Hello  world", add_special_tokens=False).ids
+    assert out[1].ids == " ".join(map(str, ids)) and out[1].decoded == lib.decode(ids, skip_special_tokens=False) and out[2].ids == ""
+
+
+def test_fingerprints(spark, edge_docs, edge_rows, no_docs):
+    rows = sorted(((r[0], r[1] or "") for r in edge_rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    for parts in (1, 5, None):
+        got = {}
+        for r in fingerprints(edge_docs, parts=parts).collect():
+            got.setdefault((r.doc_id, r.edited_sha256, r.fingerprint), []).append(r)
+        for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+            q = len(t) // 4
+            edited = t[:len(t) - q] + nxt[:q]
+            r = got[(i, sha(edited), fingerprint(t.encode()))].pop()
+            assert r.n_chars == len(t) and r.edited_fingerprint == fingerprint(edited.encode())
+            assert r.near_edited == likeness(codes(r.fingerprint), codes(r.edited_fingerprint))
+            assert r.near_next == likeness(codes(r.fingerprint), codes(fingerprint(nxt.encode())))
+            assert 0 <= r.near_next <= 1
+        assert not any(got.values())
+    assert fingerprints(no_docs).collect() == []
+
+
+def test_fingerprint_tells_edits_from_others():
+    rng = random.Random(4)
+    texts = [syllables(rng, 200) for _ in range(40)]
+    same, other = [], []
+    for a, b in zip(texts, texts[1:]):
+        edited = a[:len(a) - len(a) // 4] + b[:len(a) // 4]
+        same.append(likeness(codes(fingerprint(a.encode())), codes(fingerprint(edited.encode()))))
+        other.append(likeness(codes(fingerprint(a.encode())), codes(fingerprint(b.encode()))))
+    assert min(same) > max(other)
+    c = codes(fingerprint(texts[0].encode()))
+    assert digest(c) == fingerprint(texts[0].encode()) and likeness(c, c) == 1.0
+
+
+def brute_base(text):
+    out = []
+    assign = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(out)
+
+
+def test_secret_base_spans():
+    rng = random.Random(5)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "toKen", "ſecret", "=", ":", " ", '"', "'", "abcdef", "abc", "AKIA",
+            "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", "\n", "é", "漢", "-", "x", "secret=token: abcdef99"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))
+        assert S.base_spans(text) == brute_base(text)
+
+
+def test_secrets(edge_docs, edge_rows, no_docs):
+    got = sorted(((r.doc_id, [(s.start, S.KINDS.index(s.kind), s.end) for s in r.spans if s.kind != "novel"]) for r in S.secrets(edge_docs).collect()), key=str)
+    assert got == sorted(((r[0], brute_base(r[1] or "")) for r in edge_rows), key=str)
+    assert S.secrets(no_docs).collect() == []
+
+
+def test_secret_novelty():
+    rng = random.Random(6)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    text = f"signing private value {blob} here\nthe key is configuration-environment-directory-production-development-1 here\nplain {blob[::-1]} words"
+    found = [text[a:b] for a, k, b, _ in S.scan(text) if S.KINDS[k] == "novel"]
+    assert found == [blob]
+
+
+def test_licences(spark, edge_docs, no_docs):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for n, (family, texts) in enumerate(TEMPLATES.items()):
+        rows.append((n, f"{syllables(rng, 30)}\n{texts[0]}\n{syllables(rng, 30)}"))
+        want[n] = family
+    rows += [(100 + i, f"the public {syllables(rng, 20)} was released to {syllables(rng, 5)} by permission of a domain {i}") for i in range(60)]
+    rows += [(900, None), (901, "")]
+    got = {r.doc_id: r for r in licence_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.family for i, r in got.items() if r.confirmed} == want
+    assert all(r.paragraph == 1 for i, r in got.items() if i < 100) and not any(i >= 100 for i in got)
+    assert {r.family for r in licence_paragraphs(edge_docs).collect()} == {"Apache-2.0"}
+    assert licence_paragraphs(no_docs).collect() == []

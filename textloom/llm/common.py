@@ -36,10 +36,16 @@ def attach(rows: DataFrame, table: DataFrame, key: list[str], weight: Column, to
     values = [c for c in table.columns if c not in key]
     is_hot = weight * F.lit(HOT) >= F.lit(total)
     hot = table.filter(is_hot).select(*key, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__hit"))
-    cold = table.filter(~is_hot).withColumn("__salt", F.lit(0))
     out = rows.join(F.broadcast(hot), key, "left")
-    out = out.withColumn("__salt", F.when(F.col("__hit"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") + 1).otherwise(0))
-    out = out.join(cold, [*key, "__salt"], "left")
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    if len(key) == 1 and dict(table.dtypes)[key[0]] == "string":
+        # the salt goes into the key, so a table that is bucketed by it keeps its layout
+        dealt = F.when(F.col("__hit"), F.concat(F.lit("\u0001"), salt.cast("string"))).otherwise(F.col(key[0]))
+        cold = table.filter(~is_hot).withColumnRenamed(key[0], "__dealt")
+        out = out.withColumn("__dealt", dealt).join(cold, "__dealt", "left")
+    else:
+        out = out.withColumn("__salt", F.when(F.col("__hit"), salt.cast("int") + 1).otherwise(0))
+        out = out.join(table.filter(~is_hot).withColumn("__salt", F.lit(0)), [*key, "__salt"], "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in values])
 
 

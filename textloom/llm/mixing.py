@@ -64,8 +64,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
     ``seed`` alone, so reruns agree. ``spread`` hex digits of the id's hash split each (source, size class) so
     that no source and no class has to fit one task. Null sources are a source of their own; rows without words
     get copies at the rate of their source; a source without any words gets none; a null id is an id like others;
-    rows that repeat are separate rows. Further columns pass through; the result of an empty table is empty.
+    rows that repeat are separate rows. Further columns pass through, but for those with one of the four names,
+    which are replaced; the result of an empty table is empty.
     """
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
     size = n_words(F.col(text_col))
     mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     digits = F.col("mix_size").cast("string")
