@@ -123,8 +123,21 @@ def test_lm_score_beats_its_base_on_held_out_texts(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) and all(r.score < 0 for r in out)
 
 
-def test_vocabulary_probabilities_sum_to_one():
-    v = Vocabulary(np.array([3, 9, 27], np.uint64), np.array([5, 2, 8]), 20, 4, 2, np.ones(256, np.int64))
-    assert math.isclose(sum(0.5 ** x for x in v.words[1]), 1.0) and math.isclose(sum(0.5 ** x for x in v.bytes[1]), 1.0)
-    assert v.find(np.array([9, 4], np.uint64)).tolist() == [1, -1]
+def test_codes_are_complete():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 2, 3, 20, 100):
+        hashes = rng.integers(0, 1 << 60, size, dtype=np.uint64)
+        v = Vocabulary(hashes, rng.integers(1, 50, size), 9000, 7, np.ones(256, np.int64))
+        at = np.concatenate([v.find(hashes), [-1, -1]]).astype(np.int64)
+        is_end = np.arange(size + 2) == size + 1
+        which, node, bit = v.words(at, is_end)
+        paths = [tuple(zip(node[which == i].tolist(), bit[which == i].tolist())) for i in range(size + 2)]
+        assert len(set(paths)) == size + 2 and node.max() < len(v.odds)
+        # at every node both ways lead on, and a node has one way to it: a binary tree
+        nexts = {}
+        for p in paths:
+            for step, after in zip(p, [*p[1:], None]):
+                nexts.setdefault(step, set()).add(after[0] if after else ("leaf", p))
+        assert all(len(x) == 1 for x in nexts.values())
+    assert v.find(np.array([3], np.uint64)).tolist() == [-1]
     assert syllables(random.Random(1), 2)

@@ -45,7 +45,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     k = 2
     while k < n:
         m = min(k, n - k)
-        out[k:k + m] = out[:m] * (out[k - 1] * base)
+        out[k:k + m] = out[:m] * (out[k - 1:k] * base)
         k += m
     return out[:max(n, 0)]
 
