@@ -206,7 +206,7 @@ def bpe(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", full: bool = Fal
                 yield _batch([(row["row"], row["piece"], starts, [e[0] for e in entries], [e[1] for e in entries],
                                [e[2] for e in entries], row["text"])], _PIECE)
 
-    def whole(key, table: pa.Table) -> pa.Table:
+    def whole(key, table):
         enc = _encoder(vocabulary)
         parts = sorted(table.to_pylist(), key=lambda r: r["piece"])
         text, at, spans = "".join(p["text"] for p in parts), 0, []
