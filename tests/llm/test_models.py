@@ -118,7 +118,7 @@ def test_lm_score(spark, edge_docs, edge_rows, no_docs, monkeypatch):
 
 
 def test_lm_score_beats_its_base_on_held_out_texts(spark):
-    docs = spark.read.parquet(f"{SF_SMALL}/../sf0.01/documents.parquet")
+    docs = spark.read.parquet(f"{SF_SMALL}/../sf0.1/documents.parquet").select("doc_id", "text")
     out = score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).filter("held_out").collect()
     assert sum(r.score for r in out) > sum(r.base_score for r in out) and all(r.score < 0 for r in out)
 
@@ -130,7 +130,7 @@ def test_codes_are_complete():
         v = Vocabulary(hashes, rng.integers(1, 50, size), 9000, 7, np.ones(256, np.int64))
         at = np.concatenate([v.find(hashes), [-1, -1]]).astype(np.int64)
         is_end = np.arange(size + 2) == size + 1
-        which, node, bit = v.words(at, is_end)
+        which, _, node, bit, _ = v.words(at, is_end)
         paths = [tuple(zip(node[which == i].tolist(), bit[which == i].tolist())) for i in range(size + 2)]
         assert len(set(paths)) == size + 2 and node.max() < len(v.odds)
         # at every node both ways lead on, and a node has one way to it: a binary tree

@@ -14,8 +14,8 @@ __all__ = ["attach", "components", "documents", "materialise", "per_batch", "rea
 
 #: A key is hot if it holds at least one row in HOT; at most HOT keys can, so their rows may be broadcast.
 HOT = 2000
-#: Ways over which the rows of a hot key are dealt.
-SALTS = 1024
+#: Edges per file between two rounds of ``components``: few edges need few tasks.
+EDGES_PER_FILE = 200_000
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -29,23 +29,25 @@ def shuffle_partitions(spark) -> int:
 def attach(rows: DataFrame, table: DataFrame, key: list[str], weight: Column, total: int, spread: Column) -> DataFrame:
     """Left join of ``rows`` with ``table`` (one row per ``key``) that no hot key can overload.
 
-    ``weight`` is the number of ``rows`` of a key and ``total`` their sum, so at most ``HOT`` keys satisfy
-    ``weight * HOT >= total``: those are joined by a broadcast of that proven size. Their rows still pass the
-    shuffled join of the others, but dealt by ``spread`` over ``SALTS`` parts instead of by their key.
+    ``key`` is one column (bigint, string or binary). ``weight`` is the number of ``rows`` of a key and ``total``
+    their sum, so at most ``HOT`` keys satisfy ``weight * HOT >= total``: those are joined by a broadcast of that
+    proven size. Their rows still pass the shuffled join of the others, but dealt by a hash of ``spread`` instead
+    of their key.
     """
-    values = [c for c in table.columns if c not in key]
+    (name,) = key
+    values = [c for c in table.columns if c != name]
     is_hot = weight * F.lit(HOT) >= F.lit(total)
-    hot = table.filter(is_hot).select(*key, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__hit"))
-    out = rows.join(F.broadcast(hot), key, "left")
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
-    if len(key) == 1 and dict(table.dtypes)[key[0]] == "string":
-        # the salt goes into the key, so a table that is bucketed by it keeps its layout
-        dealt = F.when(F.col("__hit"), F.concat(F.lit("\u0001"), salt.cast("string"))).otherwise(F.col(key[0]))
-        cold = table.filter(~is_hot).withColumnRenamed(key[0], "__dealt")
-        out = out.withColumn("__dealt", dealt).join(cold, "__dealt", "left")
-    else:
-        out = out.withColumn("__salt", F.when(F.col("__hit"), salt.cast("int") + 1).otherwise(0))
-        out = out.join(table.filter(~is_hot).withColumn("__salt", F.lit(0)), [*key, "__salt"], "left")
+    hot = table.filter(is_hot).select(name, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__hit"))
+    out = rows.join(F.broadcast(hot), name, "left")
+    # a hot row's key is replaced, not only salted: a table that is laid out by its key makes Spark deal rows by
+    # the key alone. The second column keeps replaced keys from matching anything.
+    kind = dict(table.dtypes)[name]
+    other = F.xxhash64(spread)
+    other = other if kind == "bigint" else other.cast("string").cast(kind)
+    hit = F.col("__hit").isNotNull()
+    out = out.withColumn("__dealt", F.when(hit, other).otherwise(F.col(name))).withColumn("__own", hit.cast("int"))
+    cold = table.filter(~is_hot).withColumnRenamed(name, "__dealt").withColumn("__own", F.lit(0))
+    out = out.join(cold, ["__dealt", "__own"], "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in values])
 
 
@@ -57,19 +59,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     reach the driver. Work is a few aggregations and joins of the edge list per round; the number of rounds
     grows with the logarithm of the largest component, not with its diameter.
     """
+    most = shuffle_partitions(edges.sparkSession)
+
+    def written(df: DataFrame, n: int) -> DataFrame:
+        return materialise(df.coalesce(max(1, min(most, n // EDGES_PER_FILE))), "edges")
+
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialise(e, "edges")
-    state = None
+    n, state = e.count(), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(low.filter("a <> m").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        large = large.unionByName(low.filter("a <> m").select("a", F.col("m").alias("b"))).filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        e = materialise(small, "edges")
+        e = written(small, n)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        n = now.n
         if state is not None and (now.n, now.s) == state:
             break
         state = (now.n, now.s)
