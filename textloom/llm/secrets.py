@@ -77,7 +77,11 @@ def novelty(text: str, spans: list[tuple[int, int]]) -> list[float]:
     """Marginal compressed bytes per character of each span, given its surroundings and the dictionaries."""
     import zstandard
 
-    seen = list(dict.fromkeys(_IDENTIFIER.findall(text)))
+    # identifiers of the text outside the spans themselves
+    seen, at = {}, 0
+    for a, b in [*sorted(spans), (len(text), len(text))]:
+        seen.update(dict.fromkeys(_IDENTIFIER.findall(text, at, max(at, a))))
+        at = max(at, b)
     primed = zstandard.ZstdCompressionDict(" ".join(seen).encode()[-(1 << 16):] + b" " + _CODE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
     out = []
