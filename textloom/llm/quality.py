@@ -26,11 +26,11 @@ from textloom.llm import textbytes as tb
 from textloom.llm.common import documents, per_batch, read_table
 
 #: Buckets of the hashed byte trigrams, of sources and of languages.
-TRIGRAMS, SOURCES, LANGS = 2048, 64, 16
+TRIGRAMS, SOURCES, LANGS = 1024, 64, 16
 N_STATS, N_META = 4, 14
 WIDTH = (TRIGRAMS + N_STATS, SOURCES + LANGS + N_META)
 #: Bounds of the samples that the models are fitted on.
-LABELLED, POOL = 6000, 4000
+LABELLED, POOL = 4000, 2000
 ROUNDS, PER_ROUND = 4, 300
 
 _KINDS = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 end of sentence, 6 other ASCII sign, 7 beyond ASCII
@@ -57,7 +57,7 @@ def features(raw: np.ndarray, off: np.ndarray, source: list, lang: list) -> tupl
     if len(raw) > 2:
         b = raw.astype(np.uint32)
         t = b[2:] | b[1:-1] << np.uint32(8) | b[:-2] << np.uint32(16)
-        t = (t * np.uint32(2654435761)) >> np.uint32(21)
+        t = (t * np.uint32(2654435761)) >> np.uint32(22)
         inside = row[2:] == row[:-2]
         counts = np.bincount(row[2:][inside] * TRIGRAMS + t[inside], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
         weight = np.sqrt(counts)
@@ -107,8 +107,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> Model:
     """Logistic regression by accelerated gradient descent; deterministic."""
     w = np.zeros(x.shape[1] + 1)
-    xa = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float32)
-    rate = 4.0 / max(1e-9, float((xa.astype(np.float64) ** 2).sum(axis=1).mean()))
+    xa = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+    rate = 4.0 / max(1e-9, float(np.einsum("ij,ij->", xa, xa)) / max(1, len(xa)))
     v, t = w.copy(), 1.0
     for _ in range(steps):
         g = xa.T @ ((_sigmoid(xa @ v.astype(np.float32)) - y) / len(y)).astype(np.float32)
@@ -216,6 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     content = np.frombuffer(b"".join(table.column("content").to_pylist()), np.float16).astype(np.float32).reshape(-1, WIDTH[0])
     meta = np.frombuffer(b"".join(table.column("meta").to_pylist()), np.float32).reshape(-1, WIDTH[1])
     label = table.column("label").to_numpy()
+    del table
     has = ~np.isnan(label)
     if len(set(label[has].tolist())) < 2:
         return None
