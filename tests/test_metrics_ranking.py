@@ -155,3 +155,39 @@ def test_best_so_far(spark):
     assert gb == [True, True, False, False]
     assert lb == [True, False, False, False]
     assert W.best_step(h).collect()[0]["best_step"] == 1
+
+
+def test_index_is_exact_with_payload_columns(spark):
+    """Positions over rows with payload: a million rows, a hot group, several bucket counts."""
+    from textloom.operators.ranking import average_rank, global_index, group_index
+    from textloom.sources.sharding import assign_shards
+
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("id"), F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id") % 10).alias("g"),
+                               F.md5(F.col("id").cast("string")).alias("payload"))
+    for parts in (4, 50):
+        idx = global_index(df, ["id"], "pos", parts)
+        assert idx.agg(F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.sum((F.col("pos") != F.col("id")).cast("int"))).first() == (n, 0, n - 1, 0)
+    g = group_index(df, ["g"], ["id"], "pos", 16).groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.max("pos").alias("m"))
+    assert all(r.n == r.d == r.m + 1 for r in g.collect())
+    s = assign_shards(df, ["id"], epoch=1, world_size=3, batch_size=32, partitions=16)
+    got = s.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.max("pos").alias("m")).collect()
+    assert sum(r.n for r in got) == n and all(r.n == r.d == r.m + 1 for r in got)
+    r = average_rank(df, "id", partitions=16)
+    assert r.where(F.col("rank") != F.col("id") + 1).count() == 0 and r.count() == n
+
+
+def test_slices_share_no_row(spark):
+    from textloom.sources.reader import slice_split
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    for parts in (4, 8, 200):
+        a, b = slice_split(docs, ["doc_id"], None, 90, parts), slice_split(docs, ["doc_id"], 90, None, parts)
+        assert (a.count(), b.count()) == (9000, 1000)
+        assert a.select("doc_id", "text").join(b.select("doc_id"), "doc_id", "left_semi").count() == 0
+
+
+def test_char_f1_counts_rows_with_null_text(spark):
+    df = spark.createDataFrame([(1, "ab", "ab"), (2, None, "x")], "id int, labels string, predictions string")
+    r = M.char_f1(df).first()
+    assert (r["score"], r["count"]) == (50.0, 2)

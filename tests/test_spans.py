@@ -57,7 +57,7 @@ def test_token_tags_start_end_and_shared_token(spark):
     spans = [("ab", 0, 2, "PS"), ("cd", 3, 5, "LC"), ("ef", 6, 8, "QT"), ("h", 10, 11, "DT")]
     df = spark.createDataFrame([(text, spans)], "text string, NE array<struct<form:string,begin:int,end:int,label:string>>")
     df = df.withColumn("tk", HashVocab().tokens("text"))
-    got = df.select(N.spans_to_token_tags("tk", "NE", F.length("text"), CHAR_NER_IOB2).alias("t")).collect()[0]["t"]
+    got = df.select(N.spans_to_token_tags("tk", "NE", CHAR_NER_IOB2).alias("t")).collect()[0]["t"]
     names = [CHAR_NER_IOB2[i] for i in got]
     # token "cd-ef" is touched by two spans: the later one wins; span at char 0 and span ending at text end
     assert names == ["B-PS", "B-QT", "B-DT"]
@@ -129,3 +129,16 @@ def test_mention_augment_ids_unique(spark):
     assert first["text_pretokenized"] == "*aa* bb aa"
     assert first["targets"] == [1, 0, 1]
     assert math.isclose(len(first["text"]), 3)
+
+
+def test_nested_and_crossing_spans_are_painted_in_list_order(spark):
+    """Later spans of the list overwrite earlier ones, whatever their begin."""
+    text = "aa bb cc dd"
+    tags = ["O", "B-A", "I-A", "B-B", "I-B"]
+    rows = [(1, text, [(0, 11, "A"), (4, 6, "B")]), (2, text, [(0, 8, "A"), (4, 11, "B")]), (3, text, [(4, 6, "B"), (0, 11, "A")]), (4, text, []),
+            (5, text, [(7, 7, "A"), (0, 2, "O")])]
+    df = spark.createDataFrame(rows, "id int, text string, NE array<struct<begin:int,end:int,label:string>>").withColumn("tk", HashVocab().tokens("text"))
+    got = {r["id"]: list(r["t"]) for r in df.select("id", N.spans_to_token_tags("tk", "NE", tags).alias("t")).collect()}
+    assert got == {1: [1, 3, 2, 2], 2: [1, 3, 4, 4], 3: [1, 2, 2, 2], 4: [0] * 4, 5: [0] * 4}
+    chars = {r["id"]: list(r["t"]) for r in df.select("id", N.spans_to_char_tags("NE", F.length("text"), tags).alias("t")).collect()}
+    assert chars[1] == [1, 2, 2, 2, 3, 4, 2, 2, 2, 2, 2] and chars[2] == [1, 2, 2, 2, 3, 4, 4, 4, 4, 4, 4] and chars[4] == [0] * 11

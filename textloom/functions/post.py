@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.hof import let
 from textloom.functions.tokens import EOS_ID, FIRST_WORD_ID
 
 # Plain decimal or exponent number, optional sign and surrounding spaces, or nan/inf.
@@ -29,38 +29,24 @@ def cut_at_eos(ids, eos: int = EOS_ID) -> Column:
     return F.when(p == 0, a).otherwise(F.slice(a, F.lit(1), (p - 1).cast("int")))
 
 
-def decode(ids, vocab: list, eos: int = EOS_ID, spark=None) -> Column:
-    """Cut at EOS, drop special ids, look each id up in the vocabulary, join by space.
+def argmax_tokens(logits) -> Column:
+    """P1 on token logits (array of arrays): one id per token."""
+    return F.transform(_c(logits), argmax)
 
-    ``vocab`` is a bounded list indexed by id (``HashVocab.lookup_list`` /
-    ``TableVocab.lookup_list``); it is shipped once per executor as a broadcast
-    variable and applied to Arrow batches with NumPy indexing.
+
+def decode(ids, words: Column, eos: int = EOS_ID) -> Column:
+    """Cut at EOS, drop special and unknown ids, look each id up in the vocabulary, join by space.
+
+    ``words`` lists the words in the order of their ids (``TableVocab.word_list``): an array bounded by the
+    vocabulary's size, evaluated once per query; no job runs while the query is built.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import SparkSession
-
-    sess = spark or SparkSession.getActiveSession()
-    table = np.array(["" if v is None else v for v in vocab], dtype=object)
-    bc = sess.sparkContext.broadcast(table)
-
-    @F.pandas_udf("string")
-    def _decode(s: pd.Series) -> pd.Series:
-        v = bc.value
-        out = []
-        for a in s:
-            if a is None:
-                out.append(None)
-                continue
-            a = np.asarray(a, dtype=np.int64)
-            stop = np.flatnonzero(a == eos)
-            if len(stop):
-                a = a[: stop[0]]
-            a = a[(a >= FIRST_WORD_ID) & (a < len(v))]
-            out.append(" ".join(v[a]))
-        return pd.Series(out)
-
-    return _decode(_c(ids))
+    return let(words, lambda w: F.array_join(F.transform(
+        F.filter(cut_at_eos(ids, eos), lambda i: i >= FIRST_WORD_ID), lambda i: F.get(w, i - FIRST_WORD_ID)), " "))
+
+
+def decode_columns(df: DataFrame, keys: list[str], words: Column, eos: int = EOS_ID) -> DataFrame:
+    """The named id columns become text; the others pass through."""
+    return df.withColumns({k: decode(F.col(k), words, eos) for k in keys if k in df.columns})
 
 
 def decode_float(text, default: float = -1.0) -> Column:

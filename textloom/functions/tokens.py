@@ -94,52 +94,38 @@ class HashVocab:
             ),
         )
 
-    def reverse_table(self, corpus: DataFrame, text_col: str) -> DataFrame:
-        """(id, tok) with the smallest word per id seen in ``corpus``; at most ``size`` rows."""
-        w = corpus.select(F.explode(words(F.col(text_col))).alias("tok")).distinct()
-        return w.groupBy(self.word_id(F.col("tok")).alias("id")).agg(F.min("tok").alias("tok"))
 
-    def lookup_list(self, corpus: DataFrame, text_col: str) -> list:
-        """Python list indexed by id (``None`` for unseen ids) for decoding.
-
-        At most ``size + 3`` entries whatever the corpus size, so it is safe to
-        broadcast; building it is a distributed distinct + group-by.
-        """
-        return lookup_list(self.reverse_table(corpus, text_col), self.size + FIRST_WORD_ID)
-
-
-def lookup_list(table: DataFrame, n: int) -> list:
-    """``table(id, tok)`` with ids in ``[0, n)`` → list where element ``id`` is ``tok``.
-
-    ``table`` holds at most one row per id below ``n`` (the vocabulary size),
-    so collecting it is bounded by construction.
-    """
-    out: list = [None] * n
-    for r in table.where((F.col("id") >= 0) & (F.col("id") < n)).select("id", "tok").collect():
-        out[int(r["id"])] = r["tok"]
-    return out
+#: Largest vocabulary that is broadcast to the rows; beyond it the planner picks the join.
+BROADCAST_WORDS = 1 << 16
 
 
 @dataclass(frozen=True)
 class TableVocab:
-    """Top-``size`` words of a corpus by count (ties by word); ids from 3 in that order."""
+    """Top-``size`` words of a corpus by count (ties by word); ids from 3 in that order, one per word."""
 
     size: int = 32000
 
     def build(self, corpus: DataFrame, text_col: str) -> DataFrame:
+        from pyspark.sql.window import Window
+
         counts = corpus.select(F.explode(words(F.col(text_col))).alias("tok")).groupBy("tok").count()
-        top = counts.orderBy(F.col("count").desc(), F.col("tok")).limit(self.size)
+        # how many words have each count: the least count that still belongs to the top, so that only
+        # those words (``size`` and the ties of the last) reach the sort and its one-task merge
+        falling = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
+        least = sizes.withColumn("above", F.coalesce(F.sum("n").over(falling), F.lit(0))) \
+            .where(F.col("above") < self.size).agg(F.min("count")).scalar()
+        top = counts.where(F.col("count") >= least).orderBy(F.col("count").desc(), F.col("tok")).limit(self.size)
         # ``top`` has at most ``size`` rows, so numbering it in one window is bounded work.
-        from pyspark.sql.window import Window
         w = Window.orderBy(F.col("count").desc(), F.col("tok"))
         return top.select("tok", (F.row_number().over(w) + F.lit(FIRST_WORD_ID - 1)).cast("int").alias("id"), "count")
 
     def encode(self, df: DataFrame, key_cols: list[str], text_col: str, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
-        """Explode words, broadcast-join the bounded vocabulary, regroup per row (unknown → UNK)."""
+        """Explode words, join the vocabulary (broadcast only up to ``BROADCAST_WORDS``), regroup per row (unknown → UNK)."""
         # posexplode_outer keeps rows without words (they come back as an empty array)
         exploded = df.select(*key_cols, F.posexplode_outer(words(F.col(text_col))).alias("pos", "tok"))
-        # the vocabulary has at most ``size`` rows: a bounded broadcast
-        joined = exploded.join(F.broadcast(vocab.select("tok", F.col("id").alias("_vid"))), "tok", "left")
+        ids = vocab.select("tok", F.col("id").alias("_vid"))
+        joined = exploded.join(F.broadcast(ids) if self.size <= BROADCAST_WORDS else ids, "tok", "left")
         return joined.groupBy(*key_cols).agg(
             F.transform(
                 F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(
@@ -148,8 +134,10 @@ class TableVocab:
             ).alias(out_col)
         )
 
-    def lookup_list(self, vocab: DataFrame) -> list:
-        return lookup_list(vocab, self.size + FIRST_WORD_ID)
+    def word_list(self, vocab: DataFrame) -> Column:
+        """The words in the order of their ids, as one lazy array of at most ``size`` elements (a scalar subquery)."""
+        rows = F.array_sort(F.collect_list(F.struct("id", "tok")))
+        return vocab.agg(F.transform(rows, lambda r: r["tok"])).scalar()
 
 
 class ArrowTokenizer:

@@ -114,10 +114,19 @@ def spearman(df: DataFrame, target="labels", prediction="predictions", partition
     """
     g = list(group)
     base = df.select(*g, _c(target).cast("double").alias("_t"), _c(prediction).cast("double").alias("_p"))
+    # equal pairs are counted first, so a tied value costs one row per partner, not one per input row
+    pairs = base.groupBy(*g, "_t", "_p").agg(F.count(F.lit(1)).alias("_n"))
     rt = average_rank(base, "_t", "_rt", partitions, g).select(*g, "_t", "_rt")
     rp = average_rank(base, "_p", "_rp", partitions, g).select(*g, "_p", "_rp")
-    ranked = base.join(rt, [*g, "_t"]).join(rp, [*g, "_p"])
-    return pearson(ranked, "_rt", "_rp", name="spearman_corrcoef", group=g)
+    ranked = pairs.join(rt, [*g, "_t"]).join(rp, [*g, "_p"])
+    n, t, p = F.col("_n").cast("double"), F.col("_rt"), F.col("_rp")
+    sums = ranked.groupBy(*g).agg(F.sum(n).alias("n"), F.sum(n * t).alias("t"), F.sum(n * p).alias("p"),
+                                  F.sum(n * t * t).alias("tt"), F.sum(n * p * p).alias("pp"), F.sum(n * t * p).alias("tp"))
+    # ranks are multiples of one half: the sums are exact up to 2**53
+    den = F.sqrt(F.col("tt") - F.col("t") * F.col("t") / F.col("n")) * F.sqrt(F.col("pp") - F.col("p") * F.col("p") / F.col("n"))
+    score = F.when(den > 0, (F.col("tp") - F.col("t") * F.col("p") / F.col("n")) / den) * 100
+    return sums.select(*g, F.lit("spearman_corrcoef").alias("metric"), score.alias("score"),
+                       F.coalesce("n", F.lit(0.0)).cast("bigint").alias("count"))
 
 
 # ---------------------------------------------------------------- M9 M10
@@ -169,7 +178,8 @@ def char_f1(df: DataFrame, target="labels", prediction="predictions", id_col: st
     both lengths come out of the same aggregation, so no join is needed.
     """
     def side(col, a, b):
-        return F.transform(F.split(_c(col), "", -1), lambda ch: F.struct(ch.alias("ch"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+        # a NULL text has no characters; its row still counts
+        return F.transform(F.split(F.coalesce(_c(col), F.lit("")), "", -1), lambda ch: F.struct(ch.alias("ch"), F.lit(a).alias("a"), F.lit(b).alias("b")))
 
     marker = F.array(F.struct(F.lit(None).cast("string").alias("ch"), F.lit(0).alias("a"), F.lit(0).alias("b")))
     items = F.concat(side(target, 1, 0), side(prediction, 0, 1), marker)
@@ -368,13 +378,13 @@ def _lcs_union_fscore(ref: str, pred: str, ascii_only: bool) -> float:
         union: set[int] = set()
         for ps in p_sents:
             m, n = len(rs), len(ps)
+            code = {w: k for k, w in enumerate(dict.fromkeys(ps))}
+            words = np.array([code[w] for w in ps])
             dp = np.zeros((m + 1, n + 1), dtype=np.int32)
             for i in range(1, m + 1):
-                eq = np.array([rs[i - 1] == w for w in ps])
-                row = dp[i]
                 prev = dp[i - 1]
-                for j in range(1, n + 1):
-                    row[j] = prev[j - 1] + 1 if eq[j - 1] else max(prev[j], row[j - 1])
+                # one row at a time: extend on a match, else the best so far from above or the left
+                dp[i, 1:] = np.maximum.accumulate(np.where(words == code.get(rs[i - 1], -1), prev[:-1] + 1, prev[1:]))
             i, j = m, n
             while i > 0 and j > 0:
                 if rs[i - 1] == ps[j - 1]:
@@ -424,7 +434,7 @@ def token_tags_to_char_tags(pred, c2t, tag_list: list[str]) -> Column:
         p = F.get(pr, tok)
         name = F.get(tags, p)
         first = prev.isNull() | (prev != tok)
-        i_id = (F.array_position(tags, F.concat(F.lit("I"), F.substring(name, 2, 1000))) - 1).cast("int")
+        i_id = (F.array_position(tags, F.concat(F.lit("I"), name.substr(F.lit(2), F.length(name)))) - 1).cast("int")
         return F.when(tok.isNull() | p.isNull() | name.isNull() | (name == "O"), outside) \
             .when(name.startswith("B") & ~first, i_id) \
             .otherwise(p)
@@ -514,8 +524,14 @@ def meter_average(per_batch: DataFrame, group: list[str] | None = None) -> DataF
         F.sum("count").cast("bigint").alias("count"))
 
 
-def batched(df: DataFrame, batch_col: str, metric_fn, **kw) -> DataFrame:
-    """Per-batch scores for additive metrics (accuracy-like): group by batch, one row each."""
+def batched(df: DataFrame, batch_col: str, metric_fn=None, **kw) -> DataFrame:
+    """Per-batch scores ``(batch, metric, score, count)``.
+
+    ``metric_fn`` takes ``group=[...]`` besides ``target`` and ``prediction`` (``matthews``, ``pearson``,
+    ``spearman``); without one, accuracy.
+    """
+    if metric_fn is not None:
+        return metric_fn(df, group=[batch_col], **kw)
     t, p = kw.get("target", "labels"), kw.get("prediction", "predictions")
     hit = _c(t).eqNullSafe(_c(p)).cast("double")
     name = kw.get("name", "accuracy")

@@ -2,31 +2,29 @@
 
 Spark has no distributed ``row_number() over (order by …)``: without a
 partition key the window pulls every row into one task.  These helpers give
-the same numbers with a range-partitioned plan:
-
-1. ``repartitionByRange`` on the order key (sampled bounds; a hot group is
-   split across partitions because the order key is part of the range key),
-   then ``sortWithinPartitions``;
-2. a local running index in each partition (``monotonically_increasing_id``
-   is ``partition_id << 33 | row_in_partition``; JVM-side, no Python);
-3. per-partition (or per-partition-and-group) counts — at most
-   ``#partitions + #groups`` rows — turned into offsets;
-4. offsets joined back on the partition id (broadcast: bounded by the
-   partition count) and added to the local index.
+the same numbers in three steps:
 
+1. bounds of the order key are read from a sample of it and become literals
+   of the plan, so the bucket of a row is a pure function of its key: every
+   branch of the plan, every retry and every column selection sees the same
+   buckets (a hot group is split because the order key is part of the bounds);
+2. rows per bucket (and group) are counted and turned into offsets: at most
+   ``#buckets + #groups`` rows;
+3. rows are numbered by a window inside their bucket and the offset is added.
+
+The sample decides only how evenly the buckets are filled, never a result.
 The order columns must form a total order (ties would make the numbering
 depend on shuffle arrival order).
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_LOW_BITS = (1 << 33) - 1
+#: Sampled keys per bucket, and the most buckets of a plan.
+_PER_BUCKET, _MOST = 64, 1024
 
 
 def _parallelism(df: DataFrame, n: int | None) -> int:
@@ -35,39 +33,54 @@ def _parallelism(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _ranged(df: DataFrame, order: list, n: int | None) -> DataFrame:
-    r = df.repartitionByRange(_parallelism(df, n), *order).sortWithinPartitions(*order)
-    mid = F.monotonically_increasing_id()
-    return r.withColumns({"_pid": F.spark_partition_id()}).withColumn("_mid", mid) \
-        .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
+def _key(columns: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
+
+
+def _bucketed(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
+    """``df`` with ``_b``: how many of the sampled bounds lie at or below the row's key."""
+    n = min(_parallelism(df, n), _MOST)
+    keys = df.select(*order)
+    total = keys.count()
+    share = min(1.0, _PER_BUCKET * n / max(total, 1))
+    sample = keys if share == 1.0 else keys.sample(share, seed=17)
+    rows = sample.distinct().orderBy(*order).collect()  # about _PER_BUCKET keys per bucket
+    picked = [rows[len(rows) * i // n] for i in range(1, n)] if rows else []
+    types = dict(df.dtypes)
+    bounds = [F.struct(*[F.lit(r[i]).cast(types[c]).alias(f"k{i}") for i, c in enumerate(order)]) for r in dict.fromkeys(picked)]
+    if not bounds:
+        return df.withColumn("_b", F.lit(0))
+    key = _key(order)
+    return df.withColumn("_b", F.size(F.filter(F.array(*bounds), lambda b: b <= key)))
 
 
 def global_index(df: DataFrame, order: list, idx_col: str = "idx", partitions: int | None = None) -> DataFrame:
     """Exact 0-based position of each row in ``order`` (a total order)."""
-    r = _ranged(df, order, partitions)
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # ``counts`` has one row per partition: bounded, so one window and a broadcast are safe.
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = r.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(idx_col, (F.col("_off") + F.col("_local")).cast("bigint")) \
-        .drop("_pid", "_mid", "_local", "_off")
+    r = _bucketed(df, order, partitions)
+    counts = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # ``counts`` has one row per bucket: bounded, so one window and a broadcast are safe.
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    out = r.withColumn("_local", local).join(F.broadcast(offsets), "_b")
+    return out.withColumn(idx_col, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_b", "_local", "_off")
 
 
 def group_index(df: DataFrame, group: list[str], order: list, idx_col: str = "idx",
                 partitions: int | None = None) -> DataFrame:
     """Exact 0-based position of each row inside its group, ordered by ``order``.
 
-    A hot group spans several range partitions; its rows are numbered across
-    them, so no task ever holds a whole group.
+    A hot group spans several buckets; its rows are numbered across them, so
+    no task ever holds a whole group.  A NULL group is a group of its own.
     """
-    r = _ranged(df, [*group, *order], partitions)
-    summary = r.groupBy("_pid", *group).agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select("_pid", *group, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = r.join(summary, ["_pid", *group])
-    return out.withColumn(idx_col, (F.col("_off") + F.col("_local") - F.col("_first")).cast("bigint")) \
-        .drop("_pid", "_mid", "_local", "_off", "_first")
+    r = _bucketed(df, [*group, *order], partitions)
+    w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    summary = r.groupBy("_b", *group).agg(F.count(F.lit(1)).alias("_n"))
+    summary = summary.select("_b", _key(group).alias("_g"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_b", *group).orderBy(*order)) - 1
+    rows = r.withColumn("_local", local).withColumn("_g", _key(group))
+    out = rows.join(summary, ["_b", "_g"])  # a struct of NULLs equals itself
+    return out.withColumn(idx_col, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_b", "_g", "_local", "_off")
 
 
 def average_rank(df: DataFrame, value_col: str, rank_col: str = "rank", partitions: int | None = None,
@@ -76,39 +89,20 @@ def average_rank(df: DataFrame, value_col: str, rank_col: str = "rank", partitio
 
     rank(v) = rows_below(v) + (ties(v) + 1) / 2, counted inside the group.
     Works on the distinct-value table (partial aggregation first, so a hot
-    value costs one row), range-partitioned on ``(group, value)`` with a
-    weighted running sum per partition and per-partition offsets per group,
-    so a group that holds most rows still spreads over many tasks.
+    value costs one row), bucketed on ``(group, value)`` with a weighted
+    running sum per bucket and per-bucket offsets per group, so a group that
+    holds most rows still spreads over many tasks.
     """
     g = list(group)
     counts = df.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_cnt")).where(F.col(value_col).isNotNull())
-    n = _parallelism(df, partitions)
-    order = [*g, value_col]
-    ranged = counts.repartitionByRange(n, *order).sortWithinPartitions(*order) \
-        .withColumn("_pid", F.spark_partition_id())
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_before", T.LongType())])
-
-    def running(batches):
-        # rows arrive sorted by (group, value): the running count restarts when the group changes
-        prev, carry = None, 0
-        for pdf in batches:
-            keys = list(zip(*[pdf[c] for c in g])) if g else [()] * len(pdf)
-            before = np.empty(len(pdf), dtype=np.int64)
-            for i, (k, c) in enumerate(zip(keys, pdf["_cnt"].to_numpy())):
-                if k != prev:
-                    prev, carry = k, 0
-                before[i] = carry
-                carry += int(c)
-            pdf["_before"] = before
-            yield pdf
-
-    local = ranged.mapInPandas(running, schema)
-    # totals come from the ranged table itself, so the Python step runs once
-    totals = ranged.groupBy("_pid", *g).agg(F.sum("_cnt").alias("_n"))
-    w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *g, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # ungrouped: one row per partition, bounded, broadcast; grouped: the planner sizes the join
-    out = local.join(F.broadcast(offsets) if not g else offsets, ["_pid", *g])
+    r = _bucketed(counts, [*g, value_col], partitions).withColumn("_g", _key(g) if g else F.lit(0))
+    running = Window.partitionBy("_b", "_g").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = r.withColumn("_before", F.coalesce(F.sum("_cnt").over(running), F.lit(0)))
+    totals = r.groupBy("_b", "_g").agg(F.sum("_cnt").alias("_n"))
+    w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", "_g", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # ungrouped: one row per bucket, bounded, broadcast; grouped: the planner sizes the join
+    out = local.join(F.broadcast(offsets) if not g else offsets, ["_b", "_g"])
     return out.select(
         *g, value_col, F.col("_cnt").alias("ties"),
         (F.col("_off") + F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(rank_col),

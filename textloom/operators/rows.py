@@ -37,22 +37,18 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
                 remove_columns: Iterable[str] = (), batch_size: int | None = None) -> DataFrame:
     """``fn`` gets a pandas batch and may return any number of rows.
 
-    ``batch_size`` sets the Arrow batch size (a session setting read when the
-    job runs, so it also applies to later Arrow jobs of the session);
-    ``remove_columns`` are dropped before the batches are built (so they never
-    cross into Python).
+    ``batch_size`` is the most rows that ``fn`` gets at once (batches are cut
+    inside the task, so no session setting changes); ``remove_columns`` are
+    dropped before the batches are built (so they never cross into Python).
     """
     src = df.drop(*remove_columns)
-    spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if batch_size is not None:
-        spark.conf.set(key, str(batch_size))
 
     def it(batches):
         for b in batches:
-            out = fn(b)
-            if out is not None and len(out):
-                yield out
+            for at in range(0, len(b), batch_size or max(1, len(b))):
+                out = fn(b.iloc[at:at + batch_size] if batch_size else b)
+                if out is not None and len(out):
+                    yield out
 
     return src.mapInPandas(it, schema)
 

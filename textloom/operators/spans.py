@@ -1,17 +1,19 @@
 """Span, tag and alignment operators.
 
-All alignment work happens inside one row with higher-order functions and is
-linear in the row's length: a dense ``char -> token`` array is built by
-concatenating one segment per token, and a dense ``char -> span`` array the
-same way, so no operator here shuffles or pairs tokens with spans.
-
-Spans inside one row are taken in ``begin`` order and must not overlap (true
-for IOB-derived spans and for word spans); when two spans touch the same token
-the later one wins, as in the reference.
+All alignment work happens inside one row, so no operator here shuffles or
+pairs tokens with spans.  A dense ``char -> token`` array is built by
+concatenating one segment per token; tags are painted span by span in an
+Arrow batch (``paint``), linear in tokens plus tagged cells.
+
+Spans of a row may nest or cross: they are painted in list order, so where two
+touch the same token or character the later one of the list wins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,65 +108,74 @@ def char_to_token(tokens, text_len) -> Column:
     return let(_c(tokens), body)
 
 
-def _span_cover(sp: Column, text_len) -> Column:
-    """Dense ``char -> span index`` array (NULL outside spans); ``sp`` sorted by begin and bound."""
-    null_int = F.lit(None).cast("int")
-    prev_end = shift_right(F.transform(sp, lambda s: s["end"]), 0)
-
-    def seg(z, k):
-        begin = F.greatest(z["s"]["begin"], z["pe"])
-        return F.concat(F.array_repeat(null_int, F.greatest(begin - z["pe"], F.lit(0))),
-                        F.array_repeat(k, F.greatest(z["s"]["end"] - begin, F.lit(0))))
-
-    body = F.flatten(F.transform(F.arrays_zip(sp.alias("s"), prev_end.alias("pe")), seg))
-    return F.concat(F.slice(body, 1, _c(text_len)),
-                    F.array_repeat(null_int, F.greatest(_c(text_len) - F.size(body), F.lit(0))))
-
+def _flat(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row bounds of a list column; a null list is empty, a null value is -1."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    values = pc.fill_null(a.flatten(), -1).to_numpy(zero_copy_only=False)
+    return values.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
-def _sorted_spans(spans) -> Column:
-    return F.array_sort(_c(spans), lambda a, b: (a["begin"] - b["begin"]).cast("int"))
 
+def paint(cell_start: pa.Array, cell_end: pa.Array, begin: pa.Array, end: pa.Array, first: pa.Array, rest: pa.Array,
+          outside: int) -> pa.Array:
+    """Tag of every cell (token or character): ``first`` of a span on the first cell it touches, ``rest`` on the
+    others, ``outside`` elsewhere; the spans of a row are painted in list order.
 
-def token_tags(tokens, spans, text_len, b_tag, i_tag, outside: Column) -> Column:
+    Cells of a row are sorted and do not overlap.  Rows are laid behind each other on one axis, so the cells of
+    all spans of a batch come from two binary searches, and one assignment in list order paints them.
+    """
+    cs, rows = _flat(cell_start)
+    ce, _ = _flat(cell_end)
+    b, span_rows = _flat(begin)
+    e, _ = _flat(end)
+    vb, vi = _flat(first)[0], _flat(rest)[0]
+    width = int(max([0, *(int(x.max()) for x in (ce, e, b) if len(x))])) + 2
+    axis = np.repeat(np.arange(len(rows) - 1), np.diff(rows)) * width
+    span_axis = np.repeat(np.arange(len(span_rows) - 1), np.diff(span_rows)) * width
+    b = np.maximum(b, 0)
+    lo = np.searchsorted(ce + axis, b + span_axis, side="right")
+    hi = np.searchsorted(cs + axis, e + span_axis, side="left")
+    n = np.where(e > b, np.maximum(hi - lo, 0), 0)
+    which = np.repeat(np.arange(len(b)), n)
+    place = np.arange(len(which)) - (np.cumsum(n) - n)[which]
+    out = np.full(len(cs), outside, dtype=np.int32)
+    out[lo[which] + place] = np.where(place == 0, vb[which], vi[which])  # of repeated cells the last value stays
+    return pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(out), mask=cell_start.is_null() if cell_start.null_count else None)
+
+
+def _painted(cell_start: Column, cell_end: Column, spans: Column, b_tag, i_tag, outside: int) -> Column:
+    def run(cs: pa.Array, ce: pa.Array, b: pa.Array, e: pa.Array, vb: pa.Array, vi: pa.Array) -> pa.Array:
+        return paint(cs, ce, b, e, vb, vi, outside)
+
+    return F.arrow_udf(run, "array<int>")(
+        cell_start, cell_end, F.transform(spans, lambda s: s["begin"].cast("int")), F.transform(spans, lambda s: s["end"].cast("int")),
+        F.transform(spans, b_tag), F.transform(spans, i_tag))
+
+
+def token_tags(tokens, spans, b_tag, i_tag, outside: int) -> Column:
     """Core of N6/N7/N10/N12: tag id per token.
 
     ``spans``: ``ARRAY<STRUCT<begin, end, ...>>`` (end exclusive) already
     filtered to the spans that tag; ``b_tag(span)`` / ``i_tag(span)`` give the
-    ids.  A token is tagged by the last span covering any of its characters;
-    it is ``B`` when it is that span's first token.  Every derived array is
-    bound once (``let``), so the work is linear in text + tokens + spans.
+    ids.  A token is tagged by the last span of the list that covers any of
+    its characters; it is ``B`` when it is that span's first token.
     """
-    def with_sorted(b):
-        tk, sp = b["tk"], b["sp"]
-        return let_many({"c2t": char_to_token(tk, b["n"]), "cover": _span_cover(sp, b["n"])},
-                        lambda d: body(tk, sp, d["c2t"], d["cover"]))
+    tk = _c(tokens)
+    return _painted(F.transform(tk, lambda t: t["start"].cast("int")), F.transform(tk, lambda t: t["end"].cast("int")), _c(spans),
+                    b_tag, i_tag, outside)
 
-    def body(tk, sp, c2t, cover):
-        # first token of a span = smallest token index over its chars (array_min skips NULLs; no inner lambda)
-        first_tok = F.transform(sp, lambda s: F.array_min(
-            F.slice(c2t, s["begin"] + 1, F.greatest(s["end"] - s["begin"], F.lit(0)))))
-        return let(first_tok, lambda ft: F.transform(tk, lambda t, i: tag_of(t, i, sp, cover, ft)))
 
-    def tag_of(t, i, sp, cover, ft):
-        # spans are sorted by begin, so the last span touching the token is the largest index
-        k = F.array_max(F.slice(cover, t["start"] + 1, F.greatest(t["end"] - t["start"], F.lit(0))))
-        s = F.get(sp, k)
-        return F.when(k.isNull(), outside).when(F.get(ft, k) == i, b_tag(s)).otherwise(i_tag(s))
+def _label_tags(tag_list: list[str]):
+    tags = _lit_array(tag_list)
+
+    def at(prefix: str):
+        return lambda s: (F.array_position(tags, F.concat(F.lit(prefix), s.getField("label"))) - 1).cast("int")
 
-    return let_many({"tk": _c(tokens), "sp": _sorted_spans(spans), "n": _c(text_len)}, with_sorted)
+    return at("B-"), at("I-"), tag_list.index("O")
 
 
-def spans_to_token_tags(tokens, spans, text_len, tag_list: list[str]) -> Column:
+def spans_to_token_tags(tokens, spans, tag_list: list[str]) -> Column:
     """Spans ``{form, begin, end, label name}`` → IOB2 tag ids per token; label ``O`` is skipped."""
-    tags = _lit_array(tag_list)
-    kept = F.filter(_c(spans), lambda s: s.getField("label") != F.lit("O"))
-    outside = F.lit(tag_list.index("O"))
-    return token_tags(
-        tokens, kept, text_len,
-        lambda s: (F.array_position(tags, F.concat(F.lit("B-"), s.getField("label"))) - 1).cast("int"),
-        lambda s: (F.array_position(tags, F.concat(F.lit("I-"), s.getField("label"))) - 1).cast("int"),
-        outside,
-    )
+    return token_tags(tokens, F.filter(_c(spans), lambda s: s.getField("label") != F.lit("O")), *_label_tags(tag_list))
 
 
 def parallel_spans(ne, type_names: list[str]) -> Column:
@@ -179,16 +190,10 @@ def parallel_spans(ne, type_names: list[str]) -> Column:
 
 def spans_to_char_tags(spans, text_len, tag_list: list[str]) -> Column:
     """All ``O``, then ``B-x`` on a span's first char and ``I-x`` on the rest (tag ids)."""
-    tags = _lit_array(tag_list)
-    outside = F.lit(tag_list.index("O"))
-
-    def body(sp):
-        return F.transform(_span_cover(sp, text_len), lambda k, p: F.when(k.isNull(), outside).otherwise(
-            (F.array_position(tags, F.concat(
-                F.when(F.get(sp, k)["begin"] == p, F.lit("B-")).otherwise(F.lit("I-")),
-                F.get(sp, k)["label"])) - 1).cast("int")))
-
-    return let(_sorted_spans(F.filter(_c(spans), lambda s: s["label"] != F.lit("O"))), body)
+    n = _c(text_len)
+    start = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).cast("array<int>")
+    kept = F.filter(_c(spans), lambda s: s["label"] != F.lit("O"))
+    return _painted(start, F.transform(start, lambda p: p + 1), kept, *_label_tags(tag_list))
 
 
 # ---------------------------------------------------------------- N8
@@ -208,6 +213,10 @@ def entity_token_bounds(tokens, text_len, entities: list[Column], end_inclusive:
     return let(char_to_token(tokens, text_len), body)
 
 
+def _sorted_spans(spans) -> Column:
+    return F.array_sort(_c(spans), lambda a, b: (a["begin"] - b["begin"]).cast("int"))
+
+
 # ---------------------------------------------------------------- N9
 
 def doc_windows(df: DataFrame, id_col: str, text_col: str, tokenizer=None, span_length: int = 448,
@@ -234,14 +243,21 @@ def doc_windows(df: DataFrame, id_col: str, text_col: str, tokenizer=None, span_
             F.get(tk, w * step)["start"].alias("s"),
             F.get(tk, w * step + F.least(F.lit(span_length), n - w * step) - 1)["end"].alias("e")))
 
-    t = df.withColumn("_win", F.explode(let(tok.tokens(F.col(text_col)), windows)))
+    def cut(w):
+        return F.struct(w["w"].alias("w"), w["s"].alias("s"), w["e"].alias("e"),
+                        F.substring(F.col(text_col), w["s"] + 1, w["e"] - w["s"]).alias("t"))
+
+    # each window takes its own piece of the text before the fan-out; the document itself is not copied
+    t = df.withColumn("_wins", F.transform(let(tok.tokens(F.col(text_col)), windows), cut))
+    t = t.select(*[c for c in df.columns if c != text_col], F.explode("_wins").alias("_win"))
     out = t.withColumns({
         "span_ch_start": F.col("_win.s"),
         "span_ch_end": F.col("_win.e"),
         "id": F.concat_ws(":", F.col(id_col).cast("string"), F.col("_win.w").cast("string")),
-        text_col: F.substring(F.col(text_col), F.col("_win.s") + 1, F.col("_win.e") - F.col("_win.s")),
+        text_col: F.col("_win.t"),
     })
-    return out.drop("_win")
+    names = [*df.columns, *[c for c in ("span_ch_start", "span_ch_end", "id") if c not in df.columns]]
+    return out.select(*names)
 
 
 # ---------------------------------------------------------------- N10-N13
@@ -277,11 +293,11 @@ def mention_tags(df: DataFrame, text_col: str, cr_col: str = "CR", tokenizer=Non
     ms = F.transform(ms, lambda m: F.struct((m.getField("begin") - lo).alias("begin"), (m.getField("end") - lo).alias("end")))
     tokens = tok.tokens(F.col(text_col))
     # tokens are read by two outputs: bind them once
-    return bind_column(df.withColumn(f"{text_col}_pretokenized", F.col(text_col)), "_tk", tokens).withColumns({
+    bound = bind_column(df.withColumn(f"{text_col}_pretokenized", F.col(text_col)).withColumn("_ms", ms), "_tk", tokens)
+    return bound.withColumns({
         text_col: F.transform("_tk", lambda s: s.getField("id")),
-        out_col: token_tags(F.col("_tk"), ms, F.length(f"{text_col}_pretokenized"),
-                            lambda s: F.lit(1), lambda s: F.lit(2), F.lit(0)),
-    }).drop("_tk")
+        out_col: token_tags(F.col("_tk"), F.col("_ms"), lambda s: F.lit(1), lambda s: F.lit(2), 0),
+    }).drop("_tk", "_ms")
 
 
 def shift_position(p: Column, tb: Column, te: Column) -> Column:
@@ -344,34 +360,21 @@ def mention_augment(df: DataFrame, id_col: str, text_col: str, cr_col: str = "CR
                               m.getField("form").alias("form")), lambda x: _inside(x, lo, hi, compat)),
         lambda x: F.struct((x.getField("begin") - lo).alias("begin"), (x.getField("end") - lo).alias("end"),
                            x.getField("form").alias("form"))))
-    # the chains payload is consumed here: fan out without copying it into every output row
-    keep = [c for c in df.columns if c != cr_col]
+    keep = df.columns
     t = df.withColumn("_valid", valid).select(*keep, F.posexplode("_valid").alias("_chain", "_ms"))
     t = t.select(*keep, "_chain", "_ms", F.posexplode("_ms").alias("_mi", "_target"))
     cands = F.filter(F.col("_ms"), lambda c, j: j != F.col("_mi")) if exclude_src_span else F.col("_ms")
     marked, moved = mark_mention(F.col(text_col), F.col("_target"), cands, compat=compat)
     t = t.withColumns({"_marked": marked, "_cands": moved})
 
-    def per_row(b):
-        # marked text and its tokens are computed once per output row
-        tk, mk, cd = b["tk"], b["mk"], b["cd"]
-        fields = [
-            F.transform(tk, lambda s: s["id"]).alias("ids"),
-            token_tags(tk, cd, F.length(mk), lambda s: F.lit(1), lambda s: F.lit(2), F.lit(0)).alias("tags"),
-        ]
-        if with_surfaces:
-            fields.append(candidate_surfaces(tk, _sorted_spans(cd), F.length(mk)).alias("surf"))
-        return F.struct(*fields)
-
-    # produced by a one-element explode so the struct is an attribute, not re-inlined per field
-    t = t.select("*", F.explode(F.array(let_many(
-        {"tk": tok.tokens(F.col("_marked")), "mk": F.col("_marked"), "cd": F.col("_cands")}, per_row))).alias("_r"))
+    # tokens of the marked text are computed once per output row
+    t = bind_column(t, "_tk", tok.tokens(F.col("_marked")))
     out = {
         "id": F.concat_ws(":", F.col(id_col).cast("string"), F.col("_chain").cast("string"), F.col("_mi").cast("string")),
         f"{text_col}_pretokenized": F.col("_marked"),
-        text_col: F.col("_r.ids"),
-        "targets": F.col("_r.tags"),
+        text_col: F.transform("_tk", lambda s: s["id"]),
+        "targets": token_tags(F.col("_tk"), F.col("_cands"), lambda s: F.lit(1), lambda s: F.lit(2), 0),
     }
     if with_surfaces:
-        out["label_txt"] = F.col("_r.surf")
-    return t.withColumns(out).drop("_chain", "_ms", "_mi", "_target", "_marked", "_cands", "_r")
+        out["label_txt"] = candidate_surfaces(F.col("_tk"), _sorted_spans(F.col("_cands")), F.length("_marked"))
+    return t.withColumns(out).drop("_chain", "_ms", "_mi", "_target", "_marked", "_cands", "_tk")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.hof import let, shift_right
+from textloom.functions.hof import bind_column, let, shift_right
 from textloom.functions.tokens import HashVocab
 from textloom.labels import CHAR_NER_IOB2, CHAR_NER_TYPES
 from textloom.operators.ranking import group_index
@@ -146,8 +146,38 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("ne_par"))
 
 
+def wide_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """``spans`` with label ids of the wide type set: (7 · length + begin) % 150."""
+    s = spans(spark, sf)
+    label = F.transform(F.arrays_zip(F.col("ne_par.begin").alias("b"), F.col("ne_par.end").alias("e")),
+                        lambda x: ((x["e"] - x["b"]) * 7 + x["b"]) % 150)
+    return s.withColumn("ne_par", F.struct(F.col("ne_par.begin").alias("begin"), F.col("ne_par.end").alias("end"), label.alias("label")))
+
+
+def nested_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans that nest and cross: pairs of words, then some single words, then triples, in that list order.
+
+    Word k (from 0) starts a pair if k % 3 = 0, is a single if k % 4 = 1 and starts a triple if k % 5 = 2; the
+    label is type k % 6.  A pair or triple ends with the last word of the text at the latest.
+    """
+    c = bind_column(read_table(spark, sf, "conversations"), "_ws", space_words("text"))
+    types = F.array(*[F.lit(t) for t in CHAR_NER_TYPES])
+    n = F.size("_ws")
+
+    def stretch(words: int, every: int, at: int):
+        last = lambda k: F.get(F.col("_ws"), F.least(k + words, n) - 1)
+        all_ = F.transform("_ws", lambda s, k: F.struct(
+            s["off"].cast("int").alias("begin"), (last(k)["off"] + F.length(last(k)["w"])).cast("int").alias("end"),
+            F.get(types, k % 6).alias("label")))
+        return F.filter(all_, lambda s, k: (k % every == at) & (s["end"] > s["begin"]))
+
+    return c.select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        "text", F.concat(stretch(2, 3, 0), stretch(1, 4, 1), stretch(3, 5, 2)).alias("NE"))
+
+
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Coreference-style chains: words of ≥ 4 chars seen 2–5 times in one turn.
+    """Coreference-style chains: words of ≥ 4 chars seen at least twice in one turn; turns without a chain stay.
 
     Words are grouped per (turn, word) — a shuffle whose groups are bounded by
     one text — then chains are regrouped per turn, ordered by first position.
@@ -157,7 +187,7 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
         .select("conv_id", "turn", F.col("s.w").alias("w"), F.col("s.off").cast("int").alias("off")) \
         .where(F.length("w") >= 4)
     ch = w.groupBy("conv_id", "turn", "w").agg(F.array_sort(F.collect_list("off")).alias("offs")) \
-        .where(F.size("offs").between(2, 5))
+        .where(F.size("offs") >= 2)
     ch = ch.select("conv_id", "turn", F.struct(
         F.get(F.col("offs"), 0).alias("first"),
         F.col("offs").alias("begin"),
@@ -167,14 +197,17 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     cr = F.struct(F.transform("chains", lambda x: F.struct(x.getField("begin").alias("begin"),
                                                             x.getField("end").alias("end"),
                                                             x.getField("form").alias("form"))).alias("mention"))
-    return per_row.join(c.select("conv_id", "turn", "text"), ["conv_id", "turn"]).select(
+    none = F.array().cast(per_row.schema["chains"].dataType)
+    per_row = c.select("conv_id", "turn", "text").join(per_row, ["conv_id", "turn"], "left") \
+        .withColumn("chains", F.coalesce("chains", none))
+    return per_row.select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         "conv_id", "turn", "text", cr.alias("CR"))
 
 
 def logits(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 10).cast("array<double>").alias("logits"),
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("logits"),
                     F.col("label").alias("labels"))
 
 

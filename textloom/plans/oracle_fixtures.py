@@ -107,19 +107,30 @@ SPANS = f"""(SELECT {CID} AS id, conv_id, turn, text,
        wo
   FROM {with_space_words('conversations')})"""
 
-MENTIONS = f"""(SELECT {CID} AS id, conv_id, turn, text, {{'mention': list_transform(list_sort(chains),
+def _stretch(words: int, every: int, at: int) -> str:
+    last = f"wo[least(k + {words - 1}, len(wo))]"
+    spans = (f"list_transform(wo, lambda s, k: {{'begin': s.off::INT, 'end': ({last}.off + length({last}.w))::INT, "
+             f"'label': {sql_list(CHAR_NER_TYPES)}[(k - 1) % 6 + 1], 'k': k - 1}})")
+    return f"list_filter({spans}, lambda s: s.k % {every} = {at} AND s.\"end\" > s.begin)"
+
+
+NESTED_SPANS = f"""(SELECT {CID} AS id, text, {_stretch(2, 3, 0)} || {_stretch(1, 4, 1)} || {_stretch(3, 5, 2)} AS "NE"
+  FROM {with_space_words('conversations')})"""
+
+MENTIONS = f"""(SELECT c.conv_id::VARCHAR || ':' || c.turn::VARCHAR AS id, c.conv_id, c.turn, c.text, {{'mention': list_transform(coalesce(list_sort(chains), []),
            lambda x: {{'begin': x.b, 'end': x.e, 'form': x.f}})}} AS "CR"
-  FROM (SELECT conv_id, turn, any_value(text) AS text,
+  FROM conversations c LEFT JOIN (
+        SELECT conv_id, turn,
                list({{'first': offs[1], 'b': offs, 'e': list_transform(offs, lambda o: o + length(w)),
                      'f': list_transform(offs, lambda o: w)}}) AS chains
-        FROM (SELECT conv_id, turn, text, s.w AS w, list_sort(list(s.off::INT)) AS offs
+        FROM (SELECT conv_id, turn, s.w AS w, list_sort(list(s.off::INT)) AS offs
               FROM (SELECT conv_id, turn, text, unnest(wo) AS s FROM {with_space_words('conversations')})
               WHERE length(s.w) >= 4
               GROUP BY conv_id, turn, text, s.w
-              HAVING count(*) BETWEEN 2 AND 5)
-        GROUP BY conv_id, turn))"""
+              HAVING count(*) >= 2)
+        GROUP BY conv_id, turn) m ON m.conv_id = c.conv_id AND m.turn = c.turn)"""
 
-LOGITS = "(SELECT vec_id AS id, embedding[1:10]::DOUBLE[] AS logits, label AS labels FROM embeddings)"
+LOGITS = "(SELECT vec_id AS id, embedding::DOUBLE[] AS logits, label AS labels FROM embeddings)"
 
 HISTORY = """(SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS step,
        round(avg(CASE WHEN value < 50 THEN 1.0 ELSE 0.0 END) * 100, 3) AS score, count(*)::BIGINT AS count

@@ -252,14 +252,15 @@ def spearman_by_flag(spark, sf):
 
 @query("token_ce_loss", _metric_sql(
     "ce_loss", "avg(ln(12 + exp(2.0)) - CASE WHEN y = p THEN 2.0 ELSE 0.0 END)", "count(*)",
-    f"(SELECT unnest(labels) AS y, unnest(predictions) AS p FROM {O.tagseq()})"))
+    f"""(SELECT unnest(labels) AS y, unnest(predictions) AS p, unnest(list_transform(labels, lambda y, i: (turn + i - 1) % 3)) AS k
+         FROM {O.tagseq()}) WHERE k <> 0"""))
 def token_ce_loss(spark, sf):
     t = FX.tagseq(spark, sf)
-    # per-token logits: 2.0 on the predicted tag, 0 elsewhere (13 tags); mask = 1 on every word
+    # per-token logits: 2.0 on the predicted tag, 0 elsewhere (13 tags); the mask skips every third word
     t = t.withColumns({
         "logits": F.transform("predictions", lambda p: F.transform(F.sequence(F.lit(0), F.lit(12)),
                                                                    lambda k: F.when(k == p, 2.0).otherwise(0.0))),
-        "mask": F.transform("labels", lambda y: F.lit(1)),
+        "mask": F.transform("labels", lambda y, i: F.when((F.col("turn") + i) % 3 == 0, 0).otherwise(1)),
     })
     return _r(M.token_ce_loss(t, "logits", "labels", "mask"))
 
@@ -397,7 +398,7 @@ def meter_batched_mcc(spark, sf):
     """M17 with a non-decomposable metric: per-batch Matthews weighted by batch size, as the reference's meter."""
     s = global_index(_scored(spark, sf).select("id", "labels", "pred"), ["id"], "idx")
     s = s.withColumn("batch", F.floor(F.col("idx") / 32))
-    per_batch = M.matthews(s, "labels", "pred", group=["batch"])
+    per_batch = M.batched(s, "batch", M.matthews, target="labels", prediction="pred")
     return _r(M.meter_average(per_batch))
 
 

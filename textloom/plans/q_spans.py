@@ -98,9 +98,9 @@ def char_to_token(spark, sf):
 
 
 def _token_tags_sql(spans: str, label_expr, tags: str, outside: int) -> str:
-    """Per token: last span (by begin) overlapping it; B when it is that span's first overlapping token."""
+    """Per token: the last span of the list that overlaps it; B when it is that span's first overlapping token."""
     ov = f'list_filter({spans}, lambda s: s.begin < t."end" AND s."end" > t.start)'
-    last = f"list_reduce({ov}, lambda a, b: CASE WHEN b.begin >= a.begin THEN b ELSE a END)"
+    last = f"{ov}[-1]"
     first_tok = (f'list_position(list_transform(toks, lambda u: u.start < {last}."end" AND u."end" > {last}.begin), true)')
     return f"""list_transform(toks, lambda t, i: CASE WHEN len({ov}) = 0 THEN {outside}
         ELSE list_position({tags}, (CASE WHEN {first_tok} = i THEN 'B-' ELSE 'I-' END) || {label_expr(last)}) - 1 END)"""
@@ -110,7 +110,7 @@ def _token_tags_sql(spans: str, label_expr, tags: str, outside: int) -> str:
 SELECT id, array_to_string({_token_tags_sql('"NE"', lambda s: f'{s}.label', _IOB, _O)}, ' ') AS tags FROM {_TOKS}""")
 def token_tags(spark, sf):
     s = FX.spans(spark, sf).withColumn("toks", HashVocab().tokens("text"))
-    t = N.spans_to_token_tags("toks", "NE", F.length("text"), CHAR_NER_IOB2)
+    t = N.spans_to_token_tags("toks", "NE", CHAR_NER_IOB2)
     return s.select("id", _txt(t).alias("tags"))
 
 
@@ -118,13 +118,38 @@ _PAR = ("list_transform(range(len(ne_par.begin)), lambda k: "
         "{'begin': ne_par.begin[k + 1], 'end': ne_par.\"end\"[k + 1], 'label': ne_par.label[k + 1]})")
 
 
+@query("token_tags_overlap", f"""
+SELECT id, array_to_string({_token_tags_sql('"NE"', lambda s: f'{s}.label', _IOB, _O)}, ' ') AS tags
+FROM {O.with_tokens(O.NESTED_SPANS)}""")
+def token_tags_overlap(spark, sf):
+    """N6 over spans that nest and cross, not in order of their begin."""
+    s = FX.nested_spans(spark, sf).withColumn("toks", HashVocab().tokens("text"))
+    return s.select("id", _txt(N.spans_to_token_tags("toks", "NE", CHAR_NER_IOB2)).alias("tags"))
+
+
+def _last_cover_sql(p: str) -> str:
+    return f'list_filter("NE", lambda s: s.begin <= {p} AND {p} < s."end")[-1]'
+
+
+@query("char_tags_overlap", f"""
+SELECT id, md5(array_to_string(list_transform(range(length(text)), lambda p:
+         CASE WHEN {_last_cover_sql('p')} IS NULL THEN {_O}
+              ELSE list_position({_IOB}, (CASE WHEN {_last_cover_sql('p')}.begin = p THEN 'B-' ELSE 'I-' END)
+                                         || {_last_cover_sql('p')}.label) - 1 END), ' ')) AS tags_md5
+FROM {O.NESTED_SPANS}""")
+def char_tags_overlap(spark, sf):
+    """N5 over spans that nest and cross."""
+    s = FX.nested_spans(spark, sf)
+    return s.select("id", F.md5(_txt(N.spans_to_char_tags("NE", F.length("text"), CHAR_NER_IOB2))).alias("tags_md5"))
+
+
 @query("token_tags_parallel", f"""
 SELECT id, array_to_string({_token_tags_sql(_PAR, lambda s: O.sql_list(NE_TYPES) + f'[{s}.label + 1]', _NE_IOB, NE_IOB2.index('O'))}, ' ') AS tags
 FROM {_TOKS}""")
 def token_tags_parallel(spark, sf):
     s = FX.spans(spark, sf).withColumn("toks", HashVocab().tokens("text"))
     sp = N.parallel_spans("ne_par", NE_TYPES)
-    t = N.spans_to_token_tags("toks", sp, F.length("text"), NE_IOB2)
+    t = N.spans_to_token_tags("toks", sp, NE_IOB2)
     return s.select("id", _txt(t).alias("tags"))
 
 
@@ -207,7 +232,7 @@ def _valid_sql() -> str:
 
 def _bio_sql(spans: str) -> str:
     ov = f'list_filter({spans}, lambda s: s.begin < t."end" AND s."end" > t.start)'
-    last = f"list_reduce({ov}, lambda a, b: CASE WHEN b.begin >= a.begin THEN b ELSE a END)"
+    last = f"{ov}[-1]"
     first_tok = f'list_position(list_transform(toks, lambda u: u.start < {last}."end" AND u."end" > {last}.begin), true)'
     return f"list_transform(toks, lambda t, i: CASE WHEN len({ov}) = 0 THEN 0 WHEN {first_tok} = i THEN 1 ELSE 2 END)"
 
@@ -222,6 +247,25 @@ def mention_tags(spark, sf):
     return t.select("id", _txt("targets").alias("targets"), F.size("text").alias("n_tokens"))
 
 
+_NESTED_CR = f"""(SELECT id, text, {{'mention': [
+    {{'begin': list_transform("NE", lambda s: s.begin), 'end': list_transform("NE", lambda s: s."end"),
+      'form': list_transform("NE", lambda s: s.label)}}]}} AS "CR" FROM {O.NESTED_SPANS})"""
+
+
+@query("mention_tags_nested", f"""
+SELECT id, array_to_string({_bio_sql('flatten(valid)')}, ' ') AS targets, len(toks)::INT AS n_tokens
+FROM {O.with_tokens("(SELECT *, " + _valid_sql() + " AS valid FROM (SELECT wid AS id, \"CR\", span_ch_start, span_ch_end, "
+                    "substr(text, span_ch_start + 1, span_ch_end - span_ch_start) AS text FROM "
+                    + _windows_sql(_NESTED_CR, 'id', 'text', _WL, _WS) + "))")}""")
+def mention_tags_nested(spark, sf):
+    """N10 over mentions that nest and cross."""
+    n = FX.nested_spans(spark, sf)
+    chain = F.struct(F.col("NE.begin").alias("begin"), F.col("NE.end").alias("end"), F.col("NE.label").alias("form"))
+    m = n.select("id", "text", F.struct(F.array(chain).alias("mention")).alias("CR"))
+    t = N.mention_tags(N.doc_windows(m, "id", "text", span_length=_WL, doc_stride=_WS), "text")
+    return t.select("id", _txt("targets").alias("targets"), F.size("text").alias("n_tokens"))
+
+
 def _targets_sql() -> str:
     return f"""(SELECT id || ':' || (ci - 1)::VARCHAR || ':' || (mi - 1)::VARCHAR AS id, text, chain, tgt, ci, mi
   FROM (SELECT id, text, chain, ci, unnest(chain) AS tgt, generate_subscripts(chain, 1) AS mi
@@ -254,6 +298,10 @@ SELECT id, md5({_marked_sql()}) AS marked_md5,
        array_to_string(list_transform(chain, lambda c: {_shift_sql('c.begin')}::VARCHAR || '-' || {_shift_sql('c."end"')}::VARCHAR), ' ') AS cands
 FROM {_targets_sql()}""")
 def mention_mark(spark, sf):
+    return _mark(spark, sf, False)
+
+
+def _mark(spark, sf, compat: bool):
     m = FX.mentions(spark, sf).select("id", "text", "CR")
     w = N.doc_windows(m, "id", "text", span_length=_WL, doc_stride=_WS)
     lo, hi = F.col("span_ch_start"), F.col("span_ch_end")
@@ -264,13 +312,26 @@ def mention_mark(spark, sf):
         lambda x: F.struct((x["begin"] - lo).alias("begin"), (x["end"] - lo).alias("end"), x["form"].alias("form"))))
     t = w.withColumn("_v", valid).select("id", "text", F.posexplode("_v").alias("ci", "chain"))
     t = t.select("id", "text", "ci", "chain", F.posexplode("chain").alias("mi", "tgt"))
-    marked, moved = N.mark_mention(F.col("text"), F.col("tgt"), F.col("chain"))
+    marked, moved = N.mark_mention(F.col("text"), F.col("tgt"), F.col("chain"), compat=compat)
     return t.select(F.concat_ws(":", "id", F.col("ci").cast("string"), F.col("mi").cast("string")).alias("id"),
                     F.md5(marked).alias("marked_md5"),
                     F.array_join(F.transform(moved, lambda c: F.concat_ws("-", c["begin"].cast("string"),
                                                                           c["end"].cast("string"))), " ").alias("cands"))
 
 
+def _compat_sql() -> str:
+    two = "CASE WHEN c.begin > tgt.\"end\" THEN 2 ELSE 0 END"
+    return f"(c.begin + {two})::VARCHAR || '-' || (c.\"end\" + CASE WHEN c.begin > tgt.\"end\" OR c.\"end\" = tgt.\"end\" THEN 2 ELSE 0 END)::VARCHAR"
+
+
+@query("mention_mark_compat", f"""
+SELECT id, md5({_marked_sql()}) AS marked_md5, array_to_string(list_transform(chain, lambda c: {_compat_sql()}), ' ') AS cands
+FROM {_targets_sql()}""")
+def mention_mark_compat(spark, sf):
+    """N11 with the shifts of the compat rule."""
+    return _mark(spark, sf, True)
+
+
 def _augment(spark, sf, exclude: bool):
     m = FX.mentions(spark, sf).select("id", "text", "CR")
     w = N.doc_windows(m, "id", "text", span_length=_WL, doc_stride=_WS)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.labels import (ACCEPTABILITY_CLASSES, CHAR_NER_IOB2, NE_IOB2, NE_TYPES, NLI_CLASSES, RELATION_CLASSES,
-                             TOPIC_CLASSES, UTTERANCE_CLASSES)
+from textloom.labels import (ACCEPTABILITY_CLASSES, CHAR_NER_IOB2, NE_IOB2, NE_TYPES, NE_WIDE_IOB2, NE_WIDE_TYPES, NLI_CLASSES,
+                             RELATION_CLASSES, TOPIC_CLASSES, UTTERANCE_CLASSES)
 from textloom.plans import oracle_fixtures as O
 from textloom.plans import q_basic as QB
 from textloom.plans import q_spans as QS
@@ -82,6 +82,7 @@ _SIMPLE = {
                        "concat_ws(' ', 'similarity', printf('%.1f', label))", "array"),
     "similarity_reg": (O.SCORES, _prompt("similarity", ["sentence1", "sentence2"], ["event_type", "props"]), "real_label", "double"),
     "similarity": (O.SCORES, _prompt("similarity", ["sentence1", "sentence2"], ["event_type", "props"]), "binary_label", "int"),
+    "summarize_topic": (O.PAIRS, "concat_ws(' ', 'summarize_topic:', context)", "target", "array"),
     "summarize": (O.PAIRS, "concat_ws(' ', 'summarize:', context)", "target", "array"),
     "acceptability_gen": (O.CLS, _prompt("acceptability", ["text"], ["text"]), _names(ACCEPTABILITY_CLASSES, "label"), "array"),
     "acceptability": (O.CLS, _prompt("acceptability", ["text"], ["text"]), "CASE WHEN label >= 0 THEN label ELSE 0 END", "int"),
@@ -161,6 +162,13 @@ query("task_word_ner", _tag_task_sql(
                                                O.sql_list(NE_IOB2), NE_IOB2.index("O")), NE_IOB2.index("O")))(
     _spark_task("word_ner", TAG_LEN, "array"))
 
+_WIDE = ("list_transform(range(len(ne_par.begin)), lambda k: {'begin': ne_par.begin[k + 1], 'end': ne_par.\"end\"[k + 1], "
+         "'label': ((ne_par.\"end\"[k + 1] - ne_par.begin[k + 1]) * 7 + ne_par.begin[k + 1]) % 150})")
+query("task_word_ner_wide", _tag_task_sql(
+    O.with_tokens(O.SPANS), QS._token_tags_sql(_WIDE, lambda s: O.sql_list(NE_WIDE_TYPES) + f"[{s}.label + 1]",
+                                               O.sql_list(NE_WIDE_IOB2), NE_WIDE_IOB2.index("O")), NE_WIDE_IOB2.index("O")))(
+    _spark_task("word_ner_wide", TAG_LEN, "array"))
+
 _EXTRACT_SRC = O.with_tokens("(SELECT *, " + QS._valid_sql() + " AS valid FROM " + QS._mention_windows_sql() + ")")
 query("task_coref_span_extraction", _tag_task_sql(_EXTRACT_SRC, QS._bio_sql("flatten(valid)"), 0))(
     _spark_task("coref_span_extraction", TAG_LEN, "array"))

@@ -176,20 +176,59 @@ def cut_eos(spark, sf):
     return e.select("id", _txt(c).alias("ids"), F.size(c).alias("n"))
 
 
+_VOCAB = f"""(SELECT tok, (row_number() OVER (ORDER BY count DESC, tok) + 2)::INT AS id FROM (
+  SELECT tok, count(*) AS count FROM (SELECT unnest({O.words('text')}) AS tok FROM conversations) GROUP BY tok
+  ORDER BY count DESC, tok LIMIT 2000))"""
+
+
+def _encoded(spark, sf):
+    """Conversations encoded by their own top-2000 vocabulary, and the words of that vocabulary."""
+    tv = K.TableVocab(2000)
+    c = read_table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    vocab = tv.build(c, "text")
+    return tv.encode(c, ["id", "turn"], "text", vocab), tv.word_list(vocab)
+
+
 @query("decode_text", f"""
-WITH rev AS (SELECT {O.hash_id('tok')} AS id, min(tok) AS tok
-             FROM (SELECT DISTINCT unnest({O.words('text')}) AS tok FROM conversations) GROUP BY 1),
-     dense AS (SELECT list(r.tok ORDER BY g.i) AS v FROM range(0, 32003) g(i) LEFT JOIN rev r ON r.id = g.i)
-SELECT id, md5(array_to_string(list_transform(list_filter({_CUT}, lambda i: i >= 3),
-                                              lambda i: v[i + 1]), ' ')) AS text_md5,
-       len(list_filter({_CUT}, lambda i: i >= 3))::INT AS n_words
-FROM {_EOS}, dense""")
+WITH w AS (SELECT {CID} AS id, turn, s.pos, s.tok FROM (
+             SELECT conv_id, turn, unnest(list_transform({O.words('text')}, lambda x, i: {{'pos': i, 'tok': x}})) AS s
+             FROM conversations))
+SELECT w.id, md5(coalesce(string_agg(v.tok, ' ' ORDER BY w.pos) FILTER (v.tok IS NOT NULL AND w.pos <= w.turn + 3), '')) AS text_md5,
+       (count(v.tok) FILTER (w.pos <= w.turn + 3))::INT AS n_words
+FROM w LEFT JOIN {_VOCAB} v ON w.tok = v.tok GROUP BY w.id""")
 def decode_text(spark, sf):
-    e = FX.eos_ids(spark, sf)
-    corpus = read_table(spark, sf, "conversations")
-    vocab = K.HashVocab().lookup_list(corpus, "text")
+    """P3 with one id per word: encode, put EOS after word turn + 3, decode back to the true words."""
+    e, words = _encoded(spark, sf)
+    k = (F.col("turn") + 3).cast("int")
+    ids = F.concat(F.slice("ids", 1, k), F.array(F.lit(1)), F.slice("ids", k + 1, F.greatest(F.size("ids") - k, F.lit(0))))
+    e = e.withColumn("ids", F.when(F.size("ids") >= k, ids).otherwise(F.col("ids")))
     kept = F.filter(P.cut_at_eos("ids"), lambda i: i >= 3)
-    return e.select("id", F.md5(P.decode("ids", vocab, spark=spark)).alias("text_md5"), F.size(kept).alias("n_words"))
+    return e.select("id", F.md5(P.decode("ids", words)).alias("text_md5"), F.size(kept).alias("n_words"))
+
+
+@query("decode_columns", f"""
+WITH w AS (SELECT {CID} AS id, s.pos, s.tok FROM (
+             SELECT conv_id, turn, unnest(list_transform({O.words('text')}, lambda x, i: {{'pos': i, 'tok': x}})) AS s
+             FROM conversations))
+SELECT w.id, md5(coalesce(string_agg(v.tok, ' ' ORDER BY w.pos) FILTER (v.tok IS NOT NULL), '')) AS labels_md5,
+       md5(coalesce(string_agg(v.tok, ' ' ORDER BY w.pos) FILTER (v.tok IS NOT NULL AND w.pos <= 5), '')) AS predictions_md5
+FROM w LEFT JOIN {_VOCAB} v ON w.tok = v.tok GROUP BY w.id""")
+def decode_columns(spark, sf):
+    """Labels and predictions (the first five words) decoded, the id column left alone."""
+    e, words = _encoded(spark, sf)
+    e = e.select("id", F.col("ids").alias("labels"), F.slice("ids", 1, 5).alias("predictions"))
+    d = P.decode_columns(e, ["labels", "predictions"], words)
+    return d.select("id", F.md5("labels").alias("labels_md5"), F.md5("predictions").alias("predictions_md5"))
+
+
+@query("argmax_tokens", f"""
+SELECT id, array_to_string(list_transform(predictions, lambda p: CASE WHEN p > 5 THEN p ELSE 0 END), ' ') AS pred
+FROM {O.tagseq()}""")
+def argmax_tokens(spark, sf):
+    """P1 on token logits: 1.5 on the tag if it is above 5, else all equal, so the first wins."""
+    t = FX.tagseq(spark, sf)
+    logits = F.transform("predictions", lambda p: F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.when((k == p) & (p > 5), 1.5).otherwise(0.0)))
+    return t.select("id", _txt(P.argmax_tokens(logits)).alias("pred"))
 
 
 _NUM = P.NUMERIC_REGEX

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.functions import tokens as K
 from textloom.functions.hof import bind_column
-from textloom.functions.post import argmax
-from textloom.labels import (ACCEPTABILITY_CLASSES, CHAR_NER_IOB2, NE_IOB2, NE_TYPES, NLI_CLASSES, RELATION_CLASSES,
-                             TOPIC_CLASSES, UTTERANCE_CLASSES)
+from textloom.functions.post import argmax, argmax_tokens, cut_at_eos, decode_columns, decode_float, decode_label
+from textloom.labels import (ACCEPTABILITY_CLASSES, CHAR_NER_IOB2, NE_IOB2, NE_TYPES, NE_WIDE_IOB2, NE_WIDE_TYPES, NLI_CLASSES,
+                             RELATION_CLASSES, TOPIC_CLASSES, UTTERANCE_CLASSES)
 from textloom.operators import metrics as M
 from textloom.operators import rows as R
 from textloom.operators import select as W
@@ -119,19 +119,25 @@ def char_ner(df: DataFrame) -> DataFrame:
     return d.withColumns({
         "inputs_pretokenized": F.col("text"),
         "inputs": K.ids_of("_tk"),
-        "targets": N.spans_to_token_tags("_tk", "NE", F.length("text"), CHAR_NER_IOB2),
+        "targets": N.spans_to_token_tags("_tk", "NE", CHAR_NER_IOB2),
     }).drop("_tk")
 
 
-def word_ner(df: DataFrame) -> DataFrame:
+def _word_tags(types: list[str], iob2_tags: list[str]):
     """Parallel span arrays with label ids → IOB2 ids per token."""
-    d = bind_column(df, "_tk", VOCAB.tokens("text"))
-    spans = N.parallel_spans("ne_par", NE_TYPES)
-    return d.withColumns({
-        "inputs_pretokenized": F.col("text"),
-        "inputs": K.ids_of("_tk"),
-        "targets": N.spans_to_token_tags("_tk", spans, F.length("text"), NE_IOB2),
-    }).drop("_tk")
+    def step(df: DataFrame) -> DataFrame:
+        d = bind_column(df, "_tk", VOCAB.tokens("text"))
+        spans = N.parallel_spans("ne_par", types)
+        return d.withColumns({
+            "inputs_pretokenized": F.col("text"),
+            "inputs": K.ids_of("_tk"),
+            "targets": N.spans_to_token_tags("_tk", spans, iob2_tags),
+        }).drop("_tk")
+    return step
+
+
+word_ner = _word_tags(NE_TYPES, NE_IOB2)
+word_ner_wide = _word_tags(NE_WIDE_TYPES, NE_WIDE_IOB2)
 
 
 def coref_windows(df: DataFrame) -> DataFrame:
@@ -169,11 +175,66 @@ def _em(df):
 
 
 def _tok_acc(df):
-    return M.token_accuracy_ragged(df, "labels", "predictions")
+    """Padding does not count: the mask, where there is one, skips it."""
+    return M.token_accuracy_ragged(df, "labels", "predictions", mask="attention_mask" if "attention_mask" in df.columns else None)
+
+
+def _char_entities(df):
+    """M13 where the scored rows carry the character views (``char_tags``, ``c2t``); else no row."""
+    if not {"char_tags", "c2t"} <= set(df.columns):
+        return None
+    d = df.withColumn("_pc", M.token_tags_to_char_tags("predictions", "c2t", CHAR_NER_IOB2))
+    return M.char_entity_f1(d, "char_tags", "_pc", CHAR_NER_IOB2)
 
 
 def _argmax_post(df):
-    return df.withColumn("predictions", argmax("logits")) if "logits" in df.columns else df
+    """P1 over the last axis: one id per row, or per token for token logits."""
+    if "logits" not in df.columns:
+        return df
+    per_token = dict(df.dtypes)["logits"].startswith("array<array")
+    return df.withColumn("predictions", argmax_tokens("logits") if per_token else argmax("logits"))
+
+
+def text_post(number: bool = False, names: list[str] | None = None):
+    """P2-P6 for generated text: id arrays become text, then a number or the index of a class name.
+
+    With ``words`` (a vocabulary's words in id order) the text is decoded (P4); without, the ids themselves are
+    the words, which compares the same way.
+    """
+    def post(df: DataFrame, words=None) -> DataFrame:
+        if "id" not in df.columns:
+            df = df.withColumn("id", F.monotonically_increasing_id())
+        arrays = [c for c in ("labels", "predictions") if dict(df.dtypes)[c].startswith("array")]
+        if words is not None:
+            df = decode_columns(df, arrays, words)
+        else:
+            df = df.withColumns({c: F.array_join(F.filter(cut_at_eos(c), lambda i: i >= K.FIRST_WORD_ID), " ") for c in arrays})
+        if number:
+            return df.withColumns({c: decode_float(c) for c in ("labels", "predictions")})
+        if names:
+            return df.withColumns({c: decode_label(c, names) for c in ("labels", "predictions")})
+        return df
+    return post
+
+
+def _pearson(df):
+    return M.pearson(df, "labels", "predictions")
+
+
+def _spearman(df):
+    return M.spearman(df, "labels", "predictions")
+
+
+def _char_f1(df):
+    return M.char_f1(df, "labels", "predictions")
+
+
+def _bleu(df):
+    return M.bleu(df, "labels", "predictions")
+
+
+def _rouge(df):
+    return M.rouge_n(df, "labels", "predictions").unionByName(M.rouge_lsum(df, "labels", "predictions"))
 
 
 # ---------------------------------------------------------------- catalogue
@@ -191,26 +252,26 @@ def build_catalogue() -> list[TaskSpec]:
     enc_tail = (tokenize, pad(), model_io)
     T = []
     T.append(TaskSpec("topic_classify_gen", _src(FX.cls), (classify(["text"], "topic_classify", TOPIC_CLASSES),) + gen_tail,
-                      GEN, metrics=(_em,), best=W.greater_is_best))
+                      GEN, postprocess=text_post(), metrics=(_em,), best=W.greater_is_best))
     T.append(TaskSpec("topic_classify", _src(FX.cls), (classify(["text"], "topic_classify", None, 7),) + enc_tail,
                       ENC, postprocess=_argmax_post, metrics=(_acc,), best=W.greater_is_best))
     pair_keys = ["premise", "hypothesis"]
     pair_src = _src(lambda s, r: FX.pairs(s, r).transform(_rename({"premise": "question", "hypothesis": "context"}))
                     .transform(_label_mod(3)))
     T.append(TaskSpec("pair_classify_gen", pair_src, (classify(pair_keys, "pair_classify", NLI_CLASSES),) + gen_tail,
-                      GEN, metrics=(_em,), best=W.greater_is_best))
+                      GEN, postprocess=text_post(), metrics=(_em,), best=W.greater_is_best))
     T.append(TaskSpec("pair_classify", pair_src, (classify(pair_keys, "pair_classify", None, 0),) + enc_tail,
                       ENC, postprocess=_argmax_post, metrics=(_acc,), best=W.greater_is_best))
     sim_keys = ["sentence1", "sentence2"]
     sim_src = _src(lambda s, r: FX.scores(s, r).transform(_rename({"sentence1": "event_type", "sentence2": "props"})))
     T.append(TaskSpec("similarity_gen", sim_src, (regression("string", "similarity", sim_keys),) + gen_tail, GEN,
-                      metrics=(lambda d: M.pearson(d, "labels", "predictions"),), best=W.greater_is_best))
+                      postprocess=text_post(number=True), metrics=(_pearson, _spearman), best=W.greater_is_best))
     T.append(TaskSpec("similarity_reg", sim_src, (regression("real", "similarity", sim_keys),) + enc_tail, ENC,
-                      metrics=(lambda d: M.pearson(d, "labels", "predictions"),), best=W.greater_is_best))
+                      metrics=(_pearson, _spearman), best=W.greater_is_best))
     T.append(TaskSpec("similarity", sim_src, (regression("binary", "similarity", sim_keys),) + enc_tail, ENC,
-                      metrics=(lambda d: M.pearson(d, "labels", "predictions"),), best=W.greater_is_best))
+                      metrics=(_pearson, _spearman), best=W.greater_is_best))
     T.append(TaskSpec("relation_gen", _src(FX.ents), (relation("relation", RELATION_CLASSES),) + gen_tail, GEN,
-                      metrics=(_em,), best=W.greater_is_best))
+                      postprocess=text_post(), metrics=(_em,), best=W.greater_is_best))
     T.append(TaskSpec("relation", _src(FX.ents), (relation("relation"),) + enc_tail, ENC,
                       postprocess=_argmax_post, metrics=(_acc,), best=W.greater_is_best))
     T.append(TaskSpec("relation_tk_idx", _src(FX.ents), (relation_token_index("relation"), pad(), model_io), ENC,
@@ -218,20 +279,23 @@ def build_catalogue() -> list[TaskSpec]:
                       metrics=(lambda d: M.micro_f1_nonzero(d, "labels", "predictions"), _acc),
                       best=W.greater_is_best, model_columns=("input_ids", "attention_mask", "labels", "entity_token_idx")))
     T.append(TaskSpec("qa_gen", _src(FX.pairs), (qa("qa", True),) + gen_tail, GEN,
-                      metrics=(_em, lambda d: M.char_f1(d, "labels", "predictions")), best=W.greater_is_best))
+                      postprocess=text_post(), metrics=(_em, _char_f1), best=W.greater_is_best))
     T.append(TaskSpec("qa_gen_context_free", _src(FX.pairs), (qa("qa", False),) + gen_tail, GEN,
-                      metrics=(_em, lambda d: M.char_f1(d, "labels", "predictions")), best=W.greater_is_best))
+                      postprocess=text_post(), metrics=(_em, _char_f1), best=W.greater_is_best))
     o_char, o_word = CHAR_NER_IOB2.index("O"), NE_IOB2.index("O")
     T.append(TaskSpec("char_ner", _src(FX.chartags), (char_ner, pad({"targets": o_char}), model_io), ENC,
-                      postprocess=_argmax_post, metrics=(_tok_acc,), best=W.greater_is_best))
+                      postprocess=_argmax_post, metrics=(_tok_acc, _char_entities), best=W.greater_is_best))
     T.append(TaskSpec("word_ner", _src(FX.spans), (word_ner, pad({"targets": o_word}), model_io), ENC,
                       postprocess=_argmax_post, metrics=(_tok_acc,), best=W.greater_is_best))
+    T.append(TaskSpec("word_ner_wide", _src(FX.wide_spans), (word_ner_wide, pad({"targets": NE_WIDE_IOB2.index("O")}), model_io), ENC,
+                      postprocess=_argmax_post, metrics=(_tok_acc,), best=W.greater_is_best))
     T.append(TaskSpec("summarize", _src(FX.pairs), (generate(["context"], "summarize:", "target"),) + gen_tail, GEN,
-                      metrics=(lambda d: M.bleu(d, "labels", "predictions"), lambda d: M.rouge_n(d, "labels", "predictions")),
-                      best=W.greater_is_best))
+                      postprocess=text_post(), metrics=(_bleu, _rouge), best=W.greater_is_best))
+    T.append(TaskSpec("summarize_topic", _src(FX.pairs), (generate(["context"], "summarize_topic:", "target"),) + gen_tail, GEN,
+                      postprocess=text_post(), metrics=(_bleu, _rouge), best=W.greater_is_best))
     T.append(TaskSpec("acceptability_gen", _src(FX.cls),
                       (classify(["text"], "acceptability", ACCEPTABILITY_CLASSES),) + gen_tail, GEN,
-                      metrics=(lambda d: M.matthews(d, "labels", "predictions"),), best=W.greater_is_best))
+                      postprocess=text_post(names=ACCEPTABILITY_CLASSES), metrics=(lambda d: M.matthews(d, "labels", "predictions"),), best=W.greater_is_best))
     T.append(TaskSpec("acceptability", _src(FX.cls), (classify(["text"], "acceptability", None, 0),) + enc_tail, ENC,
                       postprocess=_argmax_post, metrics=(lambda d: M.matthews(d, "labels", "predictions"),),
                       best=W.greater_is_best))
@@ -242,7 +306,7 @@ def build_catalogue() -> list[TaskSpec]:
     intent_src = _src(lambda s, r: FX.read_table(s, r, "conversations").withColumn(
         "id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).transform(_label_mod(7)))
     T.append(TaskSpec("intent_gen", intent_src, (classify(["text"], "intent", UTTERANCE_CLASSES),) + gen_tail, GEN,
-                      metrics=(_em,), best=W.greater_is_best))
+                      postprocess=text_post(), metrics=(_em,), best=W.greater_is_best))
     T.append(TaskSpec("intent", intent_src, (classify(["text"], "intent", None, 0),) + enc_tail, ENC,
                       postprocess=_argmax_post, metrics=(_acc,), best=W.greater_is_best))
     return T

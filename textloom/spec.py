@@ -55,15 +55,27 @@ class TaskSpec:
             return df
         return df.select(*[c for c in self.model_columns if c in df.columns])
 
-    def score(self, scored: DataFrame) -> DataFrame:
-        """Post-process predictions, then union every metric's ``(metric, score, count)`` row."""
-        df = self.postprocess(scored) if self.postprocess else scored
+    def score(self, scored: DataFrame, words=None) -> DataFrame:
+        """Post-process predictions, then union every metric's ``(metric, score, count)`` rows.
+
+        ``words`` (``TableVocab.word_list``) goes to post-processing steps that decode; a metric may return
+        None where the rows lack its columns.
+        """
+        df = scored
+        if self.postprocess:
+            takes_words = "words" in inspect.signature(self.postprocess).parameters
+            df = self.postprocess(df, words=words) if takes_words else self.postprocess(df)
         out = None
         for m in self.metrics:
             r = m(df)
-            out = r if out is None else out.unionByName(r)
+            if r is not None:
+                out = r if out is None else out.unionByName(r)
         return out
 
+    def mark_best(self, history: DataFrame, **kw) -> DataFrame:
+        """The selector of the task over its ``(task, metric, step, score)`` history."""
+        return self.best(history, **kw) if self.best else history
+
 
 class TaskRegistry:
     """Name → task; names must match ``^[\\w\\d\\.\\:_]+$`` and may not repeat."""

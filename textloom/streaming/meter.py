@@ -8,7 +8,6 @@ keeps in memory, but checkpointed by Spark and recoverable after a failure.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +23,10 @@ def read_stream(spark: SparkSession, folder: str, table: str, schema: StructType
             .option("maxFilesPerTrigger", 1).parquet(folder))
 
 
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def running_meter(events: DataFrame, key: str, hit, name: str) -> DataFrame:
     """Streaming aggregation: per key ``score = 100·Σhit/Σn`` and ``count = Σn``."""
     g = events.groupBy(F.col(key).alias("key")).agg(
@@ -33,13 +36,21 @@ def running_meter(events: DataFrame, key: str, hit, name: str) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Drain a finite stream (``availableNow``) into a memory table and return it as a batch DataFrame.
+    """Drain a finite stream (``availableNow``) in update mode and return the latest row per key.
 
-    The query checkpoints under ``spark.checkpoint.dir`` so a restart resumes
-    from the committed offsets and state instead of recounting.
+    Each micro-batch writes only the keys it changed, into a folder of its own below ``spark.checkpoint.dir``, so
+    the driver holds no state and a repeated micro-batch replaces its own folder. The query checkpoints there as
+    well: a restart resumes from the committed offsets and state instead of recounting.
     """
-    root = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
-    q = (stream.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", root).trigger(availableNow=True).start())
+    root = (checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}").rstrip("/")
+    out = f"{root}/rows"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    q = (stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state")
+         .trigger(availableNow=True).foreachBatch(write).start())
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(f"{_ddl(stream.schema)}, batch INT").parquet(out)
+    latest = rows.groupBy("metric", "key").agg(F.max_by(F.struct(*stream.columns), "batch").alias("r"))
+    return latest.select("r.*")
