@@ -103,12 +103,12 @@ def test_every_task_scores_its_own_labels(spark):
 
 def test_decode_inverts_encode(spark):
     from textloom.functions import tokens as K
-    from textloom.functions.post import decode
+    from textloom.functions.post import decode_columns
 
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
     tv = K.TableVocab(200000)
     vocab = tv.build(docs, "text")
     ids = tv.encode(docs, ["doc_id"], "text", vocab)
-    out = ids.select("doc_id", decode("ids", tv.word_list(vocab)).alias("back")).join(docs, "doc_id")
+    out = decode_columns(ids, ["ids"], tv.word_list(vocab)).withColumnRenamed("ids", "back").join(docs, "doc_id")
     want = F.array_join(K.words(F.col("text")), " ")
     assert out.where(F.col("back") != want).count() == 0 and out.count() == docs.count()

@@ -37,16 +37,22 @@ def argmax_tokens(logits) -> Column:
 def decode(ids, words: Column, eos: int = EOS_ID) -> Column:
     """Cut at EOS, drop special and unknown ids, look each id up in the vocabulary, join by space.
 
-    ``words`` lists the words in the order of their ids (``TableVocab.word_list``): an array bounded by the
-    vocabulary's size, evaluated once per query; no job runs while the query is built.
+    ``words`` is a column with the words in the order of their ids, an array bounded by the vocabulary's size;
+    ``decode_columns`` adds it from the vocabulary.
     """
     return let(words, lambda w: F.array_join(F.transform(
         F.filter(cut_at_eos(ids, eos), lambda i: i >= FIRST_WORD_ID), lambda i: F.get(w, i - FIRST_WORD_ID)), " "))
 
 
 def decode_columns(df: DataFrame, keys: list[str], words: Column, eos: int = EOS_ID) -> DataFrame:
-    """The named id columns become text; the others pass through."""
-    return df.withColumns({k: decode(F.col(k), words, eos) for k in keys if k in df.columns})
+    """The named id columns become text; the others pass through.
+
+    ``words`` is ``TableVocab.word_list``: a scalar subquery, evaluated once per query; no job runs while the
+    query is built.
+    """
+    found = [k for k in keys if k in df.columns]
+    out = df.withColumn("_words", words)
+    return out.withColumns({k: decode(F.col(k), F.col("_words"), eos) for k in found}).drop("_words")
 
 
 def decode_float(text, default: float = -1.0) -> Column:

@@ -202,8 +202,8 @@ def decode_text(spark, sf):
     k = (F.col("turn") + 3).cast("int")
     ids = F.concat(F.slice("ids", 1, k), F.array(F.lit(1)), F.slice("ids", k + 1, F.greatest(F.size("ids") - k, F.lit(0))))
     e = e.withColumn("ids", F.when(F.size("ids") >= k, ids).otherwise(F.col("ids")))
-    kept = F.filter(P.cut_at_eos("ids"), lambda i: i >= 3)
-    return e.select("id", F.md5(P.decode("ids", words)).alias("text_md5"), F.size(kept).alias("n_words"))
+    e = e.withColumn("n_words", F.size(F.filter(P.cut_at_eos("ids"), lambda i: i >= 3)))
+    return P.decode_columns(e, ["ids"], words).select("id", F.md5("ids").alias("text_md5"), "n_words")
 
 
 @query("decode_columns", f"""
