@@ -29,7 +29,7 @@ LEAF = 1 << 16
 #: Texts beyond this are cut into rows of this many characters that different tasks encode.
 PIECE = 1 << 20
 #: Distinct words that a task remembers.
-CACHE = 1 << 18
+CACHE = 5 << 17
 #: First width of the window on each side of a join, in characters.
 WINDOW = 64
 
@@ -54,12 +54,31 @@ class Encoder:
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def learn(self, words: list[str]) -> None:
+        """Remember ``words``. A final full stop or comma behind plain letters is a piece of its own to the splitter, and
+        the normaliser lower-cases, so such words are put together from the entries of their lower-case stem and mark."""
         if len(self.known) + len(words) > CACHE:
             self.known = {}
+        parts = []
+        for w in words:
+            stem, mark = w, ""
+            if w.isascii() and "<|" not in w:
+                if w[-1] in ".," and w[:-1].isalpha():
+                    stem, mark = w[:-1], w[-1]
+                stem = stem.lower()
+            parts.append((stem, mark))
+        self._encode([x for x in dict.fromkeys([*(p[0] for p in parts), ".", ","]) if x not in self.known])
+        known = self.known
+        for w, (stem, mark) in zip(words, parts):
+            e = known[stem]
+            if mark:
+                m = known[mark]
+                e = (e[0] + m[0], f"{e[1]} {m[1]}", f"{e[2]} {m[2]}")
+            known[w] = e
+
+    def _encode(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             part = words[at:at + 4096]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            ids = [e.ids for e in found]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             for w, i, d in zip(part, ids, decoded):
                 self.known[w] = (len(i), " ".join(map(str, i)), d)
@@ -192,11 +211,13 @@ def bpe(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", full: bool = Fal
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
                 part = texts.slice(at, 256).to_pylist()
+                words = [_WORD.findall(t) if len(t) <= leaf else None for t in part]
                 # one call of the library for the new words of many texts
-                new = {w for t in part if len(t) <= leaf for w in _WORD.findall(t)}.difference(enc.known)
+                new = set().union(*(w for w in words if w)).difference(enc.known)
                 if new:
                     enc.learn(list(new))
-                yield _batch([_result(i, encode(enc, t, leaf=leaf)[1], full) for i, t in zip(ids[at:at + 256], part)], schema)
+                found = [encode(enc, t, leaf=leaf)[1] if w is None else enc.entries(w) for t, w in zip(part, words)]
+                yield _batch([_result(i, e, full) for i, e in zip(ids[at:at + 256], found)], schema)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary)
