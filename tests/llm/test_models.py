@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import syllables
 from tests.llm.test_dedup import words_of
-from textloom.llm.lm_score import Vocabulary, huffman, score
+from textloom.llm.lm_score import Vocabulary, huffman, path_counts, score
 from textloom.llm.mixing import emit, mix, targets
 from textloom.llm.quality import quality
 
@@ -141,3 +141,25 @@ def test_codes_are_complete():
         assert all(len(x) == 1 for x in nexts.values())
     assert v.find(np.array([3], np.uint64)).tolist() == [-1]
     assert syllables(random.Random(1), 2)
+
+
+def test_lm_score_keeps_every_context_apart(spark):
+    """Texts that training holds twice: what followed each pair of words is known, however many pairs there are."""
+    rng = random.Random(12)
+    pool = [f"w{i:04d}" for i in range(3000)]
+    texts = [" ".join(rng.choice(pool) for _ in range(40)) for _ in range(5000)]
+    rows = [(i, t, False) for i, t in enumerate(texts * 2)] + [(20000 + i, t, True) for i, t in enumerate(texts[:300])]
+    out = score(spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(4), F.col("held")).filter("held_out").collect()
+    assert len(out) == 300 and sum(r.score for r in out) > 0.5 * sum(r.base_score for r in out)
+
+
+def test_path_counts():
+    rng = np.random.default_rng(3)
+    codes = [c for c in ("0", "100", "1010", "1011", "11")]
+    pairs = sorted({(int(c), codes[k]): 0 for c, k in rng.integers(0, 5, (60, 2))})
+    n = rng.integers(0, 4, len(pairs))
+    flat, off = path_counts(np.array([c for c, _ in pairs]), np.array([int(w.ljust(64, "0"), 2) for _, w in pairs], np.uint64),
+                            np.array([len(w) for _, w in pairs]), n)
+    for i, (c, w) in enumerate(pairs):
+        want = [sum(m for (d, x), m in zip(pairs, n) if d == c and x.startswith(w[:j])) for j in range(len(w) + 1)]
+        assert flat[off[i]:off[i + 1]].tolist() == want
