@@ -1,7 +1,9 @@
 """Secret scans with dictionary-primed zstandard novelty.
 
-Base spans come from three fixed patterns. Further candidates are long strings behind a word that announces something
-sensitive. Each candidate is measured by its marginal compressed bytes: the text around it is compressed with a
+Base spans come from three fixed patterns. Further candidates are strings behind a word that announces something
+sensitive: its value (``NAME=value``, ``name: "value"``, the line below its name, the body of a PEM block) from
+``LEAST`` characters on, whatever it is made of; elsewhere behind it on its line, strings of ``LONG`` characters or
+more, and within ``NEAR`` characters those of letters and digits from ``LEAST`` on. Each candidate is measured by its marginal compressed bytes: the text around it is compressed with a
 dictionary of common code and of the identifiers of its document, once with and once without the candidate. A
 candidate that costs nearly as much as random characters would is reported; words, paths and names that the
 dictionary or the surroundings predict are not.
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from typing import Iterator
 
 import pyarrow as pa
@@ -26,13 +29,23 @@ AROUND = 2048
 #: Least marginal compressed bytes per character: random hex costs about 0.5, random base64 0.75.
 MIN_NOVELTY = 0.45
 
+#: Least characters of a value (as in the base pattern) and of other strings, and how far behind the word shorter ones may stand.
+LEAST, LONG, NEAR = 6, 16, 48
+
 # The base patterns, and code that primes the dictionary.
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _SENSITIVE = re.compile(r"(?ai)(?:pass(?:word|phrase|wd)?|pwd|secret|token|key|auth|bearer|credential|private|signature|cookie|session)")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+# a "=" inside a string that has a value behind it; a sensitive name that leads a string; a run of letters or digits only
+_PARTS = re.compile(r"=+(?=[A-Za-z0-9+/_-])")
+_LEADING = re.compile(rf"(?ai).*{_SENSITIVE.pattern[5:]}[a-z]{{0,3}}[_/-]+")
+_RUN = re.compile(r"[A-Za-z]{16,}|[0-9]{16,}")
+# what may stand between a sensitive word and its value ("author" is none), and at the end of a line whose value is on the next
+_VALUE = re.compile(r"""(?ai)(?!(?<=auth)or(?!iz))[a-z0-9_.-]*["'`)\]\x20\t]*(?:=>|:=|==|[:=>])[\x20\t"'`(\[]*(?:(?:bearer|basic|token)\x20+)?""")
+_OPEN = re.compile(r"""(?ai)(?:[:=>|\\({\["'`]|(?:pass(?:word|phrase|wd)?|pwd|secret|token|key|auth|bearer|credential|private|signature|cookie|session)s?)\s*\Z""")
 _CODE = (
     "import from return def class self None True False function const let var public private static void string int "
     "if else for while try except catch finally throw new this null undefined export default async await require "
@@ -57,19 +70,52 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _strings(line: str) -> list[tuple[int, int]]:
+    """Strings of a line, parted at a ``=`` that has a value behind it."""
+    out = []
+    for m in _CANDIDATE.finditer(line):
+        a = m.start()
+        for cut in _PARTS.finditer(line, a, m.end()):
+            out.append((a, cut.start()))
+            a = cut.end()
+        out.append((a, m.end()))
+    return [(a, b) for a, b in out if b - a >= LEAST]
+
+
+def _is_candidate(line: str, a: int, b: int, ends: list[int]) -> bool:
+    """Whether a string with sensitive words that end at ``ends`` before it is measured."""
+    if any(a - e <= 2 * NEAR and _VALUE.fullmatch(line, e, a) for e in ends):
+        return True
+    word = line[a:b]
+    mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+    return mixed and (len(word) >= LONG or a - ends[-1] <= NEAR) or bool(_RUN.search(word))
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Long strings with a digit and a letter within 48 characters behind a sensitive word, apart from base spans."""
+    """Strings behind a sensitive word, apart from base spans."""
+    if not _SENSITIVE.search(text):
+        return []
     out = []
-    for m in _CANDIDATE.finditer(text):
-        word = m.group()
-        if not any(c.isdigit() for c in word) or word.isdigit():
-            continue
-        a, b = m.span()
-        if any(s < b and a < e for s, _, e in taken):
-            continue
-        line = text.rfind("\n", 0, a) + 1
-        if _SENSITIVE.search(text, max(line, a - 48), a):
-            out.append((a, b))
+    at, opened, block = 0, False, False
+    for line in text.split("\n"):
+        ends = [m.end() for m in _SENSITIVE.finditer(line)]
+        begins, closes = "-----BEGIN" in line, "-----END" in line
+        if ends or opened or block:
+            for a, b in _strings(line):
+                before = ends[:bisect_right(ends, a)]
+                ok = (block and not closes) or opened or bool(before) and _is_candidate(line, a, b, before)
+                if not ok and not before and (m := _LEADING.match(line, a, b)) and b - m.end() >= LEAST:
+                    word = line[m.end():b]
+                    ok = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+                    a = m.end()
+                opened = False
+                if ok and not (begins or closes) and not any(s < at + b and at + a < e for s, _, e in taken):
+                    out.append((at + a, at + b))
+        if begins or closes:
+            block = begins and bool(ends) and not closes
+        if line.strip():
+            opened = bool(ends) and not block and bool(_OPEN.search(line))
+        at += len(line) + 1
     return out
 
 
