@@ -120,6 +120,15 @@ def test_secret_candidates():
     assert novel(f"plain words\n{value} words\nmore {value}") == [] and novel("the author: Benjamin wrote of keyboards and monkeys") == []
 
 
+def test_secret_dictionary_holds_all_identifiers():
+    rng = random.Random(13)
+    name = "build2024release17xq9vT4k2LmZ8wR7"
+    others = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(8)) for _ in range(1500)]
+    ask = f"the signing key {name} here"
+    assert novel("\n".join([name, *others, ask])) == novel("\n".join([*others[:-200], name, *others[-200:], ask])) == []
+    assert novel("\n".join([*others, ask])) == [name]
+
+
 def test_licences(spark, edge_docs, no_docs):
     rng = random.Random(8)
     rows, want = [], {}

@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "novel")
 
 #: Characters on each side of a candidate that count as its surroundings.
 AROUND = 2048
+#: Most bytes of identifiers in one dictionary; a document with more has several.
+PRIMED = 1 << 16
 #: Least marginal compressed bytes per character: random hex costs about 0.5, random base64 0.75.
 MIN_NOVELTY = 0.45
 
@@ -54,7 +56,7 @@ _CODE = (
     "database host port user name value path file directory environment production development version license "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef"
 ).encode()
-_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z_]{2,31}")
+_IDENTIFIER = re.compile(r"[A-Za-z0-9_]{3,}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -120,21 +122,30 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 def novelty(text: str, spans: list[tuple[int, int]]) -> list[float]:
-    """Marginal compressed bytes per character of each span, given its surroundings and the dictionaries."""
+    """Marginal compressed bytes per character of each span, given its surroundings and the dictionary that knows it best."""
     import zstandard
 
-    # identifiers of the text outside the spans themselves
+    # identifiers of the text outside the spans themselves, all of them
     seen, at = {}, 0
     for a, b in [*sorted(spans), (len(text), len(text))]:
         seen.update(dict.fromkeys(_IDENTIFIER.findall(text, at, max(at, a))))
         at = max(at, b)
-    primed = zstandard.ZstdCompressionDict(" ".join(seen).encode()[-(1 << 16):] + b" " + _CODE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    out = []
-    for a, b in spans:
-        before, after = text[max(0, a - AROUND):a].encode(), text[b:b + AROUND].encode()
-        around = len(packer.compress(before + after))
-        out.append((len(packer.compress(before + text[a:b].encode() + after)) - around) / max(1, b - a))
+    parts, size = [[]], 0
+    for name in seen:
+        if size and size + len(name) >= PRIMED:
+            parts.append([])
+            size = 0
+        parts[-1].append(name)
+        size += len(name) + 1
+    out = [float("inf")] * len(spans)
+    for names in parts:
+        primed = zstandard.ZstdCompressionDict(" ".join(names).encode() + b" " + _CODE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        for i, (a, b) in enumerate(spans):
+            before, after = text[max(0, a - AROUND):a].encode(), text[b:b + AROUND].encode()
+            around = len(packer.compress(before + after))
+            cost = (len(packer.compress(before + text[a:b].encode() + after)) - around) / max(1, b - a)
+            out[i] = min(out[i], cost)
     return out
 
 
