@@ -162,6 +162,16 @@ def test_line_dedup(spark, no_docs):
     assert line_dedup(no_docs).collect() == []
 
 
+def test_line_dedup_texts_that_share_an_id(spark):
+    rng = random.Random(14)
+    run = "\n".join(syllables(rng, 20) for _ in range(4))
+    own = [syllables(rng, 60) for _ in range(8)]
+    texts = [(1, run), (7, f"{own[0]}\n{run}\n{own[1]}"), (7, "\n".join(own[2:])), (7, "short"), (7, None)]
+    out = line_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    want = [(1, run), (7, f"{own[0]}\n{own[1]}"), (7, "\n".join(own[2:])), (7, "short"), (7, None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_line_dedup_edge_rows(edge_docs, edge_rows):
     out = line_dedup(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == len(edge_rows)

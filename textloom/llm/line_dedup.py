@@ -18,7 +18,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import textbytes as tb
@@ -26,8 +26,8 @@ from textloom.llm.common import attach, documents, materialise, per_batch
 
 MIN_WORDS = 50
 
-_WINDOWS = "doc_id long, first int, last int, print_line int, fingerprint long, run_hash long"
-_WINDOW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("print_line", pa.int32()),
+_WINDOWS = "doc_id long, version long, first int, last int, print_line int, fingerprint long, run_hash long"
+_WINDOW_SCHEMA = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("print_line", pa.int32()),
                             ("fingerprint", pa.int64()), ("run_hash", pa.int64())])
 
 
@@ -89,31 +89,37 @@ def line_windows(raw: np.ndarray, offsets: np.ndarray, min_words: int):
 def _windows(min_words: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy()
-        raw, off = tb.buffers(batch.column(1))
+        versions = batch.column(1).to_numpy()
+        raw, off = tb.buffers(batch.column(2))
         for a, b in tb.slices(off):
             row, first, last, at, fp, rh = line_windows(raw[off[a]:off[b]], off[a:b + 1] - off[a], min_words)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row]), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(at, pa.int32()),
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row]), pa.array(versions[a:b][row]), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(at, pa.int32()),
                                               pa.array(fp.view(np.int64)), pa.array(rh.view(np.int64))], schema=_WINDOW_SCHEMA)
 
     return run
 
 
+def _version(text: Column) -> Column:
+    """Tells texts of the same id apart: line numbers hold for one text only."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, first, last)``: windows of lines that stand earlier in the corpus, to be deleted."""
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """``(doc_id, version, first, last)``: windows of lines that stand earlier in the corpus, to be deleted."""
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), _version(F.col(text_col)).alias("version"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     windows = materialise(rows.mapInArrow(per_batch(_windows(min_words)), _WINDOWS), "windows")
     total = max(1, windows.count())
-    place = F.struct("doc_id", "print_line")
+    place = F.struct("doc_id", "version", "print_line")
     prints = (windows.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"))
               .filter("low <> high").select("fingerprint", "n"))
     met = attach(windows, prints, ["fingerprint"], F.col("n"), total, F.struct("doc_id", "first")).filter("n is not null").drop("n")
     met = materialise(met, "positions")
-    runs = (met.groupBy("run_hash").agg(F.min(F.struct("doc_id", "first", "last")).alias("origin"),
-                                        F.max(F.struct("doc_id", "first")).alias("latest"), F.count("*").alias("n"))
-            .filter("latest > struct(origin.doc_id, origin.first)").select("run_hash", "origin", "n"))
+    runs = (met.groupBy("run_hash").agg(F.min(F.struct("doc_id", "version", "first", "last")).alias("origin"),
+                                        F.max(F.struct("doc_id", "version", "first")).alias("latest"), F.count("*").alias("n"))
+            .filter("latest > struct(origin.doc_id, origin.version, origin.first)").select("run_hash", "origin", "n"))
     out = attach(met, runs, ["run_hash"], F.col("n"), total, F.struct("doc_id", "first")).filter("origin is not null")
     # within one document a run has to begin after the first one's end
-    return out.filter("doc_id <> origin.doc_id or first > origin.last").select("doc_id", "first", "last")
+    return out.filter("doc_id <> origin.doc_id or version <> origin.version or first > origin.last").select("doc_id", "version", "first", "last")
 
 
 def _cut(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
@@ -139,9 +145,10 @@ def _cut(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
 
 def _cut_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``__cut``: the struct of ``_cut``."""
-    cuts = repeated_runs(docs, min_words, id_col, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("c"))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("c.first").alias("__first"), F.col("c.last").alias("__last"))
-    rows = docs.withColumn("__id", F.col(id_col).cast("long")).join(cuts, "__id", "left")
+    cuts = repeated_runs(docs, min_words, id_col, text_col).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "last")).alias("c"))
+    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("c.first").alias("__first"), F.col("c.last").alias("__last"))
+    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__version", _version(F.col(text_col)))
+    rows = rows.join(cuts, ["__id", "__version"], "left")
     cut = F.arrow_udf(_cut, "text string, n_lines long, n_removed long")
     return rows.withColumn("__cut", cut(F.col(text_col), "__first", "__last"))
 
@@ -149,10 +156,11 @@ def _cut_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Da
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated runs of lines deleted from ``text_col``; all rows and columns stay.
 
-    Lines end at ``\\n`` and are compared as they are. The first place of a run, by id and line, keeps it; runs of
+    Lines end at ``\\n`` and are compared as they are. The first place of a run, by id, text and line, keeps it; runs of
     fewer than ``min_words`` words stay wherever they are. A text all of whose lines are deleted becomes empty; a
-    null text stays null. Rows with a null id neither lose lines nor count as a place. Rows that repeat an id are
-    one document at the same place: none of them is a later copy of the other. Empty tables give empty results.
+    null text stays null. Rows with a null id neither lose lines nor count as a place. Rows that repeat an id and its
+    text are one document at the same place: none of them is a later copy of the other. Different texts of one id are
+    documents of their own, in the order of a 64-bit hash of the text. Empty tables give empty results.
     """
     columns = [F.col("__cut.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return _cut_rows(docs, min_words, id_col, text_col).select(*columns)
