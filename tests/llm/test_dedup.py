@@ -8,7 +8,7 @@ from tests.llm.conftest import SCHEMA, syllables
 from textloom.llm.common import components
 from textloom.llm.exact_dedup import DigestIndex, exact_dedup
 from textloom.llm.line_dedup import line_dedup
-from textloom.llm.near_dup import near_duplicates
+from textloom.llm.near_dup import forest, near_duplicates
 
 
 def test_components(spark):
@@ -115,6 +115,18 @@ def test_near_dup_families(spark, block):
     assert 5 < len({r[2] for r in want}) < len(rows)
 
 
+def test_near_dup_forest_follows_the_threshold(spark):
+    assert forest(85) == (32, 6)
+    assert all((1 - (p / 100) ** d) ** t <= 3e-7 for p in range(5, 101) for t, d in [forest(p)])
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):  # two thirds of the words are shared: about half of the shingles
+        words = syllables(rng, 300).split()
+        rows += [(2 * i, " ".join(words[:200] + syllables(rng, 60).split())), (2 * i + 1, " ".join(words[:200] + syllables(rng, 60).split()))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in out)
+
+
 def brute_lines(rows, min_words):
     """Each line that lies in a stretch of at least min_words words which stands earlier (apart from the stretch itself)."""
     docs = {}

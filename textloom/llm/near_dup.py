@@ -1,12 +1,15 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures, confirmed on the full shingle sets.
 
+This is banding: a label is a band of values and equal labels make candidates. No order of signatures is sorted, no
+common prefix is measured and no depth adapts to a region; depth and number of labels follow from the threshold.
+
 1. Each text becomes its set of distinct word shingles (64-bit hashes). Texts with equal sets form a class; only
    one row per class goes on.
 2. The forest: ``trees`` labels of ``depth`` MinHash values each. Classes that share a label are neighbours, and a
    chain links each to the smallest of its label, so the candidate links are linear in the classes, however large
-   a label's region is. At the default sizes a pair at the threshold of 0.85 shares no label in 2.6e-7 of cases.
+   a label's region is. Their sizes follow from the threshold, at which a pair shares no label in 3e-7 of cases at most.
 3. Connected candidates form clusters; all links lie inside them. A cluster of up to ``block`` classes is one group:
-   its pairs go through the signatures (adaptive depth: 192 values) and those that may link two components are
+   its pairs go through the whole signatures and those that may link two components are
    confirmed on the full sets, most similar first, until no unconfirmed pair between components is left. Only the
    links of a spanning forest are returned.
 4. A larger cluster is first linked to its hub, the class that shares the most labels with others (a linear star).
@@ -16,6 +19,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -26,15 +30,25 @@ from pyspark.sql import functions as F
 from textloom.llm import textbytes as tb
 from textloom.llm.common import attach, components, documents, materialise, per_batch
 
-TREES = 32
-DEPTH = 6
+#: Most signature values of a forest that stays within them, the most depth, and how often a pair at the threshold may share no label.
+VALUES, DEPTH, MISS = 192, 6, 3e-7
 BLOCK = 1024
-#: Share of equal signature values below which a pair is not confirmed: over 5 standard errors below the threshold.
-SLACK = 0.13
+#: Share of equal signature values below which a pair is not confirmed: 5 standard errors below the threshold, this at least.
+SLACK, ERRORS = 0.13, 5
 
 _MULT = (np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, size=1024, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+def forest(percent: int) -> tuple[int, int]:
+    """``(trees, depth)``: the deepest labels with which a pair at ``percent`` shares none in ``MISS`` of cases at most."""
+    share = min(percent, 99) / 100
+    for depth in range(DEPTH, 0, -1):
+        trees = math.ceil(math.log(MISS) / math.log1p(-share ** depth))
+        if trees * depth <= VALUES:
+            return max(trees, VALUES // DEPTH), depth
+    return min(trees, len(_MULT)), 1
+
+
 def signature(hashes: np.ndarray, size: int) -> np.ndarray:
     """MinHash values (16 bits of each minimum) of a set of 64-bit hashes."""
     low = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -116,7 +130,8 @@ def confirm(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray, sets: list[np.nd
     ``side`` 0 and 1: only pairs with at least one class of side 1 are looked at.
     """
     union, links = _Union(dict.fromkeys(comp.tolist())), []
-    floor = (percent / 100 - SLACK) * sig.shape[1]
+    share = percent / 100
+    floor = (share - max(SLACK, ERRORS * math.sqrt(share * (1 - share) / sig.shape[1]))) * sig.shape[1]
     queue = []
     for i in np.flatnonzero(side):
         same = (sig == sig[i]).sum(axis=1)
@@ -170,18 +185,19 @@ def _star(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = TREES, depth: int = DEPTH,
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int | None = None, depth: int | None = None,
                     block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row per row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; the set holds the distinct ``k``-word
     shingles (with fewer words the whole sequence). Rows whose sets have ``100 * intersection >= percent * union``
-    are linked; ``component_id`` is the smallest id reachable and ``kept`` marks it. A text without words (or null)
+    are linked; without ``trees`` and ``depth`` the forest is that of ``forest(percent)``. ``component_id`` is the smallest id reachable and ``kept`` marks it. A text without words (or null)
     has the empty set and is linked with nothing. Rows with a null id are linked with nothing either; rows that
     repeat an id count as one document (with different texts, a link of either is a link of both). Other columns are
     ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    trees, depth = trees or forest(percent)[0], depth or forest(percent)[1]
     size = trees * depth
     signed = materialise(rows.mapInArrow(per_batch(_signatures(k, size)), "doc_id long, n_shingles long, set_hash binary, sig binary"), "signatures")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
