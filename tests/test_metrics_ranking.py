@@ -191,3 +191,27 @@ def test_char_f1_counts_rows_with_null_text(spark):
     df = spark.createDataFrame([(1, "ab", "ab"), (2, None, "x")], "id int, labels string, predictions string")
     r = M.char_f1(df).first()
     assert (r["score"], r["count"]) == (50.0, 2)
+
+
+def test_buckets_follow_the_size_and_no_job_runs_while_planning(spark, monkeypatch):
+    from textloom.operators import ranking as R
+    from textloom.sources import reader, sharding
+
+    monkeypatch.setattr(R, "_ROWS", 50)
+    df = spark.range(4000, numPartitions=5).select((F.col("id") * 7919 % 4001).alias("k"), (F.col("id") % 3).alias("g"))
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-only", "")
+    bucketed = R._bucketed(df, ["k"], 4)
+    plans = [global_index(df, ["k"], "i", 4), group_index(df, ["g"], ["k"], "i", 4), average_rank(df, "k", "r", 4),
+             reader.slice_split(df, ["k"], 10, 90, 4), sharding.assign_shards(df, ["k"], 1, 2, 8, partitions=4)]
+    assert len(sc.statusTracker().getJobIdsForGroup("plan-only")) == 0
+    sc.setJobGroup("run", "")
+    sizes = [r["count"] for r in bucketed.groupBy("_b").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 600  # 4,000 rows, 50 a bucket
+    keys = sorted(r.k for r in df.collect())
+    assert {r.k: r.i for r in plans[0].collect()} == {k: i for i, k in enumerate(keys)}
+    assert sorted(r.k for r in plans[3].collect()) == keys[400:3600]
+    assert len({(r.shard, r.pos) for r in plans[4].collect()}) == 4000
+    assert [r.k for r in reader.slice_split(df, ["k"], None, 0).collect()] == [] == reader.slice_split(df, ["k"], 100, None).collect()
+    assert reader.slice_split(df, ["k"], 0, 100).count() == 4000
+    assert reader.slice_split(df.where("false"), ["k"], 10, 90).count() == 0

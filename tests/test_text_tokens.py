@@ -69,8 +69,9 @@ def test_post_processing(spark):
 
 
 def test_decode_encode_identity(spark):
-    v = K.HashVocab()
-    corpus = spark.createDataFrame([("the cat sat on the mat",)], "text string")
-    vocab = v.lookup_list(corpus, "text")
-    df = corpus.select(v.ids("text").alias("ids"))
-    assert df.select(P.decode("ids", vocab, spark=spark)).collect()[0][0] == "the cat sat on the mat"
+    v = K.TableVocab(size=10)
+    corpus = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "")], "k int, text string")
+    vocab = v.build(corpus, "text")
+    ids = v.encode(corpus, ["k"], "text", vocab)
+    out = P.decode_columns(ids, ["ids"], v.word_list(vocab)).orderBy("k").collect()
+    assert [r["ids"] for r in out] == ["the cat sat on the mat", ""]

@@ -4,10 +4,13 @@ Spark has no distributed ``row_number() over (order by …)``: without a
 partition key the window pulls every row into one task.  These helpers give
 the same numbers in three steps:
 
-1. bounds of the order key are read from a sample of it and become literals
-   of the plan, so the bucket of a row is a pure function of its key: every
-   branch of the plan, every retry and every column selection sees the same
-   buckets (a hot group is split because the order key is part of the bounds);
+1. bounds of the order key are a scalar subquery: keys whose hash falls below
+   a share are sorted and every k-th is a bound.  The share follows the row
+   count, so there is one bucket per ``_ROWS`` rows however large the table.
+   Bounds are a pure function of the data: every branch of the plan, every
+   retry and every column selection sees the same buckets (a hot group is
+   split because the order key is part of the bounds), and a row finds its
+   bucket by binary search.  Nothing runs while the plan is built;
 2. rows per bucket (and group) are counted and turned into offsets: at most
    ``#buckets + #groups`` rows;
 3. rows are numbered by a window inside their bucket and the offset is added.
@@ -23,8 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Sampled keys per bucket, and the most buckets of a plan.
-_PER_BUCKET, _MOST = 64, 1024
+#: Rows per bucket, and sampled keys per bucket.
+_ROWS, _PER_BUCKET = 1 << 20, 24
+#: Range of the hash that decides which keys are sampled.
+_HASH = 1 << 40
+#: Steps of the binary search: more buckets than this power of two never arise.
+_DEPTH = 24
 
 
 def _parallelism(df: DataFrame, n: int | None) -> int:
@@ -37,35 +44,68 @@ def _key(columns: list[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
 
 
-def _bucketed(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
-    """``df`` with ``_b``: how many of the sampled bounds lie at or below the row's key."""
-    n = min(_parallelism(df, n), _MOST)
-    keys = df.select(*order)
-    total = keys.count()
-    share = min(1.0, _PER_BUCKET * n / max(total, 1))
-    sample = keys if share == 1.0 else keys.sample(share, seed=17)
-    rows = sample.distinct().orderBy(*order).collect()  # about _PER_BUCKET keys per bucket
-    picked = [rows[len(rows) * i // n] for i in range(1, n)] if rows else []
-    types = dict(df.dtypes)
-    bounds = [F.struct(*[F.lit(r[i]).cast(types[c]).alias(f"k{i}") for i, c in enumerate(order)]) for r in dict.fromkeys(picked)]
-    if not bounds:
-        return df.withColumn("_b", F.lit(0))
+def _buckets(df: DataFrame, n: int | None) -> tuple[Column, Column]:
+    """``(number of rows, number of buckets)`` as scalar subqueries."""
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return total, F.greatest(F.lit(_parallelism(df, n)).cast("long"), F.ceil(total / _ROWS))
+
+
+def _bounds(keys: DataFrame, n: int | None) -> Column:
+    """``STRUCT<bounds, steps>`` of the sorted bounds of column ``k`` and the binary search's step widths."""
+    total, buckets = _buckets(keys, n)
+    share = buckets * _PER_BUCKET * _HASH / F.greatest(total, F.lit(1))
+    sample = keys.where(F.pmod(F.xxhash64("k"), F.lit(_HASH)) < share)
+    s = sample.agg(F.array_sort(F.collect_list("k")).alias("s"), buckets.alias("n"))
+    picked = F.when(F.col("n") > 1, F.transform(F.sequence(F.lit(1).cast("long"), F.col("n") - 1),
+                                                lambda i: F.get("s", F.floor(i * F.size("s") / F.col("n")).cast("int"))))
+    s = s.where(F.size("s") > 0).select(picked.alias("b"))
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(_DEPTH - 1, -1, -1)]), lambda w: w <= F.size("b"))
+    return s.select(F.struct(F.col("b").alias("bounds"), steps.alias("steps")).alias("x")).scalar()
+
+
+def _bucket_of(key: Column, found: Column) -> Column:
+    """How many bounds lie at or below ``key``, by binary search (0 without bounds)."""
+    at = F.aggregate(found["steps"], F.lit(0), lambda lo, w: lo + F.when(F.get(found["bounds"], lo + w - 1) <= key, w).otherwise(0))
+    return F.coalesce(at, F.lit(0))
+
+
+def _bucketed(df: DataFrame, order: list[str], n: int | None, bucket=None) -> DataFrame:
+    """``df`` with the bucket ``_b`` of each row; ``bucket`` maps the number of buckets to a bucket that does not fall
+    along ``order``, where one is known without a sample (hashed keys)."""
+    if bucket is not None:
+        return df.withColumn("_b", bucket(_buckets(df, n)[1]))
     key = _key(order)
-    return df.withColumn("_b", F.size(F.filter(F.array(*bounds), lambda b: b <= key)))
+    r = df.withColumn("_x", _bounds(df.select(key.alias("k")), n))
+    return r.withColumn("_b", _bucket_of(key, F.col("_x"))).drop("_x")
 
 
-def global_index(df: DataFrame, order: list, idx_col: str = "idx", partitions: int | None = None) -> DataFrame:
-    """Exact 0-based position of each row in ``order`` (a total order)."""
-    r = _bucketed(df, order, partitions)
+def _offsets(r: DataFrame) -> DataFrame:
+    """``(_b, _n, _off)``: rows of a bucket and before it.  One row per ``_ROWS`` rows: one window and a broadcast are safe."""
     counts = r.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # ``counts`` has one row per bucket: bounded, so one window and a broadcast are safe.
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return counts.select("_b", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+
+
+def global_index(df: DataFrame, order: list, idx_col: str = "idx", partitions: int | None = None, bucket=None) -> DataFrame:
+    """Exact 0-based position of each row in ``order`` (a total order).  ``bucket``: see ``_bucketed``."""
+    r = _bucketed(df, order, partitions, bucket)
     local = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    out = r.withColumn("_local", local).join(F.broadcast(offsets), "_b")
+    out = r.withColumn("_local", local).join(F.broadcast(_offsets(r).drop("_n")), "_b")
     return out.withColumn(idx_col, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_b", "_local", "_off")
 
 
+def key_at(df: DataFrame, order: list, position: Column, partitions: int | None = None) -> Column:
+    """The order key (a struct) at a 0-based position, as a scalar subquery; NULL beyond the last row.
+
+    Only the bucket that holds the position is sorted; the other rows are counted.
+    """
+    r = _bucketed(df.select(*order), order, partitions)
+    at = _offsets(r).where((F.col("_off") <= position) & (position < F.col("_off") + F.col("_n"))) \
+        .select("_b", (position - F.col("_off") + 1).alias("_k"))
+    hit = r.join(F.broadcast(at), "_b").withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
+    return hit.where(F.col("_rn") == F.col("_k")).agg(F.first(_key(order)).alias("k")).scalar()
+
+
 def group_index(df: DataFrame, group: list[str], order: list, idx_col: str = "idx",
                 partitions: int | None = None) -> DataFrame:
     """Exact 0-based position of each row inside its group, ordered by ``order``.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from textloom.operators.ranking import global_index
+from textloom.operators.ranking import key_at
 
 
 @dataclass(frozen=True)
@@ -80,19 +80,19 @@ def percent_bound(n: Column, pct: float) -> Column:
 
 def slice_split(df: DataFrame, order: list, start_pct: float | None, end_pct: float | None,
                 partitions: int | None = None) -> DataFrame:
-    """A3 (exact): positional ``[start%:end%]`` slice by a global index in ``order``.
+    """A3 (exact): positional ``[start%:end%]`` slice in ``order`` (a total order).
 
-    The index comes from ``global_index`` (range-partitioned, no one-task
-    window); the row count is a plain count aggregated alongside.
+    A slice is a range of the order key: the keys at its two positions are looked up (``key_at``: a count per bucket
+    and a sort of the one bucket that holds the position) and the rows are filtered where they lie, unshuffled.
     """
-    idx = global_index(df, order, "_idx", partitions)
     n = df.agg(F.count(F.lit(1)).alias("_n")).scalar()
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
     cond = F.lit(True)
     if start_pct is not None:
-        cond = cond & (F.col("_idx") >= percent_bound(n, start_pct))
+        cond = cond & F.coalesce(key >= key_at(df, order, percent_bound(n, start_pct), partitions), F.lit(False))
     if end_pct is not None:
-        cond = cond & (F.col("_idx") < percent_bound(n, end_pct))
-    return idx.where(cond).drop("_idx")
+        cond = cond & F.coalesce(key < key_at(df, order, percent_bound(n, end_pct), partitions), F.lit(True))
+    return df.where(cond)
 
 
 def hash_bucket(key_cols: list, buckets: int = 100, seed: str = "") -> Column:

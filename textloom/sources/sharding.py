@@ -3,7 +3,7 @@
 The reference shuffles indices per epoch and deals them to ranks
 (``indices[rank::world]``) in fixed-size batches.  Here the epoch order is a
 hash of ``(seed, epoch, id)``; the global position in that order comes from
-the range-partitioned ``global_index``, so ``shard = idx % world`` and
+``global_index`` (buckets are ranges of the hash), so ``shard = idx % world`` and
 ``pos = idx div world``.  Shards are not padded with repeated rows.
 """
 
@@ -25,7 +25,9 @@ def assign_shards(df: DataFrame, id_cols: list, epoch: int, world_size: int, bat
     from textloom.operators.ranking import global_index
 
     keyed = df.withColumn("_ek", epoch_key(id_cols, epoch, seed))
-    idx = global_index(keyed, ["_ek", *id_cols], "_gidx", partitions)
+    # the hashed key is even, so its leading part is the bucket
+    idx = global_index(keyed, ["_ek", *id_cols], "_gidx", partitions,
+                       bucket=lambda n: F.floor(F.col("_ek") / F.lit(float(1 << 60)) * n).cast("int"))
     return idx.withColumns({
         "shard": (F.col("_gidx") % world_size).cast("int"),
         "pos": F.floor(F.col("_gidx") / world_size).cast("bigint"),
