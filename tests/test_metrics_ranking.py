@@ -215,3 +215,61 @@ def test_buckets_follow_the_size_and_no_job_runs_while_planning(spark, monkeypat
     assert [r.k for r in reader.slice_split(df, ["k"], None, 0).collect()] == [] == reader.slice_split(df, ["k"], 100, None).collect()
     assert reader.slice_split(df, ["k"], 0, 100).count() == 4000
     assert reader.slice_split(df.where("false"), ["k"], 10, 90).count() == 0
+
+
+def test_grouped_metrics_equal_the_metric_of_each_group(spark):
+    rnd = random.Random(11)
+    words = "the cat sat on a mat . dog ran, far\nhome".split(" ")
+    rows = []
+    for i in range(40):
+        a = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))
+        b = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))
+        n = rnd.randint(0, 8)
+        ct = [rnd.choice([0, 1, 2]) if i % 4 != 3 else 2 for _ in range(n)]
+        rows.append((i, i % 4, a, b, rnd.randrange(3), rnd.randrange(3), ct, [rnd.choice([0, 1, 2]) for _ in range(n)]))
+    df = spark.createDataFrame(rows, "id int, g int, t string, p string, x int, y int, ct array<int>, cp array<int>")
+    tags = ["B-A", "I-A", "O"]
+    calls = [(M.accuracy, ("x", "y"), {}), (M.micro_f1_nonzero, ("x", "y"), {}), (M.relation_f1, ("x", "y"), {}), (M.bleu, ("t", "p"), {}),
+             (M.rouge_n, ("t", "p"), {}), (M.rouge_lsum, ("t", "p"), {}), (M.char_f1, ("t", "p"), {}), (M.token_accuracy, ("ct", "cp"), {}),
+             (M.char_entity_f1, ("ct", "cp", tags), {}), (M.char_entity_f1, ("ct", "cp", tags), {"compat": True})]
+    for fn, args, kw in calls:
+        got = {(r["g"], r["metric"]): (r["score"], r["count"]) for r in fn(df, *args, group=["g"], **kw).collect()}
+        for g in range(4):
+            for r in fn(df.where(F.col("g") == g), *args, **kw).collect():
+                if r["count"]:
+                    assert got[(g, r["metric"])] == pytest.approx((r["score"], r["count"])), (fn.__name__, g)
+                else:
+                    assert got.get((g, r["metric"]), (None, 0))[1] == 0
+
+
+def test_bootstrap_equals_numpy_and_is_stable(spark):
+    import hashlib
+
+    levels = M.poisson_levels()
+    assert levels == sorted(levels) and int(levels[0], 16) == math.floor(math.exp(-1) * 16 ** 8)
+    rnd = random.Random(12)
+    values = {f"r{i}": rnd.random() for i in range(60)}
+    df = spark.createDataFrame([(k, v, v * v) for k, v in values.items()], "_id string, a double, b double")
+    means = {"a": [], "b": []}
+    for b in range(102):
+        w = {}
+        for k in values:
+            word = hashlib.md5(f"7:{b // 4}:{k}".encode()).hexdigest()[8 * (b % 4):8 * (b % 4) + 8]
+            w[k] = sum(word >= x for x in levels)
+        assert 20 < sum(w.values()) < 120
+        for c, f in (("a", 1), ("b", 2)):
+            means[c].append(sum(w[k] * v ** f for k, v in values.items()) / sum(w.values()))
+    for parts in (1, 7):
+        got = {r["metric"]: r for r in M.bootstrap(df.repartition(parts), ["a", "b"], replicates=102, seed=7).collect()}
+        for c, xs in means.items():
+            assert [got[c]["low"], got[c]["score"], got[c]["high"]] == pytest.approx([100 * np.quantile(xs, q) for q in (0.025, 0.5, 0.975)])
+            assert got[c]["count"] == 60
+    assert {r["metric"]: (r["score"], r["count"]) for r in M.bootstrap(df.limit(0), ["a"], replicates=8).collect()} == {"a": (None, 0)}
+
+
+def test_rouge_bootstrap_keys(spark):
+    df = spark.createDataFrame([(i, "a b c d", "a b x d" if i % 2 else "a b c d") for i in range(30)], "id int, labels string, predictions string")
+    got = {r["metric"]: r for r in M.rouge_bootstrap(df, keys=("rouge2", "rougeLsum"), replicates=200).collect()}
+    assert set(got) == {"rouge2", "rougeLsum"}
+    assert all(r["low"] <= r["score"] <= r["high"] and r["count"] == 30 for r in got.values())
+    assert got["rougeLsum"]["score"] == pytest.approx(87.5, abs=5)

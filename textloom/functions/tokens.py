@@ -8,15 +8,17 @@ A tokenizer turns a text column into ``ARRAY<STRUCT<tok, id, start, end>>``
   O(n) per row with higher-order functions (no window, no shuffle).
 * ``TableVocab`` is a corpus job (top-V words by count) for decoding and for
   vocabularies that must be dense.
-* ``ArrowTokenizer`` wraps a user callable in a pandas UDF (plug-in tokenizers).
+* ``ArrowTokenizer`` calls a user callable once per Arrow batch (plug-in tokenizers).
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 from typing import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,7 @@ FIRST_WORD_ID = 3
 
 SEPARATORS = (" ", "\t", "\n", "\r")
 SEP_REGEX = "[ \t\n\r]"
+_WORD = re.compile("[^ \t\n\r]+")
 
 TOKEN_STRUCT = T.ArrayType(T.StructType([
     T.StructField("tok", T.StringType()),
@@ -83,6 +86,22 @@ class HashVocab:
     def ids(self, text) -> Column:
         return F.transform(words(text), self.word_id)
 
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        """``(start, end)`` of each word, for Arrow batches."""
+        return [m.span() for m in _WORD.finditer(text)]
+
+    def batch(self, texts: list[str]) -> list[list[tuple[str, int, int, int]]]:
+        """``(tok, id, start, end)`` of each word of each text, for Arrow batches; the same values as ``tokens``."""
+        known: dict[str, int] = {}
+
+        def word_id(w: str) -> int:
+            i = known.get(w)
+            if i is None:
+                i = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.size + FIRST_WORD_ID
+            return i
+
+        return [[(w, word_id(w), *m.span()) for m in _WORD.finditer(t) for w in (m.group(),)] for t in texts]
+
     def tokens(self, text) -> Column:
         return F.transform(
             word_offsets(text),
@@ -95,6 +114,8 @@ class HashVocab:
         )
 
 
+#: Shares of a vocabulary that are cut to their top in parallel.
+_PARTS = 32
 #: Largest vocabulary that is broadcast to the rows; beyond it the planner picks the join.
 BROADCAST_WORDS = 1 << 16
 
@@ -109,13 +130,11 @@ class TableVocab:
         from pyspark.sql.window import Window
 
         counts = corpus.select(F.explode(words(F.col(text_col))).alias("tok")).groupBy("tok").count()
-        # how many words have each count: the least count that still belongs to the top, so that only
-        # those words (``size`` and the ties of the last) reach the sort and its one-task merge
-        falling = Window.orderBy(F.col("count").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = counts.groupBy("count").agg(F.count(F.lit(1)).alias("n"))
-        least = sizes.withColumn("above", F.coalesce(F.sum("n").over(falling), F.lit(0))) \
-            .where(F.col("above") < self.size).agg(F.min("count")).scalar()
-        top = counts.where(F.col("count") >= least).orderBy(F.col("count").desc(), F.col("tok")).limit(self.size)
+        # the corpus is counted once; each of _PARTS shares of the vocabulary keeps its own top (a limit per task before
+        # the shuffle, one per share after it), so the last sort sees _PARTS * size words at most
+        share = Window.partitionBy(F.pmod(F.xxhash64("tok"), F.lit(_PARTS))).orderBy(F.col("count").desc(), F.col("tok"))
+        best = counts.withColumn("_place", F.row_number().over(share)).where(F.col("_place") <= self.size).drop("_place")
+        top = best.orderBy(F.col("count").desc(), F.col("tok")).limit(self.size)
         # ``top`` has at most ``size`` rows, so numbering it in one window is bounded work.
         w = Window.orderBy(F.col("count").desc(), F.col("tok"))
         return top.select("tok", (F.row_number().over(w) + F.lit(FIRST_WORD_ID - 1)).cast("int").alias("id"), "count")
@@ -141,23 +160,31 @@ class TableVocab:
 
 
 class ArrowTokenizer:
-    """Plug-in tokenizer: ``fn(str) -> list[(tok, id, start, end)]`` run in a pandas UDF."""
+    """Plug-in tokenizer: ``fn`` maps the texts of an Arrow batch to one list of ``(tok, id, start, end)`` per text.
 
-    def __init__(self, fn: Callable[[str], list]):
+    Null texts do not reach the callable and give NULL.
+    """
+
+    def __init__(self, fn: Callable[[list[str]], list[list[tuple[str, int, int, int]]]]):
         self.fn = fn
 
-    def tokens(self, text) -> Column:
-        import pandas as pd
+    def batch(self, texts: list[str]) -> list[list[tuple[str, int, int, int]]]:
+        out = self.fn(texts) if texts else []
+        if len(out) != len(texts):
+            raise ValueError(f"the tokenizer gave {len(out)} lists for {len(texts)} texts")
+        return out
 
-        fn = self.fn
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        return [(t[2], t[3]) for t in self.batch([text])[0]]
 
-        @F.pandas_udf(TOKEN_STRUCT)
-        def _tok(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: [
-                {"tok": a, "id": int(b), "start": int(c), "end": int(d)} for a, b, c, d in fn(t)
-            ] if t is not None else None)
+    def tokens(self, text) -> Column:
+        def run(texts: pa.Array) -> pa.Array:
+            found = texts.to_pylist()
+            done = iter(self.batch([t for t in found if t is not None]))
+            rows = [None if t is None else [dict(zip(("tok", "id", "start", "end"), x)) for x in next(done)] for t in found]
+            return pa.array(rows, pa.list_(pa.struct([("tok", pa.string()), ("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
 
-        return _tok(_c(text))
+        return F.arrow_udf(run, TOKEN_STRUCT)(_c(text))
 
     def ids(self, text) -> Column:
         return F.transform(self.tokens(text), lambda s: s.getField("id"))

@@ -55,6 +55,13 @@ UTTERANCE_CLASSES = [
     "intonation-depedent utterance",
 ]
 SPAN_TAGS = ["O", "B", "I"]
+DEP_SYNTAX = ["NP", "VP", "AP", "VNP", "DP", "IP", "X", "L", "R"]
+DEP_FUNCTIONS = ["SBJ", "OBJ", "MOD", "AJT", "CMP", "CNJ"]
+DEP_RELATIONS = [
+    "NP", "NP_AJT", "VP", "NP_SBJ", "VP_MOD", "NP_OBJ", "AP", "NP_CNJ", "NP_MOD", "VNP", "DP", "VP_AJT", "VNP_MOD", "NP_CMP", "VP_SBJ", "VP_CMP",
+    "VP_OBJ", "VNP_CMP", "AP_MOD", "X_AJT", "VNP_AJT", "VP_CNJ", "IP", "X", "VNP_OBJ", "X_SBJ", "X_OBJ", "VNP_SBJ", "L", "AP_AJT", "X_CMP",
+    "X_CNJ", "X_MOD", "AP_CMP", "R", "VNP_CNJ", "AP_SBJ", "NP_SVJ",
+]
 # ---- end of fixed values ----
 
 

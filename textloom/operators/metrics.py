@@ -3,11 +3,14 @@
 Every metric returns a DataFrame ``(metric STRING, score DOUBLE, count BIGINT)``
 computed exactly over all rows (not averaged per batch).  Sums are merged by
 Spark's partial/final aggregation, so a metric over 100 TB is one pass plus a
-one-row final step.  ``batched`` variants reproduce the per-batch meter.
+one-row final step.  With ``group`` a metric gives one row per group, which
+``batched`` uses to reproduce the per-batch meter.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +25,10 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _result(df: DataFrame, name: str, score: Column, count: Column) -> DataFrame:
-    return df.agg(score.cast("double").alias("score"), count.cast("bigint").alias("count")) \
-        .select(F.lit(name).alias("metric"), "score", "count")
+def _result(df: DataFrame, name: str, score: Column, count: Column, group: list[str] = ()) -> DataFrame:
+    """``(*group, metric, score, count)``: one row, or one per group."""
+    return df.groupBy(*group).agg(score.cast("double").alias("score"), count.cast("bigint").alias("count")) \
+        .select(*group, F.lit(name).alias("metric"), "score", "count")
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -33,32 +37,33 @@ def _ratio(num: Column, den: Column) -> Column:
 
 # ---------------------------------------------------------------- M1 M2 M2b M5 M11
 
-def accuracy(df: DataFrame, target="labels", prediction="predictions", name: str = "accuracy") -> DataFrame:
+def accuracy(df: DataFrame, target="labels", prediction="predictions", name: str = "accuracy", group: list[str] = ()) -> DataFrame:
     """M1/M5: 100 · mean(target = prediction)."""
     hit = _c(target).eqNullSafe(_c(prediction)).cast("double")
-    return _result(df, name, F.avg(hit) * 100, F.count(F.lit(1)))
+    return _result(df, name, F.avg(hit) * 100, F.count(F.lit(1)), group)
 
 
-def exact_match(df: DataFrame, target="labels", prediction="predictions") -> DataFrame:
+def exact_match(df: DataFrame, target="labels", prediction="predictions", group: list[str] = ()) -> DataFrame:
     """M5: string exact match."""
-    return accuracy(df, target, prediction, name="exact_match_str")
+    return accuracy(df, target, prediction, "exact_match_str", group)
 
 
-def micro_f1_nonzero(df: DataFrame, target="labels", prediction="predictions") -> DataFrame:
-    """M2: micro-F1 with weight 0 on target 0 = accuracy over rows whose target ≠ 0 (NULL if none)."""
+def micro_f1_nonzero(df: DataFrame, target="labels", prediction="predictions", group: list[str] = ()) -> DataFrame:
+    """M2: micro-F1 with weight 0 on target 0 = accuracy over rows whose target ≠ 0 (NULL and count 0 if none)."""
     t, p = _c(target), _c(prediction)
     w = (t != 0).cast("long")
-    return _result(df, "f1_score_micro_sample_weight", _ratio(F.sum(w * (t == p).cast("long")), F.sum(w)) * 100, F.sum(w))
+    score = _ratio(F.sum(w * (t == p).cast("long")), F.sum(w)) * 100
+    return _result(df, "f1_score_micro_sample_weight", score, F.sum(w), group)
 
 
-def relation_f1(df: DataFrame, target="labels", prediction="predictions", negative: int = 0) -> DataFrame:
+def relation_f1(df: DataFrame, target="labels", prediction="predictions", negative: int = 0, group: list[str] = ()) -> DataFrame:
     """Micro-F1 over the positive classes (class ``negative`` excluded)."""
     t, p = _c(target), _c(prediction)
     tp = F.sum(((t == p) & (t != negative)).cast("long"))
     fp = F.sum(((p != negative) & (p != t)).cast("long"))
     fn = F.sum(((t != negative) & (p != t)).cast("long"))
     score = F.coalesce(_ratio(2 * tp, 2 * tp + fp + fn), F.lit(0.0)) * 100
-    return _result(df, "relation_micro_f1", score, F.sum((t != negative).cast("long")))
+    return _result(df, "relation_micro_f1", score, F.sum((t != negative).cast("long")), group)
 
 
 def matthews(df: DataFrame, target="labels", prediction="predictions", group: list[str] = ()) -> DataFrame:
@@ -98,11 +103,7 @@ def pearson(df: DataFrame, target="labels", prediction="predictions", name: str
     """
     t, p = _c(target).cast("double"), _c(prediction).cast("double")
     den = F.stddev_pop(t) * F.stddev_pop(p)
-    score = F.when(den > 0, F.covar_pop(t, p) / den) * 100
-    if not group:
-        return _result(df, name, score, F.count(F.lit(1)))
-    return df.groupBy(*group).agg(score.alias("score"), F.count(F.lit(1)).cast("bigint").alias("count")) \
-        .select(*group, F.lit(name).alias("metric"), "score", "count")
+    return _result(df, name, F.when(den > 0, F.covar_pop(t, p) / den) * 100, F.count(F.lit(1)), group)
 
 
 def spearman(df: DataFrame, target="labels", prediction="predictions", partitions: int | None = None,
@@ -135,7 +136,7 @@ def _sum_array(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint"))
 
 
-def token_accuracy(df: DataFrame, target="labels", prediction="predictions", mask: str | None = None) -> DataFrame:
+def token_accuracy(df: DataFrame, target="labels", prediction="predictions", mask: str | None = None, group: list[str] = ()) -> DataFrame:
     """M9: flattened token accuracy over equal-length arrays; optional mask weights."""
     t, p = _c(target), _c(prediction)
     hits = F.zip_with(t, p, lambda a, b: F.when(a == b, 1).otherwise(0))
@@ -146,11 +147,11 @@ def token_accuracy(df: DataFrame, target="labels", prediction="predictions", mas
     else:
         num = _sum_array(hits)
         den = F.size(t).cast("bigint")
-    return _result(df, "token_accuracy", _ratio(F.sum(num), F.sum(den)) * 100, F.sum(den))
+    return _result(df, "token_accuracy", _ratio(F.sum(num), F.sum(den)) * 100, F.sum(den), group)
 
 
 def token_accuracy_ragged(df: DataFrame, target="labels", prediction="predictions", mask: str | None = None,
-                          compat: bool = False) -> DataFrame:
+                          compat: bool = False, group: list[str] = ()) -> DataFrame:
     """Pairs up to the shorter array.  With ``mask`` (default behaviour for
     padded targets) positions with mask 0 are skipped; ``compat`` counts them, as upstream."""
     t, p = _c(target), _c(prediction)
@@ -164,12 +165,12 @@ def token_accuracy_ragged(df: DataFrame, target="labels", prediction="prediction
     else:
         num = _sum_array(hits)
         den = m.cast("bigint")
-    return _result(df, "token_accuracy", _ratio(F.sum(num), F.sum(den)) * 100, F.sum(den))
+    return _result(df, "token_accuracy", _ratio(F.sum(num), F.sum(den)) * 100, F.sum(den), group)
 
 
 # ---------------------------------------------------------------- M6
 
-def char_f1(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id") -> DataFrame:
+def char_f1(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", group: list[str] = ()) -> DataFrame:
     """M6: per-row multiset character-overlap F1 (0 when nothing in common), mean × 100.
 
     Both sides' characters (plus one marker so rows without characters still
@@ -183,15 +184,15 @@ def char_f1(df: DataFrame, target="labels", prediction="predictions", id_col: st
 
     marker = F.array(F.struct(F.lit(None).cast("string").alias("ch"), F.lit(0).alias("a"), F.lit(0).alias("b")))
     items = F.concat(side(target, 1, 0), side(prediction, 0, 1), marker)
-    e = df.select(_c(id_col).alias("_id"), F.explode(items).alias("x")) \
-        .select("_id", "x.ch", "x.a", "x.b").where(F.col("ch").isNull() | (F.col("ch") != ""))
-    per_char = e.groupBy("_id", "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = per_char.groupBy("_id").agg(F.sum(F.least("a", "b")).alias("same"), F.sum("a").alias("lt"),
+    e = df.select(*group, _c(id_col).alias("_id"), F.explode(items).alias("x")) \
+        .select(*group, "_id", "x.ch", "x.a", "x.b").where(F.col("ch").isNull() | (F.col("ch") != ""))
+    per_char = e.groupBy(*group, "_id", "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = per_char.groupBy(*group, "_id").agg(F.sum(F.least("a", "b")).alias("same"), F.sum("a").alias("lt"),
                                        F.sum("b").alias("lp"))
     prec = _ratio(F.col("same"), F.col("lp"))
     rec = _ratio(F.col("same"), F.col("lt"))
     f1 = F.when(F.col("same") == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
-    return _result(rows, "f1_str", F.avg(f1) * 100, F.count(F.lit(1)))
+    return _result(rows, "f1_str", F.avg(f1) * 100, F.count(F.lit(1)), group)
 
 
 # ---------------------------------------------------------------- M3 M4
@@ -213,8 +214,8 @@ def ngrams(tokens, n: int, prefix: str = "") -> Column:
         F.lit(prefix), F.array_join(F.slice(tk, i + 1, n), " ")) if prefix else F.array_join(F.slice(tk, i + 1, n), " ")))
 
 
-def _ngram_rows(df: DataFrame, toks_t: str, toks_p: str, orders: list[int]) -> DataFrame:
-    """(``_id``, n, gram, a=count in target, b=count in prediction) per distinct gram of each row.
+def _ngram_rows(df: DataFrame, toks_t: str, toks_p: str, orders: list[int], group: list[str] = ()) -> DataFrame:
+    """(*group, ``_id``, n, gram, a=count in target, b=count in prediction) per distinct gram of each row.
 
     Every order and both sides go into one array per row, exploded once (one
     scan of the input), plus one marker per order with a NULL gram so every
@@ -237,16 +238,17 @@ def _ngram_rows(df: DataFrame, toks_t: str, toks_p: str, orders: list[int]) -> D
         return F.array(*parts)
 
     allp = let_many({"t": F.col(toks_t), "p": F.col(toks_p)}, body)
-    e = df.select("_id", F.explode(allp).alias("x")) \
-        .select("_id", "x.n", "x.a", "x.b", F.explode_outer("x.g").alias("gram"))
-    return e.groupBy("_id", "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    e = df.select(*group, "_id", F.explode(allp).alias("x")) \
+        .select(*group, "_id", "x.n", "x.a", "x.b", F.explode_outer("x.g").alias("gram"))
+    return e.groupBy(*group, "_id", "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def bleu(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", max_order: int = 4) -> DataFrame:
-    """M3: corpus BLEU-4, exponential smoothing, international tokenization, case kept."""
-    base = df.select(_c(id_col).alias("_id"), bleu_tokens(target).alias("_tt"), bleu_tokens(prediction).alias("_tp"))
+def bleu(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", max_order: int = 4,
+         group: list[str] = ()) -> DataFrame:
+    """M3: corpus BLEU-4 (of each group), exponential smoothing, international tokenization, case kept."""
+    base = df.select(*group, _c(id_col).alias("_id"), bleu_tokens(target).alias("_tt"), bleu_tokens(prediction).alias("_tp"))
     orders = list(range(1, max_order + 1))
-    g = _ngram_rows(base, "_tt", "_tp", orders)
+    g = _ngram_rows(base, "_tt", "_tp", orders, group)
     # corpus lengths are the unigram totals and the row count is the number of order-1 markers,
     # so one aggregation over the gram table gives every statistic (no second pass over the input)
     aggs = []
@@ -258,14 +260,13 @@ def bleu(df: DataFrame, target="labels", prediction="predictions", id_col: str =
     aggs += [F.sum(F.when(one, F.col("a")).otherwise(0)).alias("ref_len"),
              F.sum(F.when(one, F.col("b")).otherwise(0)).alias("sys_len"),
              F.sum(F.when(one & F.col("gram").isNull(), 1).otherwise(0)).alias("rows")]
-    s = g.agg(*aggs)
-    return _bleu_score(s, orders)
+    return _bleu_score(g.groupBy(*group).agg(*aggs), orders, group)
 
 
-def _bleu_score(s: DataFrame, orders: list[int]) -> DataFrame:
-    """Closed form over one row of corpus statistics ``{n}_c``, ``{n}_t``, ``ref_len``, ``sys_len``, ``rows``."""
+def _bleu_score(s: DataFrame, orders: list[int], group: list[str] = ()) -> DataFrame:
+    """Closed form over a row of corpus statistics ``{n}_c``, ``{n}_t``, ``ref_len``, ``sys_len``, ``rows`` (per group)."""
     max_order = len(orders)
-    s = s.select(*[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in s.columns])
+    s = s.select(*group, *[F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c) for c in s.columns if c not in group])
     # exponential smoothing: the k-th zero match count uses 1 / (2^k · total)
     log_sum = F.lit(0.0)
     zeros = F.lit(0)
@@ -280,7 +281,7 @@ def _bleu_score(s: DataFrame, orders: list[int]) -> DataFrame:
     bp = F.when(F.col("sys_len") >= F.col("ref_len"), F.lit(1.0)) \
         .when(F.col("sys_len") > 0, F.exp(1 - F.col("ref_len") / F.col("sys_len"))).otherwise(F.lit(0.0))
     score = F.when(any_empty, F.lit(0.0)).otherwise(bp * F.exp(log_sum / max_order))
-    return s.select(F.lit("bleu").alias("metric"), score.alias("score"), F.col("rows").cast("bigint").alias("count"))
+    return s.select(*group, F.lit("bleu").alias("metric"), score.alias("score"), F.col("rows").cast("bigint").alias("count"))
 
 
 def bleu_multi_ref(df: DataFrame, targets="labels", prediction="predictions", id_col: str = "id",
@@ -335,19 +336,24 @@ def rouge_tokens(text, ascii_only: bool = False) -> Column:
     return F.filter(F.split(t, pat, -1), lambda w: w != F.lit(""))
 
 
-def rouge_n(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", orders=(1, 2),
-            ascii_only: bool = False) -> DataFrame:
-    """M4 (rouge1, rouge2): per-row n-gram overlap F-measure, mean × 100."""
-    base = df.select(_c(id_col).alias("_id"), rouge_tokens(target, ascii_only).alias("_tt"),
+def _rouge_n_rows(df: DataFrame, target, prediction, id_col: str, orders, ascii_only: bool, group: list[str] = ()) -> DataFrame:
+    """F-measure per row and order: ``(*group, _id, metric, f)``."""
+    base = df.select(*group, _c(id_col).alias("_id"), rouge_tokens(target, ascii_only).alias("_tt"),
                      rouge_tokens(prediction, ascii_only).alias("_tp"))
-    g = _ngram_rows(base, "_tt", "_tp", list(orders))
+    g = _ngram_rows(base, "_tt", "_tp", list(orders), group)
     # the per-order markers make every (row, n) group exist, so no grid join is needed
-    rows = g.groupBy("_id", "n").agg(F.sum(F.least("a", "b")).alias("o"), F.sum("a").alias("rt"), F.sum("b").alias("rp"))
+    rows = g.groupBy(*group, "_id", "n").agg(F.sum(F.least("a", "b")).alias("o"), F.sum("a").alias("rt"), F.sum("b").alias("rp"))
     prec = _ratio(F.col("o"), F.col("rp"))
     rec = _ratio(F.col("o"), F.col("rt"))
     f = F.when(F.col("o") == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
-    return rows.groupBy("n").agg((F.avg(f) * 100).alias("score"), F.count(F.lit(1)).cast("bigint").alias("count")) \
-        .select(F.concat(F.lit("rouge"), F.col("n").cast("string")).alias("metric"), "score", "count")
+    return rows.select(*group, "_id", F.concat(F.lit("rouge"), F.col("n").cast("string")).alias("metric"), f.alias("f"))
+
+
+def rouge_n(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", orders=(1, 2),
+            ascii_only: bool = False, group: list[str] = ()) -> DataFrame:
+    """M4 (rouge1, rouge2): per-row n-gram overlap F-measure, mean × 100."""
+    rows = _rouge_n_rows(df, target, prediction, id_col, orders, ascii_only, group)
+    return rows.groupBy(*group, "metric").agg((F.avg("f") * 100).alias("score"), F.count(F.lit(1)).cast("bigint").alias("count"))
 
 
 def _lcs_union_fscore(ref: str, pred: str, ascii_only: bool) -> float:
@@ -407,16 +413,87 @@ def _lcs_union_fscore(ref: str, pred: str, ascii_only: bool) -> float:
     return 2 * prec * rec / (prec + rec)
 
 
-def rouge_lsum(df: DataFrame, target="labels", prediction="predictions", ascii_only: bool = False) -> DataFrame:
-    """M4 (rougeLsum): summary-level LCS F-measure per row in a pandas UDF, mean × 100."""
+def _lsum(target, prediction, ascii_only: bool) -> Column:
     import pandas as pd
 
     @F.pandas_udf(T.DoubleType())
     def lsum(r: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series([_lcs_union_fscore(a or "", b or "", ascii_only) for a, b in zip(r, p)])
 
-    return _result(df.select(lsum(_c(target), _c(prediction)).alias("_f")), "rougeLsum",
-                   F.avg("_f") * 100, F.count(F.lit(1)))
+    return lsum(_c(target), _c(prediction))
+
+
+def rouge_lsum(df: DataFrame, target="labels", prediction="predictions", ascii_only: bool = False, group: list[str] = ()) -> DataFrame:
+    """M4 (rougeLsum): summary-level LCS F-measure per row in a pandas UDF, mean × 100."""
+    rows = df.select(*group, _lsum(target, prediction, ascii_only).alias("_f"))
+    return _result(rows, "rougeLsum", F.avg("_f") * 100, F.count(F.lit(1)), group)
+
+
+ROUGE_KEYS = ("rouge1", "rouge2", "rougeLsum")
+
+
+def rouge_rows(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", keys=ROUGE_KEYS, ascii_only: bool = False) -> DataFrame:
+    """One row per input row: ``_id`` and an F-measure column per key (``rouge<n>`` or ``rougeLsum``).  Ids are unique."""
+    orders = [int(k[5:]) for k in keys if k != "rougeLsum"]
+    rows = _rouge_n_rows(df, target, prediction, id_col, orders, ascii_only) if orders else None
+    if "rougeLsum" in keys:
+        long = df.select(_c(id_col).alias("_id"), F.lit("rougeLsum").alias("metric"), _lsum(target, prediction, ascii_only).alias("f"))
+        rows = long if rows is None else rows.unionByName(long)
+    return rows.groupBy("_id").agg(*[F.max(F.when(F.col("metric") == k, F.col("f"))).alias(k) for k in keys])
+
+
+def poisson_levels(digits: int = 8) -> list[str]:
+    """Hex words up to which a uniform word of ``digits`` hex digits gives a Poisson(1) weight of 0, 1, 2, …:
+    the weight is the number of levels at or below the word."""
+    out, total, term = [], 0.0, math.exp(-1)
+    for k in range(1, 64):
+        total += term
+        level = math.floor(total * 16 ** digits)
+        if level >= 16 ** digits:
+            break
+        out.append(f"{level:0{digits}x}")
+        term /= k
+    return list(dict.fromkeys(out))
+
+
+def bootstrap(rows: DataFrame, keys: list[str], id_col: str = "_id", replicates: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Bootstrap of column means: ``(metric, low, score, high, count)`` per key, scores × 100.
+
+    A replicate weighs every row by a Poisson(1) draw, the distributed form of drawing ``count`` rows with
+    replacement.  Draws come from the md5 of ``seed:chunk:id`` (eight hex digits each, four replicates a digest), so
+    reruns and retries agree and no row sees another.  Each task adds up its rows per replicate; the score is the
+    median over the replicates' means, low and high the bounds of the middle ``level``.  A replicate without any
+    weight is left out.  Work is rows × replicates; ids are unique.
+    """
+    levels = poisson_levels()
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_chunk").cast("string"), F.col("_key")))
+
+    def weight(word: Column) -> Column:
+        out = F.lit(len(levels))
+        for k in range(len(levels) - 1, -1, -1):
+            out = F.when(word < levels[k], F.lit(k)).otherwise(out)
+        return out
+
+    e = rows.select(F.col(id_col).cast("string").alias("_key"), *keys, F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))).alias("_chunk"))
+    e = e.withColumn("_digest", digest)
+    words = F.array(*[F.struct((F.col("_chunk") * 4 + i).alias("_b"), weight(F.substring("_digest", 8 * i + 1, 8)).alias("_w")) for i in range(4)])
+    e = e.select(*keys, F.explode(words).alias("_x")).select(*keys, "_x._b", "_x._w").where((F.col("_w") > 0) & (F.col("_b") < replicates))
+    means = e.groupBy("_b").agg(*[(F.sum(F.col("_w") * F.col(k)) / F.sum(F.when(F.col(k).isNotNull(), F.col("_w")))).alias(k) for k in keys])
+    at = [(1 - level) / 2, 0.5, (1 + level) / 2]
+    stats = means.agg(*[F.percentile(k, F.array(*[F.lit(x) for x in at])).alias(k) for k in keys])
+    counts = rows.agg(*[F.count(k).alias(k) for k in keys])
+    both = stats.select(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("q")) for k in keys]).alias("s"), F.lit(None).cast("array<bigint>").alias("n")) \
+        .unionByName(counts.select(F.array(*[F.col(k).cast("bigint") for k in keys]).alias("n")), allowMissingColumns=True) \
+        .agg(F.max_by("s", F.col("s").isNotNull()).alias("s"), F.max_by("n", F.col("n").isNotNull()).alias("n"))
+    x = both.select(F.explode(F.arrays_zip("s", "n")).alias("x"))
+    return x.select(F.col("x.s.metric").alias("metric"), *[(F.get("x.s.q", i) * 100).alias(c) for i, c in enumerate(("low", "score", "high"))],
+                    F.col("x.n").alias("count"))
+
+
+def rouge_bootstrap(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", keys=ROUGE_KEYS, ascii_only: bool = False,
+                    replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """M4 as a bootstrap: median and 95 % interval of the mean F-measure of each key."""
+    return bootstrap(rouge_rows(df, target, prediction, id_col, keys, ascii_only), list(keys), replicates=replicates, seed=seed)
 
 
 # ---------------------------------------------------------------- M12 M13
@@ -446,7 +523,7 @@ def token_tags_to_char_tags(pred, c2t, tag_list: list[str]) -> Column:
 
 
 def char_entity_f1(df: DataFrame, char_tags: str, pred_char_tags: str, tag_list: list[str], id_col: str = "id",
-                   compat: bool = False) -> DataFrame:
+                   compat: bool = False, group: list[str] = ()) -> DataFrame:
     """Per-sentence macro F1 over char tags, weight 0 on chars whose true tag is ``O``.
 
     Labels are the union of true and predicted tags of the sentence (``O``
@@ -455,25 +532,26 @@ def char_entity_f1(df: DataFrame, char_tags: str, pred_char_tags: str, tag_list:
     number of entity chars, as upstream.
     """
     o = tag_list.index("O")
-    base = df.select(_c(id_col).alias("_id"), F.posexplode(F.arrays_zip(_c(char_tags).alias("t"),
-                                                                         _c(pred_char_tags).alias("p"))).alias("pos", "z"))
-    base = base.select("_id", F.col("z.t").alias("t"), F.col("z.p").alias("p"))
-    w = (F.col("t") != o).cast("long")
-    lab_t = base.select("_id", F.col("t").alias("lab"), (w * (F.col("t") == F.col("p")).cast("long")).alias("tp"),
-                        F.lit(0).cast("long").alias("fp"), (w * (F.col("t") != F.col("p")).cast("long")).alias("fn"),
-                        w.alias("ent"))
-    lab_p = base.select("_id", F.col("p").alias("lab"), F.lit(0).cast("long").alias("tp"),
-                        (w * (F.col("t") != F.col("p")).cast("long")).alias("fp"), F.lit(0).cast("long").alias("fn"),
-                        F.lit(0).cast("long").alias("ent"))
-    per_lab = lab_t.unionByName(lab_p).where(F.col("lab").isNotNull()) \
-        .groupBy("_id", "lab").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
-                                   F.sum("ent").alias("ent"))
+    base = df.select(*group, _c(id_col).alias("_id"), F.explode(F.arrays_zip(_c(char_tags).alias("t"), _c(pred_char_tags).alias("p"))).alias("z"))
+    # equal pairs of tags are counted first, then each pair counts for the label of either side
+    pairs = base.groupBy(*group, "_id", F.col("z.t").alias("t"), F.col("z.p").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.where(F.col("t").isNotNull())
+    n = F.when(F.col("t") != o, F.col("n")).otherwise(0)
+    same, zero = F.col("t").eqNullSafe(F.col("p")), F.lit(0).cast("long")  # a char without a prediction is a miss
+
+    def side(lab, tp, fp, fn, ent):
+        return F.struct(F.col(lab).alias("lab"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), ent.alias("ent"))
+
+    sides = F.array(side("t", F.when(same, n).otherwise(0), zero, F.when(~same, n).otherwise(0), n),
+                    side("p", zero, F.when(~same, n).otherwise(0), zero, zero))
+    per_lab = pairs.select(*group, "_id", F.explode(sides).alias("x")).select(*group, "_id", "x.*").where(F.col("lab").isNotNull()) \
+        .groupBy(*group, "_id", "lab").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "ent")])
     f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") == 0, F.lit(0.0)) \
         .otherwise(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
-    per_sent = per_lab.groupBy("_id").agg(F.avg(f1).alias("macro"), F.sum("ent").alias("ent")).where(F.col("ent") > 0)
+    per_sent = per_lab.groupBy(*group, "_id").agg(F.avg(f1).alias("macro"), F.sum("ent").alias("ent")).where(F.col("ent") > 0)
     if compat:
-        return _result(per_sent, "char_f1", _ratio(F.sum(F.col("macro") * 100), F.sum("ent")), F.sum("ent"))
-    return _result(per_sent, "char_f1", F.avg("macro") * 100, F.count(F.lit(1)))
+        return _result(per_sent, "char_f1", _ratio(F.sum(F.col("macro") * 100), F.sum("ent")), F.sum("ent"), group)
+    return _result(per_sent, "char_f1", F.avg("macro") * 100, F.count(F.lit(1)), group)
 
 
 # ---------------------------------------------------------------- M14-M16
@@ -487,9 +565,9 @@ def log_softmax_at(logits, label) -> Column:
     return let_many({"a": _c(logits), "m": F.array_max(_c(logits))}, body)
 
 
-def ce_loss(df: DataFrame, logits="logits", label="labels") -> DataFrame:
+def ce_loss(df: DataFrame, logits="logits", label="labels", group: list[str] = ()) -> DataFrame:
     """Mean cross-entropy (stable log-sum-exp)."""
-    return _result(df, "ce_loss", F.avg(-log_softmax_at(logits, label)), F.count(F.lit(1)))
+    return _result(df, "ce_loss", F.avg(-log_softmax_at(logits, label)), F.count(F.lit(1)), group)
 
 
 def token_ce_loss(df: DataFrame, logits="logits", labels="labels", mask: str = "attention_mask") -> DataFrame:
@@ -499,10 +577,10 @@ def token_ce_loss(df: DataFrame, logits="logits", labels="labels", mask: str = "
     return _result(e, "ce_loss", F.avg(-log_softmax_at(F.col("z.l"), F.col("z.y"))), F.count(F.lit(1)))
 
 
-def mse_loss(df: DataFrame, prediction="predictions", target="labels") -> DataFrame:
+def mse_loss(df: DataFrame, prediction="predictions", target="labels", group: list[str] = ()) -> DataFrame:
     """Mean squared error."""
     d = _c(prediction).cast("double") - _c(target).cast("double")
-    return _result(df, "mse_loss", F.avg(d * d), F.count(F.lit(1)))
+    return _result(df, "mse_loss", F.avg(d * d), F.count(F.lit(1)), group)
 
 
 def bce_loss(df: DataFrame, logits="logits", targets="targets") -> DataFrame:
@@ -517,26 +595,18 @@ def bce_loss(df: DataFrame, logits="logits", targets="targets") -> DataFrame:
 # ---------------------------------------------------------------- M17 M18 M20
 
 def meter_average(per_batch: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Per-batch ``(metric, score, count)`` → Σ score·count / Σ count per metric."""
+    """Per-batch ``(metric, score, count)`` → Σ score·count / Σ count per metric, over batches that have a score."""
     g = [*(group or []), "metric"]
-    return per_batch.groupBy(*g).agg(
-        _ratio(F.sum(F.col("score") * F.col("count")), F.sum("count")).alias("score"),
-        F.sum("count").cast("bigint").alias("count"))
+    count = F.sum(F.when(F.col("score").isNotNull(), F.col("count")).otherwise(0))
+    return per_batch.groupBy(*g).agg(_ratio(F.sum(F.col("score") * F.col("count")), count).alias("score"), count.cast("bigint").alias("count"))
 
 
 def batched(df: DataFrame, batch_col: str, metric_fn=None, **kw) -> DataFrame:
-    """Per-batch scores ``(batch, metric, score, count)``.
+    """Per-batch scores ``(batch, metric, score, count)``; ``metric_fn`` is a metric with ``group`` (accuracy by default).
 
-    ``metric_fn`` takes ``group=[...]`` besides ``target`` and ``prediction`` (``matthews``, ``pearson``,
-    ``spearman``); without one, accuracy.
+    A batch without any weight (no positive row, no entity) has count 0 or no row and does not enter the meter.
     """
-    if metric_fn is not None:
-        return metric_fn(df, group=[batch_col], **kw)
-    t, p = kw.get("target", "labels"), kw.get("prediction", "predictions")
-    hit = _c(t).eqNullSafe(_c(p)).cast("double")
-    name = kw.get("name", "accuracy")
-    return df.groupBy(batch_col).agg(F.lit(name).alias("metric"), (F.avg(hit) * 100).alias("score"),
-                                     F.count(F.lit(1)).cast("bigint").alias("count"))
+    return (metric_fn or accuracy)(df, group=[batch_col], **kw)
 
 
 def metric_history(scores: DataFrame, task: str, tag: str, step_col: str = "step") -> DataFrame:

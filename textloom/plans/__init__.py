@@ -3,10 +3,4 @@
 
 def load_all():
     """Import every query module so the registry is filled."""
-    from textloom.plans import q_basic  # noqa: F401
-    for mod in ("q_tokens", "q_spans", "q_metrics", "q_tasks", "q_scores"):
-        try:
-            __import__(f"textloom.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"textloom.plans.{mod}":
-                raise
+    from textloom.plans import q_basic, q_eval, q_metrics, q_scores, q_spans, q_tasks, q_tokens  # noqa: F401

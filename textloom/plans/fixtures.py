@@ -14,7 +14,7 @@ from textloom.functions.hof import bind_column, let, shift_right
 from textloom.functions.tokens import HashVocab
 from textloom.labels import CHAR_NER_IOB2, CHAR_NER_TYPES
 from textloom.operators.ranking import group_index
-from textloom.session import read_table
+from textloom.session import read_table, text_table
 
 # ---- fixed values of the fixtures ----
 VOWELS = "aeiouAEIOU"
@@ -39,9 +39,12 @@ def cls(spark: SparkSession, sf: str) -> DataFrame:
     join is left to the planner (AQE turns it into a broadcast when the
     measured side is small, a sort-merge join otherwise).
     """
-    d = read_table(spark, sf, "documents")
-    lab = read_table(spark, sf, "labels").select("doc_id", "quality")
-    return d.join(lab, "doc_id", "left").select(
+    return with_labels(text_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+def with_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cls`` over given tables (``documents`` may be a stream)."""
+    return documents.join(labels.select("doc_id", "quality"), "doc_id", "left").select(
         F.col("doc_id").alias("id"), "text", "lang", "source",
         F.coalesce(F.col("quality"), F.lit(-1)).cast("int").alias("label"),
         (F.col("n_chars") % 2).alias("pred"))
@@ -53,7 +56,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     Joined on the pair ``(conv_id, turn)`` so even a conversation holding a
     third of all turns is spread over tasks by turn.
     """
-    c = read_table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("utext"))
     a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                      F.col("text").alias("atext"))
@@ -88,7 +91,7 @@ def _word_entity(ws: Column, k: int, etype: str) -> Column:
 
 def ents(spark: SparkSession, sf: str, swap: bool = False) -> DataFrame:
     """Relation rows: subject = word 2, object = word 4 (``swap`` exchanges them); label = turn % 30."""
-    c = read_table(spark, sf, "conversations").withColumn("_ws", space_words("text"))
+    c = text_table(spark, sf, "conversations").withColumn("_ws", space_words("text"))
     s, o = _word_entity(F.col("_ws"), 2, "PER"), _word_entity(F.col("_ws"), 4, "ORG")
     if swap:
         s, o = o, s
@@ -105,7 +108,7 @@ def _char_class(ch: Column) -> Column:
 
 def chartags(spark: SparkSession, sf: str) -> DataFrame:
     """One character list per conversation turn with IOB2 ids (vowel → QT, comma/period → LC)."""
-    c = read_table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     b_qt, b_lc, o = CHAR_NER_IOB2.index("B-QT"), CHAR_NER_IOB2.index("B-LC"), CHAR_NER_IOB2.index("O")
 
     def tag(z):
@@ -129,7 +132,7 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     Two encodings: ``NE`` array of structs with label names (character-NER
     types) and ``ne`` parallel arrays with label ids.
     """
-    c = read_table(spark, sf, "conversations").withColumn("_ws", space_words("text"))
+    c = text_table(spark, sf, "conversations").withColumn("_ws", space_words("text"))
     sp = F.filter("_ws", lambda s: F.length(s.getField("w")) >= 6)
     types = F.array(*[F.lit(t) for t in CHAR_NER_TYPES])
     return c.select(
@@ -160,7 +163,7 @@ def nested_spans(spark: SparkSession, sf: str) -> DataFrame:
     Word k (from 0) starts a pair if k % 3 = 0, is a single if k % 4 = 1 and starts a triple if k % 5 = 2; the
     label is type k % 6.  A pair or triple ends with the last word of the text at the latest.
     """
-    c = bind_column(read_table(spark, sf, "conversations"), "_ws", space_words("text"))
+    c = bind_column(text_table(spark, sf, "conversations"), "_ws", space_words("text"))
     types = F.array(*[F.lit(t) for t in CHAR_NER_TYPES])
     n = F.size("_ws")
 
@@ -182,7 +185,7 @@ def mentions(spark: SparkSession, sf: str) -> DataFrame:
     Words are grouped per (turn, word) — a shuffle whose groups are bounded by
     one text — then chains are regrouped per turn, ordered by first position.
     """
-    c = read_table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     w = c.select("conv_id", "turn", F.explode(space_words("text")).alias("s")) \
         .select("conv_id", "turn", F.col("s.w").alias("w"), F.col("s.off").cast("int").alias("off")) \
         .where(F.length("w") >= 4)
@@ -260,7 +263,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 def eos_ids(spark: SparkSession, sf: str, vocab: HashVocab | None = None) -> DataFrame:
     """Hash-vocabulary ids of each turn with EOS (1) put after word ``turn + 3``."""
     v = vocab or HashVocab()
-    c = read_table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     ids = v.ids(F.col("text"))
     k = (F.col("turn") + 3).cast("int")
     with_eos = F.when(F.size("_ids") >= k, F.concat(F.slice("_ids", 1, k), F.array(F.lit(1)),

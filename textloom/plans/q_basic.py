@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,7 +15,8 @@ from textloom.operators import rows as R
 from textloom.plans import fixtures as FX
 from textloom.plans import oracle_fixtures as O
 from textloom.plans.registry import query
-from textloom.session import ensure_checkpoint_dir, read_table
+from textloom.session import ensure_checkpoint_dir, read_table, text_table
+from textloom.sources.prepared import prepare_once
 from textloom.sources import reader as S
 from textloom.sources import sharding as SH
 
@@ -92,6 +92,22 @@ def collate_batches(spark, sf):
                     F.size("id").alias("n"))
 
 
+@query("collate_strict", f"""
+WITH k AS (SELECT id, logits, labels, ('0x' || substr(md5('0:2:' || id::VARCHAR), 1, 15))::BIGINT AS ek FROM {O.LOGITS}),
+     i AS (SELECT *, row_number() OVER (ORDER BY ek, id) - 1 AS g FROM k),
+     s AS (SELECT *, (g % 2)::INT AS shard, g // 2 AS pos, (g // 2) // 8 AS batch FROM i)
+SELECT shard, batch::BIGINT AS batch, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids,
+       round(sum(list_sum(logits)), 4) AS total, min(len(logits))::INT AS width, count(*)::INT AS n
+FROM s GROUP BY shard, batch""")
+def collate_strict(spark, sf):
+    """The vectors of a batch must have one length, which the collation checks."""
+    sh = SH.assign_shards(FX.logits(spark, sf), ["id"], epoch=2, world_size=2, batch_size=8)
+    c = SH.collate(sh, ["shard", "batch"], "pos", ["id", "logits"], strict=True)
+    total = F.aggregate("logits", F.lit(0.0), lambda acc, v: acc + F.aggregate(v, F.lit(0.0), lambda a, x: a + x))
+    return c.select("shard", "batch", F.array_join("id", " ").alias("ids"), F.round(total, 4).alias("total"),
+                    F.size(F.get("logits", 0)).alias("width"), F.size("id").alias("n"))
+
+
 # ---------------------------------------------------------------- A6 A7 A8 B6
 
 def _prepare(df, seq_len: int = 64):
@@ -147,8 +163,7 @@ FROM {_prepared_sql()} GROUP BY lang""")
 def prepared_table(spark, sf):
     p = _prepare(FX.cls(spark, sf)).select("id", "input_ids", "attention_mask", "labels", F.col("lang").alias("split"))
     root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "prepared", uuid.uuid4().hex)
-    back = S.materialise(p, path)
+    back = prepare_once(p, os.path.join(root, "prepared", "topic_classify"))
     return back.groupBy("split").agg(
         F.count(F.lit(1)).cast("bigint").alias("num_examples"),
         F.sum(F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint").alias("n_tokens"))
@@ -161,7 +176,7 @@ def prepared_table(spark, sf):
 SELECT doc_id, md5(text) AS inputs_md5, lang AS targets, '' AS empty, source AS text, md5(text) AS source_md5
 FROM documents""")
 def rekey_columns(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     r = R.rekey(d, {"inputs": "text", "targets": "lang", "empty": None, "text": "source", "source": "text"})
     return r.select("doc_id", F.md5("inputs").alias("inputs_md5"), "targets", "empty", "text",
                     F.md5("source").alias("source_md5"))
@@ -174,7 +189,7 @@ def _word_count(df):
 
 @query("map_rows", f"SELECT doc_id, len({O.words('text')})::INT AS n_words FROM documents")
 def map_rows(spark, sf):
-    return _word_count(read_table(spark, sf, "documents")).select("doc_id", "n_words")
+    return _word_count(text_table(spark, sf, "documents")).select("doc_id", "n_words")
 
 
 def _lines(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,7 +205,7 @@ SELECT doc_id, s.i::BIGINT AS line_no, s.n::BIGINT AS line_chars FROM (
   SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i - 1, 'n': length(x)})) AS s
   FROM documents)""")
 def map_batches(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = text_table(spark, sf, "documents").select("doc_id", "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("line_no", T.LongType()),
                            T.StructField("line_chars", T.LongType())])
     return R.map_batches(d, _lines, schema)
@@ -202,14 +217,14 @@ def _kchars(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @query("map_batches_drop", "SELECT doc_id, lang, source, n_chars, n_chars // 1000 AS kchars FROM documents")
 def map_batches_drop(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     schema = "doc_id long, lang string, source string, n_chars long, kchars long"
     return R.map_batches(d, _kchars, schema, remove_columns=["text"], batch_size=100)
 
 
 @query("filter_rows", "SELECT doc_id, n_chars FROM documents WHERE n_chars > 1000 AND lang = 'en'")
 def filter_rows(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return R.filter_rows(d, (F.col("n_chars") > 1000) & (F.col("lang") == "en")).select("doc_id", "n_chars")
 
 
@@ -219,7 +234,7 @@ def filter_rows(spark, sf):
 @query("collapse_space", f"""
 SELECT doc_id, md5({O.collapse('text')}) AS h, length({O.collapse('text')})::INT AS n FROM documents""")
 def collapse_space(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     c = X.collapse_space("text")
     return d.select("doc_id", F.md5(c).alias("h"), F.length(c).alias("n"))
 
@@ -227,14 +242,14 @@ def collapse_space(spark, sf):
 @query("join_collapse", f"""
 SELECT doc_id, md5({O.collapse("concat_ws(' | ', source, lang, text)")}) AS h FROM documents""")
 def join_collapse(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", F.md5(X.join_collapse(["source", "lang", "text"], sep=" | ")).alias("h"))
 
 
 @query("pad_punct", f"""
 SELECT doc_id, md5({O.pad_punct('text')}) AS h, length({O.pad_punct('text')})::INT AS n FROM documents""")
 def pad_punct(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     p = X.pad_punctuation("text")
     return d.select("doc_id", F.md5(p).alias("h"), F.length(p).alias("n"))
 

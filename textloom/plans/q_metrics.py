@@ -127,7 +127,9 @@ def _gram_rows(base: str, orders: str) -> str:
   GROUP BY ALL)"""
 
 
-def _bleu_sql(multi: bool = False) -> str:
+def _bleu_sql(multi: bool = False, src: str = O.PAIRS, batch: bool = False) -> str:
+    """``batch``: one score per ``batch`` of ``src`` in ``s2``, instead of one over all rows."""
+    g_, by = ("batch, ", " GROUP BY batch") if batch else ("", "")
     if multi:
         base = (f"(SELECT id, [{_bleu_tok('target')}, {_bleu_tok('answer')}] AS refs, {_bleu_tok('prediction')} AS tp "
                 f"FROM {O.PAIRS})")
@@ -142,9 +144,9 @@ def _bleu_sql(multi: bool = False) -> str:
         lens = ("(SELECT sum(list_min(list_transform(refs, lambda r: {'d': abs(len(r) - len(tp)), 'len': len(r)})).len)::DOUBLE "
                 "AS ref_len, sum(len(tp))::DOUBLE AS sys_len, count(*) AS rows FROM b)")
     else:
-        base = f"(SELECT id, {_bleu_tok('target')} AS tt, {_bleu_tok('prediction')} AS tp FROM {O.PAIRS})"
+        base = f"(SELECT {g_}id, {_bleu_tok('target')} AS tt, {_bleu_tok('prediction')} AS tp FROM {src})"
         g = _gram_rows('b', '1, 5')
-        lens = "(SELECT sum(len(tt))::DOUBLE AS ref_len, sum(len(tp))::DOUBLE AS sys_len, count(*) AS rows FROM b)"
+        lens = f"(SELECT {g_}sum(len(tt))::DOUBLE AS ref_len, sum(len(tp))::DOUBLE AS sys_len, count(*) AS rows FROM b{by})"
     cs = ", ".join(f"coalesce(max(CASE WHEN n = {k} THEN c END), 0)::DOUBLE AS c{k}, "
                    f"coalesce(max(CASE WHEN n = {k} THEN t END), 0)::DOUBLE AS t{k}" for k in range(1, 5))
     z = []
@@ -156,17 +158,24 @@ def _bleu_sql(multi: bool = False) -> str:
           for k in range(1, 5)]
     logs = " + ".join(f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE -9999999999.0 END)" for p in ps)
     empty = " OR ".join(f"t{k} = 0" for k in range(1, 5))
+    score = (f"CASE WHEN {empty} THEN 0.0 ELSE (CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1 - ref_len / sys_len) "
+             f"ELSE 0.0 END) * exp(({logs}) / 4) END")
+    if batch:
+        return f"""
+WITH b AS {base},
+     g AS (SELECT x.*, y.batch FROM {g} x JOIN b y USING (id)),
+     s AS (SELECT batch, n, sum(least(a, b)) AS c, sum(b) AS t FROM g GROUP BY batch, n),
+     p AS (SELECT batch, {cs} FROM s GROUP BY batch),
+     l AS {lens},
+     s2 AS (SELECT coalesce({score}, 0.0) AS score, rows FROM l LEFT JOIN p USING (batch))
+SELECT 'bleu' AS metric, round(sum(score * rows) / sum(rows), 6) AS score, sum(rows)::BIGINT AS count FROM s2"""
     return f"""
 WITH b AS {base},
      g AS {g},
      s AS (SELECT n, sum(least(a, b)) AS c, sum(b) AS t FROM g GROUP BY n),
      p AS (SELECT {cs} FROM s),
      l AS {lens}
-SELECT 'bleu' AS metric,
-       round(CASE WHEN {empty} THEN 0.0
-                  ELSE (CASE WHEN sys_len >= ref_len THEN 1.0 WHEN sys_len > 0 THEN exp(1 - ref_len / sys_len) ELSE 0.0 END)
-                       * exp(({logs}) / 4) END, 6) AS score,
-       rows::BIGINT AS count
+SELECT 'bleu' AS metric, round({score}, 6) AS score, rows::BIGINT AS count
 FROM p, l"""
 
 
@@ -201,11 +210,74 @@ def rouge_n(spark, sf):
     return _r(M.rouge_n(FX.pairs(spark, sf), "target", "prediction"))
 
 
-@query("rouge_lsum")
+def _lsum_rows_sql(src: str) -> str:
+    """F-measure of rougeLsum per row: the table of longest common subsequences of each sentence pair is folded row by
+    row in a recursive query; a cell holds the reference positions that its backtrack takes (a match goes diagonally,
+    else up unless the left cell is longer)."""
+    toks = "list_filter(regexp_split_to_array(lower(s), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
+    def sents(c):
+        return f"list_filter(list_transform(string_split(replace({c}, ' . ', ' .' || chr(10)), chr(10)), lambda s: {toks}), lambda x: len(x) > 0)"
+
+    return f"""(WITH RECURSIVE b AS (SELECT id, {sents('target')} AS rs, {sents('prediction')} AS ps FROM {src}),
+     r AS (SELECT id, unnest(rs) AS r, generate_subscripts(rs, 1) AS ri FROM b),
+     p AS (SELECT id, unnest(ps) AS p FROM b),
+     pr AS MATERIALIZED (SELECT row_number() OVER () AS k, id, ri, r, p FROM r JOIN p USING (id)),
+     dp(k, i, r, p, cells) AS (
+       SELECT k, 0, r, p, list_transform(range(len(p) + 1), lambda x: []::INT[]) FROM pr
+       UNION ALL
+       SELECT k, i + 1, r, p, list_reduce(
+         list_transform(p, lambda w, j: [[CASE WHEN w = r[i + 1] THEN 1 ELSE 0 END], cells[j], cells[j + 1]]),
+         lambda acc, x: list_append(acc, CASE WHEN x[1][1] = 1 THEN list_append(x[2], i + 1)
+                                              WHEN len(x[3]) >= len(acc[-1]) THEN x[3] ELSE acc[-1] END), [[]::INT[]])
+       FROM dp WHERE i < len(r)),
+     hit AS (SELECT DISTINCT pr.id, pr.ri, u.at AS at, pr.r[u.at] AS w
+             FROM (SELECT k, unnest(cells[-1]) AS at FROM dp WHERE i = len(r)) u JOIN pr USING (k)),
+     mw AS (SELECT id, w, count(*) AS m FROM hit GROUP BY id, w),
+     pc AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(flatten(ps)) AS w FROM b) GROUP BY id, w),
+     h AS (SELECT id, sum(least(m, c)) AS hits FROM mw JOIN pc USING (id, w) GROUP BY id)
+  SELECT id, CASE WHEN coalesce(hits, 0) = 0 THEN 0.0
+                  ELSE 2 * (hits / len(flatten(ps))) * (hits / len(flatten(rs))) / (hits / len(flatten(ps)) + hits / len(flatten(rs))) END AS f
+  FROM b LEFT JOIN h USING (id))"""
+
+
+@query("rouge_lsum", f"SELECT 'rougeLsum' AS metric, round(100 * avg(f), 6) AS score, count(*)::BIGINT AS count FROM {_lsum_rows_sql(O.PAIRS)}")
 def rouge_lsum(spark, sf):
     return _r(M.rouge_lsum(FX.pairs(spark, sf), "target", "prediction"))
 
 
+_REPLICATES = 1000
+
+
+def _rouge_rows_sql(src: str = O.PAIRS) -> str:
+    return f"""(WITH b AS (SELECT id, {_rouge_tok('target')} AS tt, {_rouge_tok('prediction')} AS tp FROM {src}),
+     g AS {_gram_rows('b', '1, 3')},
+     ov AS (SELECT id, n, sum(least(a, b)) AS o, sum(a) AS rt, sum(b) AS rp FROM g GROUP BY id, n)
+  SELECT b.id, r.n, CASE WHEN coalesce(o, 0) = 0 THEN 0.0 ELSE 2 * (o / rp) * (o / rt) / ((o / rp) + (o / rt)) END AS f
+  FROM b CROSS JOIN range(1, 3) r(n) LEFT JOIN ov ON ov.id = b.id AND ov.n = r.n)"""
+
+
+def _bootstrap_sql() -> str:
+    levels = M.poisson_levels()
+    weight = " ".join(f"WHEN h < '{x}' THEN {k}" for k, x in enumerate(levels))
+    return f"""
+WITH f AS (SELECT id, 'rouge' || n AS metric, f FROM {_rouge_rows_sql()} UNION ALL SELECT id, 'rougeLsum', f FROM {_lsum_rows_sql(O.PAIRS)}),
+     d AS (SELECT id, chunk, md5('0:' || chunk || ':' || id) AS d FROM (SELECT DISTINCT id FROM f) CROSS JOIN range({(_REPLICATES - 1) // 4 + 1}) c(chunk)),
+     w AS (SELECT id, chunk * 4 + i AS b, CASE {weight} ELSE {len(levels)} END AS w
+           FROM (SELECT id, chunk, i, substr(d, 8 * i::INT + 1, 8) AS h FROM d CROSS JOIN range(4) q(i))),
+     m AS (SELECT metric, b, sum(w * f) / sum(w) AS mean FROM f JOIN w USING (id) WHERE w > 0 AND b < {_REPLICATES} GROUP BY metric, b)
+SELECT metric, round(100 * quantile_cont(mean, 0.025), 6) AS low, round(100 * quantile_cont(mean, 0.5), 6) AS score,
+       round(100 * quantile_cont(mean, 0.975), 6) AS high, (SELECT count(*) FROM {O.PAIRS})::BIGINT AS count
+FROM m GROUP BY metric"""
+
+
+@query("rouge_bootstrap", _bootstrap_sql())
+def rouge_bootstrap(spark, sf):
+    """M4 with the bootstrap's median and 95 % interval over 1,000 replicates."""
+    r = M.rouge_bootstrap(FX.pairs(spark, sf), "target", "prediction", replicates=_REPLICATES)
+    return r.select("metric", *[F.round(c, 6).alias(c) for c in ("low", "score", "high")], "count")
+
+
 # ---------------------------------------------------------------- M7 M8
 
 _LI = "(SELECT l_quantity::DOUBLE AS t, l_extendedprice::DOUBLE AS p FROM lineitem)"
@@ -402,6 +474,67 @@ def meter_batched_mcc(spark, sf):
     return _r(M.meter_average(per_batch))
 
 
+def _batches(df, order: list[str]):
+    return global_index(df, order, "idx").withColumn("batch", F.floor(F.col("idx") / 32))
+
+
+_PAIR_BATCH = f"(SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 32 AS batch FROM {O.PAIRS})"
+
+
+def _pair_batches(spark, sf):
+    return _batches(FX.pairs(spark, sf).select("id", "conv_id", "turn", "target", "prediction"), ["conv_id", "turn"])
+
+
+@query("meter_batched_f1", f"""
+WITH i AS (SELECT labels AS t, pred AS p, (row_number() OVER (ORDER BY id) - 1) // 32 AS batch FROM {_ARGMAX}),
+     b AS (SELECT batch, 100.0 * sum(CASE WHEN t <> 0 AND t = p THEN 1 ELSE 0 END) / sum(CASE WHEN t <> 0 THEN 1 ELSE 0 END) AS score,
+                  sum(CASE WHEN t <> 0 THEN 1 ELSE 0 END) AS count FROM i GROUP BY batch HAVING sum(CASE WHEN t <> 0 THEN 1 ELSE 0 END) > 0)
+SELECT 'f1_score_micro_sample_weight' AS metric, round(sum(score * count) / sum(count), 6) AS score, sum(count)::BIGINT AS count FROM b""")
+def meter_batched_f1(spark, sf):
+    """M17 over M2: batches without a positive target have no weight."""
+    s = _batches(_scored(spark, sf).select("id", "labels", "pred"), ["id"])
+    return _r(M.meter_average(M.batched(s, "batch", M.micro_f1_nonzero, target="labels", prediction="pred")))
+
+
+@query("meter_batched_bleu", _bleu_sql(src=_PAIR_BATCH, batch=True))
+def meter_batched_bleu(spark, sf):
+    """M17 over M3: corpus BLEU of each batch, weighted by its rows."""
+    return _r(M.meter_average(M.batched(_pair_batches(spark, sf), "batch", M.bleu, target="target", prediction="prediction")))
+
+
+def _rouge_batched_sql(src: str) -> str:
+    """``src``: id, target, prediction, batch."""
+    return f"""
+WITH i AS (SELECT id, batch FROM {src}),
+     f AS (SELECT id, 'rouge' || n AS metric, f FROM {_rouge_rows_sql(src)} UNION ALL SELECT id, 'rougeLsum', f FROM {_lsum_rows_sql(src)}),
+     b AS (SELECT metric, batch, 100 * avg(f) AS score, count(*) AS count FROM f JOIN i USING (id) GROUP BY metric, batch)
+SELECT metric, round(sum(score * count) / sum(count), 6) AS score, sum(count)::BIGINT AS count FROM b GROUP BY metric"""
+
+
+@query("meter_batched_rouge", _rouge_batched_sql(_PAIR_BATCH))
+def meter_batched_rouge(spark, sf):
+    """M17 over M4, all keys."""
+    b = _pair_batches(spark, sf)
+    scores = M.batched(b, "batch", M.rouge_n, target="target", prediction="prediction")
+    return _r(M.meter_average(scores.unionByName(M.batched(b, "batch", M.rouge_lsum, target="target", prediction="prediction"))))
+
+
+def _char_f1_batched_sql() -> str:
+    body = _char_f1_sql(False)
+    ps = body[:body.rindex("SELECT 'char_f1'")].rstrip()
+    return f"""{ps},
+     i AS (SELECT id, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 32 AS batch FROM {_TAGSEQ}),
+     b AS (SELECT batch, 100 * avg(macro) AS score, count(*) AS count FROM ps JOIN i USING (id) GROUP BY batch)
+SELECT 'char_f1' AS metric, round(sum(score * count) / sum(count), 6) AS score, sum(count)::BIGINT AS count FROM b"""
+
+
+@query("meter_batched_entities", _char_f1_batched_sql())
+def meter_batched_entities(spark, sf):
+    """M17 over M13: a batch without any entity has no row."""
+    v = _batches(_char_views(spark, sf).select("id", "conv_id", "turn", "char_tags", "cp"), ["conv_id", "turn"])
+    return _r(M.meter_average(M.batched(v, "batch", M.char_entity_f1, char_tags="char_tags", pred_char_tags="cp", tag_list=CHAR_NER_IOB2)))
+
+
 # ---------------------------------------------------------------- M20 W1-W4
 
 def _hist(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions.tokens import HashVocab
-from textloom.labels import CHAR_NER_IOB2, NE_IOB2, NE_TYPES
+from textloom.labels import CHAR_NER_IOB2, DEP_FUNCTIONS, DEP_RELATIONS, DEP_SYNTAX, NE_IOB2, NE_TYPES
 from textloom.operators import spans as N
 from textloom.plans import fixtures as FX
 from textloom.plans import oracle_fixtures as O
@@ -38,6 +38,26 @@ def tags_to_names(spark, sf):
                     F.size(F.filter("ner_tags", lambda t: t != _O)).alias("n_tagged"))
 
 
+_DEP_IDS = f"list_transform(string_split(text, ' '), lambda w, i: (length(w) * 7 + i - 1) % {len(DEP_RELATIONS)})"
+_DEP_NAMES = f"list_transform({_DEP_IDS}, lambda t: {O.sql_list(DEP_RELATIONS)}[t + 1])"
+
+
+@query("dependency_labels", f"""
+SELECT id, md5(array_to_string(names, ' ')) AS names_md5,
+       array_to_string(list_transform(names, lambda x: coalesce(list_position({O.sql_list(DEP_SYNTAX)}, string_split(x, '_')[1]), 0) - 1), ' ') AS syntax,
+       array_to_string(list_transform(names, lambda x: coalesce(list_position({O.sql_list(DEP_FUNCTIONS)}, string_split(x, '_')[-1]), 0) - 1), ' ') AS functions
+FROM (SELECT {O.CID} AS id, {_DEP_NAMES} AS names FROM conversations)""")
+def dependency_labels(spark, sf):
+    """Dependency relations: ids to names, and the syntax and function part of each name as an id (-1: none)."""
+    from textloom.session import text_table
+
+    c = text_table(spark, sf, "conversations")
+    ids = F.transform(F.split("text", " ", -1), lambda w, i: ((F.length(w) * 7 + i) % len(DEP_RELATIONS)).cast("int"))
+    d = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), N.tags_to_names(ids, DEP_RELATIONS).alias("names"))
+    part = lambda n, tags: F.transform("names", lambda x: N.tag_id(F.substring_index(x, "_", n), tags))
+    return d.select("id", F.md5(_txt("names")).alias("names_md5"), _txt(part(1, DEP_SYNTAX)).alias("syntax"), _txt(part(-1, DEP_FUNCTIONS)).alias("functions"))
+
+
 _SPANS_SQL = f"""
 WITH ch AS (SELECT id, u.i AS i, u.tag AS tag, len(tokens) AS n, array_to_string(tokens, '') AS text FROM (
               SELECT id, tokens, unnest(list_transform(ner_tags, lambda t, i: {{'i': i - 1, 'tag': {_IOB}[t + 1]}})) AS u
@@ -193,9 +213,9 @@ SELECT wid AS id, span_ch_start::INT AS span_ch_start, span_ch_end::INT AS span_
        md5(substr(text, span_ch_start + 1, span_ch_end - span_ch_start)) AS text_md5
 FROM {_windows_sql('documents', 'doc_id::VARCHAR', 'text', 448, 128)}""")
 def doc_windows(spark, sf):
-    from textloom.session import read_table
+    from textloom.session import text_table
 
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = text_table(spark, sf, "documents").select("doc_id", "text")
     w = N.doc_windows(d, "doc_id", "text")
     return w.select("id", "span_ch_start", "span_ch_end", F.md5("text").alias("text_md5"))
 
@@ -205,10 +225,10 @@ SELECT lang AS split, count(*)::BIGINT AS num_examples
 FROM {_windows_sql('documents', 'doc_id::VARCHAR', 'text', 448, 128)} GROUP BY lang""")
 def fanout_split_sizes(spark, sf):
     """A4 after a fan-out: rows per split (``lang``) re-measured on the document windows."""
-    from textloom.session import read_table
+    from textloom.session import text_table
     from textloom.sources.reader import split_sizes
 
-    d = read_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("split"))
+    d = text_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("split"))
     return split_sizes(N.doc_windows(d, "doc_id", "text"), "split")
 
 
@@ -242,7 +262,7 @@ SELECT id, array_to_string({_bio_sql('flatten(valid)')}, ' ') AS targets, len(to
 FROM {O.with_tokens("(SELECT *, " + _valid_sql() + " AS valid FROM " + _mention_windows_sql() + ")")}""")
 def mention_tags(spark, sf):
     m = FX.mentions(spark, sf).select("id", "text", "CR")
-    w = N.doc_windows(m, "id", "text", span_length=_WL, doc_stride=_WS)
+    w = N.doc_windows(m, "id", "text", span_length=_WL, doc_stride=_WS, chains_col="CR")
     t = N.mention_tags(w, "text")
     return t.select("id", _txt("targets").alias("targets"), F.size("text").alias("n_tokens"))
 
@@ -334,7 +354,7 @@ def mention_mark_compat(spark, sf):
 
 def _augment(spark, sf, exclude: bool):
     m = FX.mentions(spark, sf).select("id", "text", "CR")
-    w = N.doc_windows(m, "id", "text", span_length=_WL, doc_stride=_WS)
+    w = N.doc_windows(m, "id", "text", span_length=_WL, doc_stride=_WS, chains_col="CR")
     a = N.mention_augment(w, "id", "text", exclude_src_span=exclude, with_surfaces=True)
     return a.select("id", F.md5("text_pretokenized").alias("marked_md5"), _txt("targets").alias("targets"),
                     F.array_join("label_txt", "|").alias("label_txt"))

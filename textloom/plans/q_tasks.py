@@ -9,7 +9,7 @@ from textloom.labels import (ACCEPTABILITY_CLASSES, CHAR_NER_IOB2, NE_IOB2, NE_T
 from textloom.plans import oracle_fixtures as O
 from textloom.plans import q_basic as QB
 from textloom.plans import q_spans as QS
-from textloom.plans.registry import query
+from textloom.plans.registry import ORACLE, query
 from textloom.plans.tasks import build_catalogue
 
 _TASKS = {t.name: t for t in build_catalogue()}
@@ -149,24 +149,36 @@ def _tag_task_sql(src_with_toks: str, tags_expr: str, pad_id: int) -> str:
        array_to_string({_pad(f'({tags_expr})', 64, pad_id)}, ' ') AS labels FROM {src_with_toks}"""
 
 
-_CHAR_SRC = f"""(SELECT c.id, array_to_string(c.tokens, '') AS text, coalesce(a."NE", []) AS "NE" FROM {O.CHARTAGS} c
-  LEFT JOIN (SELECT id, list({{'begin': "begin", 'end': "end", 'label': label}}) AS "NE" FROM ({QS._SPANS_SQL}) GROUP BY id) a
-  USING (id))"""
-query("task_char_ner", _tag_task_sql(
-    O.with_tokens(_CHAR_SRC), QS._token_tags_sql('"NE"', lambda s: f"{s}.label", O.sql_list(CHAR_NER_IOB2),
-                                                 CHAR_NER_IOB2.index("O")), CHAR_NER_IOB2.index("O")))(
+def _tag_join_sql(rows: str, spans: str, iob2: list[str]) -> str:
+    """Spans ``(id, k, b, e, label)`` and the tokens of ``rows`` (id, text) meet in a join; the last span (greatest ``k``) that
+    touches a token wins, its first token is ``B``; ``O`` spans tag nothing."""
+    iob, o = O.sql_list(iob2), iob2.index("O")
+    return f"""WITH tk AS MATERIALIZED (SELECT id, toks FROM {O.with_tokens(rows)}),
+     t AS (SELECT id, i, tok.id AS tid, tok.start AS ts, tok."end" AS te FROM (SELECT id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM tk)),
+     s AS MATERIALIZED ({spans}),
+     ov AS (SELECT t.id, t.i, s.k, s.label FROM t JOIN s ON t.id = s.id AND s.b < t.te AND s.e > t.ts WHERE s.label <> 'O'),
+     f AS (SELECT id, k, min(i) AS first FROM ov GROUP BY id, k),
+     l AS (SELECT id, i, max(k) AS k, arg_max(label, k) AS label FROM ov GROUP BY id, i),
+     g AS (SELECT t.id, list(t.tid ORDER BY t.i) AS ids, list(CASE WHEN l.k IS NULL THEN {o}
+                    ELSE list_position({iob}, (CASE WHEN f.first = t.i THEN 'B-' ELSE 'I-' END) || l.label) - 1 END ORDER BY t.i) AS tags
+           FROM t LEFT JOIN l ON l.id = t.id AND l.i = t.i LEFT JOIN f ON f.id = l.id AND f.k = l.k GROUP BY t.id),
+     a AS (SELECT tk.id, coalesce(ids, []) AS ids, coalesce(tags, []) AS tags FROM tk LEFT JOIN g USING (id))
+SELECT id, array_to_string({_pad('ids', 64)}, ' ') AS input_ids, array_to_string({_mask('ids', 64)}, ' ') AS attention_mask,
+       array_to_string({_pad('tags', 64, o)}, ' ') AS labels FROM a"""
+
+
+query("task_char_ner", _tag_join_sql(f"(SELECT id, array_to_string(tokens, '') AS text FROM {O.CHARTAGS})",
+                                     f'SELECT id, "begin" AS k, "begin" AS b, "end" AS e, label FROM ({QS._SPANS_SQL})', CHAR_NER_IOB2))(
     _spark_task("char_ner", TAG_LEN, "array"))
 
-query("task_word_ner", _tag_task_sql(
-    O.with_tokens(O.SPANS), QS._token_tags_sql(QS._PAR, lambda s: O.sql_list(NE_TYPES) + f"[{s}.label + 1]",
-                                               O.sql_list(NE_IOB2), NE_IOB2.index("O")), NE_IOB2.index("O")))(
-    _spark_task("word_ner", TAG_LEN, "array"))
 
-_WIDE = ("list_transform(range(len(ne_par.begin)), lambda k: {'begin': ne_par.begin[k + 1], 'end': ne_par.\"end\"[k + 1], "
-         "'label': ((ne_par.\"end\"[k + 1] - ne_par.begin[k + 1]) * 7 + ne_par.begin[k + 1]) % 150})")
-query("task_word_ner_wide", _tag_task_sql(
-    O.with_tokens(O.SPANS), QS._token_tags_sql(_WIDE, lambda s: O.sql_list(NE_WIDE_TYPES) + f"[{s}.label + 1]",
-                                               O.sql_list(NE_WIDE_IOB2), NE_WIDE_IOB2.index("O")), NE_WIDE_IOB2.index("O")))(
+def _par_spans(label: str, types: list[str]) -> str:
+    return f"""SELECT id, k, b, e, {O.sql_list(types)}[{label} + 1] AS label FROM (
+       SELECT id, unnest(ne_par.begin) AS b, unnest(ne_par."end") AS e, unnest(ne_par.label) AS y, generate_subscripts(ne_par.begin, 1) AS k FROM {O.SPANS})"""
+
+
+query("task_word_ner", _tag_join_sql(f"(SELECT id, text FROM {O.SPANS})", _par_spans("y", NE_TYPES), NE_IOB2))(_spark_task("word_ner", TAG_LEN, "array"))
+query("task_word_ner_wide", _tag_join_sql(f"(SELECT id, text FROM {O.SPANS})", _par_spans("((e - b) * 7 + b) % 150", NE_WIDE_TYPES), NE_WIDE_IOB2))(
     _spark_task("word_ner_wide", TAG_LEN, "array"))
 
 _EXTRACT_SRC = O.with_tokens("(SELECT *, " + QS._valid_sql() + " AS valid FROM " + QS._mention_windows_sql() + ")")
@@ -176,3 +188,9 @@ query("task_coref_span_extraction", _tag_task_sql(_EXTRACT_SRC, QS._bio_sql("fla
 _PRED_INNER = f"(SELECT id, {QS._marked_sql()} AS marked, list_transform(chain, lambda c: {{'begin': {QS._shift_sql('c.begin')}, 'end': {QS._shift_sql('c.\"end\"')}}}) AS cands FROM {QS._targets_sql()})"
 query("task_coref_span_prediction", _tag_task_sql(O.with_tokens(_PRED_INNER, "marked"), QS._bio_sql("cands"), 0))(
     _spark_task("coref_span_prediction", TAG_LEN, "array"))
+
+
+# split variants: the base task's rows whose id falls into the validation split
+_BUCKET = "(('0x' || substr(md5(chr(1) || id::VARCHAR), 1, 8))::BIGINT % 100)"
+for _name, _lengths in (("word_ner", TAG_LEN), ("word_ner_wide", TAG_LEN), ("summarize", GEN_LEN), ("summarize_topic", GEN_LEN)):
+    query(f"task_{_name}_split", f"SELECT * FROM ({ORACLE[f'task_{_name}']}) WHERE {_BUCKET} >= 90")(_spark_task(f"{_name}_split", _lengths, "array"))

@@ -10,7 +10,7 @@ from textloom.labels import CHAR_NER_IOB2
 from textloom.plans import fixtures as FX
 from textloom.plans import oracle_fixtures as O
 from textloom.plans.registry import query
-from textloom.session import read_table
+from textloom.session import read_table, text_table
 
 CID = O.CID
 
@@ -26,20 +26,32 @@ def _txt(c):
 SELECT {CID} AS id, array_to_string({O.hash_ids('text')}, ' ') AS ids, len({O.hash_ids('text')})::INT AS n
 FROM conversations""")
 def tokenize_ids(spark, sf):
-    c = read_table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     v = K.HashVocab()
     f = K.tokenize_features(c.withColumn("inputs", F.col("text")), {"inputs": (v, False)})
     return f.select(F.concat_ws(":", "conv_id", "turn").alias("id"), _txt("inputs").alias("ids"),
                     F.size("inputs").alias("n"))
 
 
+@query("tokenize_eos", f"""
+SELECT {CID} AS id, array_to_string(CASE WHEN ids[-1] = 1 THEN ids ELSE ids || [1] END, ' ') AS targets, array_to_string(ids, ' ') AS inputs,
+       md5(text) AS pretokenized_md5
+FROM (SELECT *, {O.hash_ids('text')} AS ids FROM conversations)""")
+def tokenize_eos(spark, sf):
+    """EOS behind the features that ask for it; the text stays beside the ids."""
+    c = text_table(spark, sf, "conversations").withColumns({"inputs": F.col("text"), "targets": F.col("text")})
+    f = K.tokenize_features(c, {"inputs": (K.HashVocab(), False), "targets": (K.HashVocab(), True)}, with_eos=True)
+    return f.select(F.concat_ws(":", "conv_id", "turn").alias("id"), _txt("targets").alias("targets"), _txt("inputs").alias("inputs"),
+                    F.md5("targets_pretokenized").alias("pretokenized_md5"))
+
+
 @query("token_offsets", f"""
 SELECT id, s.pos::INT AS pos, s.tok AS tok, s.tid AS tok_id, s.st AS tok_start, s.en AS tok_end FROM (
   SELECT {CID} AS id, unnest(list_transform(toks, lambda t, i: {{'pos': i - 1, 'tok': t.tok, 'tid': t.id,
                                                              'st': t.start, 'en': t."end"}})) AS s
   FROM {O.with_tokens('conversations')})""")
 def token_offsets(spark, sf):
-    c = read_table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     t = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.posexplode(K.HashVocab().tokens("text")).alias("pos", "t"))
     return t.select("id", "pos", F.col("t.tok").alias("tok"), F.col("t.id").alias("tok_id"),
                     F.col("t.start").alias("tok_start"), F.col("t.end").alias("tok_end"))
@@ -50,7 +62,7 @@ SELECT tok, (row_number() OVER (ORDER BY count DESC, tok) + 2)::INT AS id, count
   SELECT tok, count(*) AS count FROM (SELECT unnest({O.words('text')}) AS tok FROM documents) GROUP BY tok
   ORDER BY count DESC, tok LIMIT 1000)""")
 def vocab_topk(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return K.TableVocab(1000).build(d, "text")
 
 
@@ -66,22 +78,22 @@ FROM w LEFT JOIN v ON w.tok = v.tok GROUP BY w.id""")
 def vocab_encode(spark, sf):
     """T1 with a table vocabulary: top-1000 words of ``documents``, applied to ``conversations``."""
     tv = K.TableVocab(1000)
-    vocab = tv.build(read_table(spark, sf, "documents"), "text")
-    c = read_table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    vocab = tv.build(text_table(spark, sf, "documents"), "text")
+    c = text_table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     enc = tv.encode(c, ["id"], "text", vocab)
     return enc.select("id", _txt("ids").alias("ids"), F.size("ids").alias("n"))
 
 
-def _whitespace_md5_tokenizer(text: str):
+def _whitespace_md5_tokenizer(texts: list[str]):
     """A user tokenizer for the plug-in path: whitespace words with md5-prefix ids (same as HashVocab)."""
     import hashlib
     import re
 
-    out = []
-    for m in re.finditer(r"[^ \t\n\r]+", text):
-        h = int(hashlib.md5(m.group(0).encode("utf-8")).hexdigest()[:8], 16)
-        out.append((m.group(0), h % 32000 + 3, m.start(), m.end()))
-    return out
+    def word_id(w: str) -> int:
+        return int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % 32000 + 3
+
+    ids = {w: word_id(w) for w in set(re.findall(r"[^ \t\n\r]+", "\n".join(texts)))}
+    return [[(m.group(0), ids[m.group(0)], m.start(), m.end()) for m in re.finditer(r"[^ \t\n\r]+", t)] for t in texts]
 
 
 @query("plugin_tokenizer", f"""
@@ -89,7 +101,7 @@ SELECT id, array_to_string(list_transform(toks, lambda t: t.id), ' ') AS ids,
        array_to_string(list_transform(toks, lambda t: t.start), ' ') AS starts
 FROM (SELECT {CID} AS id, * FROM {O.with_tokens('conversations')})""")
 def plugin_tokenizer(spark, sf):
-    c = read_table(spark, sf, "conversations")
+    c = text_table(spark, sf, "conversations")
     tk = K.ArrowTokenizer(_whitespace_md5_tokenizer).tokens("text")
     t = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), tk.alias("tk"))
     return t.select("id", _txt(F.transform("tk", lambda s: s["id"])).alias("ids"),
@@ -184,7 +196,7 @@ _VOCAB = f"""(SELECT tok, (row_number() OVER (ORDER BY count DESC, tok) + 2)::IN
 def _encoded(spark, sf):
     """Conversations encoded by their own top-2000 vocabulary, and the words of that vocabulary."""
     tv = K.TableVocab(2000)
-    c = read_table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    c = text_table(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     vocab = tv.build(c, "text")
     return tv.encode(c, ["id", "turn"], "text", vocab), tv.word_list(vocab)
 
@@ -254,5 +266,5 @@ def decode_float(spark, sf):
 @query("decode_label", """
 SELECT doc_id, (coalesce(list_position(['en', 'fr', 'de'], lang), 0) - 1)::INT AS label FROM documents""")
 def decode_label(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = text_table(spark, sf, "documents")
     return d.select("doc_id", P.decode_label("lang", ["en", "fr", "de"]).alias("label"))

@@ -1,12 +1,15 @@
 """The task catalogue: every task shape of the reference, renamed, over the derived inputs.
 
 Each task is a ``TaskSpec`` whose steps are the operators of this package.
-Split variants of the reference (``*_split``) share a shape with their base
-task and differ only in the source folder, so they are one spec each here.
+Split variants (``*_split``) share every step with their base task and read a
+source that is divided into splits: here a stable tenth of the ids each, of
+which they prepare the validation split.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from textloom.operators import rows as R
 from textloom.operators import select as W
 from textloom.operators import spans as N
 from textloom.plans import fixtures as FX
+from textloom.sources.reader import hash_split
 from textloom.spec import FeatureSpec, TaskRegistry, TaskSpec
 
 VOCAB = K.HashVocab()
@@ -141,7 +145,7 @@ word_ner_wide = _word_tags(NE_WIDE_TYPES, NE_WIDE_IOB2)
 
 
 def coref_windows(df: DataFrame) -> DataFrame:
-    return N.doc_windows(df.select("id", "text", "CR"), "id", "text", span_length=WINDOW, doc_stride=STRIDE)
+    return N.doc_windows(df.select("id", "text", "CR"), "id", "text", span_length=WINDOW, doc_stride=STRIDE, chains_col="CR")
 
 
 def coref_extract(df: DataFrame) -> DataFrame:
@@ -166,25 +170,34 @@ def _rename(mapping: dict):
 
 # ---------------------------------------------------------------- scoring helpers
 
-def _acc(df):
-    return M.accuracy(df, "labels", "predictions")
+def _acc(df, group=()):
+    return M.accuracy(df, "labels", "predictions", group=group)
+
+
+def _em(df, group=()):
+    return M.exact_match(df, "labels", "predictions", group=group)
+
 
+def _mcc(df, group=()):
+    return M.matthews(df, "labels", "predictions", group=group)
 
-def _em(df):
-    return M.exact_match(df, "labels", "predictions")
 
+def _f1(df, group=()):
+    return M.micro_f1_nonzero(df, "labels", "predictions", group=group)
 
-def _tok_acc(df):
+
+def _tok_acc(df, group=()):
     """Padding does not count: the mask, where there is one, skips it."""
-    return M.token_accuracy_ragged(df, "labels", "predictions", mask="attention_mask" if "attention_mask" in df.columns else None)
+    mask = "attention_mask" if "attention_mask" in df.columns else None
+    return M.token_accuracy_ragged(df, "labels", "predictions", mask=mask, group=group)
 
 
-def _char_entities(df):
+def _char_entities(df, group=()):
     """M13 where the scored rows carry the character views (``char_tags``, ``c2t``); else no row."""
     if not {"char_tags", "c2t"} <= set(df.columns):
         return None
     d = df.withColumn("_pc", M.token_tags_to_char_tags("predictions", "c2t", CHAR_NER_IOB2))
-    return M.char_entity_f1(d, "char_tags", "_pc", CHAR_NER_IOB2)
+    return M.char_entity_f1(d, "char_tags", "_pc", CHAR_NER_IOB2, group=group)
 
 
 def _argmax_post(df):
@@ -217,24 +230,24 @@ def text_post(number: bool = False, names: list[str] | None = None):
     return post
 
 
-def _pearson(df):
-    return M.pearson(df, "labels", "predictions")
+def _pearson(df, group=()):
+    return M.pearson(df, "labels", "predictions", group=group)
 
 
-def _spearman(df):
-    return M.spearman(df, "labels", "predictions")
+def _spearman(df, group=()):
+    return M.spearman(df, "labels", "predictions", group=group)
 
 
-def _char_f1(df):
-    return M.char_f1(df, "labels", "predictions")
+def _char_f1(df, group=()):
+    return M.char_f1(df, "labels", "predictions", group=group)
 
 
-def _bleu(df):
-    return M.bleu(df, "labels", "predictions")
+def _bleu(df, group=()):
+    return M.bleu(df, "labels", "predictions", group=group)
 
 
-def _rouge(df):
-    return M.rouge_n(df, "labels", "predictions").unionByName(M.rouge_lsum(df, "labels", "predictions"))
+def _rouge(df, group=()):
+    return M.rouge_n(df, "labels", "predictions", group=group).unionByName(M.rouge_lsum(df, "labels", "predictions", group=group))
 
 
 # ---------------------------------------------------------------- catalogue
@@ -247,6 +260,11 @@ def _scores_src(spark, root):
     return FX.scores(spark, root)
 
 
+def validation_split(source):
+    """The source cut to its validation split: ids whose hash falls into the last tenth."""
+    return lambda spark, root: hash_split(source(spark, root), ["id"], 90, 100)
+
+
 def build_catalogue() -> list[TaskSpec]:
     gen_tail = (tokenize, append_eos, pad(), model_io)
     enc_tail = (tokenize, pad(), model_io)
@@ -276,7 +294,7 @@ def build_catalogue() -> list[TaskSpec]:
                       postprocess=_argmax_post, metrics=(_acc,), best=W.greater_is_best))
     T.append(TaskSpec("relation_tk_idx", _src(FX.ents), (relation_token_index("relation"), pad(), model_io), ENC,
                       postprocess=_argmax_post,
-                      metrics=(lambda d: M.micro_f1_nonzero(d, "labels", "predictions"), _acc),
+                      metrics=(_f1, _acc),
                       best=W.greater_is_best, model_columns=("input_ids", "attention_mask", "labels", "entity_token_idx")))
     T.append(TaskSpec("qa_gen", _src(FX.pairs), (qa("qa", True),) + gen_tail, GEN,
                       postprocess=text_post(), metrics=(_em, _char_f1), best=W.greater_is_best))
@@ -295,20 +313,22 @@ def build_catalogue() -> list[TaskSpec]:
                       postprocess=text_post(), metrics=(_bleu, _rouge), best=W.greater_is_best))
     T.append(TaskSpec("acceptability_gen", _src(FX.cls),
                       (classify(["text"], "acceptability", ACCEPTABILITY_CLASSES),) + gen_tail, GEN,
-                      postprocess=text_post(names=ACCEPTABILITY_CLASSES), metrics=(lambda d: M.matthews(d, "labels", "predictions"),), best=W.greater_is_best))
+                      postprocess=text_post(names=ACCEPTABILITY_CLASSES), metrics=(_mcc,), best=W.greater_is_best))
     T.append(TaskSpec("acceptability", _src(FX.cls), (classify(["text"], "acceptability", None, 0),) + enc_tail, ENC,
-                      postprocess=_argmax_post, metrics=(lambda d: M.matthews(d, "labels", "predictions"),),
+                      postprocess=_argmax_post, metrics=(_mcc,),
                       best=W.greater_is_best))
     T.append(TaskSpec("coref_span_extraction", _src(FX.mentions), (coref_windows, coref_extract, pad({"targets": 0}), model_io),
                       ENC, postprocess=_argmax_post, metrics=(_tok_acc,), best=W.greater_is_best))
     T.append(TaskSpec("coref_span_prediction", _src(FX.mentions), (coref_windows, coref_predict, pad({"targets": 0}), model_io),
                       ENC, postprocess=_argmax_post, metrics=(_tok_acc,), best=W.greater_is_best))
-    intent_src = _src(lambda s, r: FX.read_table(s, r, "conversations").withColumn(
+    intent_src = _src(lambda s, r: FX.text_table(s, r, "conversations").withColumn(
         "id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).transform(_label_mod(7)))
     T.append(TaskSpec("intent_gen", intent_src, (classify(["text"], "intent", UTTERANCE_CLASSES),) + gen_tail, GEN,
                       postprocess=text_post(), metrics=(_em,), best=W.greater_is_best))
     T.append(TaskSpec("intent", intent_src, (classify(["text"], "intent", None, 0),) + enc_tail, ENC,
                       postprocess=_argmax_post, metrics=(_acc,), best=W.greater_is_best))
+    split = {"word_ner", "word_ner_wide", "summarize", "summarize_topic"}
+    T.extend(replace(t, name=f"{t.name}_split", source=validation_split(t.source)) for t in list(T) if t.name in split)
     return T
 
 

@@ -71,3 +71,14 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are dear to process: dealt over all cores where its scan has fewer tasks than there are cores.
+
+    A small table in one file, or a large one in few huge row groups, would otherwise be worked on by as many tasks.
+    Only the columns that are used travel; a table with enough files is read as it is.  No job runs for the choice.
+    """
+    df = read_table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

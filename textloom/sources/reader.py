@@ -1,4 +1,4 @@
-"""Sources, splits and sinks."""
+"""Sources, splits and projection (A1-A7); prepared tables (A8) are in ``prepared``."""
 
 from __future__ import annotations
 
@@ -114,13 +114,3 @@ def model_columns(df: DataFrame, columns=("input_ids", "attention_mask", "labels
     if constants:
         out = out.withColumns({k: F.lit(v) for k, v in constants.items()})
     return out
-
-
-def materialise(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> DataFrame:
-    """Write the prepared table once, partitioned by split, and read it back.
-
-    ``path`` should live on the shared file system (e.g. under
-    ``spark.checkpoint.dir``); readers get split pruning from the folder layout.
-    """
-    df.write.mode(mode).partitionBy(split_col).parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -46,7 +46,10 @@ class TaskSpec:
     def prepare(self, spark: SparkSession, root: str, sequence_length: dict | None = None,
                 all_columns: bool = False) -> DataFrame:
         """Source → chain (each step gets ``sequence_length``/``output_features`` only if it names them)."""
-        df = self.source(spark, root)
+        return self.apply(self.source(spark, root), sequence_length, all_columns)
+
+    def apply(self, df: DataFrame, sequence_length: dict | None = None, all_columns: bool = False) -> DataFrame:
+        """The chain over a given source table or stream."""
         ctx = {"sequence_length": sequence_length, "output_features": self.features()}
         for step in self.steps:
             params = inspect.signature(step).parameters
