@@ -52,7 +52,7 @@ def features(raw: np.ndarray, off: np.ndarray, source: list, lang: list) -> tupl
     """The feature matrices of the two views for the rows of a slice."""
     n = len(off) - 1
     size = np.diff(off)
-    row = np.repeat(np.arange(n), size)
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
     content = np.zeros((n, WIDTH[0]), dtype=np.float32)
     if len(raw) > 2:
         b = raw.astype(np.uint32)

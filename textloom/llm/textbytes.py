@@ -64,7 +64,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most ``max_bytes`` bytes each, or of one row."""
     n, a = len(offsets) - 1, 0
     while a < n:
