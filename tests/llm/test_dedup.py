@@ -188,3 +188,39 @@ def test_line_dedup_edge_rows(edge_docs, edge_rows):
     out = line_dedup(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == len(edge_rows)
     assert SCHEMA.split(",")[0] == "doc_id long"
+
+
+def test_a_small_batch_meets_only_its_own_digests(spark, monkeypatch):
+    import textloom.llm.exact_dedup as ED
+
+    index = DigestIndex(spark)
+    assert exact_dedup(spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text"), index).filter("kept").count() == 3000
+    seen, attach = [], ED.attach
+
+    def spy(rows, table, key, weight, total, spread):
+        seen.append((table.count(), total, table.agg({"group_size": "sum"}).first()[0]))
+        return attach(rows, table, key, weight, total, spread)
+
+    monkeypatch.setattr(ED, "attach", spy)
+    batch = spark.createDataFrame([(5000 + i, f"t{i}") for i in range(0, 20)] + [(6000, "new"), (6001, "new")], "doc_id long, text string")
+    out = {r.doc_id: r for r in exact_dedup(batch, index).collect()}
+    assert seen == [(21, 22, 22)]  # the batch's digests, weighed by its own rows
+    assert [i for i, r in out.items() if r.kept] == [6001] and out[5003].keep_id == 3 and out[6000].group_size == 2 and out[5003].group_size == 1
+    assert index.read().count() == 3001
+
+
+def test_null_ids_meet_an_earlier_null_id(spark):
+    index = DigestIndex(spark)
+    first = spark.createDataFrame([(None, "x"), (1, "y")], "doc_id long, text string")
+    assert sorted(r.text_sha256 for r in exact_dedup(first, index).collect() if r.kept) == sorted(hashlib.sha256(t).hexdigest() for t in (b"x", b"y"))
+    second = spark.createDataFrame([(None, "x"), (None, "z"), (2, "y")], "doc_id long, text string")
+    assert [r.text_sha256 for r in exact_dedup(second, index).collect() if r.kept] == [hashlib.sha256(b"z").hexdigest()]
+
+
+def test_an_index_is_opened_with_its_own_buckets(spark):
+    index = DigestIndex(spark, buckets=8)
+    exact_dedup(spark.range(200).selectExpr("id as doc_id", "concat('t', id) as text"), index)
+    index.close()
+    assert DigestIndex(spark, index.path, 8).read().count() == 200
+    with pytest.raises(ValueError, match="buckets"):
+        DigestIndex(spark, index.path, 16)
