@@ -2,13 +2,14 @@
 
 View 1 is the text's content: hashed byte trigrams and how varied its words are. View 2 is what describes the page:
 source, language, length and layout (lines, kinds of characters). A logistic model per view is fitted on labelled
-documents. In each round each model scores unlabelled documents, and those it is surest about go to the other
+documents. In each round each model scores all unlabelled documents, and those it is surest about go to the other
 view's training set with the label it gave them, as many of each class as the labelled set's balance asks for. At
 the end both views are calibrated on labelled documents that took no part, and the mean of their calibrated log odds
 scores all documents.
 
-Models are fitted on bounded samples (``labelled`` and ``pool`` rows, by a hash of the id): their features are
-computed by Spark and only these rows reach the driver. Scoring covers every row and whole texts.
+Features of every row are computed once and stored. A round is a pass over them in which tasks score the rows; the
+surest of all are ranked by Spark and only those, ``per_round`` a view, reach the driver. The labelled rows that the
+models start from are a bounded sample (``labelled``, by a hash of the id). Scoring covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm import textbytes as tb
-from textloom.llm.common import documents, per_batch, read_table
+from textloom.llm.common import documents, materialise, read_table
 
 #: Buckets of the hashed byte trigrams, of sources and of languages.
-TRIGRAMS, SOURCES, LANGS = 1024, 64, 16
+TRIGRAMS, SOURCES, LANGS = 2048, 64, 16
 N_STATS, N_META = 4, 14
 WIDTH = (TRIGRAMS + N_STATS, SOURCES + LANGS + N_META)
-#: Bounds of the samples that the models are fitted on.
-LABELLED, POOL = 4000, 2000
+#: Most labelled rows that the models are fitted on.
+LABELLED = 6000
 ROUNDS, PER_ROUND = 4, 300
+#: Raw log odds from which a view may teach the other.
+SURE = 1.0
 
 _KINDS = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 end of sentence, 6 other ASCII sign, 7 beyond ASCII
 _KINDS[33:127] = 6
@@ -57,7 +61,7 @@ def features(raw: np.ndarray, off: np.ndarray, source: list, lang: list) -> tupl
     if len(raw) > 2:
         b = raw.astype(np.uint32)
         t = b[2:] | b[1:-1] << np.uint32(8) | b[:-2] << np.uint32(16)
-        t = (t * np.uint32(2654435761)) >> np.uint32(22)
+        t = (t * np.uint32(2654435761)) >> np.uint32(21)
         inside = row[2:] == row[:-2]
         counts = np.bincount(row[2:][inside] * TRIGRAMS + t[inside], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
         weight = np.sqrt(counts)
@@ -137,35 +141,41 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     return Model(model.weight, model.bias, float(max(a, 1e-3)), float(b))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, per_round: int = PER_ROUND) -> list[Model]:
-    """Two calibrated models. Every fifth labelled row is kept for calibration only."""
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    share = y[~held].mean()
-    x = [[v[~held]] for v in views]
-    labels = [[y[~held]] for _ in views]
-    left = [np.ones(len(pool[0]), bool) for _ in views]  # pool rows that the view has not been given yet
-    models = []
-    for r in range(rounds + 1):
-        models = [fit(np.concatenate(a), np.concatenate(b)) for a, b in zip(x, labels)]
-        if r == rounds or not len(pool[0]):
-            break
-        for teacher, pupil in ((0, 1), (1, 0)):
-            z = models[teacher].raw(pool[teacher])
-            for label, most in ((1.0, round(per_round * share)), (0.0, per_round - round(per_round * share))):
-                sure = z if label else -z
-                can = np.flatnonzero(left[pupil] & (sure > 1.0))
-                pick = can[np.argsort(-sure[can], kind="stable")[:most]]
-                left[pupil][pick] = False
-                x[pupil].append(pool[pupil][pick])
-                labels[pupil].append(np.full(len(pick), label))
-    at = held if held.any() else ~held
-    return [calibrate(m, v[at], y[at]) for m, v in zip(models, views)]
+class CoTraining:
+    """The rounds on the driver: training sets that grow by what the views teach each other.
+
+    ``views`` and ``y`` are the labelled rows; every fifth is kept for calibration only. ``wanted`` lists what the
+    next round asks for, ``give`` adds the rows found for it, ``calibrated`` ends with the two models.
+    """
+
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, per_round: int = PER_ROUND):
+        held = np.arange(len(y)) % 5 == 4
+        if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+            held = np.zeros(len(y), bool)
+        share = y[~held].mean()
+        self.at = held if held.any() else ~held
+        self.labelled, self.y = views, y
+        self.x = [[v[~held]] for v in views]
+        self.labels = [[y[~held]] for _ in views]
+        self.most = {1.0: round(per_round * share), 0.0: per_round - round(per_round * share)}
+        #: keys of the rows that each view has been given
+        self.given: list[set[int]] = [set(), set()]
+        self.fit()
 
+    def fit(self) -> None:
+        self.models = [fit(np.concatenate(a), np.concatenate(b)) for a, b in zip(self.x, self.labels)]
 
-_FEATURES = "doc_id long, label double, content binary, meta binary"
-_FEATURES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("content", pa.binary()), ("meta", pa.binary())])
+    def wanted(self) -> list[tuple[int, int, float, int]]:
+        """``(teacher, pupil, label, most rows)``."""
+        return [(t, 1 - t, label, most) for t in (0, 1) for label, most in self.most.items()]
+
+    def give(self, pupil: int, label: float, keys: list[int], rows: np.ndarray) -> None:
+        self.given[pupil] |= set(keys)
+        self.x[pupil].append(rows)
+        self.labels[pupil].append(np.full(len(rows), label))
+
+    def calibrated(self) -> list[Model]:
+        return [calibrate(m, v[self.at], self.y[self.at]) for m, v in zip(self.models, self.labelled)]
 
 
 def _column(batch: pa.RecordBatch, name: str):
@@ -181,67 +191,122 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
             yield c, d, *features(raw[off[c]:off[d]], off[c:d + 1] - off[c], source[c:d], lang[c:d])
 
 
-def _feature_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for a, b, content, meta in _slices(batch):
-        yield pa.RecordBatch.from_arrays([
-            _column(batch, "doc_id").slice(a, b - a), _column(batch, "label").slice(a, b - a),
-            pa.array([r.tobytes() for r in content.astype(np.float16)], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], schema=_FEATURES_SCHEMA)
+def _features(text: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
+    """Both views of each row as bytes: the content in half precision, the page in single precision."""
+    batch = pa.RecordBatch.from_arrays([text, source, lang], names=["text", "source", "lang"])
+    views = [[], []]
+    for _, _, content, meta in _slices(batch):
+        views[0] += [r.tobytes() for r in content.astype(np.float16)]
+        views[1] += [r.tobytes() for r in meta]
+    return pa.StructArray.from_arrays([pa.array(v, pa.binary()) for v in views], names=["content", "meta"])
+
+
+def _matrix(view: int, column: pa.Array | list) -> np.ndarray:
+    values = column if isinstance(column, list) else column.to_pylist()
+    return np.frombuffer(b"".join(values), np.float32 if view else np.float16).astype(np.float32).reshape(-1, WIDTH[view])
 
 
-def _scores(models: list[Model]):
-    schema = pa.schema([("score", pa.float64()), ("content_score", pa.float64()), ("meta_score", pa.float64())])
+def _scored(models: list[Model], calibrated: bool):
+    """Per row the log odds of each view: calibrated, or raw ones that do not depend on the batch's shape."""
+    def run(content: pa.Array, meta: pa.Array) -> pa.Array:
+        out = [[], []]
+        for a in range(0, len(content), 1024):
+            for view, (model, column) in enumerate(zip(models, (content, meta))):
+                x = _matrix(view, column.slice(a, 1024))
+                out[view].append(model.odds(x).astype(np.float64) if calibrated else np.round(x.astype(np.float64) @ model.weight.astype(np.float64) + model.bias, 6))
+        z = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return pa.StructArray.from_arrays([pa.array(z[0]), pa.array(z[1])], names=["content", "meta"])
 
-    def run(text: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([text, source, lang], names=["text", "source", "lang"])
-        out = [[models[0].odds(c), models[1].odds(m)] for _, _, c, m in _slices(batch)]
-        z = np.concatenate([np.array(o, dtype=np.float64) for o in out], axis=1) if out else np.zeros((2, 0))
-        return pa.StructArray.from_arrays([pa.array(_sigmoid(z.mean(axis=0))), pa.array(_sigmoid(z[0])), pa.array(_sigmoid(z[1]))], fields=list(schema))
+    return F.arrow_udf(run, "content double, meta double")
 
-    return run
 
+def surest(rows: DataFrame, training: CoTraining, known: DataFrame) -> dict[tuple[int, float], list[int]]:
+    """Keys of the unlabelled rows that each teacher is surest about, per pupil and label, at most as many as it wants.
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> list[Model] | None:
-    """The two calibrated models; None if the labels don't hold both classes.
+    All rows are scored in tasks; what is sure enough, has no label and was not given to the pupil before is ranked
+    by Spark. Rows that repeat count once; ties go to the smaller key.
+    """
+    z = rows.select("__id", "__key", _scored(training.models, False)("__content", "__meta").alias("z"))
+    lists = []
+    for teacher, pupil, label, most in training.wanted():
+        sure = (1 if label else -1) * F.col("z.meta" if teacher else "z.content")
+        given = F.col("__key").isin(sorted(training.given[pupil])) if training.given[pupil] else F.lit(False)
+        lists.append(F.when((sure > SURE) & ~given, F.struct(F.lit(pupil).alias("pupil"), F.lit(label).alias("label"), F.lit(most).alias("most"), sure.alias("sure"))))
+    z = z.filter((F.abs("z.content") > SURE) | (F.abs("z.meta") > SURE)).join(known.select(F.col("doc_id").alias("__id")), "__id", "left_anti")
+    z = z.select("__key", F.explode(F.array_compact(F.array(*lists))).alias("l")).select("__key", "l.*")
+    z = z.groupBy("pupil", "label", "most", "__key").agg(F.max("sure").alias("sure"))
+    place = F.row_number().over(Window.partitionBy("pupil", "label").orderBy(F.col("sure").desc(), "__key"))
+    z = z.withColumn("place", place).filter(F.col("place") <= max(training.most.values())).filter("place <= most")
+    out: dict[tuple[int, float], list[int]] = {}
+    for r in z.select("pupil", "label", "__key").collect():  # at most per_round rows a view
+        out.setdefault((r.pupil, r.label), []).append(r["__key"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> list[Model] | None:
+    """The two calibrated models from stored features (``__id, __key, __content, __meta``); None if the labels don't hold
+    both classes.
 
     ``labels(doc_id, quality)``: rows with a null id or quality are left out, of rows that repeat an id the largest
-    quality counts. The samples are the rows with the smallest hash of their id, at most ``labelled`` and ``pool``.
+    quality counts. The models start from the labelled rows with the smallest hash of their id, at most ``labelled``.
     """
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).cast("double").alias("label"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().join(known, "doc_id", "left")
-    rank = F.xxhash64("doc_id", F.lit(11))
-    some = ids.filter("label is not null").orderBy(rank).limit(labelled).unionByName(ids.filter("label is null").orderBy(rank).limit(pool))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
-    rows = rows.join(F.broadcast(some), "doc_id")  # at most labelled + pool ids
-    table = rows.mapInArrow(per_batch(_feature_rows), _FEATURES).toArrow().sort_by([("doc_id", "ascending"), ("content", "ascending")])
-    content = np.frombuffer(b"".join(table.column("content").to_pylist()), np.float16).astype(np.float32).reshape(-1, WIDTH[0])
-    meta = np.frombuffer(b"".join(table.column("meta").to_pylist()), np.float32).reshape(-1, WIDTH[1])
-    label = table.column("label").to_numpy()
-    del table
-    has = ~np.isnan(label)
-    if len(set(label[has].tolist())) < 2:
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
+        .agg((F.max("quality") > 0).cast("double").alias("label"))
+    ids = rows.select(F.col("__id").alias("doc_id")).filter("doc_id is not null").distinct().join(known, "doc_id")
+    some = ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled).withColumnRenamed("doc_id", "__id")
+    table = rows.join(F.broadcast(some), "__id").select("__id", "__key", "label", "__content", "__meta").toArrow()  # at most ``labelled`` ids
+    table = table.sort_by([("__id", "ascending"), ("__key", "ascending")])
+    y = table.column("label").to_numpy()
+    if len(set(y.tolist())) < 2:
         return None
-    return co_train([content[has], meta[has]], label[has], [content[~has], meta[~has]])
-
-
-def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+    training = CoTraining([_matrix(v, table.column(c).to_pylist()) for v, c in enumerate(("__content", "__meta"))], y, per_round)
+    del table
+    for _ in range(rounds):
+        found = surest(rows, training, known)
+        if not found:
+            break
+        for pupil, column in enumerate(("__content", "__meta")):
+            keys = sorted({k for (p, _), ks in found.items() if p == pupil for k in ks})
+            if not keys:
+                continue
+            mine = {r["__key"]: bytes(r[column]) for r in rows.filter(F.col("__key").isin(keys)).select("__key", column).dropDuplicates(["__key"]).collect()}
+            for (p, label), ks in sorted(found.items()):
+                if p == pupil:
+                    training.give(p, label, ks, _matrix(p, [mine[k] for k in ks]))
+        training.fit()
+    return training.calibrated()
+
+
+def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``quality_score, quality_content, quality_meta`` (probability of good quality) and ``quality_keep``.
 
-    ``docs`` has ``doc_id, text, source, lang``; its other columns pass through. Null or empty texts are scored by
-    their metadata and the features of an empty text; null sources and languages are values of their own. If the
-    labels don't hold both classes nothing can be learned: all scores are null and every row is kept. Each row is
-    scored where it is read, without a shuffle.
+    ``docs`` has ``doc_id, text, source, lang``; ``keep`` names the columns passed through (all by default; names that
+    start with two underscores are taken). Null or empty texts are scored by their metadata and the features of an
+    empty text; null sources and languages are values of their own. If the labels don't hold both classes nothing can
+    be learned: all scores are null and every row is kept. Rows that repeat get the same scores and teach once; an
+    empty table gives an empty result. Rows and features are stored once below ``spark.checkpoint.dir``.
     """
-    models = train(docs, labels, labelled, pool)
+    keep = list(docs.columns if keep is None else keep)
+    text = F.coalesce("text", F.lit(""))
+    made = F.arrow_udf(_features, "content binary, meta binary")(text, "source", "lang")
+    rows = docs.select(*[F.col(c).alias(f"__kept_{c}") for c in keep], F.col("doc_id").cast("long").alias("__id"),
+                       F.xxhash64("doc_id", "text", "source", "lang").alias("__key"), made.alias("__made"))
+    rows = materialise(rows.select("*", F.col("__made.content").alias("__content"), F.col("__made.meta").alias("__meta")).drop("__made"), "quality-features")
+    kept = [F.col(f"__kept_{c}").alias(c) for c in keep]
+    models = train(rows, labels, labelled)
     if models is None:
         none = F.lit(None).cast("double")
-        return docs.withColumns({"quality_score": none, "quality_content": none, "quality_meta": none, "quality_keep": F.lit(True)})
-    score = F.arrow_udf(_scores(models), "score double, content_score double, meta_score double")
-    out = docs.withColumn("__score", score(F.coalesce("text", F.lit("")), "source", "lang"))
-    return out.withColumns({"quality_score": F.col("__score.score"), "quality_content": F.col("__score.content_score"),
-                            "quality_meta": F.col("__score.meta_score"), "quality_keep": F.col("__score.score") >= 0.5}).drop("__score")
+        return rows.select(*kept, none.alias("quality_score"), none.alias("quality_content"), none.alias("quality_meta"), F.lit(True).alias("quality_keep"))
+    z = rows.select(*kept, _scored(models, True)("__content", "__meta").alias("__z"))
+
+    def probability(odds):
+        return 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))))
+
+    score = probability((F.col("__z.content") + F.col("__z.meta")) / 2)
+    return z.select(*keep, score.alias("quality_score"), probability(F.col("__z.content")).alias("quality_content"),
+                    probability(F.col("__z.meta")).alias("quality_meta"), (score >= 0.5).alias("quality_keep"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of the whole ``documents`` table, learned from ``labels``."""
-    return quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels")).select(
-        "doc_id", "quality_score", "quality_content", "quality_meta", "quality_keep")
+    return quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), keep=["doc_id"])
