@@ -36,6 +36,8 @@ LABELLED = 6000
 ROUNDS, PER_ROUND = 4, 300
 #: Raw log odds from which a view may teach the other.
 SURE = 1.0
+#: Shares of a list of sure rows that are cut to what is wanted in parallel.
+SHARES = 64
 
 _KINDS = np.zeros(256, dtype=np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 end of sentence, 6 other ASCII sign, 7 beyond ASCII
 _KINDS[33:127] = 6
@@ -110,13 +112,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300) -> Model:
     """Logistic regression by accelerated gradient descent; deterministic."""
-    w = np.zeros(x.shape[1] + 1)
-    xa = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    rate = 4.0 / max(1e-9, float(np.einsum("ij,ij->", xa, xa)) / max(1, len(xa)))
+    w = np.zeros(x.shape[1] + 1)  # the last one is the bias
+    rate = 4.0 / max(1e-9, float(np.einsum("ij,ij->", x, x)) / max(1, len(x)) + 1.0)
     v, t = w.copy(), 1.0
     for _ in range(steps):
-        g = xa.T @ ((_sigmoid(xa @ v.astype(np.float32)) - y) / len(y)).astype(np.float32)
-        g = g.astype(np.float64) + l2 * np.append(v[:-1], 0.0)
+        off = ((_sigmoid(x @ v[:-1].astype(np.float32) + np.float32(v[-1])) - y) / len(y)).astype(np.float32)
+        g = np.append(x.T @ off, off.sum()).astype(np.float64) + l2 * np.append(v[:-1], 0.0)
         new = v - rate * g
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
@@ -191,19 +192,41 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
             yield c, d, *features(raw[off[c]:off[d]], off[c:d + 1] - off[c], source[c:d], lang[c:d])
 
 
+#: What a view's features are stored as: the content in half precision, the page in single precision.
+_STORED = (np.float16, np.float32)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """One binary value per row of a matrix, without a copy."""
+    size = rows.shape[1] * rows.itemsize
+    bounds = np.arange(len(rows) + 1, dtype=np.int64) * size
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds), pa.py_buffer(rows.reshape(-1).view(np.uint8))]).cast(pa.binary())
+
+
 def _features(text: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
-    """Both views of each row as bytes: the content in half precision, the page in single precision."""
+    """Both views of each row as bytes."""
     batch = pa.RecordBatch.from_arrays([text, source, lang], names=["text", "source", "lang"])
-    views = [[], []]
-    for _, _, content, meta in _slices(batch):
-        views[0] += [r.tobytes() for r in content.astype(np.float16)]
-        views[1] += [r.tobytes() for r in meta]
-    return pa.StructArray.from_arrays([pa.array(v, pa.binary()) for v in views], names=["content", "meta"])
+    views = [np.empty((len(text), w), t) for w, t in zip(WIDTH, _STORED)]
+    for a, b, *made in _slices(batch):
+        for out, x in zip(views, made):
+            out[a:b] = x
+    return pa.StructArray.from_arrays([_binary(v) for v in views], names=["content", "meta"])
+
+
+def _stored(view: int, column: pa.Array) -> np.ndarray:
+    """The rows of a binary column as they are stored, without a copy; no value is null."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, WIDTH[view]), _STORED[view])
+    off = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[off[0]:off[-1]].view(_STORED[view]).reshape(-1, WIDTH[view])
 
 
 def _matrix(view: int, column: pa.Array | list) -> np.ndarray:
-    values = column if isinstance(column, list) else column.to_pylist()
-    return np.frombuffer(b"".join(values), np.float32 if view else np.float16).astype(np.float32).reshape(-1, WIDTH[view])
+    """Features of a view in single precision."""
+    rows = np.frombuffer(b"".join(column), _STORED[view]).reshape(-1, WIDTH[view]) if isinstance(column, list) else _stored(view, column)
+    return rows.astype(np.float32)
 
 
 def _scored(models: list[Model], calibrated: bool):
@@ -211,6 +234,7 @@ def _scored(models: list[Model], calibrated: bool):
     def run(content: pa.Array, meta: pa.Array) -> pa.Array:
         out = [[], []]
         for a in range(0, len(content), 1024):
+            # at most 1,024 rows are widened at a time
             for view, (model, column) in enumerate(zip(models, (content, meta))):
                 x = _matrix(view, column.slice(a, 1024))
                 out[view].append(model.odds(x).astype(np.float64) if calibrated else np.round(x.astype(np.float64) @ model.weight.astype(np.float64) + model.bias, 6))
@@ -235,8 +259,11 @@ def surest(rows: DataFrame, training: CoTraining, known: DataFrame) -> dict[tupl
     z = z.filter((F.abs("z.content") > SURE) | (F.abs("z.meta") > SURE)).join(known.select(F.col("doc_id").alias("__id")), "__id", "left_anti")
     z = z.select("__key", F.explode(F.array_compact(F.array(*lists))).alias("l")).select("__key", "l.*")
     z = z.groupBy("pupil", "label", "most", "__key").agg(F.max("sure").alias("sure"))
-    place = F.row_number().over(Window.partitionBy("pupil", "label").orderBy(F.col("sure").desc(), "__key"))
-    z = z.withColumn("place", place).filter(F.col("place") <= max(training.most.values())).filter("place <= most")
+    # first within shares of a list, then among what the shares keep: no task sees a whole list
+    most, order = max(training.most.values()), [F.col("sure").desc(), F.col("__key")]
+    share = F.row_number().over(Window.partitionBy("pupil", "label", F.pmod("__key", F.lit(SHARES))).orderBy(*order))
+    z = z.withColumn("place", share).filter(F.col("place") <= most).filter("place <= most")
+    z = z.withColumn("place", F.row_number().over(Window.partitionBy("pupil", "label").orderBy(*order))).filter(F.col("place") <= most).filter("place <= most")
     out: dict[tuple[int, float], list[int]] = {}
     for r in z.select("pupil", "label", "__key").collect():  # at most per_round rows a view
         out.setdefault((r.pupil, r.label), []).append(r["__key"])
@@ -259,7 +286,7 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     y = table.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         return None
-    training = CoTraining([_matrix(v, table.column(c).to_pylist()) for v, c in enumerate(("__content", "__meta"))], y, per_round)
+    training = CoTraining([_matrix(v, table.column(c)) for v, c in enumerate(("__content", "__meta"))], y, per_round)
     del table
     for _ in range(rounds):
         found = surest(rows, training, known)
