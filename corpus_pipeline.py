@@ -20,29 +20,48 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained quality classifier accepts."""
+    """Documents that the co-trained quality classifier accepts.
+
+    Rows stay as they are; repeated rows share their fate, null texts, sources and languages are scored like others. An
+    empty table stays empty; labels without both classes reject nothing.
+    """
     return quality(docs, read_table(spark, sf_dir, "labels")).filter("quality_keep").select(*DOCUMENT_COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of lines (50 words or more) that stand earlier; ``n_chars`` follows the text."""
+    """Documents without the runs of lines (50 words or more) that stand earlier; ``n_chars`` follows the text.
+
+    One row per row: null texts stay null (and have null ``n_chars``), a text whose lines all stand earlier becomes
+    empty, an empty table stays empty.
+    """
     return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 0.8 or more of their five-word shingles."""
+    """One document of each group of near-duplicates: 0.8 or more of their five-word shingles.
+
+    The smallest id of a group stays, with all rows that have it. Documents without words or text and rows without an
+    id have no group and stay; an empty table stays empty.
+    """
     kept = near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
     nameless = docs.filter("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").unionByName(nameless).select(*DOCUMENT_COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix to the target weights takes it."""
+    """Each document as often as the mix to the target weights takes it.
+
+    Null sources are a source, texts without words are taken at the rate of their source; reruns agree; an empty table
+    stays empty.
+    """
     return emit(mix(docs), DOCUMENT_COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document of the mix: number of tokens, digest of its ids and of the text decoded from them."""
+    """Per document of the mix: number of tokens, digest of its ids and of the text decoded from them.
+
+    Null text encodes to no ids; one row per row, an empty table gives an empty result.
+    """
     return bpe(docs)
 
 
