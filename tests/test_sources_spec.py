@@ -85,6 +85,26 @@ def test_stream_meter_matches_batch(spark):
     assert got == {r["role"]: (r["s"], r["n"]) for r in want}
 
 
+def test_stream_meter_reads_a_table_of_many_files(spark, tmp_path):
+    """A table may be a folder of part files; other tables beside it do not enter the stream, and one may be empty."""
+    from textloom.streaming.meter import read_stream, run_to_table, running_meter
+
+    rows = [(r, "x" * n) for r, n in [("user", 5), ("user", 50), ("system", 50), (None, 1), ("user", 50)]]
+    df = spark.createDataFrame(rows, "role string, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    df.limit(1).write.parquet(str(tmp_path / "pages.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "none.parquet"))
+    for f in (tmp_path / "none.parquet").glob("*.parquet"):
+        f.unlink()
+
+    def meter(table):
+        s = running_meter(read_stream(spark, str(tmp_path), table, df.schema), "role", F.length("text") > 10, "long")
+        return {r["key"]: (r["score"], r["count"]) for r in run_to_table(spark, s, "t", str(tmp_path / f"ckpt-{table}")).collect()}
+
+    assert meter("conversations") == {"user": (200 / 3, 3), "system": (100.0, 1), None: (0.0, 1)}
+    assert meter("none") == {}
+
+
 def test_every_task_scores_its_own_labels(spark):
     """Post-processing and metrics run for all shapes; perfect predictions score at the top."""
     from textloom.plans.tasks import build_catalogue

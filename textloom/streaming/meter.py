@@ -18,9 +18,11 @@ from textloom.session import ensure_checkpoint_dir
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, schema: StructType) -> DataFrame:
-    """File stream over one table of a folder of parquet files (schema given, no inference)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(folder))
+    """File stream over one table of a folder, be it one parquet file or a folder of them (schema given, no inference).
+
+    The source takes a folder, and a file only by a pattern; the pattern of one name fits both.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder.rstrip('/')}/{{{table}.parquet}}")
 
 
 def _ddl(schema: StructType) -> str:
@@ -40,7 +42,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, checkpoint:
 
     Each micro-batch writes only the keys it changed, into a folder of its own below ``spark.checkpoint.dir``, so
     the driver holds no state and a repeated micro-batch replaces its own folder. The query checkpoints there as
-    well: a restart resumes from the committed offsets and state instead of recounting.
+    well: a restart resumes from the committed offsets and state instead of recounting.  A stream without files
+    gives no rows.
     """
     root = (checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}").rstrip("/")
     out = f"{root}/rows"
@@ -51,6 +54,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, checkpoint:
     q = (stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state")
          .trigger(availableNow=True).foreachBatch(write).start())
     q.awaitTermination()
+    spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]) \
+        .write.mode("overwrite").parquet(f"{out}/batch=-1")  # the folder is there even if no batch was
     rows = spark.read.schema(f"{_ddl(stream.schema)}, batch INT").parquet(out)
     latest = rows.groupBy("metric", "key").agg(F.max_by(F.struct(*stream.columns), "batch").alias("r"))
     return latest.select("r.*")
