@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import syllables
 from tests.llm.test_dedup import words_of
-from textloom.llm.lm_score import Vocabulary, huffman, path_counts, score
+from textloom.llm.lm_score import Mixer, Vocabulary, huffman, path_counts, score
 from textloom.llm.mixing import emit, mix, targets
 from textloom.llm.quality import quality
 
@@ -153,6 +153,16 @@ def test_lm_score_keeps_every_context_apart(spark):
     assert len(out) == 300 and sum(r.score for r in out) > 0.5 * sum(r.base_score for r in out)
 
 
+def test_lm_score_fits_its_weights_on_all_training_texts(spark, monkeypatch):
+    """Twice the training documents are twice the bits behind the initial weights; held-out ones add none."""
+    seen = []
+    monkeypatch.setattr(Mixer, "tune", lambda self, bits, weights: seen.append(int(np.sum(bits))))
+    for n in (600, 1200):
+        rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(30)), i >= n) for i in range(n + 40)]
+        score(spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(3), F.col("held"))
+    assert 1.7 < seen[-1] / seen[0] < 2.3
+
+
 def test_path_counts():
     rng = np.random.default_rng(3)
     codes = [c for c in ("0", "100", "1010", "1011", "11")]
