@@ -129,6 +129,28 @@ def test_secret_dictionary_holds_all_identifiers():
     assert novel("\n".join([*others, ask])) == [name]
 
 
+def test_licence_training_takes_every_paragraph(spark, monkeypatch):
+    """All distinct paragraphs without a licence statement are fitted on or kept out, more than ``BACKGROUND`` too."""
+    from textloom.llm import licenses as L
+
+    seen = []
+
+    class Spy(L.LogisticRegression):
+        def fit(self, data):
+            seen.append(data.select("weight").toPandas()["weight"])
+            return super().fit(data)
+
+    monkeypatch.setattr(L, "LogisticRegression", Spy)
+    rows = [(i, f"the license plate number {i} of car {i * i} was lost\nReleased under the MIT License.") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = licence_paragraphs(docs).filter("family = 'MIT'").count()
+    monkeypatch.setattr(L, "BACKGROUND", 40)
+    again = licence_paragraphs(docs).filter("family = 'MIT'").count()
+    assert whole == again == 300
+    assert len(seen[0]) == len(seen[1]) > 300 * 0.6
+    assert (seen[1] == 40 / 300).sum() == (seen[0] == 1.0).sum() - (seen[1] == 1.0).sum() > 300 * 0.6
+
+
 def test_licences(spark, edge_docs, no_docs):
     rng = random.Random(8)
     rows, want = [], {}

@@ -2,10 +2,10 @@
 
 A paragraph (line) becomes its sparse word n-grams (one to three words) that hold at least one licence word, and a
 multinomial logistic regression gives each licence family and the class "unknown" a probability. The model is
-trained on the template sentences below, on shortened variants of them, and on a bounded sample of the corpus's own
-paragraphs that name licence words without resembling a template. A family is predicted only above a level that is
-calibrated on sampled paragraphs kept out of training, and each prediction is confirmed by comparing the paragraph
-with the templates of the predicted family.
+trained on the template sentences below, on shortened variants of them, and on the corpus's own paragraphs that name
+licence words without resembling a template, each distinct one once. A family is predicted only above a level that is
+calibrated on the fourth of these paragraphs that is kept out of training, and each prediction is confirmed by
+comparing the paragraph with the templates of the predicted family.
 
 A paragraph without a licence word has no features, so its class is unknown by construction; such paragraphs are
 passed over by one pattern match, which changes no result.
@@ -62,8 +62,10 @@ LICENCE_WORDS = (
 )
 UNKNOWN = "unknown"
 FEATURES = 1 << 12
-#: Most sampled corpus paragraphs, the share that is kept out for calibration, and the least agreement with a template.
-BACKGROUND, KEPT_OUT, CONFIRMED = 4000, 4, 0.6
+#: Corpus paragraphs that weigh one template sentence each at most, together; one in KEPT_OUT is kept out for calibration.
+BACKGROUND, KEPT_OUT = 4000, 4
+#: Least agreement with a template, and training rows per task.
+CONFIRMED, PER_TASK = 0.6, 1 << 14
 #: Longest stretch of words that one prediction looks at; longer paragraphs are looked at in overlapping stretches.
 STRETCH = 60
 
@@ -103,9 +105,9 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def found_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``paragraphs`` with their ``likeness`` to the templates, written once: training and prediction read it."""
+    """``paragraphs`` with their ``likeness`` to the templates and ``features``, written once: training and prediction read it."""
     rows = materialise(paragraphs(docs, id_col, text_col).withColumn("bag", _bag(F.col("words"))), "licence-paragraphs")
-    return materialise(resemblance(rows), "licence-likeness")
+    return materialise(_vectors(resemblance(rows)).drop("grams"), "licence-likeness")
 
 
 def template_words() -> list[tuple[str, list[str]]]:
@@ -148,14 +150,18 @@ def _vectors(df: DataFrame) -> DataFrame:
 
 def _probabilities(df: DataFrame, model: LogisticRegressionModel, names: list[str]) -> DataFrame:
     p = vector_to_array("probability")
-    scored = model.transform(_vectors(df)).withColumn("p", p)
+    scored = model.transform(df).withColumn("p", p)
     best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("p"), i.alias("i"))))
     return (scored.withColumn("best", best).withColumn("predicted", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("best.i") + 1))
-            .withColumn("p_best", F.col("best.p")).drop("grams", "features", "rawPrediction", "probability", "prediction", "p", "best"))
+            .withColumn("p_best", F.col("best.p")).drop("features", "rawPrediction", "probability", "prediction", "p", "best"))
 
 
 def train(spark: SparkSession, found: DataFrame) -> LicenceModel:
-    """Fit on templates, variants of them, and at most ``BACKGROUND`` stretches of ``found`` that resemble no template."""
+    """Fit on templates, variants of them, and the distinct stretches of ``found`` that resemble no template.
+
+    All of these stretches count; where they are more than ``BACKGROUND`` they share its weight, so that the few
+    sentences of the families keep theirs.
+    """
     names = [UNKNOWN, *TEMPLATES]
     shape = spark.createDataFrame(template_words(), "family string, words array<string>")
     label = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("family")) - 1
@@ -165,16 +171,18 @@ def train(spark: SparkSession, found: DataFrame) -> LicenceModel:
     variants = shape.select(label.cast("double").alias("label"), F.explode(cut).alias("words"))
     lead = F.array(F.lit("this"), F.lit("file"), F.lit("is"))
     variants = variants.unionByName(variants.select("label", F.concat(lead, F.col("words")).alias("words"))).withColumn("weight", F.lit(1.0))
-    # what resembles no template is unknown; the smallest hashes make a bounded sample
+    # what resembles no template is unknown
     mark = F.xxhash64(F.array_join("words", " "))
-    other = (found.filter(_best(F.col("likeness")) < 0.5).select("words", mark.alias("mark")).dropDuplicates(["mark"])
-             .orderBy("mark").limit(BACKGROUND))
-    other = materialise(other, "licence-background")
-    plain = other.filter(F.pmod("mark", F.lit(KEPT_OUT)) != 0).select(F.lit(0.0).alias("label"), "words", F.lit(1.0).alias("weight"))
+    other = found.filter(_best(F.col("likeness")) < 0.5).select(mark.alias("mark"), "features").dropDuplicates(["mark"])
+    other = materialise(other.repartition("mark").sortWithinPartitions("mark"), "licence-background")
+    n = other.count()
+    plain = other.filter(F.pmod("mark", F.lit(KEPT_OUT)) != 0).select(
+        F.lit(0.0).alias("label"), F.lit(min(1.0, BACKGROUND / max(1, n))).alias("weight"), "features")
     # single words of the templates, and no features at all, are unknown as well
     single = shape.select(F.explode("words").alias("w")).distinct().select(F.lit(0.0).alias("label"), F.array("w").alias("words"), F.lit(1.0).alias("weight"))
     empty = spark.range(1).select(F.lit(0.0).alias("label"), F.array(F.lit("")).alias("words"), F.lit(20.0).alias("weight"))
-    data = _vectors(variants.unionByName(plain).unionByName(single).unionByName(empty)).coalesce(1)
+    families, rest = (_vectors(x).select("label", "weight", "features").coalesce(1) for x in (variants, single.unionByName(empty)))
+    data = families.unionByName(plain).unionByName(rest).coalesce(1 + n // PER_TASK)
     model = LogisticRegression(family="multinomial", regParam=1e-5, elasticNetParam=0.1, maxIter=50, weightCol="weight").fit(data)
     # level: what no kept-out stretch of the background reaches, halfway to certainty, and 0.5 at least
     kept_out = _probabilities(other.filter(F.pmod("mark", F.lit(KEPT_OUT)) == 0), model, names)
