@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.hof import let, let_many, shift_right
+from textloom.functions.hof import bind_column, let, let_many, shift_right
 from textloom.functions.text import SPACE_CLASS
 from textloom.operators.ranking import average_rank
 
@@ -214,52 +214,54 @@ def ngrams(tokens, n: int, prefix: str = "") -> Column:
         F.lit(prefix), F.array_join(F.slice(tk, i + 1, n), " ")) if prefix else F.array_join(F.slice(tk, i + 1, n), " ")))
 
 
-def _ngram_rows(df: DataFrame, toks_t: str, toks_p: str, orders: list[int], group: list[str] = ()) -> DataFrame:
-    """(*group, ``_id``, n, gram, a=count in target, b=count in prediction) per distinct gram of each row.
+def _gram_counts(df: DataFrame, target, prediction, id_col: str, tokens, orders: list[int], group: list[str] = ()) -> DataFrame:
+    """``(*group, _id, n, c, a, b, na, nb)``: per id and order the grams of the target (a), of the prediction (b) and in common (c).
 
-    Every order and both sides go into one array per row, exploded once (one
-    scan of the input), plus one marker per order with a NULL gram so every
-    (row, order) group exists even without grams.  Counted per (row, n, gram)
-    with map-side partial sums.
+    Only texts are shuffled, so that rows of one id meet and count together; their grams never leave the row.  Per order
+    the grams of both sides are sorted in one array and folded: each gram of the prediction takes one of the target's
+    that is left.  Every (id, order) has a row; a text without grams counts as one NULL gram (``na`` and ``nb`` of them).
     """
-    # one small struct per (order, side) holding that side's gram array, plus an empty marker part
-    # per order; exploded twice (parts, then grams) with explode_outer so the marker yields a NULL gram
-    empty = F.array().cast("array<string>")
+    texts = df.select(*group, _c(id_col).alias("_id"), F.struct(_c(target).alias("t"), _c(prediction).alias("p")).alias("_x"))
+    texts = texts.groupBy(*group, "_id").agg(F.collect_list("_x").alias("_x"))
+    texts = bind_column(texts, "_y", F.transform("_x", lambda x: F.struct(tokens(x["t"]).alias("t"), tokens(x["p"]).alias("p"))))
+    empty = F.array(F.lit(None).cast("string"))
+
+    def grams(side: str, n: int):
+        return F.flatten(F.transform("_y", lambda x: F.when(F.size(x[side]) >= n, ngrams(x[side], n)).otherwise(empty)))
+
+    def fold(acc, x):
+        left = F.when(acc["g"].eqNullSafe(x["g"]), acc["left"]).otherwise(F.lit(0))
+        hit = ((x["s"] == 1) & (left > 0)).cast("int")
+        return F.struct(x["g"].alias("g"), (left + F.when(x["s"] == 0, F.lit(1)).otherwise(-hit)).alias("left"), (acc["c"] + hit).alias("c"))
 
-    def part(n, a, b, grams):
-        return F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b"), grams.alias("g"))
+    def marked(side: str, n: int, s: int):
+        return F.transform(grams(side, n), lambda g: F.struct(g.alias("g"), F.lit(s).alias("s")))
 
-    def body(bd):
-        parts = []
-        for n in orders:
-            for toks, a, b in ((bd["t"], 1, 0), (bd["p"], 0, 1)):
-                parts.append(part(n, a, b, F.when(F.size(toks) >= n, ngrams(toks, n)).otherwise(empty)))
-            parts.append(part(n, 0, 0, empty))
-        return F.array(*parts)
+    def counted(n: int):
+        both = F.concat(marked("t", n, 0), marked("p", n, 1))
+        none = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("c"))
+        return let(F.sort_array(both), lambda x: F.struct(
+            F.lit(n).alias("n"), F.aggregate(x, none, fold)["c"].cast("bigint").alias("c"),
+            *[F.size(F.filter(x, f)).cast("bigint").alias(c) for c, f in (
+                ("a", lambda g: g["s"] == 0), ("b", lambda g: g["s"] == 1),
+                ("na", lambda g: (g["s"] == 0) & g["g"].isNull()), ("nb", lambda g: (g["s"] == 1) & g["g"].isNull()))]))
 
-    allp = let_many({"t": F.col(toks_t), "p": F.col(toks_p)}, body)
-    e = df.select(*group, "_id", F.explode(allp).alias("x")) \
-        .select(*group, "_id", "x.n", "x.a", "x.b", F.explode_outer("x.g").alias("gram"))
-    return e.groupBy(*group, "_id", "n", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return bind_column(texts, "_n", F.array(*[counted(n) for n in orders])).select(*group, "_id", F.explode("_n").alias("x")).select(*group, "_id", "x.*")
 
 
 def bleu(df: DataFrame, target="labels", prediction="predictions", id_col: str = "id", max_order: int = 4,
          group: list[str] = ()) -> DataFrame:
     """M3: corpus BLEU-4 (of each group), exponential smoothing, international tokenization, case kept."""
-    base = df.select(*group, _c(id_col).alias("_id"), bleu_tokens(target).alias("_tt"), bleu_tokens(prediction).alias("_tp"))
     orders = list(range(1, max_order + 1))
-    g = _ngram_rows(base, "_tt", "_tp", orders, group)
-    # corpus lengths are the unigram totals and the row count is the number of order-1 markers,
-    # so one aggregation over the gram table gives every statistic (no second pass over the input)
+    g = _gram_counts(df, target, prediction, id_col, bleu_tokens, orders, group)
+    # corpus lengths are the unigram totals and the row count is the number of order-1 rows,
+    # so one aggregation over the counts gives every statistic (no second pass over the input)
     aggs = []
     for n in orders:
-        real = F.col("gram").isNotNull() & (F.col("n") == n)
-        aggs += [F.sum(F.when(real, F.least("a", "b")).otherwise(0)).alias(f"{n}_c"),
-                 F.sum(F.when(real, F.col("b")).otherwise(0)).alias(f"{n}_t")]
+        aggs += [F.sum(F.when(F.col("n") == n, F.col("c") - F.least("na", "nb"))).alias(f"{n}_c"),
+                 F.sum(F.when(F.col("n") == n, F.col("b") - F.col("nb"))).alias(f"{n}_t")]
     one = F.col("n") == 1
-    aggs += [F.sum(F.when(one, F.col("a")).otherwise(0)).alias("ref_len"),
-             F.sum(F.when(one, F.col("b")).otherwise(0)).alias("sys_len"),
-             F.sum(F.when(one & F.col("gram").isNull(), 1).otherwise(0)).alias("rows")]
+    aggs += [F.sum(F.when(one, F.col("a"))).alias("ref_len"), F.sum(F.when(one, F.col("b"))).alias("sys_len"), F.sum(one.cast("int")).alias("rows")]
     return _bleu_score(g.groupBy(*group).agg(*aggs), orders, group)
 
 
@@ -338,11 +340,9 @@ def rouge_tokens(text, ascii_only: bool = False) -> Column:
 
 def _rouge_n_rows(df: DataFrame, target, prediction, id_col: str, orders, ascii_only: bool, group: list[str] = ()) -> DataFrame:
     """F-measure per row and order: ``(*group, _id, metric, f)``."""
-    base = df.select(*group, _c(id_col).alias("_id"), rouge_tokens(target, ascii_only).alias("_tt"),
-                     rouge_tokens(prediction, ascii_only).alias("_tp"))
-    g = _ngram_rows(base, "_tt", "_tp", list(orders), group)
-    # the per-order markers make every (row, n) group exist, so no grid join is needed
-    rows = g.groupBy(*group, "_id", "n").agg(F.sum(F.least("a", "b")).alias("o"), F.sum("a").alias("rt"), F.sum("b").alias("rp"))
+    # every (row, n) has its counts, so no grid join is needed
+    rows = _gram_counts(df, target, prediction, id_col, lambda t: rouge_tokens(t, ascii_only), list(orders), group) \
+        .withColumnsRenamed({"c": "o", "a": "rt", "b": "rp"})
     prec = _ratio(F.col("o"), F.col("rp"))
     rec = _ratio(F.col("o"), F.col("rt"))
     f = F.when(F.col("o") == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
