@@ -142,3 +142,46 @@ def test_nested_and_crossing_spans_are_painted_in_list_order(spark):
     assert got == {1: [1, 3, 2, 2], 2: [1, 3, 4, 4], 3: [1, 2, 2, 2], 4: [0] * 4, 5: [0] * 4}
     chars = {r["id"]: list(r["t"]) for r in df.select("id", N.spans_to_char_tags("NE", F.length("text"), tags).alias("t")).collect()}
     assert chars[1] == [1, 2, 2, 2, 3, 4, 2, 2, 2, 2, 2] and chars[2] == [1, 2, 2, 2, 3, 4, 4, 4, 4, 4, 4] and chars[4] == [0] * 11
+
+
+def test_steps_are_small_and_whole():
+    """A batch is worked on in slices of bounded size, in order, with the same result as at once."""
+    import random
+
+    import pyarrow as pa
+
+    from textloom.functions.batches import STEP, groups, steps, stepwise
+
+    rng = random.Random(8)
+    tags = [[rng.choice(["O", "B-PS", "I-PS"]) for _ in range(rng.choice([0, 3, 400]))] if i % 9 else None for i in range(3000)]
+    chars = pa.array([None if t is None else [rng.choice("abc ") for _ in t] for t in tags], pa.list_(pa.string()))
+    tags = pa.array(tags, pa.list_(pa.string()))
+    parts = list(steps((chars, tags)))
+    assert len(parts) > 20 and all(len(c) == 1 or c.nbytes + t.nbytes <= STEP for c, t in parts)
+    assert pa.concat_arrays([c for c, _ in parts]).equals(chars)
+    for compat in (False, True):
+        assert stepwise(lambda c, t: N.spans_of_tags(c, t, compat), chars, tags).to_pylist() == N.spans_of_tags(chars, tags, compat).to_pylist()
+    texts = ["x" * rng.randrange(2 * STEP // 10) for _ in range(100)]
+    cut = list(groups(texts))
+    assert sum(cut, []) == texts and all(sum(map(len, g[:-1])) < STEP for g in cut)
+
+
+def test_mentions_leave_the_task_in_steps(spark):
+    """What the mentions of a batch fan out to is not built at once."""
+    from textloom.operators import spans
+
+    seen = spark.sparkContext.accumulator(0)
+
+    class Tok(HashVocab):
+        def batch(self, texts):
+            assert sum(map(len, texts[:-1])) < 1 << 18
+            seen.add(1)
+            return super().batch(texts)
+
+    text = "ab cd " * 200
+    chains = [{"mention": [{"begin": [0, 6, 12], "end": [2, 8, 14], "form": ["ab"] * 3}]}]
+    df = spark.createDataFrame([(i, text, chains[0]) for i in range(600)],
+                               "id long, text string, CR struct<mention:array<struct<begin:array<int>,end:array<int>,form:array<string>>>>").coalesce(1)
+    assert spans.mention_augment(df, "id", "text", tokenizer=Tok()).count() == 1800
+    assert spans.mention_tags(df, "text", tokenizer=Tok()).count() == 600
+    assert seen.value > 8

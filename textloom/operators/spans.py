@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.batches import fan_out, groups, stepwise
 from textloom.functions.hof import bind_column, let, let_many, shift_left, shift_right
 from textloom.functions.tokens import HashVocab
 
@@ -96,10 +97,10 @@ def char_tags_to_spans(chars, tags, compat: bool = False) -> Column:
     ``B`` opens a span (closing an open one), ``I`` extends it, anything else
     closes it; an ``I`` with no open span is ignored.  ``end`` is exclusive.
     ``compat=True`` drops a span still open at the end of the text, as the
-    reference does.  One pass over the characters of an Arrow batch.
+    reference does.  One pass over the characters of a few rows of an Arrow batch at a time.
     """
     def run(c: pa.Array, t: pa.Array) -> pa.Array:
-        return spans_of_tags(c, t, compat)
+        return stepwise(lambda *x: spans_of_tags(*x, compat), c, t)
 
     return F.arrow_udf(run, "array<struct<form:string,begin:int,end:int,label:string>>")(_c(chars), _c(tags))
 
@@ -174,7 +175,7 @@ def paint(cell_start: pa.Array, cell_end: pa.Array, begin: pa.Array, end: pa.Arr
 
 def _painted(cell_start: Column, cell_end: Column, spans: Column, b_tag, i_tag, outside: int) -> Column:
     def run(cs: pa.Array, ce: pa.Array, b: pa.Array, e: pa.Array, vb: pa.Array, vi: pa.Array) -> pa.Array:
-        return paint(cs, ce, b, e, vb, vi, outside)
+        return stepwise(lambda *x: paint(*x, outside), cs, ce, b, e, vb, vi)
 
     return F.arrow_udf(run, "array<int>")(
         cell_start, cell_end, F.transform(spans, lambda s: s["begin"].cast("int")), F.transform(spans, lambda s: s["end"].cast("int")),
@@ -352,8 +353,8 @@ def doc_windows(df: DataFrame, id_col: str, text_col: str, tokenizer=None, span_
         return cut(texts, chains)
 
     fields = "w:int,s:int,e:int,t:string"
-    wins = F.arrow_udf(plain, f"array<struct<{fields}>>")(F.col(text_col)) if chains_col is None else \
-        F.arrow_udf(chained, f"array<struct<{fields},cr:{_CHAINS_DDL}>>")(F.col(text_col), F.col(chains_col))
+    wins = fan_out(plain, f"array<struct<{fields}>>", F.col(text_col)) if chains_col is None else \
+        fan_out(chained, f"array<struct<{fields},cr:{_CHAINS_DDL}>>", F.col(text_col), F.col(chains_col))
     # bound before the explode, so that its filter on the size reads the list and does not cut it again
     t = bind_column(df, "_wins", wins)
     t = t.select(*[c for c in df.columns if c not in (text_col, chains_col)], F.explode("_wins").alias("_win"))
@@ -418,7 +419,7 @@ def mention_tags(df: DataFrame, text_col: str, cr_col: str = "CR", tokenizer=Non
             rows.append([([t[1] for t in tokens], _bio([t[2] for t in tokens], [t[3] for t in tokens], spans)) if text is not None else (None, None)])
         return _structs(rows, ["ids", "targets"], [pa.list_(pa.int32())] * 2)
 
-    tagged = F.arrow_udf(run, "array<struct<ids:array<int>,targets:array<int>>>")(*_window(df, text_col, cr_col))
+    tagged = fan_out(run, "array<struct<ids:array<int>,targets:array<int>>>", *_window(df, text_col, cr_col))
     bound = bind_column(df.withColumn(f"{text_col}_pretokenized", F.col(text_col)), "_tagged", tagged)
     return bound.withColumns({text_col: F.get("_tagged", 0)["ids"], out_col: F.get("_tagged", 0)["targets"]}).drop("_tagged")
 
@@ -490,7 +491,7 @@ def mention_augment(df: DataFrame, id_col: str, text_col: str, cr_col: str = "CR
                     marked.append(f"{text[:tb]}*{text[tb:te]}*{text[te:]}")
                     out.append((number, mi, _moved(others, tb, te, compat)))
             rows.append(out)
-        done = iter(zip(marked, tok.batch(marked)))
+        done = (x for some in groups(marked) for x in zip(some, tok.batch(some)))
         for out in rows:
             for i, (number, mi, spans) in enumerate(out):
                 text, tokens = next(done)
@@ -500,8 +501,9 @@ def mention_augment(df: DataFrame, id_col: str, text_col: str, cr_col: str = "CR
         return _structs(rows, ["chain", "mi", "marked", "ids", "targets", "surfaces"],
                         [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())])
 
-    made = F.arrow_udf(run, "array<struct<chain:int,mi:int,marked:string,ids:array<int>,targets:array<int>,surfaces:array<string>>>")
-    t = bind_column(df, "_all", made(*_window(df, text_col, cr_col)))
+    made = fan_out(run, "array<struct<chain:int,mi:int,marked:string,ids:array<int>,targets:array<int>,surfaces:array<string>>>",
+                   *_window(df, text_col, cr_col))
+    t = bind_column(df, "_all", made)
     t = t.select(*[c for c in df.columns if c != text_col], F.explode("_all").alias("_one"))
     out = {
         "id": F.concat_ws(":", F.col(id_col).cast("string"), F.col("_one.chain").cast("string"), F.col("_one.mi").cast("string")),
