@@ -273,3 +273,21 @@ def test_rouge_bootstrap_keys(spark):
     assert set(got) == {"rouge2", "rougeLsum"}
     assert all(r["low"] <= r["score"] <= r["high"] and r["count"] == 30 for r in got.values())
     assert got["rougeLsum"]["score"] == pytest.approx(87.5, abs=5)
+
+
+def test_grams_stay_in_their_rows(spark):
+    """No gram is a key of an aggregation, and rows of one id count together."""
+    rows = [(1, "a b a", "a a c"), (1, "b", "b a"), (None, "", None), (2, "x y", "x y")]
+    df = spark.createDataFrame(rows, "id long, labels string, predictions string")
+    g = {(r["_id"], r["n"]): (r["c"], r["a"], r["b"]) for r in M._gram_counts(df, "labels", "predictions", "id", M.bleu_tokens, [1, 2]).collect()}
+    assert g == {(1, 1): (3, 4, 5), (1, 2): (1, 3, 3), (None, 1): (1, 1, 1), (None, 2): (1, 1, 1), (2, 1): (2, 2, 2), (2, 2): (1, 1, 1)}
+    assert "gram" not in M.bleu(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_map_batches_bounds_its_batches(spark):
+    """Without a batch size a call gets rows of bounded size, not the whole Arrow batch."""
+    from textloom.operators import rows as R
+
+    df = spark.range(3000).selectExpr("id", "repeat('x', 4000) AS text").coalesce(1)
+    out = R.map_batches(df, lambda b: pd.DataFrame({"n": [len(b)]}), "n long").collect()
+    assert sum(r["n"] for r in out) == 3000 and max(r["n"] for r in out) * 4000 <= R.BATCH_BYTES

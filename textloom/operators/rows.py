@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bytes of the rows that ``map_batches`` hands over at once.
+BATCH_BYTES = 1 << 21
+
+
 def map_rows(fn: Callable[[DataFrame], dict[str, Column]]):
     """B1: decorator; ``fn`` returns ``{name: Column}`` merged into the row."""
 
@@ -38,15 +42,17 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     """``fn`` gets a pandas batch and may return any number of rows.
 
     ``batch_size`` is the most rows that ``fn`` gets at once (batches are cut
-    inside the task, so no session setting changes); ``remove_columns`` are
-    dropped before the batches are built (so they never cross into Python).
+    inside the task, so no session setting changes), without it as many as hold
+    ``BATCH_BYTES``; ``remove_columns`` are dropped before the batches are built
+    (so they never cross into Python).
     """
     src = df.drop(*remove_columns)
 
     def it(batches):
         for b in batches:
-            for at in range(0, len(b), batch_size or max(1, len(b))):
-                out = fn(b.iloc[at:at + batch_size] if batch_size else b)
+            size = batch_size or max(1, len(b) * BATCH_BYTES // max(1, int(b.memory_usage(index=False, deep=True).sum())))
+            for at in range(0, len(b), size):
+                out = fn(b.iloc[at:at + size] if batch_size else b.iloc[at:at + size].reset_index(drop=True))
                 if out is not None and len(out):
                     yield out
 
