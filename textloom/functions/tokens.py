@@ -8,7 +8,7 @@ A tokenizer turns a text column into ``ARRAY<STRUCT<tok, id, start, end>>``
   O(n) per row with higher-order functions (no window, no shuffle).
 * ``TableVocab`` is a corpus job (top-V words by count) for decoding and for
   vocabularies that must be dense.
-* ``ArrowTokenizer`` calls a user callable once per Arrow batch (plug-in tokenizers).
+* ``ArrowTokenizer`` calls a user callable once per step over an Arrow batch (plug-in tokenizers).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.functions.batches import stepwise
 from textloom.functions.hof import let
 
 # ---- fixed values: reserved ids ----
@@ -178,12 +179,15 @@ class ArrowTokenizer:
         return [(t[2], t[3]) for t in self.batch([text])[0]]
 
     def tokens(self, text) -> Column:
-        def run(texts: pa.Array) -> pa.Array:
+        def some(texts: pa.Array) -> pa.Array:
             found = texts.to_pylist()
             done = iter(self.batch([t for t in found if t is not None]))
             rows = [None if t is None else [dict(zip(("tok", "id", "start", "end"), x)) for x in next(done)] for t in found]
             return pa.array(rows, pa.list_(pa.struct([("tok", pa.string()), ("id", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
 
+        def run(texts: pa.Array) -> pa.Array:
+            return stepwise(some, texts)
+
         return F.arrow_udf(run, TOKEN_STRUCT)(_c(text))
 
     def ids(self, text) -> Column:
