@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.batches import fan_out
 from textloom.llm import textbytes as tb
 from textloom.llm.common import documents, materialise, read_table
 
@@ -315,7 +316,7 @@ def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, keep:
     """
     keep = list(docs.columns if keep is None else keep)
     text = F.coalesce("text", F.lit(""))
-    made = F.arrow_udf(_features, "content binary, meta binary")(text, "source", "lang")
+    made = fan_out(_features, "content binary, meta binary", text, F.col("source"), F.col("lang"))  # features are larger than most texts
     rows = docs.select(*[F.col(c).alias(f"__kept_{c}") for c in keep], F.col("doc_id").cast("long").alias("__id"),
                        F.xxhash64("doc_id", "text", "source", "lang").alias("__key"), made.alias("__made"))
     rows = materialise(rows.select("*", F.col("__made.content").alias("__content"), F.col("__made.meta").alias("__meta")).drop("__made"), "quality-features")
