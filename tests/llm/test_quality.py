@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,22 @@ def test_the_exchange_changes_and_helps_the_models(spark):
     assert losses[1][0] < losses[0][0] and sum(losses[1]) < sum(losses[0])
 
 
+def test_features_are_stored_without_their_zeros():
+    texts = ["", "The cat sat on the mat, again.\n" * 40, "a", "x" * 3000, "h\u00e9llo w\u00f6rld " * 9]
+    source, lang = [None, "web", "web", "src1", None], ["en", None, "de", "en", "en"]
+    made = Q._features(pa.array(texts), pa.array(source, pa.string()), pa.array(lang, pa.string()))
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    for view, want in enumerate(Q.features(np.frombuffer(b"".join(raw), np.uint8), off, source, lang)):
+        want = want.astype(Q._STORED[view]).astype(np.float32)
+        column = made.field(view)
+        assert (Q._matrix(view, column) == want).all() and (Q._matrix(view, [r.as_py() for r in column]) == want).all()
+        assert (Q._matrix(view, pa.chunked_array([column.slice(1, 2), column.slice(3)])) == want[1:]).all()
+        assert Q._matrix(view, column.slice(2, 0)).shape == (0, Q.WIDTH[view])
+    sizes = [len(r.as_py()) for r in made.field(0)]
+    assert sizes[0] < 300 and sizes[2] < 300 and max(sizes) < 1000  # 4,104 with zeros
+
+
 def test_quality_keeps_the_named_columns(spark, edge_docs, edge_rows):
     marked = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
     out = Q.quality(edge_docs, marked, keep=["doc_id", "n"])

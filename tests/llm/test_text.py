@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import syllables
+from textloom.llm import bpe as B
 from textloom.llm import secrets as S
 from textloom.llm.bpe import bpe
 from textloom.llm.fingerprint import codes, digest, fingerprint, fingerprints, likeness
@@ -32,6 +33,16 @@ def test_bpe_equals_the_library(edge_docs, edge_rows, no_docs, leaf, piece):
     assert bpe(no_docs).collect() == []
 
 
+def test_a_task_leaves_few_words_behind(monkeypatch):
+    monkeypatch.setattr(B, "KEPT", 5)
+    enc = B.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["the", "End.", "a,b", "h\u00e9llo", "it's", "<|endoftext|>", "zq1", "zq2", "The"]
+    before = enc.entries(words)
+    enc.release()
+    assert len(enc.known) == 5 and enc.known["the"] == before[0]
+    assert enc.entries(words) == before and enc.entries(words[::-1]) == before[::-1]
+
+
 def test_bpe_full_output(spark):
     docs = spark.createDataFrame([(1, "Hello  world"), (2, "")], "doc_id long, text string")
     out = {r.doc_id: r for r in bpe(docs, full=True).collect()}

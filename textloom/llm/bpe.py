@@ -16,6 +16,7 @@ import hashlib
 import os
 import re
 from bisect import bisect_left
+from itertools import islice
 from typing import Iterator
 
 import pyarrow as pa
@@ -28,8 +29,8 @@ from textloom.llm.common import documents, shuffle_partitions
 LEAF = 1 << 16
 #: Texts beyond this are cut into rows of this many characters that different tasks encode.
 PIECE = 1 << 20
-#: Distinct words that a task remembers.
-CACHE = 5 << 17
+#: Distinct words that a task remembers, and that a worker keeps of them for its next task.
+CACHE, KEPT = 5 << 17, 1 << 17
 #: First width of the window on each side of a join, in characters.
 WINDOW = 64
 
@@ -98,6 +99,13 @@ class Encoder:
                 out = [known[w] for w in words]
         return out
 
+    def release(self) -> None:
+        """At a task's end: only the words learned first stay (common ones are met early). Spark hands the worker on to
+        other steps, beside whose data a full memory of words does not fit."""
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
+        pa.default_memory_pool().release_unused()
+
     def leaf(self, text: str, at: int) -> tuple[list[int], list[tuple[int, str, str]]]:
         starts = [m.start() + at for m in _WORD.finditer(text)]
         return starts, self.entries(_WORD.findall(text))
@@ -218,6 +226,7 @@ def bpe(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", full: bool = Fal
                     enc.learn(list(new))
                 found = [encode(enc, t, leaf=leaf)[1] if w is None else enc.entries(w) for t, w in zip(part, words)]
                 yield _batch([_result(i, e, full) for i, e in zip(ids[at:at + 256], found)], schema)
+        enc.release()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary)
@@ -226,6 +235,7 @@ def bpe(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", full: bool = Fal
                 starts, entries = encode(enc, row["text"], leaf=leaf)
                 yield _batch([(row["row"], row["piece"], starts, [e[0] for e in entries], [e[1] for e in entries],
                                [e[2] for e in entries], row["text"])], _PIECE)
+        enc.release()
 
     def whole(key, table):
         enc = _encoder(vocabulary)

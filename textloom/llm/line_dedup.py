@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.batches import fan_out
 from textloom.llm import textbytes as tb
 from textloom.llm.common import attach, documents, materialise, per_batch
 
@@ -149,8 +150,8 @@ def _cut_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Da
     cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("c.first").alias("__first"), F.col("c.last").alias("__last"))
     rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__version", _version(F.col(text_col)))
     rows = rows.join(cuts, ["__id", "__version"], "left")
-    cut = F.arrow_udf(_cut, "text string, n_lines long, n_removed long")
-    return rows.withColumn("__cut", cut(F.col(text_col), "__first", "__last"))
+    # the texts of a batch are cut step by step: as Python strings, split and joined they are several times the batch
+    return rows.withColumn("__cut", fan_out(_cut, "text string, n_lines long, n_removed long", F.col(text_col), F.col("__first"), F.col("__last")))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
