@@ -39,6 +39,8 @@ def test_a_task_leaves_few_words_behind(monkeypatch):
     words = ["the", "End.", "a,b", "h\u00e9llo", "it's", "<|endoftext|>", "zq1", "zq2", "The"]
     before = enc.entries(words)
     enc.release()
+    assert not enc.known
+    enc.resume()
     assert len(enc.known) == 5 and enc.known["the"] == before[0]
     assert enc.entries(words) == before and enc.entries(words[::-1]) == before[::-1]
 

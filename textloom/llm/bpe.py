@@ -13,6 +13,7 @@ never carry across), and each distinct word of a task is given to the tokenizer
 from __future__ import annotations
 
 import hashlib
+import marshal
 import os
 import re
 from bisect import bisect_left
@@ -29,8 +30,8 @@ from textloom.llm.common import documents, shuffle_partitions
 LEAF = 1 << 16
 #: Texts beyond this are cut into rows of this many characters that different tasks encode.
 PIECE = 1 << 20
-#: Distinct words that a task remembers, and that a worker keeps of them for its next task.
-CACHE, KEPT = 5 << 17, 1 << 17
+#: Distinct words that a task remembers, and that it keeps of them when these get too many and for its worker's next task.
+CACHE, KEPT = 3 << 17, 1 << 18
 #: First width of the window on each side of a join, in characters.
 WINDOW = 64
 
@@ -53,12 +54,13 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.left = b""
 
     def learn(self, words: list[str]) -> None:
         """Remember ``words``. A final full stop or comma behind plain letters is a piece of its own to the splitter, and
         the normaliser lower-cases, so such words are put together from the entries of their lower-case stem and mark."""
         if len(self.known) + len(words) > CACHE:
-            self.known = {}
+            self.known = self._first()
         parts = []
         for w in words:
             stem, mark = w, ""
@@ -99,11 +101,19 @@ class Encoder:
                 out = [known[w] for w in words]
         return out
 
+    def resume(self) -> None:
+        """At a task's start: the words that the worker's last task left."""
+        if self.left:
+            self.known, self.left = marshal.loads(self.left), b""
+
+    def _first(self) -> dict[str, tuple[int, str, str]]:
+        """The words learned first: common ones are met early."""
+        return dict(islice(self.known.items(), KEPT))
+
     def release(self) -> None:
-        """At a task's end: only the words learned first stay (common ones are met early). Spark hands the worker on to
-        other steps, beside whose data a full memory of words does not fit."""
-        if len(self.known) > KEPT:
-            self.known = dict(islice(self.known.items(), KEPT))
+        """At a task's end: the words learned first stay, packed. Spark hands the worker on to other steps, beside whose
+        data a full memory of words does not fit."""
+        self.left, self.known = marshal.dumps(self._first()), {}
         pa.default_memory_pool().release_unused()
 
     def leaf(self, text: str, at: int) -> tuple[list[int], list[tuple[int, str, str]]]:
@@ -215,6 +225,7 @@ def bpe(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", full: bool = Fal
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary)
+        enc.resume()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
@@ -230,6 +241,7 @@ def bpe(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", full: bool = Fal
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary)
+        enc.resume()
         for batch in batches:
             for row in batch.to_pylist():
                 starts, entries = encode(enc, row["text"], leaf=leaf)
