@@ -1,17 +1,23 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import syllables
 from tests.llm.test_dedup import words_of
+from textloom.llm import lm_score
 from textloom.llm.lm_score import Mixer, Vocabulary, huffman, path_counts, score
 from textloom.llm.mixing import emit, mix, targets
 from textloom.llm.quality import quality
+from textloom.session import discard, materialise, released_shuffles
 
 
 def brute_targets(sizes):
@@ -173,3 +179,115 @@ def test_path_counts():
     for i, (c, w) in enumerate(pairs):
         want = [sum(m for (d, x), m in zip(pairs, n) if d == c and x.startswith(w[:j])) for j in range(len(w) + 1)]
         assert flat[off[i]:off[i + 1]].tolist() == want
+
+
+def chunks_of(texts, n_chunks):
+    """``(code, data, ranks)``: chunks of ``(text, held out)`` rows as ``score`` makes them, without Spark."""
+    count = Counter(w for t, out in texts if not out for w in t.encode().split())
+    word = lambda t: lm_score._own_words([lm_score.Tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]))])[0]
+    hashes = {int(word(w)): c for w, c in count.items()}
+    rank = {h: i + 1 for i, h in enumerate(sorted(hashes, key=lambda h: (-hashes[h], h)))}
+    per_count = np.array(sorted(Counter(hashes.values()).items(), reverse=True), np.int64)
+    code = lm_score.Code(*per_count.T, sum(not out for _, out in texts), np.ones(256, np.int64), 2)
+    out = []
+    for i in range(n_chunks):
+        rows = texts[i::n_chunks]
+        table = pa.table([pa.array(range(len(rows))), pa.array([r[1] for r in rows]), pa.array([r[0] for r in rows])], names=["doc_id", "held_out", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as stream:
+            stream.write_table(table)
+        own = lm_score._own_words(t for *_, t in lm_score._slices(table))
+        out.append((sink.getvalue().to_pybytes(), lm_score._pack(np.array([rank.get(int(h), 0) for h in own]))))
+    return code, out
+
+
+@pytest.mark.parametrize("part", [1 << 21, 300])
+def test_lm_score_chunks_get_the_counts_of_all_training_texts(monkeypatch, part):
+    """What the chunks know and the replies add up to what one place would have counted, for each predictor."""
+    monkeypatch.setattr(lm_score, "PART", part)
+    rng = random.Random(21)
+    pool = [syllables(rng, 1 + i % 3) + str(i % 7) for i in range(400)]
+    texts = [(" ".join(pool[min(int(rng.expovariate(0.02)), 399)] for _ in range(rng.randrange(0, 90))), i % 7 == 2) for i in range(150)]
+    texts += [texts[0]] * 3 + [("only " + "held" * 5, True), ("", False), ("", True)]
+    code, rows = chunks_of(texts, 5)
+    chunks = [lm_score.Chunk(code, *r) for r in rows]
+    assert (code.n_parts.max() > 3) == (part == 300) and code.hot > 0
+    for order in lm_score.PREDICTORS:
+        asked = defaultdict(list)
+        for c, chunk in enumerate(chunks):
+            p = chunk.pairs[order]
+            for where, at in p.asked():
+                asked[where].append((where, order, c, lm_score._pack_pairs(p.contexts[p.context[at]], p.number[at], p.n[at])))
+        replies = defaultdict(dict)
+        for same in asked.values():
+            for r in lm_score._reply(code)(pa.Table.from_batches([lm_score._parted(same)])).to_pylist():
+                replies[r["chunk"]][r["part"]] = r["data"]
+        total = Counter()
+        for chunk in chunks:
+            p = chunk.pairs[order]
+            for context, c, size, n in zip(p.contexts[p.context].tolist(), p.code.tolist(), p.size.tolist(), p.n.tolist()):
+                path = f"{c:064b}"[:size]
+                for j in range(size + 1):
+                    total[context, path[:j]] += n
+        for k, chunk in enumerate(chunks):
+            p = chunk.pairs[order]
+            flat, off = p.counts(replies[k])
+            for i, (context, c, size) in enumerate(zip(p.contexts[p.context].tolist(), p.code.tolist(), p.size.tolist())):
+                path = f"{c:064b}"[:size]
+                assert flat[off[i]:off[i + 1]].tolist() == [total[context, path[:j]] for j in range(size + 1)]
+            assert not flat[off[-1]:].any()
+
+
+def test_lm_score_packs_numbers():
+    rng = np.random.default_rng(5)
+    for columns in ([np.zeros(0, np.int64)], [np.arange(5), np.array([0, 1 << 40, 255])], [rng.integers(0, 1 << 62, 99)]):
+        assert [c.tolist() for c in lm_score._unpack(lm_score._pack(*columns))] == [c.tolist() for c in columns]
+    pairs = np.array(sorted({(int(h) << 31 | int(w), int(s)) for h, w, s in rng.integers(0, 9, (300, 3))}))
+    n = rng.integers(0, 3, len(pairs))
+    for a, b in ((pairs.T, n), (pairs[:1].T, n[:1])):
+        assert [x.tolist() for x in lm_score._unpack_pairs(lm_score._pack_pairs(*a, b))] == [*a.tolist(), b.tolist()]
+
+
+def stored(*folders):
+    return sum(f.stat().st_size for d in folders for f in Path(d).rglob("*") if f.is_file())
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [files.apply(i).getPath() for i in range(files.size()) if "/shuffle_" in files.apply(i).getPath()]
+
+
+def test_lm_score_holds_less_than_four_times_its_input_on_disk(spark, tmp_path, monkeypatch):
+    """Tables between the steps are small and go when they have been read, and so do the shuffle files."""
+    rng = random.Random(22)
+    pool = [syllables(rng, 1 + i % 4) for i in range(20000)]
+    rows = [(i, " ".join(pool[min(int(rng.paretovariate(0.7)), 19999)] for _ in range(400))) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/in")
+    docs, folder = spark.read.parquet(f"{tmp_path}/in"), spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before, seen = stored(folder), []
+
+    def watched(df, tag):
+        out = materialise(df, tag)
+        seen.append(stored(folder) - before)
+        return out
+
+    monkeypatch.setattr(lm_score, "materialise", watched)
+    monkeypatch.setattr(lm_score, "PASSES", 0)
+    old = set(shuffle_files(spark))
+    out = score(docs, F.col("doc_id") % 7 == 2)
+    assert out.count() == len(rows)
+    assert max(seen) < 4 * stored(f"{tmp_path}/in")
+    assert sum(os.path.getsize(f) for f in set(shuffle_files(spark)) - old) < 0.1 * stored(f"{tmp_path}/in")
+
+
+def test_released_shuffles_and_discard(spark):
+    from textloom.session import CLEANUP
+
+    before, old = spark.conf.get(CLEANUP, None), set(shuffle_files(spark))
+    with released_shuffles(spark):
+        kept = materialise(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+        gone = materialise(kept.select("k"), "gone")
+        discard(gone)
+    assert spark.conf.get(CLEANUP, None) == before
+    assert not set(shuffle_files(spark)) - old
+    assert kept.count() == 7 and not any(os.path.exists(f.removeprefix("file:")) for f in gone.inputFiles())
