@@ -188,7 +188,7 @@ def chunks_of(texts, n_chunks):
     hashes = {int(word(w)): c for w, c in count.items()}
     rank = {h: i + 1 for i, h in enumerate(sorted(hashes, key=lambda h: (-hashes[h], h)))}
     per_count = np.array(sorted(Counter(hashes.values()).items(), reverse=True), np.int64)
-    code = lm_score.Code(*per_count.T, sum(not out for _, out in texts), np.ones(256, np.int64), 2)
+    code = lm_score.Code(*per_count.T, sum(not out for _, out in texts), np.ones(256, np.int64), 2, sum(count.values()))
     out = []
     for i in range(n_chunks):
         rows = texts[i::n_chunks]
