@@ -266,8 +266,8 @@ def test_lm_score_holds_less_than_four_times_its_input_on_disk(spark, tmp_path,
     docs, folder = spark.read.parquet(f"{tmp_path}/in"), spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
     before, seen = stored(folder), []
 
-    def watched(df, tag):
-        out = materialise(df, tag)
+    def watched(df, tag, **options):
+        out = materialise(df, tag, **options)
         seen.append(stored(folder) - before)
         return out
 
